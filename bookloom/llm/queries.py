@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import matroska, token_counts
+from bookloom.llm import matroska, token_counts, token_output
 
-QUERIES = {f.__name__: f for f in (token_counts.op2_token_counts, matroska.op10_media_columns)}
+QUERIES = {f.__name__: f for f in (token_counts.op2_token_counts, token_output.op3_token_output, matroska.op10_media_columns)}
 ORACLE: dict[str, str] = {}
