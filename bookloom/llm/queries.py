@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import matroska, token_counts, token_output
+from bookloom.llm import matroska, mixing, token_counts, token_output
 
-QUERIES = {f.__name__: f for f in (token_counts.op2_token_counts, token_output.op3_token_output, matroska.op10_media_columns)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (mixing.op1_mixing, token_counts.op2_token_counts, token_output.op3_token_output, matroska.op10_media_columns)}
+ORACLE: dict[str, str] = {"op1_mixing": mixing.OP1_SQL}
