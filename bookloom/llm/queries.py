@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import decontamination, matroska, mixing, token_counts, token_output
+from bookloom.llm import decontamination, matroska, mixing, token_counts, token_output, warc
 
-QUERIES = {f.__name__: f for f in (mixing.op1_mixing, token_counts.op2_token_counts, token_output.op3_token_output, decontamination.op9_decontamination, matroska.op10_media_columns)}
-ORACLE: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op9_decontamination": decontamination.OP9_SQL}
+QUERIES = {f.__name__: f for f in (mixing.op1_mixing, token_counts.op2_token_counts, token_output.op3_token_output, warc.op4_warc, decontamination.op9_decontamination, matroska.op10_media_columns)}
+ORACLE: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op4_warc": warc.OP4_SQL, "op9_decontamination": decontamination.OP9_SQL}
