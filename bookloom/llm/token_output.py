@@ -17,6 +17,7 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from bookloom.llm import ans
-from bookloom.llm.common import materialize, partitions, table, utf8
+from bookloom.llm.common import materialize, partitions, table
 
-#: A task keeps the ids of at most so many different pre-tokens.
-MEMO = 500_000
+#: A task keeps the ids of at most so many different pre-tokens, and of so many pieces between spaces.
+MEMO = 600_000
 #: A frame ends after the document that brings it to so many ids.
 FRAME_IDS = 1 << 20
 
@@ -40,7 +41,11 @@ _SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s
 
 
 class Encoder:
-    """Ids by the tokenizers library, which is asked once for each pre-token that a task keeps."""
+    """Ids by the tokenizers library, which is asked once for each pre-token that a task keeps.
+
+    Where no run of white space is longer than one character, a text is cut at line ends and spaces
+    first: no pre-token crosses these cuts, and a piece's ids are kept as well.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,26 +53,58 @@ class Encoder:
 
         self.of = Tokenizer.from_file(path)
         self.special = [t.content[:2] for t in self.of.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.line_end = self.ask(["\n"])[0]
 
     def ask(self, words: list[str]) -> list[bytes]:
-        return [np.array(r.ids, "<u2").tobytes() for r in self.of.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("H", r.ids).tobytes() for r in self.of.encode_batch_fast(words, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
-        """The ids of each text as little-endian 16-bit numbers, with the end id."""
-        memo = self.memo
-        split = [_SPLIT.findall(t) if _PLAIN.fullmatch(t) and not any(m in t for m in self.special) else None for t in texts]
-        whole = iter(self.ask([t for t, s in zip(texts, split, strict=True) if s is None]))
-        new = list({w for s in split if s for w in s if w not in memo})
+    def split(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens or unusual characters, by their pre-tokens."""
+        words = [_SPLIT.findall(t) for t in texts]
+        new = list({w for s in words for w in s if w not in self.tokens})
         got = dict(zip(new, self.ask(new), strict=True))
-        if len(memo) + len(got) < MEMO:
-            memo.update(got)
-            find = memo.__getitem__
-        elif got:
-            find = lambda w: memo.get(w) or got[w]
-        else:
-            find = memo.__getitem__
-        return [(next(whole) if s is None else b"".join(map(find, s))) + end for s in split]
+        if len(self.tokens) + len(got) <= MEMO:
+            self.tokens.update(got)
+        find = self.tokens.get
+        return [b"".join([find(w) or got[w] for w in s]) for s in words]
+
+    def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
+        """The ids of each text as 16-bit numbers, with the end id."""
+        out: list = [None] * len(texts)
+        cut: list[tuple[int, list[list[str]], list[list]]] = []
+        rest, whole, first, new = [], [], {}, set()
+        find = self.spaced.get
+        for i, t in enumerate(texts):
+            if any(m in t for m in self.special) or not _PLAIN.fullmatch(t):
+                whole.append(i)
+            elif any(x in t for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r")):
+                rest.append(i)
+            else:
+                pieces = [line.split(" ") for line in t.split("\n")]
+                ids = [list(map(find, p)) for p in pieces]
+                for p, x in zip(pieces, ids, strict=True):
+                    first[p[0]] = x[0] = b""
+                    if None in x:
+                        new.update([w for w, y in zip(p, x, strict=True) if y is None])
+                cut.append((i, pieces, ids))
+        for i, ids in zip(whole, self.ask([texts[i] for i in whole]), strict=True):
+            out[i] = ids + end
+        for i, ids in zip(rest, self.split([texts[i] for i in rest]), strict=True):
+            out[i] = ids + end
+        first = dict(zip(first, self.split(list(first)), strict=True))
+        pieces = list(new)
+        got = dict(zip(pieces, self.split([" " + w for w in pieces]), strict=True))
+        if len(self.spaced) + len(got) <= MEMO:
+            self.spaced.update(got)
+        for i, pieces, ids in cut:
+            for p, x in zip(pieces, ids, strict=True):
+                if None in x:
+                    x[:] = [got[w] if y is None else y for w, y in zip(p, x, strict=True)]
+                x[0] = first[p[0]]
+            out[i] = self.line_end.join(map(b"".join, ids)) + end
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -85,7 +122,7 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 c = b.slice(i, 200)
-                ids = of([t.decode() for t in c.column(1).to_pylist()], end)
+                ids = of(c.column(1).to_pylist(), end)
                 ends = start + np.cumsum([len(x) // 2 for x in ids])
                 starts, start = np.r_[start, ends[:-1]], int(ends[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), pa.array(starts, pa.int64()), c.column(0), pa.array(ids, pa.binary())], ["shard", "start", "key", "ids"])
@@ -98,7 +135,7 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], ["id", "n"])
 
-    ranged = docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text")).repartitionByRange(partitions(spark), F.col("key").asc_nulls_first())
+    ranged = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(partitions(spark), F.col("key").asc_nulls_first())
     tokens = materialize(ranged.sortWithinPartitions(F.col("key").asc_nulls_first(), "text").mapInArrow(tokenise, "shard int, start long, key long, ids binary"), "tokens")
     found = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     symbols = found["id"].to_numpy(np.int64)
