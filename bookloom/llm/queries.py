@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import decontamination, matroska, mixing, token_counts, token_output, toxicity, warc
+from bookloom.llm import decontamination, html_text, matroska, mixing, token_counts, token_output, toxicity, warc
 
-QUERIES = {f.__name__: f for f in (mixing.op1_mixing, token_counts.op2_token_counts, token_output.op3_token_output, warc.op4_warc, toxicity.op8_toxicity, decontamination.op9_decontamination, matroska.op10_media_columns)}
+QUERIES = {f.__name__: f for f in (mixing.op1_mixing, token_counts.op2_token_counts, token_output.op3_token_output, warc.op4_warc, html_text.op5_html_extraction, toxicity.op8_toxicity, decontamination.op9_decontamination, matroska.op10_media_columns)}
 ORACLE: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op4_warc": warc.OP4_SQL, "op9_decontamination": decontamination.OP9_SQL}
