@@ -22,110 +22,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from bookloom.llm import ans
-from bookloom.llm.common import materialize, partitions, table
+from bookloom.llm.common import materialize, offsets, partitions, slices, table
 
-#: A task keeps the ids of at most so many different pre-tokens, and of so many pieces between spaces.
-MEMO = 600_000
+#: A task keeps the ids of at most so many different pieces of text.
+MEMO = 1_000_000
+#: Bytes of text that a task tokenises at a time (or one document).
+SLICE = 8 << 20
 #: A frame ends after the document that brings it to so many ids.
 FRAME_IDS = 1 << 20
 
-# Texts of these characters alone need no Unicode tables: re's classes and the pattern's agree on them.
-_PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]*")
-_SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+# No pre-token crosses a space or line end where white space stands alone, among letters for which
+# the pattern needs no Unicode tables; texts with anything else go to the library whole.
+_IRREGULAR = r"  |\n\n| \n|\n |[^\n\x20-\x7eÀ-ÖØ-öø-ɏ]"
 
 
 class Encoder:
-    """Ids by the tokenizers library, which is asked once for each pre-token that a task keeps.
+    """Ids by the tokenizers library, which is asked once for each piece of text between spaces that a task keeps.
 
-    Where no run of white space is longer than one character, a text is cut at line ends and spaces
-    first: no pre-token crosses these cuts, and a piece's ids are kept as well.
+    Each slice of texts is cut at spaces and line ends, its different pieces are found by dictionary
+    encoding, and their ids are spread over the texts as arrays.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
-        self.special = [t.content[:2] for t in self.of.get_added_tokens_decoder().values()]
-        self.tokens: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.line_end = self.ask(["\n"])[0]
-
-    def ask(self, words: list[str]) -> list[bytes]:
-        return [array("H", r.ids).tobytes() for r in self.of.encode_batch_fast(words, add_special_tokens=False)]
-
-    def split(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts without special tokens or unusual characters, by their pre-tokens."""
-        words = [_SPLIT.findall(t) for t in texts]
-        new = list({w for s in words for w in s if w not in self.tokens})
-        got = dict(zip(new, self.ask(new), strict=True))
-        if len(self.tokens) + len(got) <= MEMO:
-            self.tokens.update(got)
-        find = self.tokens.get
-        return [b"".join([find(w) or got[w] for w in s]) for s in words]
-
-    def __call__(self, texts: list[str], end: bytes) -> list[bytes]:
+        special = [re.escape(t.content) for t in self.of.get_added_tokens_decoder().values()]
+        self.irregular = "|".join([*special, _IRREGULAR])
+        self.end = array("H", [end_id]).tobytes()
+        self.memo: dict[str, bytes] = {}
+
+    def ask(self, texts: list[str]) -> list[bytes]:
+        return [array("H", r.ids).tobytes() for r in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """A piece stands for itself after a space, but after \\r for the text without it (a text's first), after \\n for itself, and \\t for a text's end."""
+        found = list(map(self.memo.get, words))
+        new = [w for w, x in zip(words, found, strict=True) if x is None]
+        if new:
+            ids = self.ask([w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in new])
+            got = dict(zip(new, ids, strict=True)) | ({"\t": self.end} if "\t" in new else {})
+            if len(self.memo) + len(got) <= MEMO:
+                self.memo.update(got)
+            found = [got[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
+
+    def regular(self, texts: pa.Array) -> pa.Array:
+        marked = pc.binary_join_element_wise(pa.scalar("\r"), pc.replace_substring(texts, "\n", " \n"), pa.scalar(" \t"), pa.scalar(""))
+        cut = pc.split_pattern(marked, " ")
+        words = cut.values.dictionary_encode()
+        ids = self.pieces(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        flat, starts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes
+        code = words.indices.to_numpy()
+        n = sizes[code]
+        ends = np.cumsum(n)
+        spread = flat[np.repeat(starts[code] - (ends - n), n) + np.arange(ends[-1])]
+        bounds = 2 * np.r_[0, ends[cut.offsets.to_numpy()[1:] - 1]]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(spread)])
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as 16-bit numbers, with the end id."""
-        out: list = [None] * len(texts)
-        cut: list[tuple[int, list[list[str]], list[list]]] = []
-        rest, whole, first, new = [], [], {}, set()
-        find = self.spaced.get
-        for i, t in enumerate(texts):
-            if any(m in t for m in self.special) or not _PLAIN.fullmatch(t):
-                whole.append(i)
-            elif any(x in t for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r")):
-                rest.append(i)
-            else:
-                pieces = [line.split(" ") for line in t.split("\n")]
-                ids = [list(map(find, p)) for p in pieces]
-                for p, x in zip(pieces, ids, strict=True):
-                    first[p[0]] = x[0] = b""
-                    if None in x:
-                        new.update([w for w, y in zip(p, x, strict=True) if y is None])
-                cut.append((i, pieces, ids))
-        for i, ids in zip(whole, self.ask([texts[i] for i in whole]), strict=True):
-            out[i] = ids + end
-        for i, ids in zip(rest, self.split([texts[i] for i in rest]), strict=True):
-            out[i] = ids + end
-        first = dict(zip(first, self.split(list(first)), strict=True))
-        pieces = list(new)
-        got = dict(zip(pieces, self.split([" " + w for w in pieces]), strict=True))
-        if len(self.spaced) + len(got) <= MEMO:
-            self.spaced.update(got)
-        for i, pieces, ids in cut:
-            for p, x in zip(pieces, ids, strict=True):
-                if None in x:
-                    x[:] = [got[w] if y is None else y for w, y in zip(p, x, strict=True)]
-                x[0] = first[p[0]]
-            out[i] = self.line_end.join(map(b"".join, ids)) + end
-        return out
+        odd = pc.match_substring_regex(texts, self.irregular)
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return self.regular(texts)
+        whole = pa.array([x + self.end for x in self.ask(texts.take(pa.array(at)).to_pylist())], pa.binary())
+        if len(at) == len(texts):
+            return whole
+        rest = np.setdiff1d(np.arange(len(texts)), at)
+        both = pa.concat_arrays([self.regular(texts.take(pa.array(rest))), whole])
+        return both.take(pa.array(np.argsort(np.r_[rest, at], kind="stable")))
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
 
 
 def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Writes all documents; returns the table of frames and the frequency table (symbols, frequencies). The vocabulary has under 65,536 ids, the key is an integer."""
     spark = docs.sparkSession
-    end = np.array([end_id], "<u2").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, shard, start = encoder(path), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for i in range(0, b.num_rows, 200):
-                c = b.slice(i, 200)
-                ids = of(c.column(1).to_pylist(), end)
-                ends = start + np.cumsum([len(x) // 2 for x in ids])
-                starts, start = np.r_[start, ends[:-1]], int(ends[-1])
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), pa.array(starts, pa.int64()), c.column(0), pa.array(ids, pa.binary())], ["shard", "start", "key", "ids"])
+        of, shard, start = encoder(path, end_id), TaskContext.get().partitionId(), 0
+        for b in slices(batches, "text", SLICE):
+            ids = of(b.column(1))
+            ends = start + np.cumsum(np.diff(offsets(ids)) // 2)
+            starts, start = np.r_[start, ends[:-1]], int(ends[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), pa.array(starts, pa.int64()), b.column(0), ids], ["shard", "start", "key", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
