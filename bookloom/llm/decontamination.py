@@ -22,8 +22,10 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookloom.llm.common import materialize, table, utf8
 
@@ -88,12 +90,17 @@ class Lookup:
         return found, items
 
 
-def search(docs: DataFrame, cut: DataFrame, describe: Callable, schema: str, key: str, text: str) -> DataFrame:
-    """describe(key, text, words, hits, items) per document, for one block of windows."""
+def shared_lookup(docs: DataFrame, cut: DataFrame, text: str) -> Broadcast:
+    """A block of windows, by the word of each that is rarest in docs."""
     rows = [(bytes(r.window), sorted(r["items"])) for r in cut.toLocalIterator()]
     vocabulary = frozenset(x for w, _ in rows for x in w.split(b" "))
     rarity = {bytes(r.word): r.n for r in occurrences(docs, vocabulary, text).toLocalIterator()} if rows else {}
-    lookup = docs.sparkSession.sparkContext.broadcast(Lookup(rows, rarity))
+    return docs.sparkSession.sparkContext.broadcast(Lookup(rows, rarity))
+
+
+def search(docs: DataFrame, cut: DataFrame, describe: Callable, schema: str, key: str, text: str) -> DataFrame:
+    """describe(key, text, words, hits, items) per document, for one block of windows."""
+    lookup = shared_lookup(docs, cut, text)
     names = [x.split(" ")[0] for x in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}[x.split(" ")[1]] for x in schema.split(", ")]
 
@@ -154,6 +161,25 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return both.mapInArrow(joined, schema).withColumnRenamed("key", key)
 
 
+def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without any hit, with their columns; each block of windows looks at what the blocks before left."""
+    cut = materialize(windows(items, width, item_key, item_text).groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
+    blocks = max(1, -(-cut.count() // block))
+    for k in range(blocks):
+        lookup = shared_lookup(docs, cut.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k), text)
+
+        def keep(batches: Iterator[pa.RecordBatch], lookup=lookup) -> Iterator[pa.RecordBatch]:
+            of = lookup.value
+            for b in batches:
+                at = [i for i, t in enumerate(b.column(1).to_pylist()) if not of.hits(words(t))[0]]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64()))], ["row"])
+
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        docs = docs.select(row.alias("row"), utf8(text).alias("text")).mapInArrow(keep, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+        docs = materialize(docs, "clean") if k + 1 < blocks else docs
+    return docs
+
+
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

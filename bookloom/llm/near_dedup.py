@@ -3,17 +3,17 @@
 Every text becomes its set of word shingles and a signature of SIGNATURE minwise tokens. Exact copies
 (equal sets) are one vertex from the start. In each of several independent trees a vertex goes down
 the path of its minwise tokens at chosen coordinates; vertices that share a path share a node. Nodes
-are compared within: all members with the node's leader (its smallest key), and in nodes of at most
-SMALL members all that are not yet connected. Larger nodes whose members are not all connected branch
-again, at coordinates chosen by the node, until none is left. The number of trees follows from the
-recall that is asked for a pair at the threshold: each tree finds it with threshold ** DEPTH.
+of at most LARGE members are compared exhaustively; larger ones branch again, at coordinates chosen by
+the node, until they are small. The number of trees follows from the recall that is asked for a pair
+at the threshold: each tree finds it with probability threshold ** DEPTH.
 
-Candidates pass a filter on their signatures that a true pair fails with a probability under 1e-8,
-and then every link is confirmed on the full sets. Links already implied by others are not sought:
-the result is components, and no pairs inside a group of copies are listed.
+Nodes of at most SMALL members are compared by signatures, and pairs that pass (a true pair fails with
+a probability under 1e-8) are confirmed on the full sets. In nodes above that, members that are not yet
+connected with the rest meet all others in blocks of BLOCK by BLOCK full sets; a block returns what
+connects its members and never its pairs, and the blocks of one node are dealt to different tasks.
 
 Scale: tables of (node, vertex) are shuffled, never texts, except for texts of vertices that have a
-candidate; nodes of any size are met by grouped minima and joins on their leader, never as one group.
+candidate. No task holds more than two blocks of a node.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and link with
 nothing; a text of fewer words than a shingle is one shingle; rows that share a key are one document;
@@ -37,7 +37,7 @@ from bookloom.llm.components import components
 
 SIGNATURE = 64
 DEPTH = 3
-SMALL = 24
+SMALL, LARGE, BLOCK = 24, 4096, 256
 RECALL = 0.99999
 #: Keys whose texts are needed are broadcast up to so many (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -77,7 +77,7 @@ def as_array(sig: pa.Array) -> np.ndarray:
 
 
 def roots(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, v): the nodes at DEPTH in which each vertex stands, one per tree."""
+    """(node, v, tree): the nodes at DEPTH in which each vertex stands, one per tree."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,37 +87,65 @@ def roots(classes: DataFrame, trees: int) -> DataFrame:
                     node = np.full(len(sig), t + 1, np.uint64)
                     for d in range(DEPTH):
                         node = mix(node * np.uint64(31) + sig[:, (DEPTH * t + d) % SIGNATURE] + np.uint64(d))
-                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(0)], ["node", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(0), pa.array([t] * len(sig), pa.int32())], ["node", "v", "tree"])
 
-    return classes.select("v", "sig").mapInArrow(grow, "node long, v long")
+    return classes.select("v", "sig").mapInArrow(grow, "node long, v long, tree int")
 
 
 def branches(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, v): the children of large nodes, on average 1 / threshold for each member; a node chooses the coordinates for all its members."""
+    """(node, v, tree): the children of large nodes, on average 1 / threshold for each member; a node chooses the coordinates for all its members."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            node, sig = b.column(0).to_numpy().view(np.uint64), as_array(b.column(2)).astype(np.uint64)
+            node, sig = b.column(0).to_numpy().view(np.uint64), as_array(b.column(3)).astype(np.uint64)
             draw = mix(node ^ np.uint64(0xDA3E39CB94B95BDB))
             twice = (draw >> np.uint64(11)).astype(float) / float(1 << 53) < 1 / threshold - 1
             first = draw % np.uint64(SIGNATURE)
             second = (first + np.uint64(1) + (draw >> np.uint64(8)) % np.uint64(SIGNATURE - 1)) % np.uint64(SIGNATURE)
             for c, rows in ((first, np.arange(len(node))), (second, np.flatnonzero(twice))):
                 child = mix(node[rows] * np.uint64(31) + sig[rows, c[rows].astype(np.int64)] + c[rows])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(pa.array(rows))], ["node", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows))], ["node", "v", "tree"])
 
-    return members.select("node", "v", "sig").mapInArrow(grow, "node long, v long")
+    return members.select("node", "v", "tree", "sig").mapInArrow(grow, "node long, v long, tree int").distinct()
 
 
 def shared_nodes(rows: DataFrame, tag: str) -> DataFrame:
-    """(node, v, size, leader) of the nodes with at least two members."""
-    rows = rows.distinct() if tag == "branches" else rows
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("leader")).where("size > 1")
+    """(node, v, ..., size) of the nodes with at least two members."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return materialize(rows.join(sizes, "node"), tag)
 
 
+def connected(sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """For each member of a block: the first one that it is connected with by links inside the block."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    tokens, of = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    column, of = rank[column[times[column] > 1]], of[times[column] > 1]
+    order = np.argsort(column, kind="stable")
+    column, of = column[order], of[order]
+    both = np.zeros((m, m), np.float32)
+    width = 4096
+    for first in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        part = slice(*np.searchsorted(column, [first, first + width]))
+        seen = np.zeros((m, width), np.float32)
+        seen[of[part], column[part] - first] = 1
+        both += seen @ seen.T
+    both = np.rint(both).astype(np.int64)
+    link = (both > 0) & (100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both))
+    np.fill_diagonal(link, True)
+    label = np.arange(m)
+    while True:
+        near = np.where(link, label[None, :], m).min(axis=1)
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
 class Join:
     """What the rounds of one join share: vertices, texts, and the links found so far."""
 
@@ -127,89 +155,96 @@ class Join:
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def alike(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sizes and signatures allow a link."""
-        own = self.classes.select("v", "n", "sig")
-        near = pairs.join(own.toDF("a", "n_a", "sig_a"), "a").join(own.toDF("b", "n_b", "sig_b"), "b")
-        near = near.where((F.least("n_a", "n_b") >= self.threshold * 0.999 * F.greatest("n_a", "n_b")))
-        least = self.least
+    def add(self, links: DataFrame) -> None:
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.labels = components(self.links)
 
-        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    same = (as_array(b.column(2)) == as_array(b.column(3))).sum(axis=1) >= least
-                    at = pa.array(np.flatnonzero(same))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(v, set): the full sets of the vertices in needed (v)."""
+        k = self.k
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text"):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(*raw(b.column(1)), k)], pa.binary())], ["v", "set"])
 
-        return near.select("a", "b", "sig_a", "sig_b").mapInArrow(agree, "a long, b long").distinct()
+        texts = self.docs.join(sized(needed), "v")
+        return materialize(texts.mapInArrow(cut, "v long, set binary").where(F.length("set") > 0), "sets")
 
-    def confirm(self, pairs: DataFrame) -> int:
-        """Adds the pairs that are links on their full sets; returns how many there were to look at."""
+    def confirm(self, pairs: DataFrame) -> None:
+        """Adds the pairs (a, b) that are links on their full sets."""
         pairs = materialize(pairs, "pairs")
-        total = pairs.count()
-        if not total:
-            return 0
-        needed = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-        few = 2 * total <= BROADCAST_KEYS
-        texts = self.docs.join(F.broadcast(needed) if few else needed.hint("shuffle_hash"), "v")
-        texts = materialize(texts, "texts")
-        k, threshold = self.k, round(self.threshold * 100)
+        sets = self.sets(materialize(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "needed"))
+        threshold = round(self.threshold * 100)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, of = None, np.empty(0, np.uint64)
-            for b in slices(batches, "text_b"):
-                other = sets_of(*raw(b.column(3)), k)
-                keys, texts_a, kept = b.column(0).to_pylist(), b.column(2), []
-                for i, x in enumerate(other):
-                    now = texts_a[i].as_buffer()
-                    if last is None or last != (keys[i], now.size) or not now.equals(before):
-                        of = sets_of(np.frombuffer(now, np.uint8), np.array([0, now.size]), k)[0]
-                        last, before = (keys[i], now.size), now
-                    both = len(np.intersect1d(of, x, assume_unique=True))
-                    if both and 100 * both >= threshold * (len(of) + len(x) - both):
+            for b in slices(batches, "set_b"):
+                kept = []
+                for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                    n = (len(x) + len(y)) // 8
+                    both = n - len(np.unique(np.frombuffer(x + y, np.uint64)))
+                    if both and 100 * both >= threshold * (n - both):
                         kept.append(i)
                 at = pa.array(kept, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
-        rows = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        found = materialize(rows.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long").distinct(), "links")
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.labels = materialize(components(self.links), "labels")
-        return total
+        rows = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+        self.add(materialize(rows.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links"))
 
-    def labelled(self, rows: DataFrame, v: str, label: str) -> DataFrame:
-        """rows with the component of column v as far as it is known."""
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows with v's component as far as it is known."""
         if self.labels is None:
-            return rows.withColumn(label, F.col(v))
-        known = self.labels.select(F.col("node").alias("of"), F.col("component").alias(label))
-        return rows.join(known, F.col(v) == F.col("of"), "left").drop("of").withColumn(label, F.coalesce(label, v))
-
-    def open_nodes(self, members: DataFrame) -> DataFrame:
-        """(node, v, size, leader, label, apart) of nodes that hold more than one component; apart: how many members are not in the leader's."""
-        rows = self.labelled(self.labelled(members, "v", "label"), "leader", "home")
-        apart = rows.groupBy("node").agg(F.sum(F.when(F.col("label") != F.col("home"), 1).otherwise(0)).alias("apart")).where("apart > 0")
-        return materialize(rows.join(apart, "node"), "open")
+            return rows.withColumn("label", F.col("v"))
+        known = self.labels.select(F.col("node").alias("of"), F.col("component").alias("label"))
+        return rows.join(known, F.col("v") == F.col("of"), "left").drop("of").withColumn("label", F.coalesce("label", "v"))
 
     def within(self, rows: DataFrame) -> DataFrame:
-        """The pairs of different components in small nodes whose signatures allow a link, once each."""
-        nodes = rows.join(self.classes.select("v", "n", "sig"), "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("v", "label", "n", "sig"))).alias("m"))
+        """The pairs (a, b) in small nodes whose sizes and signatures allow a link, once each."""
+        nodes = rows.join(self.classes.select("v", "n", "sig"), "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("v", "n", "sig"))).alias("m"))
         least, threshold = self.least, self.threshold
 
         def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 a_out, b_out = [], []
                 for m in b.column(0).to_pylist():
-                    v, label, n = (np.array([x[c] for x in m]) for c in ("v", "label", "n"))
+                    v, n = (np.array([x[c] for x in m]) for c in ("v", "n"))
                     sig = np.frombuffer(b"".join([x["sig"] for x in m]), np.uint32).reshape(len(m), -1)
                     i, j = np.triu_indices(len(m), 1)
-                    ok = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= threshold * 0.999 * np.maximum(n[i], n[j]))
+                    ok = (v[i] != v[j]) & (np.minimum(n[i], n[j]) >= threshold * 0.999 * np.maximum(n[i], n[j]))
                     i, j = i[ok], j[ok]
                     ok = (sig[i] == sig[j]).sum(axis=1) >= least
                     a_out += v[i[ok]].tolist()
                     b_out += v[j[ok]].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-        return nodes.select("m").mapInArrow(pair, "a long, b long").where("a <> b").distinct()
+        return nodes.select("m").mapInArrow(pair, "a long, b long").distinct()
+
+    def blocks(self, members: DataFrame) -> None:
+        """Adds what connects the members of nodes above SMALL: members outside a node's most frequent component against all."""
+        rows = self.labelled(members)
+        home = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        rows = rows.join(home.select("node", F.col("top.label").alias("home")), "node").withColumn("apart", (F.col("label") != F.col("home")).cast("int"))
+        # Blocks are cut by hash, in as many parts as give about BLOCK members each.
+        parts = rows.groupBy("node").agg(F.ceil(F.sum("apart") / BLOCK).alias("own"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"))
+        rows = materialize(rows.join(parts, "node"), "blocks")
+        if not rows.limit(1).count():
+            return
+        sets = self.sets(materialize(rows.select("v").distinct(), "needed"))
+        spread = lambda n: F.pmod(F.xxhash64("v"), F.col(n))
+        left = rows.where("apart = 1").select("node", "v", F.lit(0).alias("side"), spread("own").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"))
+        right = rows.select("node", "v", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), spread("all").alias("j"))
+        dealt = left.unionByName(right).select(F.xxhash64("node", "i", "j").alias("block"), "side", "v").join(sets, "v")
+        threshold = round(self.threshold * 100)
+
+        def compare(t: pa.Table) -> pa.Table:
+            v = t.column("v").to_numpy()
+            _, first = np.unique(v, return_index=True)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("set").take(pa.array(first)).to_pylist()]
+            v = v[first]
+            to = v[connected(sets, threshold)]
+            found = to != v
+            return pa.table({"a": to[found], "b": v[found]})
+
+        self.add(materialize(dealt.groupBy("block").applyInArrow(compare, "a long, b long"), "links"))
 
 
 def linked(docs: DataFrame, k: int, threshold: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -220,18 +255,16 @@ def linked(docs: DataFrame, k: int, threshold: float, key: str, text: str) -> tu
     join = Join(docs, classes, k, threshold, key, text)
     members = shared_nodes(roots(classes, trees), "roots")
     while True:
-        join.confirm(join.alike(members.where("v <> leader").select(F.col("leader").alias("a"), F.col("v").alias("b")).distinct()))
-        left = join.open_nodes(members)
-        join.confirm(join.within(left.where(F.col("size") <= SMALL)))
-        large = join.open_nodes(left.where(F.col("size") > SMALL).select("node", "v", "size", "leader"))
-        # Few members apart: each of them against all of the node.
-        few = large.where(F.col("apart") <= SMALL)
-        outside = few.where("label <> home").select("node", F.col("v").alias("a"), F.col("label").alias("label_a"))
-        join.confirm(join.alike(few.join(outside, "node").where("label <> label_a").select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()))
-        large = large.where(F.col("apart") > SMALL).select("node", "v").join(classes.select("v", "sig"), "v")
+        join.confirm(join.within(members.where(F.col("size") <= SMALL)))
+        middle = members.where((F.col("size") > SMALL) & (F.col("size") <= LARGE)).select("node", "v", "tree")
+        # What the first trees connect, the others need not compare again.
+        join.blocks(middle.where("tree = 0"))
+        join.blocks(middle.where("tree BETWEEN 1 AND 3"))
+        join.blocks(middle.where("tree > 3"))
+        large = members.where(F.col("size") > LARGE).join(classes.select("v", "sig"), "v")
+        if not large.limit(1).count():
+            return rows, join.labelled(classes.select("n", "h1", "h2", "v")).withColumnRenamed("label", "component")
         members = shared_nodes(branches(large, threshold), "branches")
-        if not members.limit(1).count():
-            return rows, join.labelled(classes.select("n", "h1", "h2", "v"), "v", "component")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,5 +276,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: st
     return got.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 
+def distinct_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose key is its component's own, one row per key (rows with null keys all stay), with their columns."""
+    found = materialize(near_duplicates(docs, k, threshold, key, text).select(F.col(key).alias("gone"), "kept"), "kept")
+    # Rows that go, and keys that stand in several rows; either may be few or many.
+    gone = materialize(found.where("NOT kept").select("gone").distinct(), "gone")
+    again = materialize(found.where("kept AND gone IS NOT NULL").groupBy("gone").count().where("count > 1").select("gone"), "again")
+    left = docs.join(sized(gone), F.col(key) == F.col("gone"), "left_anti")
+    if not again.limit(1).count():
+        return left
+    same = sized(again)
+    return left.join(same, F.col(key) == F.col("gone"), "left_anti").unionByName(left.join(same, F.col(key) == F.col("gone"), "left_semi").dropDuplicates([key]))
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """keys for broadcast if they are few, else for a join by shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys.hint("shuffle_hash")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 0.85).withColumnRenamed("component", "component_id")
