@@ -1,6 +1,469 @@
-"""The registered queries of the order-book engine and their SQL."""
+"""The registered queries of the order-book engine and, where there is one, the SQL that gives the same rows.
+
+Queries run on the book derived from `events` (see sources.derived) and on `orders` and `lineitem`.
+Doubles are rounded to 6 decimals on both sides, as sums are made in different orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bookloom.config import Engine, Execution
+from bookloom.functions import scalar
+from bookloom.operators import book, execution, reports, scoring, windows
+from bookloom.plans import engine
+from bookloom.sources import scenarios, wire
+from bookloom.sources.derived import BOOK_SQL, derived_book
+
+CFG = Engine()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+SEQ_SQL = f"""{BOOK_SQL.strip()},
+f AS (SELECT *, bid / 100.0::DOUBLE AS bp, ask / 100.0::DOUBLE AS ap, (bid / 100.0::DOUBLE + ask / 100.0::DOUBLE) / 2 AS mid, (ask - bid) / 100.0::DOUBLE AS spread, (ask / 100.0::DOUBLE - bid / 100.0::DOUBLE) / 0.05::DOUBLE AS spread_ticks FROM book WHERE ask > bid),
+g0 AS (SELECT *, row_number() OVER t AS idx, lag(ts) OVER t AS p_ts, lag(volume) OVER t AS p_volume, coalesce(ts - lag(ts) OVER t > 3000, false) AS raw_gap FROM f WINDOW t AS (PARTITION BY token ORDER BY seq)),
+g1 AS (SELECT *, sum(CASE WHEN raw_gap THEN 0 ELSE 1 END) OVER (PARTITION BY token ORDER BY seq) AS calm FROM g0),
+g2 AS (SELECT *, raw_gap AND (sum(CAST(raw_gap AS INT)) OVER (PARTITION BY token, calm ORDER BY seq)) % 2 = 1 AS gap FROM g1),
+g3 AS (SELECT *, CAST(sum(CAST(gap AS INT)) OVER t AS BIGINT) AS segment, p_ts IS NULL OR gap OR coalesce(lag(gap) OVER t, false) AS is_first FROM g2 WINDOW t AS (PARTITION BY token ORDER BY seq)),
+s AS (SELECT *, row_number() OVER w AS rn, CASE WHEN is_first THEN 0.0::DOUBLE ELSE CAST(ts - p_ts AS DOUBLE) END AS dt_ms, CASE WHEN is_first THEN 0 ELSE volume - p_volume END AS delta_volume, mid / 0.05::DOUBLE AS mid_ticks,
+        lag(bid) OVER w AS p_bid, lag(ask) OVER w AS p_ask, lag(bq[1]) OVER w AS p_bq, lag(aq[1]) OVER w AS p_aq, lag(mid) OVER w AS p_mid
+      FROM g3 WINDOW w AS (PARTITION BY token, segment ORDER BY seq))"""
+_OBI = "(({b}) - ({a})) / (({b}) + ({a}))"
+_MASS = "list_sum(list_transform(range({i}, {j}), lambda i: {q}[i] * exp(-abs(({p}) / 100.0::DOUBLE - mid) / 0.05::DOUBLE / 2.5::DOUBLE)))"
+
+
+def _mass(side: str, i: int, j: int) -> str:
+    return _MASS.format(i=i, j=j, q=f"{side[0]}q", p="bid - 5 * (i - 1)" if side == "bid" else "ask + 5 * (i - 1)")
+
+
+OBI_SQL = _OBI.format(b=_mass("bid", 1, 3), a=_mass("ask", 1, 3))
+TILT_SQL = "((bp * aq[1] + ap * bq[1]) / (bq[1] + aq[1]) - mid)"
+#: Averages that forget with time, by recursion over each segment.
+EMA_SQL = (
+    SEQ_SQL
+    + f""",
+x AS (SELECT token, segment, rn, seq, dt_ms, spread_ticks, mid_ticks, greatest(-1, least(1, {TILT_SQL} / (spread / 2))) AS tilt, {OBI_SQL} AS obi, ltp, mid, spread FROM s),
+r AS (SELECT token, segment, rn, seq, dt_ms, spread_ticks AS sf, spread_ticks AS ss, mid_ticks AS tf, mid_ticks AS ts_, tilt AS mi, obi AS mf, obi AS ms, ltp AS lt, NULL::DOUBLE AS lt_before FROM x WHERE rn = 1
+      UNION ALL
+      SELECT x.token, x.segment, x.rn, x.seq, x.dt_ms, """
+    + ", ".join(
+        f"r.{v} + (1 - exp(-ln(2) * least(greatest(x.dt_ms, 0), 5000) / {h}::DOUBLE)) * (x.{c} - r.{v})"
+        for v, c, h in (("sf", "spread_ticks", 500), ("ss", "spread_ticks", 4000), ("tf", "mid_ticks", 1500), ("ts_", "mid_ticks", 8000), ("mi", "tilt", 200), ("mf", "obi", 600), ("ms", "obi", 3000), ("lt", "ltp", 1200))
+    )
+    + """, r.lt FROM r JOIN x ON x.token = r.token AND x.segment = r.segment AND x.rn = r.rn + 1)"""
+)
+
+
+
+
+def register(name: str, sql: str | None = None, ctes: str = SEQ_SQL):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = (f"WITH RECURSIVE {ctes} " if ctes is EMA_SQL else f"WITH {ctes} " if ctes else "") + sql
+        return f
+
+    return keep
+
+
+def r6(x) -> Column:
+    return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
+
+
+def q6(x: str, name: str) -> str:
+    return f"round(CAST({x} AS DOUBLE), 6) + 0.0::DOUBLE AS {name}"
+
+
+def local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.local_features(book.structural(derived_book(spark, sf_dir), CFG), CFG)
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.clean_sequence(local(spark, sf_dir), CFG)
+
+
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.shared_statistics(clean(spark, sf_dir), CFG)
+
+
+KEYS = ["token", "seq"]
+
+
+@register("derived_book", "SELECT token, seq, ts AS exchange_timestamp_ms, bid, ask, volume, bq[1] AS bid_qty, aq[5] AS ask_qty5, total_buy FROM book", BOOK_SQL)
+def q_book(spark, sf):
+    b = derived_book(spark, sf)
+    return b.select(*KEYS, "exchange_timestamp_ms", F.get("bids", 0)["price_paise"].alias("bid"), F.get("asks", 0)["price_paise"].alias("ask"), F.col("volume_traded_today").alias("volume"), F.get("bids", 0)["quantity"].alias("bid_qty"), F.get("asks", 4)["quantity"].alias("ask_qty5"), F.col("total_buy_quantity").alias("total_buy"))
+
+
+@register("structural_rejects", "SELECT token, seq, CASE WHEN ask < bid THEN 'CROSSED_BOOK' WHEN ask = bid THEN 'LOCKED_BOOK' END AS reject_reason FROM book", BOOK_SQL)
+def q_structural(spark, sf):
+    return book.structural(derived_book(spark, sf), CFG).select(*KEYS, F.col("structural_reason").alias("reject_reason"))
+
+
+@register("reject_histogram", "SELECT token, 'CROSSED_BOOK' AS reject_reason, count(*) AS n FROM book WHERE ask < bid GROUP BY token", BOOK_SQL)
+def q_histogram(spark, sf):
+    return reports.reject_histogram(engine.sequence(derived_book(spark, sf), CFG))
+
+
+@register("segment_ids", "SELECT token, seq, idx, gap, segment, is_first, rn AS row_in_segment, dt_ms, CAST(delta_volume AS BIGINT) AS delta_volume FROM s")
+def q_segments(spark, sf):
+    df = engine.sequence(derived_book(spark, sf), CFG).where("reject_reason IS NULL")
+    return df.select(*KEYS, "idx", "gap", "segment", "is_first", F.col("row").alias("row_in_segment"), "dt_ms", "delta_volume")
+
+
+@register("clean_sequence", "SELECT token, seq, idx, gap, segment, is_first, rn AS row_in_segment, dt_ms, CAST(delta_volume AS BIGINT) AS delta_volume FROM s")
+def q_clean(spark, sf):
+    return clean(spark, sf).select(*KEYS, "idx", "gap", "segment", "is_first", F.col("row").alias("row_in_segment"), "dt_ms", "delta_volume")
+
+
+@register("duplicate_filter", "SELECT * FROM (SELECT user_id AS k, event_id AS seq, event_type AS x, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR x <> before", "")
+def q_duplicates(spark, sf):
+    d = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), F.col("event_type").alias("x"))
+    return reports.without_repeats(d, "k", "seq", ["x"])
+
+
+@register("mid_spread", f"SELECT token, seq, {q6('mid', 'mid')}, {q6('spread', 'spread')}, {q6('spread_ticks', 'spread_ticks')} FROM f")
+def q_mid(spark, sf):
+    return book.structural(derived_book(spark, sf), CFG).where("structural_reason IS NULL").select(*KEYS, r6("mid").alias("mid"), r6("spread").alias("spread"), r6("spread_ticks").alias("spread_ticks"))
+
+
+@register("depth_sum_topk_levels", "SELECT token, seq, CAST(list_sum(bq[1:2]) AS BIGINT) AS bid2, CAST(list_sum(aq[1:4]) AS BIGINT) AS ask4, 5 AS usable FROM book", BOOK_SQL)
+def q_depth(spark, sf):
+    return derived_book(spark, sf).select(*KEYS, book.depth("bids", 2).alias("bid2"), book.depth("asks", 4).alias("ask4"), book.usable_levels("bids", 1).alias("usable"))
+
+
+@register("level_at_prev_best", "SELECT token, seq, CASE WHEN p_bid IS NOT NULL AND p_bid <= bid AND (bid - p_bid) // 5 < 5 THEN bq[1 + (bid - p_bid) // 5] END AS quantity FROM s")
+def q_level(spark, sf):
+    return clean(spark, sf).select(*KEYS, book.level_at("bids", F.col("prev_bid")["price_paise"])["quantity"].alias("quantity"))
+
+
+_WALK = "SELECT *, least(aq[1], 1500) AS t1, least(aq[2], greatest(0, 1500 - aq[1])) AS t2, least(aq[3], greatest(0, 1500 - aq[1] - aq[2])) AS t3, least(aq[4], greatest(0, 1500 - aq[1] - aq[2] - aq[3])) AS t4, least(aq[5], greatest(0, 1500 - aq[1] - aq[2] - aq[3] - aq[4])) AS t5 FROM book"
+
+
+@register("vwap_depth_walk", f"SELECT token, seq, {q6('(t1 * ask + t2 * (ask + 5) + t3 * (ask + 10) + t4 * (ask + 15) + t5 * (ask + 20)) / 100.0::DOUBLE / (t1 + t2 + t3 + t4 + t5)', 'price')}, CAST(t1 + t2 + t3 + t4 + t5 AS BIGINT) AS filled, CAST((t1 > 0)::INT + (t2 > 0)::INT + (t3 > 0)::INT + (t4 > 0)::INT + (t5 > 0)::INT AS INTEGER) AS levels FROM ({_WALK})", BOOK_SQL)
+def q_walk(spark, sf):
+    walked = derived_book(spark, sf).withColumn("w", book.depth_walk("asks", 1500))
+    return walked.select(*KEYS, r6("w.price").alias("price"), "w.filled", "w.levels")
+
+
+@register("tick_rounding", "SELECT o_orderkey, round_even(round_even(o_totalprice / 0.05::DOUBLE, 0) * 0.05::DOUBLE, 6) AS on_grid, abs(o_totalprice / 0.05::DOUBLE - round_even(o_totalprice / 0.05::DOUBLE, 0)) <= 1e-6 AS aligned FROM orders", "")
+def q_ticks(spark, sf):
+    return spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", scalar.round_to_tick("o_totalprice", 0.05).alias("on_grid"), scalar.is_tick_aligned("o_totalprice", 0.05).alias("aligned"))
+
+
+_N = "OVER (PARTITION BY token, segment ORDER BY seq ROWS BETWEEN {a} PRECEDING AND {b})"
+
+
+def over(size: int, past: bool = False) -> str:
+    return _N.format(a=size if past else size - 1, b="1 PRECEDING" if past else "CURRENT ROW")
+
+
+@register("rolling_mean", f"SELECT token, seq, {q6(f'avg(spread_ticks) {over(20)}', 'mean')}, count(spread_ticks) {over(20)} >= 8 AS ready FROM s")
+def q_mean(spark, sf):
+    return clean(spark, sf).select(*KEYS, r6(windows.rolling_mean("spread_ticks", 20)).alias("mean"), (windows.samples("spread_ticks", 20) >= 8).alias("ready"))
+
+
+@register("rolling_var", f"SELECT token, seq, {q6(f'coalesce(var_samp(spread_ticks) {over(20)}, 0)', 'variance')} FROM s")
+def q_var(spark, sf):
+    return clean(spark, sf).select(*KEYS, r6(windows.rolling_variance("spread_ticks", 20)).alias("variance"))
+
+
+@register("rolling_minmax_range_position", f"SELECT token, seq, {q6('hi - lo', 'range')}, {q6('CASE WHEN hi > lo THEN (mid_ticks - lo) / (hi - lo) ELSE 0.5 END', 'position')} FROM (SELECT token, seq, mid_ticks, max(mid_ticks) {over(60)} AS hi, min(mid_ticks) {over(60)} AS lo FROM s)")
+def q_minmax(spark, sf):
+    df = clean(spark, sf).withColumn("mid_ticks", F.col("mid") / CFG.tick_size)
+    span = F.max("mid_ticks").over(windows.frame(60)) - F.min("mid_ticks").over(windows.frame(60))
+    return df.select(*KEYS, r6(span).alias("range"), r6(windows.position_of("mid_ticks", 60)).alias("position"))
+
+
+@register("ring_age_lag", f"SELECT token, seq, CAST(lag(volume, 3) OVER w AS BIGINT) AS age3, CAST(lag(volume, 40) OVER w AS BIGINT) AS evicted, CAST(first_value(volume) {over(40)} AS BIGINT) AS oldest, {q6(f'count(volume) {over(40)} / 40.0', 'fill')} FROM s WINDOW w AS (PARTITION BY token, segment ORDER BY seq)")
+def q_ring(spark, sf):
+    v = "volume_traded_today"
+    return clean(spark, sf).select(*KEYS, windows.age(v, 3).alias("age3"), windows.evicted(v, 40).alias("evicted"), F.first(v).over(windows.frame(40)).alias("oldest"), r6(windows.fill_ratio(v, 40)).alias("fill"))
+
+
+@register("welford_session", f"SELECT token, segment, count(*) AS n, {q6('avg(mid)', 'mean')}, {q6('coalesce(stddev_samp(mid), 0)', 'sd')} FROM s GROUP BY token, segment")
+def q_welford(spark, sf):
+    return clean(spark, sf).groupBy("token", "segment").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("mid")).alias("mean"), r6(F.coalesce(F.stddev_samp("mid"), F.lit(0.0))).alias("sd"))
+
+
+_MOVE = "SELECT *, CASE WHEN NOT is_first AND rn > 1 THEN mid_ticks - lag(mid_ticks) OVER (PARTITION BY token, segment ORDER BY seq) END AS mv FROM s"
+
+
+@register("mid_volatility", f"SELECT token, seq, {q6(f'sqrt(coalesce(var_samp(mv) {over(240)}, 0))', 'volatility')}, count(mv) {over(240)} >= 8 AS ready FROM ({_MOVE})")
+def q_volatility(spark, sf):
+    return stats(spark, sf).select(*KEYS, r6("mid_volatility").alias("volatility"), F.col("mid_ready").alias("ready"))
+
+
+_STILL = "SELECT *, CASE WHEN NOT is_first THEN CASE WHEN abs(bid - coalesce(p_bid, 0)) <= 5 AND abs(ask - coalesce(p_ask, 0)) <= 5 THEN 1.0 ELSE 0.0 END END AS still FROM s"
+
+
+@register("touch_stability", f"SELECT token, seq, {q6(f'CASE WHEN count(still) {over(60)} >= 4 THEN avg(still) {over(60)} ELSE 0.5 END', 'stability')} FROM ({_STILL})")
+def q_stability(spark, sf):
+    return stats(spark, sf).select(*KEYS, r6("touch_stability").alias("stability"))
+
+
+@register("relative_depth_geomean", f"SELECT token, seq, {q6(f'CASE WHEN count(d) {over(240)} >= 8 THEN d / (exp(avg(ln(1 + d)) {over(240)}) - 1) ELSE 1 END', 'relative_depth')} FROM (SELECT *, CAST(bq[1] + bq[2] + aq[1] + aq[2] AS DOUBLE) AS d FROM s)")
+def q_relative(spark, sf):
+    return stats(spark, sf).select(*KEYS, r6("relative_depth").alias("relative_depth"))
+
+
+@register("efficiency_ratio", f"SELECT token, seq, {q6('CASE WHEN n >= 3 AND m >= 2 AND path > 0 THEN least(1, abs(mid_ticks - first) / path) ELSE 0 END', 'ratio')} FROM (SELECT *, count(mid_ticks) {over(90)} AS n, count(mv) {over(90)} AS m, sum(abs(mv)) {over(90)} AS path, first_value(mid_ticks) {over(90)} AS first FROM ({_MOVE}))")
+def q_efficiency(spark, sf):
+    return stats(spark, sf).select(*KEYS, r6("efficiency_ratio").alias("ratio"))
+
+
+@register("feat_spread", f"SELECT token, seq, {q6('spread_ticks', 'raw')}, {q6('greatest(0, least(1, (6 - spread_ticks) / 5))', 'value')} FROM s")
+def q_spread(spark, sf):
+    return clean(spark, sf).select(*KEYS, r6("spread_ticks").alias("raw"), r6("spread_value").alias("value"))
+
+
+@register("microprice_identity", f"SELECT token, seq, abs({TILT_SQL} / (spread / 2) - (bq[1] - aq[1]) / CAST(bq[1] + aq[1] AS DOUBLE)) < 1e-9 AS same, {q6('(bq[1] - aq[1]) / CAST(bq[1] + aq[1] AS DOUBLE)', 'touch_imbalance')} FROM s")
+def q_identity(spark, sf):
+    df = book.microprice_identity(clean(spark, sf))
+    return df.select(*KEYS, (F.abs(F.col("tilt_value") - F.col("touch_imbalance")) < 1e-9).alias("same"), r6("touch_imbalance").alias("touch_imbalance"))
+
+
+_DEEP = _OBI.format(b=_mass("bid", 3, 6), a=_mass("ask", 3, 6))
+
+
+@register("feat_weighted_obi", f"SELECT token, seq, {q6('obi', 'value')}, {q6('(1 - 0.35 * (1 - deep * sg) / 2) * (CASE WHEN greatest(total_buy, total_sell) <= 12 * least(total_buy, total_sell) THEN 1 - 0.2 * (1 - (total_buy - total_sell) / (total_buy + total_sell) * sg) / 2 ELSE 1 END)', 'local_confidence')} FROM (SELECT *, CASE WHEN obi < 0 THEN -1 ELSE 1 END AS sg FROM (SELECT *, {OBI_SQL} AS obi, {_DEEP} AS deep FROM s))")
+def q_obi(spark, sf):
+    return clean(spark, sf).select(*KEYS, r6("obi").alias("value"), r6("obi_local").alias("local_confidence"))
+
+
+_OLS = "(5 * list_sum(list_transform(range(1, 6), lambda i: (i - 1) * ln({q}[i] + 1.0::DOUBLE))) - 10 * list_sum(list_transform(range(1, 6), lambda i: ln({q}[i] + 1.0::DOUBLE)))) / 50.0"
+
+
+@register("feat_depth_slope_ols", f"SELECT token, seq, {q6('slope', 'raw')}, {q6('tanh(slope / 0.9)', 'value')}, {q6('1 - 0.4 * (1 - tanh(deep / 0.9) * sign(slope)) / 2', 'local_confidence')} FROM (SELECT *, ln((bq[2] + 1.0::DOUBLE) / (bq[1] + 1)) - ln((aq[2] + 1.0::DOUBLE) / (aq[1] + 1)) AS slope, {_OLS.format(q='bq')} - {_OLS.format(q='aq')} AS deep FROM s)")
+def q_slope(spark, sf):
+    return clean(spark, sf).select(*KEYS, r6("slope").alias("raw"), r6("slope_value").alias("value"), r6("slope_local").alias("local_confidence"))
+
+
+_KEPT = "CASE WHEN p_bid IS NOT NULL THEN CASE WHEN coalesce(CASE WHEN p_bid <= bid AND (bid - p_bid) // 5 < 5 THEN bq[1 + (bid - p_bid) // 5] END, 0) >= p_bq * 0.85::DOUBLE THEN 1.0 ELSE 0.0 END END AS kb, CASE WHEN p_ask IS NOT NULL THEN CASE WHEN coalesce(CASE WHEN p_ask >= ask AND (p_ask - ask) // 5 < 5 THEN aq[1 + (p_ask - ask) // 5] END, 0) >= p_aq * 0.85::DOUBLE THEN 1.0 ELSE 0.0 END END AS ka"
+
+
+@register("feat_queue_persistence", f"SELECT token, seq, CASE WHEN n >= 10 THEN round(CAST(v AS DOUBLE), 6) + 0.0::DOUBLE END AS value FROM (SELECT token, seq, count(kb) {over(40)} AS n, avg(kb) {over(40)} - avg(ka) {over(40)} AS v FROM (SELECT *, {_KEPT} FROM s))")
+def q_persistence(spark, sf):
+    return stats(spark, sf).select(*KEYS, r6("persistence_value").alias("value"))
+
+
+def recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.sequence(derived_book(spark, sf_dir), CFG).where("reject_reason IS NULL")
+
+
+@register("ema_time_aware", f"SELECT token, seq, {q6('greatest(-1, least(1, mi))', 'value')} FROM r", EMA_SQL)
+def q_ema(spark, sf):
+    return recurrent(spark, sf).select(*KEYS, r6("micro").alias("value"))
+
+
+@register("ema_pair_trend", f"SELECT token, seq, CASE WHEN rn >= 4 THEN round(tf - ts_, 6) + 0.0::DOUBLE END AS trend FROM r", EMA_SQL)
+def q_trend(spark, sf):
+    return recurrent(spark, sf).select(*KEYS, r6("trend").alias("trend"))
+
+
+@register("feat_spread_compression", f"SELECT token, seq, CASE WHEN rn >= 4 THEN round(ss - sf, 6) + 0.0::DOUBLE END AS raw, CASE WHEN rn >= 4 THEN round(greatest(0, least(1, 0.5 * (1 + tanh((ss - sf) / 0.5)))), 6) + 0.0::DOUBLE END AS value FROM r", EMA_SQL)
+def q_compression(spark, sf):
+    value = scalar.clamp(0.5 * (1 + F.tanh(F.col("compression") / 0.5)), 0, 1)
+    return recurrent(spark, sf).select(*KEYS, r6("compression").alias("raw"), r6(F.when(F.col("compression").isNotNull(), value)).alias("value"))
+
+
+def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.feature_values(windows.shared_statistics(recurrent(spark, sf_dir), CFG), CFG)
+
+
+@register("feat_momentum", f"SELECT token, seq, {q6('m', 'raw')}, CASE WHEN rn >= 6 THEN round(tanh(m / (greatest(sd, 0.02) * 2)), 6) + 0.0::DOUBLE END AS value FROM (SELECT *, CASE WHEN count(m) {over(120, True)} >= 8 THEN coalesce(stddev_samp(m) {over(120, True)}, 0) ELSE 0 END AS sd FROM (SELECT *, mf - ms AS m FROM r))", EMA_SQL)
+def q_momentum(spark, sf):
+    return featured(spark, sf).select(*KEYS, r6("momentum").alias("raw"), r6("feat_momentum").alias("value"))
+
+
+@register("feat_ltp_confirmation", f"SELECT r.token, r.seq, CASE WHEN r.rn >= 2 THEN round((ltp - lt_before) / 0.05::DOUBLE, 6) + 0.0::DOUBLE END AS raw, CASE WHEN r.rn >= 2 THEN round(greatest(-1, least(1, 0.5 * tanh((ltp - lt_before) / 0.05::DOUBLE / 1.5) + 0.5 * greatest(-1, least(1, (ltp - mid) / (spread * 0.5))))), 6) + 0.0::DOUBLE END AS value FROM r JOIN x ON r.token = x.token AND r.seq = x.seq", EMA_SQL)
+def q_ltp(spark, sf):
+    return featured(spark, sf).select(*KEYS, r6("ltp_drift").alias("raw"), r6("feat_ltp_confirmation").alias("value"))
+
+
+@register("feat_microprice", f"SELECT r.token, r.seq, {q6('greatest(-1, least(1, mi))', 'value')} FROM r JOIN x ON r.token = x.token AND r.seq = x.seq", EMA_SQL)
+def q_microprice(spark, sf):
+    return featured(spark, sf).select(*KEYS, r6("feat_microprice").alias("value"))
+
+
+ACCEL_SQL = (
+    EMA_SQL
+    + """,
+d0 AS (SELECT token, segment, rn, seq, dt_ms, (mf - ms - lag(mf - ms) OVER (PARTITION BY token, segment ORDER BY rn)) / (greatest(dt_ms, 20) / 1000.0::DOUBLE) AS d FROM r WHERE rn >= 6),
+a AS (SELECT token, segment, rn, seq, d AS sm FROM d0 WHERE rn = 7
+      UNION ALL
+      SELECT d0.token, d0.segment, d0.rn, d0.seq, a.sm + (1 - exp(-ln(2) * least(greatest(d0.dt_ms, 0), 5000) / 500.0::DOUBLE)) * (d0.d - a.sm) FROM a JOIN d0 ON d0.token = a.token AND d0.segment = a.segment AND d0.rn = a.rn + 1)"""
+)
+
+
+@register("feat_acceleration", None)
+def q_acceleration(spark, sf):
+    return featured(spark, sf).where("acceleration IS NOT NULL").select(*KEYS, r6("acceleration").alias("raw"), r6("feat_acceleration").alias("value"))
+
+
+ORACLE["feat_acceleration"] = f"WITH RECURSIVE {ACCEL_SQL} SELECT token, seq, {q6('sm', 'raw')}, CASE WHEN rn >= 9 THEN round(tanh(sm / (greatest(CASE WHEN n >= 8 THEN sd ELSE 0 END, 0.05) * 2)), 6) + 0.0::DOUBLE END AS value FROM (SELECT *, count(sm) {over(120, True)} AS n, stddev_samp(sm) {over(120, True)} AS sd FROM a)"
+
+
+@register("feat_refill")
+def q_refill(spark, sf):
+    return featured(spark, sf).select(*KEYS, r6("refill").alias("raw"), r6("feat_refill").alias("value"))
+
+
+@register("symbol_join", "SELECT token, coalesce('NAME' || CASE WHEN token IN ('0', '1', '2') THEN token END, token) AS display, count(*) AS n FROM book GROUP BY ALL", BOOK_SQL)
+def q_join(spark, sf):
+    names = spark.createDataFrame([(str(i), f"NAME{i}") for i in range(3)], "token string, name string")
+    return reports.with_names(derived_book(spark, sf), names).groupBy("token", "display").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("unknown_token_anti", "SELECT token, count(*) AS n FROM book WHERE token NOT IN ('0', '1') GROUP BY token", BOOK_SQL)
+def q_unknown(spark, sf):
+    return reports.unknown_tokens(derived_book(spark, sf), spark.createDataFrame([("0",), ("1",)], "token string"))
+
+
+@register("counters", "SELECT book.token, count(*) FILTER (ask > bid) AS accepted, count(*) FILTER (ask <= bid) AS rejected, any_value(gaps) AS gaps, any_value(gaps) AS resets FROM book JOIN (SELECT token, CAST(sum(CAST(gap AS INT)) AS BIGINT) AS gaps FROM s GROUP BY token) USING (token) GROUP BY book.token")
+def q_counters(spark, sf):
+    return reports.counters(engine.sequence(derived_book(spark, sf), CFG))
+
+
+@register("latest_per_token", "SELECT token, max(seq) AS seq, CAST(arg_max(bid, seq) AS BIGINT) AS bid FROM book GROUP BY token", BOOK_SQL)
+def q_latest(spark, sf):
+    last = reports.latest_per(derived_book(spark, sf), "token", "seq")
+    return last.select("token", "seq", F.get("bids", 0)["price_paise"].alias("bid"))
+
+
+@register("latency_percentiles_nearest_rank", "SELECT event_type, count(*) AS n, max(CASE WHEN k = n // 2 THEN value END) AS p50, max(CASE WHEN k = least(n - 1, CAST(floor(0.9 * n) AS BIGINT)) THEN value END) AS p90, max(CASE WHEN k = least(n - 1, CAST(floor(0.99 * n) AS BIGINT)) THEN value END) AS p99, max(value) AS most FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type", "")
+def q_percentiles(spark, sf):
+    return reports.nearest_rank(spark.read.parquet(f"{sf}/events.parquet"), ["event_type"], "value")
+
+
+@register("book_pressure", f"SELECT token, seq, {q6('obi', 'obi')}, {q6('tilt', 'tilt')}, {q6('spread_ticks', 'spread_ticks')} FROM (SELECT token, seq, spread_ticks, {OBI_SQL} AS obi, {TILT_SQL} AS tilt FROM f) ORDER BY round(abs(obi), 6) DESC, token, seq LIMIT 100")
+def q_pressure(spark, sf):
+    df = local(spark, sf).where("structural_reason IS NULL")
+    top = df.select(*KEYS, r6("obi").alias("obi"), r6("tilt").alias("tilt"), r6("spread_ticks").alias("spread_ticks"), F.round(F.abs("obi"), 6).alias("size"))
+    return top.orderBy(F.desc("size"), *KEYS).limit(100).drop("size")
+
+
+_GRID = "round_even(round_even(({p}) / 0.05::DOUBLE, 0) * 0.05::DOUBLE, 6)"
+
+
+@register("entry_exit_quotes", f"SELECT token, seq, {q6('greatest(' + _GRID.format(p='ap + mid * 3 / 10000') + ', ap)', 'entry_long')}, {q6('least(' + _GRID.format(p='bp - mid * 3 / 10000') + ', bp)', 'entry_short')}, {q6('least(' + _GRID.format(p='bp - mid / 10000') + ', bp)', 'exit_long')} FROM f")
+def q_quotes(spark, sf):
+    df = local(spark, sf).where("structural_reason IS NULL").withColumn("feat_ltp_confirmation", F.lit(None).cast("double"))
+    return scoring.quotes(df, CFG).select(*KEYS, r6("entry_long").alias("entry_long"), r6("entry_short").alias("entry_short"), r6("exit_long").alias("exit_long"))
+
+
+_LEGS = "least({t} * 3e-4::DOUBLE, 20)"
+
+
+@register("round_trip_cost", f"SELECT token, seq, {q6('rupees', 'rupees')}, {q6('rupees * 10000 / ((buy + sell) / 2)', 'bps')} FROM (SELECT *, (br + (buy + sell) * 2.97e-5::DOUBLE + (buy + sell) * 1e-6::DOUBLE) * 1.18::DOUBLE + sell * 2.5e-4::DOUBLE + buy * 3e-5::DOUBLE AS rupees FROM (SELECT *, {_LEGS.format(t='buy')} + {_LEGS.format(t='sell')} AS br FROM (SELECT token, seq, ap * 100 AS buy, bp * 100 AS sell FROM f)))")
+def q_cost(spark, sf):
+    df = book.structural(derived_book(spark, sf), CFG).where("structural_reason IS NULL")
+    cost = execution.round_trip(F.get("asks", 0)["price"], F.get("bids", 0)["price"], F.lit(100), CFG)
+    return df.withColumn("c", cost).select(*KEYS, r6("c.rupees").alias("rupees"), r6("c.bps").alias("bps"))
+
+
+@register("cost_gate", "SELECT token, seq, 12 * 0.05::DOUBLE * 10000 / mid >= (rupees * 10000 / ((buy + sell) / 2) + spread_ticks * 0.05::DOUBLE * 10000 / mid) * 1.5 AS clears FROM (SELECT *, (3e-4::DOUBLE * (buy + sell) + (buy + sell) * 2.97e-5::DOUBLE + (buy + sell) * 1e-6::DOUBLE) * 1.18::DOUBLE + sell * 2.5e-4::DOUBLE + buy * 3e-5::DOUBLE AS rupees FROM (SELECT *, ap * 1 AS buy, bp * 1 AS sell FROM f))")
+def q_gate(spark, sf):
+    return book.structural(derived_book(spark, sf), CFG).where("structural_reason IS NULL").select(*KEYS, execution.clears_cost(CFG).alias("clears"))
+
+
+@register("wire_parse_ladder", "SELECT token, seq, CAST(5 AS INTEGER) AS n_bids, CAST(bid AS BIGINT) AS bid, CAST(bq[5] AS BIGINT) AS quantity5, CAST(ask AS BIGINT) AS ask, volume FROM book", BOOK_SQL)
+def q_wire(spark, sf):
+    parsed = wire.parse(wire.sample_payloads(derived_book(spark, sf)), "payload")
+    return parsed.where("parse_error IS NULL").select("token", F.col("sequence_number").alias("seq"), F.size("bids").alias("n_bids"), F.get("bids", 0)["price_paise"].alias("bid"), F.get("bids", 4)["quantity"].alias("quantity5"), F.get("asks", 0)["price_paise"].alias("ask"), F.col("volume_traded_today").alias("volume"))
+
+
+@register("jsonl_roundtrip", "SELECT token, seq, CAST(ask + 20 AS BIGINT) AS ask5, CAST(1 + floor(aq[5] / 150) AS BIGINT) AS orders5, ltp FROM book", BOOK_SQL)
+def q_jsonl(spark, sf):
+    back = wire.from_record(derived_book(spark, sf).select("seq", wire.to_record().alias("line")), "line")
+    return back.select("token", "seq", F.get("asks", 4)["price_paise"].alias("ask5"), F.get("asks", 4)["orders"].alias("orders5"), F.col("last_traded_price").alias("ltp"))
+
+
+@register("quality_gate")
+def q_quality(spark, sf):
+    df = scoring.quality(featured(spark, sf), CFG)
+    return df.select(*KEYS, F.array_join("blocks", "+").alias("blocks"), "tradable", r6("book_quality").alias("book_quality"), r6("liquidity_score").alias("liquidity_score"))
+
+
+ORACLE["quality_gate"] = (
+    f"WITH {SEQ_SQL}, "
+    + f"c AS (SELECT *, max(CASE WHEN gap THEN ts END) OVER (PARTITION BY token ORDER BY seq) AS last_gap, count(d) {over(240)} AS n, CASE WHEN count(d) {over(240)} >= 8 THEN d / (exp(avg(ln(1 + d)) {over(240)}) - 1) ELSE 1 END AS rel FROM (SELECT *, CAST(bq[1] + bq[2] + aq[1] + aq[2] AS DOUBLE) AS d FROM s)), "
+    + "e AS (SELECT *, list_filter([CASE WHEN rn < 60 THEN 'WARMUP' END, CASE WHEN spread_ticks > 4 THEN 'SPREAD_TOO_WIDE' END, CASE WHEN n >= 8 AND rel < 0.35 THEN 'LIQUIDITY_BELOW_THRESHOLD' END, CASE WHEN ts - last_gap < 2000 THEN 'FEED_GAP' END], lambda x: x IS NOT NULL) AS b, greatest(0, least(1, (rel - 0.175) / 0.825)) AS liq FROM c) "
+    + f"SELECT token, seq, array_to_string(b, '+') AS blocks, len(b) = 0 AS tradable, {q6('greatest(0, least(1, (6 - spread_ticks) / 5)) * liq * least(1, rn / 60.0::DOUBLE)', 'book_quality')}, {q6('liq', 'liquidity_score')} FROM e"
+)
+
+
+@register("feature_confidence")
+def q_confidence(spark, sf):
+    df = scoring.confidence(scoring.quality(featured(spark, sf), CFG), CFG)
+    return df.select(*KEYS, *(r6(c).alias(c) for c in df.columns if c.startswith(("factor_", "base_"))))
+
+
+@register("composite_score")
+def q_composite(spark, sf):
+    df = engine.scored(derived_book(spark, sf), CFG)
+    return df.select(*KEYS, *(r6(F.get("scores", i)).alias(f"score_{i}") for i in range(5)), *(r6(F.get("confidences", i)).alias(f"confidence_{i}") for i in range(5)))
+
+
+@register("adaptive_threshold")
+def q_threshold(spark, sf):
+    df = scoring.threshold(stats(spark, sf), CFG)
+    return df.select(*KEYS, r6("entry").alias("entry"), r6("watch").alias("watch"), r6("exit").alias("exit"))
+
+
+ORACLE["adaptive_threshold"] = (
+    f"WITH {SEQ_SQL}, v AS (SELECT *, {OBI_SQL} AS obi FROM ({_MOVE})), "
+    + f"y AS (SELECT v.*, coalesce(stddev_samp(spread_ticks) {over(240)}, 0) AS sd, avg(spread_ticks) {over(240)} AS mean, coalesce(stddev_samp(mv) {over(240)}, 0) AS vol, coalesce(stddev_samp(obi) {over(240, True)}, 0) AS osd, count(mv) {over(240)} >= 8 AND count(spread_ticks) {over(240)} >= 8 AS ready, CASE WHEN count(still) {over(60)} >= 4 THEN avg(still) {over(60)} ELSE 0.5 END AS calm_touch FROM (SELECT *, CASE WHEN NOT is_first THEN CASE WHEN abs(bid - coalesce(p_bid, 0)) <= 5 AND abs(ask - coalesce(p_ask, 0)) <= 5 THEN 1.0 ELSE 0.0 END END AS still FROM v) v), "
+    + "z AS (SELECT *, CASE WHEN ready THEN greatest(0.18, least(0.85, 0.3 * (1 + 0.45 * sd / greatest(mean, 1) + 0.4 * vol / greatest(mean, 1) + 0.35 * osd / 0.25 + 0.3 * (1 - calm_touch)))) ELSE 0.85 END AS e FROM y) "
+    + f"SELECT token, seq, {q6('e', 'entry')}, {q6('e * 0.6', 'watch')}, {q6('e * 0.5', 'exit')} FROM z"
+)
+
+#: Settings under which the derived book trades, for the queries on states.
+ACTIVE = Engine(execution=Execution(use_depth_walk=True))
+
+
+@register("full_pipeline")
+def q_full(spark, sf):
+    df = engine.run_batch(derived_book(spark, sf), CFG)
+    return df.select(*KEYS, "idx", "segment", "regime", "previous_state", "state", "composite_valid", r6("smoothed").alias("smoothed"), r6("composite_confidence").alias("confidence"), r6("entry").alias("entry"), "reason", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def audit(spark: SparkSession) -> DataFrame:
+    return engine.run_batch(scenarios.scenario_rows(spark, 600), scenarios.AUDIT)
+
+
+@register("state_machine")
+def q_states(spark, sf):
+    df = audit(spark)
+    return df.select("token", "seq", "previous_state", "state", "reason", "direction", r6("entry_price").alias("entry_price"), r6("exit_price").alias("exit_price"), "opened", "closed")
+
+
+@register("position_pnl")
+def q_pnl(spark, sf):
+    df = audit(spark).where("closed")
+    return df.select("token", "seq", "reason", *(r6(f"pnl.{c}").alias(c) for c in ("gross_ticks", "gross_rupees", "cost_rupees", "net_rupees", "net_bps", "holding_ms")))
+
+
+@register("scenario_audit")
+def q_audit(spark, sf):
+    return reports.scenario_report(audit(spark))
+
+
+@register("feature_audit")
+def q_feature_audit(spark, sf):
+    return reports.feature_report(audit(spark))
+
+
+@register("invariants")
+def q_invariants(spark, sf):
+    return reports.invariants(audit(spark))
+
+
+@register("display_rows", "SELECT token, seq, strftime(make_timestamp((ts + 19800000) * 1000), '%H:%M:%S.%g') AS at FROM book", BOOK_SQL)
+def q_display(spark, sf):
+    return derived_book(spark, sf).select(*KEYS, scalar.exchange_time("exchange_timestamp_ms").alias("at"))
+
+
