@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.config import Engine, Execution
+from bookloom.config import Engine
 from bookloom.functions import scalar
-from bookloom.operators import book, execution, reports, scoring, windows
+from bookloom.operators import book, execution, kernel, reports, scoring, windows
 from bookloom.plans import engine
 from bookloom.sources import scenarios, wire
 from bookloom.sources.derived import BOOK_SQL, derived_book
@@ -237,7 +237,7 @@ def q_obi(spark, sf):
 _OLS = "(5 * list_sum(list_transform(range(1, 6), lambda i: (i - 1) * ln({q}[i] + 1.0::DOUBLE))) - 10 * list_sum(list_transform(range(1, 6), lambda i: ln({q}[i] + 1.0::DOUBLE)))) / 50.0"
 
 
-@register("feat_depth_slope_ols", f"SELECT token, seq, {q6('slope', 'raw')}, {q6('tanh(slope / 0.9)', 'value')}, {q6('1 - 0.4 * (1 - tanh(deep / 0.9) * sign(slope)) / 2', 'local_confidence')} FROM (SELECT *, ln((bq[2] + 1.0::DOUBLE) / (bq[1] + 1)) - ln((aq[2] + 1.0::DOUBLE) / (aq[1] + 1)) AS slope, {_OLS.format(q='bq')} - {_OLS.format(q='aq')} AS deep FROM s)")
+@register("feat_depth_slope_ols", f"SELECT token, seq, {q6('slope', 'raw')}, {q6('tanh(slope / 0.9)', 'value')}, {q6('1 - 0.4 * (1 - tanh(deep / 0.9) * sign(slope)) / 2', 'local_confidence')} FROM (SELECT *, ln((bq[2] + 1.0::DOUBLE) / (bq[1] + 1)) / (abs((bid - 5) / 100.0::DOUBLE - bp) / 0.05::DOUBLE) - ln((aq[2] + 1.0::DOUBLE) / (aq[1] + 1)) / (abs((ask + 5) / 100.0::DOUBLE - ap) / 0.05::DOUBLE) AS slope, {_OLS.format(q='bq')} - {_OLS.format(q='aq')} AS deep FROM s)")
 def q_slope(spark, sf):
     return clean(spark, sf).select(*KEYS, r6("slope").alias("raw"), r6("slope_value").alias("value"), r6("slope_local").alias("local_confidence"))
 
@@ -404,8 +404,14 @@ def q_confidence(spark, sf):
 
 @register("composite_score")
 def q_composite(spark, sf):
-    df = engine.scored(derived_book(spark, sf), CFG)
-    return df.select(*KEYS, *(r6(F.get("scores", i)).alias(f"score_{i}") for i in range(5)), *(r6(F.get("confidences", i)).alias(f"confidence_{i}") for i in range(5)))
+    df = kernel.decided(engine.scored(derived_book(spark, sf), CFG), CFG)
+    return df.select(*KEYS, "regime", "composite_valid", r6("score").alias("score"), r6("smoothed").alias("smoothed"), r6("composite_confidence").alias("confidence"))
+
+
+@register("regime_hysteresis")
+def q_regime(spark, sf):
+    df = kernel.decided(engine.scored(derived_book(spark, sf), CFG), CFG)
+    return df.select(*KEYS, "proposed", "regime", "dwell")
 
 
 @register("adaptive_threshold")
@@ -421,10 +427,6 @@ ORACLE["adaptive_threshold"] = (
     + f"SELECT token, seq, {q6('e', 'entry')}, {q6('e * 0.6', 'watch')}, {q6('e * 0.5', 'exit')} FROM z"
 )
 
-#: Settings under which the derived book trades, for the queries on states.
-ACTIVE = Engine(execution=Execution(use_depth_walk=True))
-
-
 @register("full_pipeline")
 def q_full(spark, sf):
     df = engine.run_batch(derived_book(spark, sf), CFG)

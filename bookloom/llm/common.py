@@ -53,6 +53,23 @@ def utf8(text: str) -> F.Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+#: Keys of rows that go are broadcast up to so many (16 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def text_hash(text: str) -> F.Column:
+    """Tells apart rows that share a key."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs that are not in gone (gone_key, gone_hash: key, which may be null, and text_hash)."""
+    gone = materialize(gone.distinct(), "gone")
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = (text_hash(text) == F.col("gone_hash")) & F.col(key).eqNullSafe(F.col("gone_key"))
+    return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each has at most `most` bytes in a column, or one row: bounds a task's memory."""
     for b in batches:

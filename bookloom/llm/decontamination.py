@@ -25,9 +25,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from bookloom.llm.common import materialize, table, utf8
+from bookloom.llm.common import materialize, table, text_hash, utf8, without
 
 WIDTH = 10
 #: Windows (of under 1 KB each in a task's memory) that are looked up at a time.
@@ -162,22 +161,22 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """The rows of docs without any hit, with their columns; each block of windows looks at what the blocks before left."""
+    """The rows of docs without any hit, with their columns; what goes is joined by key and a hash of the text."""
     cut = materialize(windows(items, width, item_key, item_text).groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
     blocks = max(1, -(-cut.count() // block))
+    kind, gone = docs.schema[key].dataType.simpleString(), None
     for k in range(blocks):
         lookup = shared_lookup(docs, cut.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k), text)
 
-        def keep(batches: Iterator[pa.RecordBatch], lookup=lookup) -> Iterator[pa.RecordBatch]:
+        def hit(batches: Iterator[pa.RecordBatch], lookup=lookup) -> Iterator[pa.RecordBatch]:
             of = lookup.value
             for b in batches:
-                at = [i for i, t in enumerate(b.column(1).to_pylist()) if not of.hits(words(t))[0]]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64()))], ["row"])
+                at = pa.array([i for i, t in enumerate(b.column(2).to_pylist()) if of.hits(words(t))[0]], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["gone_key", "gone_hash"])
 
-        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        docs = docs.select(row.alias("row"), utf8(text).alias("text")).mapInArrow(keep, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
-        docs = materialize(docs, "clean") if k + 1 < blocks else docs
-    return docs
+        found = docs.select(F.col(key).alias("key"), text_hash(text).alias("hash"), utf8(text).alias("text")).mapInArrow(hit, f"gone_key {kind}, gone_hash long")
+        gone = found if gone is None else gone.unionByName(found)
+    return without(docs, gone, key, text)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

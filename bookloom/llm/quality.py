@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import NOT_SPACE, materialize, raw, slices, spans, table, utf8, word_hashes
+from bookloom.llm.common import NOT_SPACE, materialize, raw, slices, spans, table, text_hash, utf8, without, word_hashes
 
 MOST_LABELS = 50_000
 KEEP = 0.5
@@ -158,7 +158,7 @@ class Judge:
     def __init__(self, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang"):
         self.key, self.text, self.host, self.path = key, text, host, path
         self.model = learn(docs, labels, key, text)
-        self.rows = materialize(self.evidence(docs.select(F.struct(F.col(key)).alias("row"), *self.place(docs))), "evidence")
+        self.rows = materialize(self.evidence(docs.select(F.col(key).alias("key"), *self.place(docs))), "evidence")
         paths = materialize(self.rows.where("full").groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("p").alias("good")), "paths")
         hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
         total = paths.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -169,10 +169,10 @@ class Judge:
         self.k_path = strength(self.sites, "good", "n", "host_mean")
 
     def place(self, docs: DataFrame) -> list[Column]:
-        return [F.col(self.host).cast("string").alias("host"), F.col(self.path).cast("string").alias("path"), utf8(self.text).alias("text")]
+        return [F.col(self.host).cast("string").alias("host"), F.col(self.path).cast("string").alias("path"), text_hash(self.text).alias("hash"), utf8(self.text).alias("text")]
 
     def evidence(self, rows: DataFrame) -> DataFrame:
-        """rows of (row, host, path, text as bytes) with full (the text has words), evidence and p instead of the text."""
+        """rows of (key, host, path, hash, text as bytes) with full (the text has words), evidence and p instead of the text."""
         model = self.model
 
         def weigh(x: np.ndarray) -> dict:
@@ -180,7 +180,7 @@ class Judge:
             ratio = model.evidence(x)
             return {"full": full, "evidence": np.where(full, ratio, -99.0), "p": np.where(full, 1 / (1 + np.exp(-np.clip(ratio + model.base, -30, 30))), 0.0)}
 
-        return measured(rows, ["row", "host", "path"], weigh, "full boolean, evidence double, p double")
+        return measured(rows, ["key", "host", "path", "hash"], weigh, "full boolean, evidence double, p double")
 
     def judged(self, rows: DataFrame) -> DataFrame:
         """rows with evidence, and host_mean, path_mean, score and keep beside."""
@@ -198,12 +198,12 @@ class Judge:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:
-    """The rows of docs that are kept. Texts are read again rather than shuffled to their scores."""
+    """The rows of docs that are kept, with their columns; what goes is joined by key and a hash of the text."""
     judge = Judge(docs, labels, **columns)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *judge.place(docs))
-    return judge.judged(judge.evidence(rows)).where("keep").select("row.*")
+    gone = judge.judged(judge.rows).where("NOT keep").select(F.col("key").alias("gone_key"), F.col("hash").alias("gone_hash"))
+    return without(docs, gone, judge.key, judge.text)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judge = Judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judge.judged(judge.rows).select("row.doc_id", "evidence", "host_mean", "path_mean", "score", "keep")
+    return judge.judged(judge.rows).select(F.col("key").alias("doc_id"), "evidence", "host_mean", "path_mean", "score", "keep")

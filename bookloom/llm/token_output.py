@@ -32,7 +32,7 @@ from bookloom.llm import ans
 from bookloom.llm.common import materialize, offsets, partitions, slices, table
 
 #: A task keeps the ids of at most so many different pieces of text.
-MEMO = 1_000_000
+MEMO = 300_000
 #: Bytes of text that a task tokenises at a time (or one document).
 SLICE = 8 << 20
 #: A frame ends after the document that brings it to so many ids.

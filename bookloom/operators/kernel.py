@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookloom.config import REGIMES, Engine
+from bookloom.config import DIRECTIONAL, REGIME_CONFIDENCE, WEIGHTS, Engine
 
 LN2 = math.log(2.0)
 
@@ -26,7 +26,7 @@ def run_ordered(df: DataFrame, order: str, inputs: list[str], outputs: str, star
     packed = df.select(F.struct("*").alias(keep), F.col("token").alias("__token"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(inputs)))
     packed = packed.repartition("__token").sortWithinPartitions("__token", f"{keep}.{order}")
     schema = T.StructType([T.StructField(keep, df.schema), *out.fields])
-    arrow = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()] for f in out.fields]
+    arrow = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[f.dataType.simpleString()] for f in out.fields]
 
     def feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, state = object(), None
@@ -181,14 +181,45 @@ class Sequencer:
         return self.scores[0] - self.scores[1]
 
 
-DECIDE_IN = ["forced", "clock_ms", "dt_ms", "proposed", "scores", "confidences", "usable_scores", "tradable", "warming", "critical", "entry", "watch", "exit", "ltp_value", "cost_ok", "bid", "ask", "entry_long", "entry_short", "exit_long", "exit_short", "filled_long", "filled_short"]
+DECIDE_IN = ["forced", "clock_ms", "dt_ms", "proposed", "feats", "bases", "tradable", "warming", "critical", "entry", "watch", "exit", "ltp_value", "cost_ok", "bid", "ask", "entry_long", "entry_short", "exit_long", "exit_short", "filled_long", "filled_short"]
 DECIDE_OUT = (
     "regime string, dwell bigint, score double, smoothed double, composite_confidence double, composite_valid boolean, previous_state string, state string, reason string, "
-    "direction int, quantity bigint, entry_price double, entry_clock_ms double, stop_price double, target_price double, exit_price double, closed boolean, opened boolean"
+    "direction int, quantity bigint, entry_price double, entry_clock_ms double, stop_price double, target_price double, exit_price double, closed boolean, opened boolean, weights array<double>, confidences array<double>, contributions array<double>"
 )
 WATCH, OPEN, EXITED = {1: "WATCH_LONG", -1: "WATCH_SHORT"}, {1: "LONG", -1: "SHORT"}, {1: "EXIT_LONG", -1: "EXIT_SHORT"}
 
 
+def composite(regime: str, feats: list, bases: list, cfg: Engine) -> tuple[float, float | None, bool, list, list, list]:
+    """Score, confidence (None where no feature has weight), whether they are usable, and each feature's weight, confidence and contribution.
+
+    Invalid features (null) have no weight; collinear ones together have at most their share of the
+    total; the score is the mean of values by weight and confidence.
+    """
+    c = cfg.composite
+    weights = [w if x is not None else 0.0 for w, x in zip(WEIGHTS[regime], feats, strict=True)]
+    total = sum(weights)
+    if total <= 0:
+        return 0.0, None, False, weights, [], []
+    group = [DIRECTIONAL.index(n) for n in c.collinear if weights[DIRECTIONAL.index(n)] > 0]
+    both, allowed = sum(weights[i] for i in group), c.collinear_cap * total
+    if len(group) > 1 and both > allowed:
+        for i in group:
+            weights[i] *= allowed / both
+    sure = []
+    for base in bases:
+        x = (base or 0.0) * REGIME_CONFIDENCE[regime]
+        sure.append(0.0 if x < cfg.confidence.min_feature_confidence else min(1.0, x))
+    mass = [w * s for w, s in zip(weights, sure, strict=True)]
+    used = [i for i, m in enumerate(mass) if m > 0]
+    whole, weighed = sum(mass), sum(weights[i] for i in used)
+    confidence = whole / weighed if weighed > 1e-12 else 0.0
+    if len(used) < c.min_features or confidence < c.min_confidence:
+        return 0.0, confidence, False, weights, sure, []
+    parts = [feats[i] * mass[i] / whole if mass[i] > 0 else None for i in range(len(mass))]
+    score = sum(feats[i] * mass[i] for i in used) / whole
+    return max(-1.0, min(1.0, score)), confidence, True, weights, sure, parts
+
+
 class Decider:
     """Holds the regime, smooths the composite, and runs the trading states."""
 
@@ -216,11 +247,10 @@ class Decider:
                 self.held, self.dwell, self.count = proposed, 0, 0
         return self.held
 
-    def step(self, forced, clock, dt, proposed, scores, confidences, usable, tradable, warming, critical, entry, watch, exit_, ltp, cost_ok, bid, ask, entry_long, entry_short, exit_long, exit_short, filled_long, filled_short) -> tuple:
+    def step(self, forced, clock, dt, proposed, feats, bases, tradable, warming, critical, entry, watch, exit_, ltp, cost_ok, bid, ask, entry_long, entry_short, exit_long, exit_short, filled_long, filled_short) -> tuple:
         if forced:
             self.restart()
-        at = REGIMES.index(self.regime(proposed))
-        valid, raw, confidence = usable[at], scores[at], confidences[at]
+        raw, confidence, valid, weights, sures, parts = composite(self.regime(proposed), feats, bases, self.cfg)
         if valid:
             self.smoother.add(raw, dt)
         smoothed = max(-1.0, min(1.0, self.smoother.value)) if confidence is not None else 0.0
@@ -248,7 +278,7 @@ class Decider:
                 held = self.position = (sign, filled if filled > 0 else self.cfg.quantity, paid, clock, grid(paid - sign * s.stop_ticks * tick), grid(paid + sign * s.target_ticks * tick))
                 self.state, self.confirmed = OPEN[sign], 0
         shown = held or (None,) * 6
-        return (self.held, self.dwell, raw if valid else 0.0, smoothed, confidence if confidence is not None else 0.0, valid, was, self.state, reason, *shown, price, closed, opened)
+        return (self.held, self.dwell, raw if valid else 0.0, smoothed, confidence if confidence is not None else 0.0, valid, was, self.state, reason, *shown, price, closed, opened, weights, sures, parts)
 
     def leave(self, held: tuple, clock: float, score: float, sure: float, exit_: float, critical: bool, bid: float, ask: float) -> str | None:
         s = self.cfg.state_machine

@@ -84,7 +84,7 @@ def scenario_report(out: DataFrame, mature: int = 60) -> DataFrame:
 
 def feature_report(out: DataFrame, mature: int = 60) -> DataFrame:
     """Per token and feature: mean value and mean contribution of mature rows, the largest first."""
-    c = out.where(F.col("idx") > mature).select("token", F.explode("contributions").alias("c"))
+    c = out.where(F.col("idx") > mature).select("token", F.explode("contributed").alias("c"))
     r = c.groupBy("token", F.col("c.name").alias("feature")).agg(F.round(F.avg("c.value"), 6).alias("value"), F.round(F.avg("c.confidence"), 6).alias("confidence"), F.round(F.avg("c.contribution"), 6).alias("contribution"), F.count(F.lit(1)).alias("n"))
     return r.orderBy("token", F.desc(F.abs("contribution")), "feature")
 

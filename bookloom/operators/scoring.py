@@ -1,11 +1,11 @@
-"""Feature values, market quality, confidence, composite scores, threshold and regime proposal, as Columns."""
+"""Feature values, market quality, confidence, threshold, regime proposal and reasons, as Columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.config import DIRECTIONAL, FACTORS, REGIME_CONFIDENCE, REGIMES, SENSITIVITY, WEIGHTS, Engine
+from bookloom.config import DIRECTIONAL, FACTORS, SENSITIVITY, Engine
 from bookloom.functions.scalar import EPSILON, clamp, clamp_unit, linear_scale, robust_scale, safe_div, sign
 from bookloom.operators import execution
 from bookloom.operators.windows import rolling_sd, samples
@@ -67,43 +67,6 @@ def confidence(df: DataFrame, cfg: Engine) -> DataFrame:
     return logs.select("*", *(base(name).alias(f"base_{name}") for name in DIRECTIONAL)).drop(*(f"log_{k}" for k in FACTORS))
 
 
-def feature_confidence(name: str, regime: str, cfg: Engine) -> Column:
-    x = F.coalesce(F.col(f"base_{name}"), F.lit(0.0)) * REGIME_CONFIDENCE[regime]
-    return F.when(x < cfg.confidence.min_feature_confidence, 0.0).otherwise(clamp(x, 0, 1))
-
-
-def effective_weights(regime: str, cfg: Engine) -> dict[str, Column]:
-    """Each feature's weight (0 where invalid), collinear ones scaled down to their cap of the total."""
-    plain = {n: F.when(F.col(f"feat_{n}").isNotNull(), w).otherwise(0.0) for n, w in zip(DIRECTIONAL, WEIGHTS[regime], strict=True)}
-    total, group = sum(plain.values(), F.lit(0.0)), cfg.composite.collinear
-    both, allowed = sum((plain[n] for n in group), F.lit(0.0)), cfg.composite.collinear_cap * total
-    capped = F.lit(True)
-    for n in group:
-        capped = capped & (plain[n] > 0)
-    scale = F.when(capped & (both > allowed), allowed / F.when(both > 0, both)).otherwise(1.0)
-    return {n: w * scale if n in group else w for n, w in plain.items()}
-
-
-def composites(df: DataFrame, cfg: Engine) -> DataFrame:
-    """Adds scores, confidences (null where no feature has weight) and usable_scores: arrays by regime, in the order of REGIMES."""
-    out = []
-    for regime in REGIMES:
-        weights = effective_weights(regime, cfg)
-        mass = {n: w * feature_confidence(n, regime, cfg) for n, w in weights.items()}
-        value = sum((F.coalesce(F.col(f"feat_{n}"), F.lit(0.0)) * m for n, m in mass.items()), F.lit(0.0))
-        total = sum(mass.values(), F.lit(0.0))
-        weighed = sum((F.when(m > 0, weights[n]).otherwise(0.0) for n, m in mass.items()), F.lit(0.0))
-        used = sum(((m > 0).cast("int") for m in mass.values()), F.lit(0))
-        any_weight = sum(weights.values(), F.lit(0.0)) > 0
-        out.append(F.struct(value.alias("value"), total.alias("mass"), F.when(any_weight, safe_div(total, weighed)).alias("confidence"), used.alias("used")))
-    df = df.withColumn("by_regime", F.array(*out))
-    ok = lambda x: (x["used"] >= cfg.composite.min_features) & (F.coalesce(x["confidence"], F.lit(0.0)) >= cfg.composite.min_confidence)
-    return df.select(
-        "*", F.transform("by_regime", lambda x: clamp_unit(safe_div(x["value"], x["mass"]))).alias("scores"),
-        F.transform("by_regime", lambda x: x["confidence"]).alias("confidences"), F.transform("by_regime", ok).alias("usable_scores"),
-    ).drop("by_regime")
-
-
 def threshold(df: DataFrame, cfg: Engine) -> DataFrame:
     """Adds entry, watch and exit: the adaptive threshold, at its maximum until spread and volatility are known."""
     t = cfg.threshold
@@ -137,24 +100,17 @@ def quotes(df: DataFrame, cfg: Engine) -> DataFrame:
 
 
 def reasons(df: DataFrame, cfg: Engine) -> DataFrame:
-    """Adds contributions (of the held regime) and reasons: the strongest contributions first, then spread, stability, blocks and the state's own."""
-    rows = []
-    for i, n in enumerate(DIRECTIONAL):
-        weight, sure = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for r in REGIMES:
-            weight = F.when(F.col("regime") == r, effective_weights(r, cfg)[n]).otherwise(weight)
-            sure = F.when(F.col("regime") == r, feature_confidence(n, r, cfg)).otherwise(sure)
-        rows.append(F.struct(F.lit(i).alias("place"), F.lit(n).alias("name"), F.coalesce(F.col(f"feat_{n}"), F.lit(0.0)).alias("value"), weight.alias("weight"), sure.alias("confidence")))
-    df = df.withColumn("parts", F.when(F.col("composite_valid"), F.filter(F.array(*rows), lambda x: x["weight"] * x["confidence"] > 0)).otherwise(F.array().cast("array<struct<place:int,name:string,value:double,weight:double,confidence:double>>")))
-    df = df.withColumn("mass", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["weight"] * x["confidence"]))
-    df = df.withColumn("contributions", F.transform("parts", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), x["weight"].alias("weight"), x["confidence"].alias("confidence"), (x["value"] * x["weight"] * x["confidence"] / F.col("mass")).alias("contribution"), x["place"].alias("place"))))
-    ranked = F.array_sort("contributions", lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1).when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1).otherwise(a["place"] - b["place"]))
+    """Adds contributed (name, value, weight, confidence, contribution of each feature that counts) and reasons: the four strongest first, then spread, stability, blocks and the state's own."""
+    names = F.array(*map(F.lit, DIRECTIONAL))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(len(DIRECTIONAL) - 1)), lambda i: F.struct(i.alias("place"), F.get(names, i).alias("name"), F.get("feats", i).alias("value"), F.get("weights", i).alias("weight"), F.get("confidences", i).alias("confidence"), F.get("contributions", i).alias("contribution")))
+    df = df.withColumn("contributed", F.filter(rows, lambda x: x["contribution"].isNotNull()))
+    ranked = F.array_sort(F.transform("contributed", lambda x: F.struct((-F.abs(x["contribution"])).alias("size"), x["place"].alias("place"), x.alias("x"))))
     label = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
-    told = F.transform(F.filter(F.slice(ranked, 1, 4), lambda x: x["contribution"] != 0), lambda x: F.format_string("%s %s %+.2f (w=%.2f c=%.2f)", F.when(x["contribution"] > 0, "+").otherwise("-"), label[x["name"]], x["value"], x["weight"], x["confidence"]))
+    told = F.transform(F.filter(F.slice(ranked, 1, 4), lambda r: r["size"] != 0), lambda r: F.format_string("%s %s %+.2f (w=%.2f c=%.2f)", F.when(r["x"]["contribution"] > 0, "+").otherwise("-"), F.try_element_at(label, r["x"]["name"]), r["x"]["value"], r["x"]["weight"], r["x"]["confidence"]))
     more = F.array_compact(F.array(
         F.when(F.col("compression_value") >= 0.6, F.format_string("+ Spread compressing (%+.2ft)", "compression")), F.when(F.col("spread_ticks") > cfg.quality.max_signal_spread_ticks, F.format_string("- Spread wide (%.2ft)", "spread_ticks")),
         F.when(F.col("touch_stability") >= 0.65, F.format_string("+ Queue stable (%.2f)", "touch_stability")),
     ))
     first = F.when(F.col("forced"), F.array(F.lit("! state reset after feed gap"))).otherwise(F.array().cast("array<string>"))
     blocked = F.transform("blocks", lambda b: F.concat(F.lit("- Blocked: "), b))
-    return df.withColumn("reasons", F.concat(first, told, more, blocked, F.array("reason"))).drop("parts", "mass")
+    return df.withColumn("reasons", F.concat(first, told, more, blocked, F.array("reason")))

@@ -1,9 +1,11 @@
 """The whole engine over a batch of raw snapshots.
 
-Row-local columns, then the sequencing kernel, then windows, then row-local scores under every regime,
-then the deciding kernel, then fills and reasons. Rows are shuffled by token once for each kernel and
+Row-local columns, then the sequencing kernel, then windows, then row-local scores, then the deciding
+kernel (whose regime picks the weights of the composite), then fills and reasons. Rows are shuffled by token once for each kernel and
 once for the windows; scores in between stay in generated code. Which token is which task's is all
-that is dealt, so a token's rows stream through one task in order, as the recurrence asks.
+that is dealt, so a token's rows stream through one task in order, as the recurrence asks. Two tables cut
+the plan, after sequencing and after deciding: one stage's filters never meet another's expressions,
+and a lost executor costs one stage.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.config import Engine
+from bookloom.config import DIRECTIONAL, Engine
 from bookloom.operators import book, execution, kernel, scoring, windows
+from bookloom.tables import cut
 
 
 def subscribed(raw: DataFrame, cfg: Engine) -> DataFrame:
@@ -28,14 +31,15 @@ def sequence(raw: DataFrame, cfg: Engine) -> DataFrame:
 
 
 def scored(raw: DataFrame, cfg: Engine) -> DataFrame:
-    """Accepted rows with statistics, feature values, quality, confidence, composites by regime, thresholds and quotes."""
-    df = sequence(raw, cfg).where("reject_reason IS NULL")
+    """Accepted rows with statistics, feature values, quality, confidence, feats and bases as arrays, thresholds and quotes."""
+    df = cut(sequence(raw, cfg).where("reject_reason IS NULL"), "sequenced")
     df = scoring.feature_values(windows.shared_statistics(df, cfg), cfg)
-    df = scoring.composites(scoring.confidence(scoring.quality(df, cfg), cfg), cfg)
+    df = scoring.confidence(scoring.quality(df, cfg), cfg)
+    df = df.select("*", F.array(*(f"feat_{n}" for n in DIRECTIONAL)).alias("feats"), F.array(*(f"base_{n}" for n in DIRECTIONAL)).alias("bases"))
     return scoring.quotes(scoring.threshold(df, cfg).withColumn("proposed", scoring.proposed_regime(cfg)), cfg)
 
 
 def run_batch(raw: DataFrame, cfg: Engine) -> DataFrame:
     """One output row per accepted snapshot."""
-    df = kernel.decided(scored(raw, cfg), cfg)
+    df = cut(kernel.decided(scored(raw, cfg), cfg), "decided")
     return scoring.reasons(df.withColumn("pnl", execution.profit(cfg)), cfg)
