@@ -62,11 +62,20 @@ def text_hash(text: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the first of name_, name__ and so on that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of docs that are not in gone (gone_key, gone_hash: key, which may be null, and text_hash)."""
-    gone = materialize(gone.distinct(), "gone")
+    k, h = fresh(docs, "gone_key"), fresh(docs, "gone_hash")
+    gone = materialize(gone.toDF("gone_key", "gone_hash").distinct(), "gone").toDF(k, h)
     few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    same = (text_hash(text) == F.col("gone_hash")) & F.col(key).eqNullSafe(F.col("gone_key"))
+    same = (text_hash(text) == F.col(h)) & F.col(key).eqNullSafe(F.col(k))
     return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left_anti")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import materialize, mix, raw, shingles, slices, table, utf8
+from bookloom.llm.common import fresh, materialize, mix, raw, shingles, slices, table, utf8
 from bookloom.llm.components import components
 
 SIGNATURE = 64
@@ -278,15 +278,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: st
 
 def distinct_rows(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose key is its component's own, one row per key (rows with null keys all stay), with their columns."""
-    found = materialize(near_duplicates(docs, k, threshold, key, text).select(F.col(key).alias("gone"), "kept"), "kept")
+    of = fresh(docs, "gone")
+    found = materialize(near_duplicates(docs, k, threshold, key, text).select(F.col(key).alias("gone"), "kept"), "kept").withColumnRenamed("gone", of)
     # Rows that go, and keys that stand in several rows; either may be few or many.
-    gone = materialize(found.where("NOT kept").select("gone").distinct(), "gone")
-    again = materialize(found.where("kept AND gone IS NOT NULL").groupBy("gone").count().where("count > 1").select("gone"), "again")
-    left = docs.join(sized(gone), F.col(key) == F.col("gone"), "left_anti")
+    gone = materialize(found.where("NOT kept").select(of).distinct(), "gone")
+    again = materialize(found.where(F.col("kept") & F.col(of).isNotNull()).groupBy(of).count().where("count > 1").select(of), "again")
+    left = docs.join(sized(gone), F.col(key) == F.col(of), "left_anti")
     if not again.limit(1).count():
         return left
     same = sized(again)
-    return left.join(same, F.col(key) == F.col("gone"), "left_anti").unionByName(left.join(same, F.col(key) == F.col("gone"), "left_semi").dropDuplicates([key]))
+    return left.join(same, F.col(key) == F.col(of), "left_anti").unionByName(left.join(same, F.col(key) == F.col(of), "left_semi").dropDuplicates([key]))
 
 
 def sized(keys: DataFrame) -> DataFrame:
