@@ -33,7 +33,7 @@ from bookloom.llm.common import table, utf8
 
 MOST_LABELS = 50_000
 #: Stems of so many letters are learned beside whole words.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 #: An entry must occur in so many toxic documents, with this log-odds at least, and with this log-likelihood ratio against chance.
 LEAST_DOCS, LEAST_WEIGHT, LEAST_SURPRISE = 5, 2.5, 12.0
 HELD_OUT, FOLDS, CUT = 2, 4, 0.3

@@ -189,7 +189,8 @@ def test_quality_odd_rows(spark, edges, frame):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    # The smaller tables have under ten toxic labels for some languages, too few for any lexicon.
+    sf = "/root/testdata/sf0.1"
     rows = queries.QUERIES["op8_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out AND toxic is not null").collect()
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit >= 0.8 * sum(r.toxic for r in rows) and hit >= 0.8 * sum(r.predicted for r in rows)
