@@ -24,7 +24,19 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: What Spark hands a Python worker at a time, unless the session says otherwise; a worker and its JVM hold a few such batches.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000"), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20), str(8 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by rows and bytes where it has Spark's own defaults."""
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, default) in (default, f"{default}b"):
+            spark.conf.set(name, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,7 +92,7 @@ def without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left_anti")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each has at most `most` bytes in a column, or one row: bounds a task's memory."""
     for b in batches:
         if not b.num_rows:
