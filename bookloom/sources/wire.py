@@ -66,12 +66,13 @@ def ladder(text: Column, divisor: Column, descending: bool) -> Column:
     levels = F.coalesce(F.from_json(text, "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
 
     def level(m):
-        wire = as_float(first_present(m, "price"))
-        paise = F.when(divisor == 100, F.rint(wire)).otherwise(F.rint(wire * 100 / divisor)).cast("bigint")
+        wire = as_int(first_present(m, "price"))
+        paise = F.when(divisor == 100, wire).otherwise(F.rint(wire * 100 / divisor).cast("bigint"))
         return F.struct(paise.alias("price_paise"), (wire / divisor).alias("price"), as_int(first_present(m, "quantity")).alias("quantity"), F.greatest(as_int(first_present(m, "orders"), 1), F.lit(1).cast("bigint")).alias("orders"))
 
-    good = F.slice(F.filter(F.transform(levels, level), lambda x: (x["price_paise"] > 0) & (x["quantity"] > 0)), 1, 5)
-    return ranked(good, descending)
+    # By the price as sent: in a fine-grained segment a small one may round to no paise.
+    good = F.filter(levels, lambda m: (as_int(first_present(m, "price")) > 0) & (as_int(first_present(m, "quantity")) > 0))
+    return ranked(F.transform(F.slice(good, 1, 5), level), descending)
 
 
 def ranked(levels: Column, descending: bool) -> Column:
