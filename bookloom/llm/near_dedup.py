@@ -3,14 +3,20 @@
 Every text becomes its set of word shingles and a signature of SIGNATURE minwise tokens. Exact copies
 (equal sets) are one vertex from the start. In each of several independent trees a vertex goes down
 the path of its minwise tokens at chosen coordinates; vertices that share a path share a node. Nodes
-of at most LARGE members are compared exhaustively; larger ones branch again, at coordinates chosen by
-the node, until they are small. The number of trees follows from the recall that is asked for a pair
-at the threshold: each tree finds it with probability threshold ** DEPTH.
+of at most LARGE members are compared exhaustively. In larger ones, members that are not yet connected
+with the rest first meet each other in blocks with some PIVOTS members of the node; a node whose members
+are then one component is done, and one with at most LARGE others has them compared with all. Only what
+remains branches again, at coordinates chosen by the node, and after LEVELS branchings it is compared
+exhaustively whatever its size. The number of trees follows from the recall that is asked for a pair at
+the threshold: each tree finds it with probability threshold ** DEPTH, and vertices of nodes that branch
+stand in as many more trees as make up for the pairs that branching parts (see `survival`).
 
 Nodes of at most SMALL members are compared by signatures, and pairs that pass (a true pair fails with
 a probability under 1e-8) are confirmed on the full sets. In nodes above that, members that are not yet
 connected with the rest meet all others in blocks of BLOCK by BLOCK full sets; a block returns what
-connects its members and never its pairs, and the blocks of one node are dealt to different tasks.
+connects its members and never its pairs, and the blocks of one node are dealt to different tasks. Their
+number is in proportion to a node's members, but for nodes of over LARGE unconnected ones after LEVELS
+branchings, where it is their square.
 
 Scale: tables of (node, vertex) are shuffled, never texts, except for texts of vertices that have a
 candidate. No task holds more than two blocks of a node.
@@ -39,6 +45,10 @@ SIGNATURE = 64
 DEPTH = 3
 SMALL, LARGE, BLOCK = 24, 4096, 256
 RECALL = 0.99999
+#: Members of a large node that all others meet, about; and how often a node branches at most.
+PIVOTS, LEVELS = 16, 6
+#: What the first trees connect, the others need not compare again.
+PARTS = ("tree = 0", "tree BETWEEN 1 AND 3", "tree > 3")
 #: Keys whose texts are needed are broadcast up to so many (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -76,14 +86,27 @@ def as_array(sig: pa.Array) -> np.ndarray:
     return raw(sig)[0].view(np.uint32).reshape(-1, SIGNATURE)
 
 
-def roots(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, v, tree): the nodes at DEPTH in which each vertex stands, one per tree."""
+def survival(threshold: float, levels: int) -> float:
+    """The least chance that a pair at the threshold, in one node, still shares one after so many branchings, each of 1 / threshold children on average."""
+    s = 1.0
+    for _ in range(levels):
+        s -= threshold * (1 - threshold) * s * s
+    return s
+
+
+def tree_count(threshold: float, levels: int) -> int:
+    """How many trees find a pair at the threshold with RECALL where nodes branch up to so many times."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - threshold**DEPTH * survival(threshold, levels)))
+
+
+def roots(classes: DataFrame, first: int, trees: int) -> DataFrame:
+    """(node, v, tree): the nodes at DEPTH in which each vertex stands, one per tree from the first on."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sig = as_array(b.column(1)).astype(np.uint64)
-                for t in range(trees):
+                for t in range(first, trees):
                     node = np.full(len(sig), t + 1, np.uint64)
                     for d in range(DEPTH):
                         node = mix(node * np.uint64(31) + sig[:, (DEPTH * t + d) % SIGNATURE] + np.uint64(d))
@@ -218,21 +241,40 @@ class Join:
 
         return nodes.select("m").mapInArrow(pair, "a long, b long").distinct()
 
-    def blocks(self, members: DataFrame) -> None:
-        """Adds what connects the members of nodes above SMALL: members outside a node's most frequent component against all."""
+    def standing(self, members: DataFrame) -> DataFrame:
+        """(node, v, tree, apart, strays, all): the members of nodes of several components; apart is 1 outside the node's most frequent one, strays counts these and all the members."""
         rows = self.labelled(members)
-        home = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        rows = rows.join(home.select("node", F.col("top.label").alias("home")), "node").withColumn("apart", (F.col("label") != F.col("home")).cast("int"))
-        # Blocks are cut by hash, in as many parts as give about BLOCK members each.
-        parts = rows.groupBy("node").agg(F.ceil(F.sum("apart") / BLOCK).alias("own"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("all"))
-        rows = materialize(rows.join(parts, "node"), "blocks")
+        home = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("times").alias("all")).where("labels > 1")
+        home = home.select("node", F.col("top.label").alias("home"), (F.col("all") - F.col("top.times")).alias("strays"), "all")
+        return materialize(rows.join(home, "node").select("node", "v", "tree", (F.col("label") != F.col("home")).cast("int").alias("apart"), "strays", "all"), "standing")
+
+    def blocks(self, rows: DataFrame) -> None:
+        """Adds what connects the members in rows (see `standing`): those apart against all."""
         if not rows.limit(1).count():
             return
-        sets = self.sets(materialize(rows.select("v").distinct(), "needed"))
+        # Blocks are cut by hash, in as many parts as give about BLOCK members each.
+        rows = rows.select("node", "v", "apart", F.ceil(F.col("strays") / BLOCK).alias("own"), F.ceil(F.col("all") / BLOCK).alias("all"))
         spread = lambda n: F.pmod(F.xxhash64("v"), F.col(n))
         left = rows.where("apart = 1").select("node", "v", F.lit(0).alias("side"), spread("own").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"))
         right = rows.select("node", "v", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("i"), spread("all").alias("j"))
-        dealt = left.unionByName(right).select(F.xxhash64("node", "i", "j").alias("block"), "side", "v").join(sets, "v")
+        self.meet(rows, left.unionByName(right).select(F.xxhash64("node", "i", "j").alias("block"), "v"))
+
+    def attach(self, members: DataFrame) -> DataFrame:
+        """Adds what connects the members of large nodes, that are apart, with each other in one block each and with the node's pivots; what then stands in nodes of several components."""
+        rows = self.standing(members)
+        if not rows.limit(1).count():
+            return rows
+        parts = F.greatest(F.ceil(F.col("strays") / BLOCK), F.lit(1).cast("long"))
+        pivot = F.pmod(F.xxhash64("node", "v"), F.greatest(F.floor(F.col("all") / PIVOTS), F.lit(1).cast("long"))) == 0
+        own = rows.where("apart = 1").select("node", "v", F.pmod(F.xxhash64("v"), parts).alias("i"))
+        shown = rows.where(pivot).select("node", "v", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("i"))
+        dealt = materialize(own.unionByName(shown).select(F.xxhash64("node", "i").alias("block"), "v").distinct(), "dealt")
+        self.meet(dealt, dealt)
+        return self.standing(rows.select("node", "v", "tree"))
+
+    def meet(self, rows: DataFrame, dealt: DataFrame) -> None:
+        """Adds what connects the members of each block in dealt (block, v); rows has all their vertices."""
+        sets = self.sets(materialize(rows.select("v").distinct(), "needed"))
         threshold = round(self.threshold * 100)
 
         def compare(t: pa.Table) -> pa.Table:
@@ -244,27 +286,35 @@ class Join:
             found = to != v
             return pa.table({"a": to[found], "b": v[found]})
 
-        self.add(materialize(dealt.groupBy("block").applyInArrow(compare, "a long, b long"), "links"))
+        self.add(materialize(dealt.join(sets, "v").groupBy("block").applyInArrow(compare, "a long, b long"), "links"))
 
 
 def linked(docs: DataFrame, k: int, threshold: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(signatures of all rows, vertices with v and component)."""
-    rows = materialize(signatures(docs, k, key, text), "signatures")
-    classes = materialize(rows.where("n > 0 AND key IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("key").alias("v"), F.first("sig").alias("sig")), "classes")
-    trees = math.ceil(math.log(1 - RECALL) / math.log(1 - threshold**DEPTH))
+    signed = materialize(signatures(docs, k, key, text), "signatures")
+    classes = materialize(signed.where("n > 0 AND key IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("key").alias("v"), F.first("sig").alias("sig")), "classes")
+    trees, level = tree_count(threshold, 0), 0
     join = Join(docs, classes, k, threshold, key, text)
-    members = shared_nodes(roots(classes, trees), "roots")
+    members = shared_nodes(roots(classes, 0, trees), "roots")
     while True:
         join.confirm(join.within(members.where(F.col("size") <= SMALL)))
         middle = members.where((F.col("size") > SMALL) & (F.col("size") <= LARGE)).select("node", "v", "tree")
-        # What the first trees connect, the others need not compare again.
-        join.blocks(middle.where("tree = 0"))
-        join.blocks(middle.where("tree BETWEEN 1 AND 3"))
-        join.blocks(middle.where("tree > 3"))
-        large = members.where(F.col("size") > LARGE).join(classes.select("v", "sig"), "v")
-        if not large.limit(1).count():
-            return rows, join.labelled(classes.select("n", "h1", "h2", "v")).withColumnRenamed("label", "component")
-        members = shared_nodes(branches(large, threshold), "branches")
+        for part in PARTS:
+            join.blocks(join.standing(middle.where(part)))
+        large = members.where(F.col("size") > LARGE).select("node", "v", "tree")
+        wide = None
+        for part in PARTS if large.limit(1).count() else ():
+            rows = join.attach(large.where(part))
+            join.blocks(rows if level == LEVELS else rows.where(F.col("strays") <= LARGE))
+            rows = rows.where(F.col("strays") > LARGE).select("node", "v", "tree")
+            wide = rows if wide is None else wide.unionByName(rows)
+        if wide is None or level == LEVELS or not wide.limit(1).count():
+            return signed, join.labelled(classes.select("n", "h1", "h2", "v")).withColumnRenamed("label", "component")
+        children = branches(wide.join(classes.select("v", "sig"), "v"), threshold)
+        if not level:
+            more = classes.join(wide.select("v").distinct(), "v", "left_semi")
+            children = children.unionByName(roots(more, trees, tree_count(threshold, LEVELS)))
+        members, level = shared_nodes(children, "branches"), level + 1
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

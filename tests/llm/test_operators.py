@@ -252,6 +252,40 @@ def test_near_duplicates_large_groups(frame):
     assert got == brute_components(list(enumerate(texts)), 3, 85)
 
 
+def bounded_branches(monkeypatch, most):
+    """Small sizes of nodes, and a failure instead of an endless loop; counts the branchings."""
+    calls, branches = [], near_dedup.branches
+
+    def counted(*a):
+        calls.append(1)
+        assert len(calls) <= most, "nodes branch without end"
+        return branches(*a)
+
+    monkeypatch.setattr(near_dedup, "branches", counted)
+    for name, value in (("SMALL", 8), ("LARGE", 32), ("BLOCK", 16)):
+        monkeypatch.setattr(near_dedup, name, value)
+    return calls
+
+
+def test_near_duplicates_nodes_that_never_split(frame, monkeypatch):
+    base = [f"w{i}" for i in range(800)]
+    texts = [" ".join([*base[: 5 * i], f"own{i}", *base[5 * i + 1 :]]) for i in range(120)] + [f"lone {i} text of five words" for i in range(5)]
+    bounded_branches(monkeypatch, 1)
+    got = {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(frame(list(enumerate(texts))), 3, 0.85).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 85)
+
+
+def test_near_duplicates_large_nodes_of_many_components(frame, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    # 60 pairs that are links; texts of different pairs share about 0.7 and are none.
+    texts = [" ".join([*base, *(f"p{i}x{j}" for j in range(35)), *["again"] * (i % 3), f"end{k}"]) for i in range(60) for k in range(2)]
+    calls = bounded_branches(monkeypatch, 1)
+    monkeypatch.setattr(near_dedup, "LEVELS", 1)
+    got = {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(frame(list(enumerate(texts))), 3, 0.85).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 85) and calls
+    assert near_dedup.tree_count(0.85, 0) < near_dedup.tree_count(0.85, near_dedup.LEVELS)
+
+
 def test_near_duplicates_odd_rows(edges, frame):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(edges, 3, 0.85).collect()}
     assert got[5].component == got[6].component == got[4].component == 4 and got[8].component == 7
