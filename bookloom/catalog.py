@@ -427,41 +427,44 @@ ORACLE["adaptive_threshold"] = (
     + f"SELECT token, seq, {q6('e', 'entry')}, {q6('e * 0.6', 'watch')}, {q6('e * 0.5', 'exit')} FROM z"
 )
 
+
+def traded(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole engine over the whole derived book."""
+    return engine.run_batch(derived_book(spark, sf), CFG)
+
+
 @register("full_pipeline")
 def q_full(spark, sf):
-    df = engine.run_batch(derived_book(spark, sf), CFG)
+    df = traded(spark, sf)
     return df.select(*KEYS, "idx", "segment", "regime", "previous_state", "state", "composite_valid", r6("smoothed").alias("smoothed"), r6("composite_confidence").alias("confidence"), r6("entry").alias("entry"), "reason", F.array_join("reasons", "; ").alias("reasons"))
 
 
-def audit(spark: SparkSession) -> DataFrame:
-    return engine.run_batch(scenarios.scenario_rows(spark, 600), scenarios.AUDIT)
-
-
 @register("state_machine")
 def q_states(spark, sf):
-    df = audit(spark)
+    df = traded(spark, sf)
     return df.select("token", "seq", "previous_state", "state", "reason", "direction", r6("entry_price").alias("entry_price"), r6("exit_price").alias("exit_price"), "opened", "closed")
 
 
 @register("position_pnl")
 def q_pnl(spark, sf):
-    df = audit(spark).where("closed")
+    df = traded(spark, sf).where("closed")
     return df.select("token", "seq", "reason", *(r6(f"pnl.{c}").alias(c) for c in ("gross_ticks", "gross_rupees", "cost_rupees", "net_rupees", "net_bps", "holding_ms")))
 
 
 @register("scenario_audit")
 def q_audit(spark, sf):
-    return reports.scenario_report(audit(spark))
+    """Of generated rows, not of the tables: 600 of each scenario, under settings that let them trade."""
+    return reports.scenario_report(engine.run_batch(scenarios.scenario_rows(spark, 600), scenarios.AUDIT))
 
 
 @register("feature_audit")
 def q_feature_audit(spark, sf):
-    return reports.feature_report(audit(spark))
+    return reports.feature_report(traded(spark, sf))
 
 
 @register("invariants")
 def q_invariants(spark, sf):
-    return reports.invariants(audit(spark))
+    return reports.invariants(traded(spark, sf))
 
 
 @register("display_rows", "SELECT token, seq, strftime(make_timestamp((ts + 19800000) * 1000), '%H:%M:%S.%g') AS at FROM book", BOOK_SQL)

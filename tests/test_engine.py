@@ -84,6 +84,18 @@ def test_scenarios_trade_in_their_direction_and_keep_the_rules(spark):
         assert not any(v for k, v in r.asDict().items() if k != "token"), r
 
 
+def test_trading_queries_cover_the_whole_book(spark):
+    full = {(r.token, r.seq): r.state for r in catalog.QUERIES["full_pipeline"](spark, SF).collect()}
+    states = catalog.QUERIES["state_machine"](spark, SF).collect()
+    assert {(r.token, r.seq): r.state for r in states} == full and len(states) == len(full)
+    closed = {(r.token, r.seq) for r in states if r.closed}
+    assert {(r.token, r.seq) for r in catalog.QUERIES["position_pnl"](spark, SF).collect()} == closed
+    tokens = {t for t, _ in full}
+    checked = catalog.QUERIES["invariants"](spark, SF).collect()
+    assert {r.token for r in checked} == tokens and not any(v for r in checked for k, v in r.asDict().items() if k != "token")
+    assert {r.token for r in catalog.QUERIES["feature_audit"](spark, SF).collect()} == tokens
+
+
 def test_wire_messages(spark):
     good = '{"tk":"7","exchange":"13","lp":"12.9","best_5_buy_data":[{"p":"100","q":"5"},{"p":"200","q":"0"},{"p":"300","q":"2","no of orders":"0"}]}'
     rows = [("pong",), ("",), (None,), (good,), ('[{"token":"1"}]',), ('{"x":1}',)]
