@@ -1,12 +1,15 @@
 """Main text of web pages: structure first, then site templates by recurring subtrees.
 
-Pages are parsed twice. The first pass hashes every element subtree outside a page's article; Spark
-counts in how many different pages of a host each hash stands, and subtrees that recur across many
-pages of their host are its template. The second pass leaves out elements that are never article text
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) and
-template subtrees. The article element is never judged by recurrence: pages and passages are copied
-too, and a copied article is still one. Where a page has an article (or main) element, text is taken
-from there alone; otherwise from all that is left.
+Pages are parsed twice. The first pass hashes element subtrees: outside a page's article every element, inside
+an article (or main) the boxes, that is elements other than TEXTUAL ones, and in both links and spans
+that stand alone, with no words beside them. Spark counts in how many different pages of a host
+each hash stands, inside articles in how many different articles, and subtrees that recur in LEAST_PAGES
+of them are the host's template, however many pages or layouts it has. The second pass leaves out
+elements that are never article text (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) and template subtrees. An article is never judged by recurrence, nor
+is a box with over half of its article's text, and a box that recurs with the same whole article counts
+once: pages and passages are copied too, and a copied article is still one. Where a page has an article
+(or main) element, text is taken from there alone; otherwise from all that is left.
 
 Defined results: null and empty html give empty text; a null url has its own host; html of any length
 and any mistakes is read to its end, open elements end with their parents; exact copies of a page
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 
 from bookloom.llm.common import materialize, table
 
-#: A subtree is template if it stands in so many different pages of its host, and in this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.3
-#: Hosts' templates are broadcast up to so many.
-BROADCAST_HOSTS = 100_000
+#: A subtree is template if it stands in so many different pages of its host, or different articles.
+LEAST_PAGES = 5
+#: Hosts' templates are broadcast up to so many hosts; a host of more templates than the second number has them looked up page by page.
+BROADCAST_HOSTS, HOST_TEMPLATES = 100_000, 1000
 
 # Elements by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +40,8 @@ RAW = set("script style textarea title xmp iframe noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = set("head nav header footer aside form script style noscript template svg math canvas iframe object embed applet audio video button select option textarea input dialog menu title noembed noframes datalist".split())
 ARTICLE = {"article", "main"}
+#: Running text: never judged by recurrence inside an article; links and spans inside it are part of it everywhere.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 pre blockquote address dt dd li td th caption figcaption summary".split())
 CLOSES_P = set("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
@@ -63,37 +68,74 @@ def unwanted(tag: str, attributes: str) -> bool:
 
 
 class Page:
-    """One reading of a page: blocks of text, and hashes of the subtrees outside its article."""
+    """One reading of a page: blocks of text, and hashes of subtrees, each with the hash of the article around it (None outside)."""
 
     def __init__(self, source: str, template: frozenset[int] = frozenset(), hashing: bool = True):
         self.source, self.template, self.hashing = source, template, hashing
-        self.stack: list[tuple[str, int, bool, bool, int]] = []  # tag, where it begins, dropped, in an article, blocks before it
+        self.stack: list[tuple[str, int, bool, bool, int, int, int, int]] = []  # tag, where it begins, dropped, in an article; blocks, boxes, runs and pieces before it
         self.blocks: list[tuple[bool, str]] = []
         self.inline: list[str] = []
+        self.run = 0  # how many runs of inline text have ended
+        self.links: list[tuple[int, int, int, bool]] = []  # of this run: hash, pieces of inline text, in an article
         self.has_article = False
-        self.hashes: set[int] = set()
+        self.hashes: set[tuple[int, int | None]] = set()
+        self.boxes: list[tuple[int, int]] = []  # hashes in the articles that are open, and how much text they have
         self.read()
 
     def state(self) -> tuple[bool, bool]:
         return self.stack[-1][2:4] if self.stack else (False, False)
 
     def flush(self) -> None:
+        if self.links:
+            self.alone()
+        self.run += 1
         text = " ".join(html.unescape("".join(self.inline)).split())
         if text:
             self.blocks.append((self.state()[1], text))
         self.inline = []
 
     def close(self, end: int) -> None:
-        tag, begin, _, in_article, before = self.stack[-1]
+        tag, begin, dropped, in_article, before, boxes, run, piece = self.stack[-1]
         if tag not in INLINE:
             self.flush()
         self.stack.pop()
-        if self.hashing and not in_article and tag not in INLINE and tag not in ("html", "body", "head"):
-            h = xxhash.xxh64_intdigest(" ".join(self.source[begin:end].split())) - (1 << 63)
-            self.hashes.add(h)
+        if not self.hashing or dropped:
+            return
+        if tag in INLINE:
+            if tag in ("a", "span") and run == self.run and not any(x[0] in TEXTUAL for x in self.stack):
+                self.links.append((self.digest(begin, end), piece, len(self.inline), in_article))
+        elif tag in ARTICLE:
+            whole, size = self.digest(begin, end), self.amount(before)
+            self.hashes.update((h, whole) for h, n in self.boxes[boxes:] if 2 * n <= size)
+            del self.boxes[boxes:]
+        elif tag not in ("html", "body", "head") and not (in_article and tag in TEXTUAL):
+            h = self.digest(begin, end)
+            self.note(h, self.amount(before), in_article)
             if h in self.template:
                 del self.blocks[before:]
 
+    def alone(self) -> None:
+        """Judges the links and spans of a run of inline text that has no words beside them."""
+        covered = {i for _, a, b, _ in self.links for i in range(a, b)}
+        if not any(c.isalnum() for i, x in enumerate(self.inline) if i not in covered for c in x):
+            for h, a, b, in_article in self.links:
+                self.note(h, sum(map(len, self.inline[a:b])), in_article)
+                if h in self.template:
+                    self.inline[a:b] = [""] * (b - a)
+        self.links = []
+
+    def note(self, h: int, size: int, in_article: bool) -> None:
+        if in_article:
+            self.boxes.append((h, size))
+        else:
+            self.hashes.add((h, None))
+
+    def amount(self, before: int) -> int:
+        return sum(len(t) for _, t in self.blocks[before:])
+
+    def digest(self, begin: int, end: int) -> int:
+        return xxhash.xxh64_intdigest(" ".join(self.source[begin:end].split())) - (1 << 63)
+
     def read(self) -> None:
         s, at = self.source, 0
         while at < len(s):
@@ -145,7 +187,7 @@ class Page:
         dropped = dropped or unwanted(tag, attributes)
         if tag in ARTICLE and not dropped:
             self.has_article = in_article = True
-        self.stack.append((tag, begin, dropped, in_article, len(self.blocks)))
+        self.stack.append((tag, begin, dropped, in_article, len(self.blocks), len(self.boxes), self.run, len(self.inline)))
 
     def end(self, tag: str, at: int, begin: int) -> None:
         if tag not in INLINE:
@@ -167,42 +209,52 @@ def host(url: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur across many different pages of a host."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, hash, within): from (host, page, html), each page's subtrees and what each is counted by: its article, or the page."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, ids, found = [], [], []
-            for h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = [*Page(s).hashes, None]  # None stands for the page itself
-                hosts += [h] * len(got)
-                ids += [xxhash.xxh64_intdigest(s) - (1 << 63)] * len(got)
-                found += got
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["host", "page", "hash"])
+            hosts, ids, found, within = [], [], [], []
+            for h, p, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                for x, whole in Page(s).hashes:
+                    hosts.append(h)
+                    ids.append(p)
+                    found.append(x)
+                    within.append(p if whole is None else whole)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (ids, found, within))], ["host", "page", "hash", "within"])
 
-    seen = pages.select(host(url).alias("host"), F.coalesce(F.col(source), F.lit("")).alias("html")).mapInArrow(hashes, "host string, page long, hash long")
-    counted = materialize(seen.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= LEAST_PAGES) | F.col("hash").isNull()), "subtrees")
-    sizes = counted.where("hash IS NULL").select(F.col("host").alias("of"), F.col("n").alias("pages"))
-    often = counted.where("hash IS NOT NULL").join(sizes, F.col("host") == F.col("of")).where(F.col("n") >= LEAST_SHARE * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("template"))  # at most a page's subtrees / LEAST_SHARE
+    return pages.mapInArrow(hashes, "host string, page long, hash long, within long")
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", *keep: str) -> DataFrame:
     """Per row: the columns to keep, and text."""
-    found = materialize(templates(pages, url, source), "templates")
+    n, kept = len(keep), [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = pages.select(*kept, host(url).alias("host"), F.coalesce(F.col(source), F.lit("")).alias("html")).withColumn("page", F.xxhash64("html"))
+    seen = materialize(subtrees(rows.select("host", "page", "html")), "subtrees")
+    often = seen.select("host", "hash", "within").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    often = materialize(often.select(F.col("host").alias("of"), F.col("hash").alias("template")), "often")
+    # Few templates of a host go to all its pages; many are looked up for each page, so that none carries more than its own.
+    sizes = materialize(often.groupBy("of").agg(F.count(F.lit(1)).alias("size")), "hosts")
+    found = materialize(often.join(sizes.where(F.col("size") <= HOST_TEMPLATES).select(F.col("of").alias("few")), F.col("of") == F.col("few")).groupBy("of").agg(F.collect_list("template").alias("template")), "templates")
     few = found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = pages.select(*kept, host(url).alias("host"), F.coalesce(F.col(source), F.lit("")).alias("html"))
-    rows = rows.join(F.broadcast(found) if few else found, "host", "left").select(*(f"k{i}" for i in range(len(keep))), "html", "template")
+    columns = [*(f"k{i}" for i in range(n)), "html", "template"]
+    many = sizes.where(F.col("size") > HOST_TEMPLATES).select(F.col("of").alias("large"))
+    parts = [rows]
+    if many.limit(1).count():
+        large = F.col("host") == F.col("large")
+        own = often.join(many, F.col("of") == F.col("large"), "left_semi").join(seen.select("host", "page", "hash").distinct(), (F.col("of") == F.col("host")) & (F.col("template") == F.col("hash")))
+        own = own.groupBy("of", F.col("page").alias("at")).agg(F.collect_list("template").alias("template"))
+        parts = [rows.join(many, large, "left_anti"), rows.join(many, large, "left_semi").join(own, (F.col("host") == F.col("of")) & (F.col("page") == F.col("at")), "left").select(*columns)]
+    parts[0] = parts[0].join(F.broadcast(found) if few else found, F.col("host") == F.col("of"), "left").select(*columns)
+    dealt = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = len(keep)
             texts = [Page(s, frozenset(t or ()), bool(t)).text() for s, t in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], [*(f"k{i}" for i in range(n)), "text"])
 
     schema = ", ".join([f"k{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["text string"])
-    out = rows.mapInArrow(extract, schema)
+    out = dealt.mapInArrow(extract, schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text")
 
 

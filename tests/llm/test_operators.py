@@ -160,6 +160,21 @@ def test_site_template_outside_articles(spark):
     assert got == {i: f"Own words number {i * i}" for i in range(20)}
 
 
+@pytest.mark.parametrize("host_templates", [1000, 0])
+def test_site_template_inside_main_and_at_any_host_size(spark, monkeypatch, host_templates):
+    monkeypatch.setattr(html_text, "HOST_TEMPLATES", host_templates)
+    # On the first host: six layouts, each on a sixth of the pages; own words, and an article that is copied whole.
+    box = lambda k: f"<div>Box number {k}<ul><li>join us</li></ul></div>"
+    copied = "<p>This is copied as a whole</p><div>with its inset</div>"
+    page = lambda n: f"<body><main>{box(n % 6)}<p>The own words of page {n}</p><p>Same words</p><a href='/'>Start</a> | <a href='/{n}'>Link {n}</a></main></body>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(36)] + [(i, f"http://h/{i}", f"<body><div>{i}</div><article>{copied}</article></body>") for i in range(50, 60)]
+    # A host of ten pages, five of which have the notice; and running text with the same link.
+    rows += [(i, f"http://g/{i}", f"<body><p>Some {i} <a href='/'>linked</a> words</p>{'<div>Notice</div>' * (i % 2)}</body>") for i in range(100, 110)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", "page_id").collect()}
+    want = {i: f"The own words of page {i} Same words | Link {i}" for i in range(36)} | {i: "This is copied as a whole with its inset" for i in range(50, 60)} | {i: f"Some {i} linked words" for i in range(100, 110)}
+    assert got == want
+
+
 def test_html_query_columns(spark):
     df = queries.QUERIES["op5_html_extraction"](spark, SF)
     assert {"page_id", "url", "text", "n_chars"} <= set(df.columns)
