@@ -103,7 +103,7 @@ class Grammar:
         if not any(w in THREATS or self.insult(w) for w in set(_WORDS.findall(text))):
             return 0.0
         found = sorted((x for c in _CLAUSES.split(text) if c and (x := self.clause(_WORDS.findall(c)))), reverse=True)
-        return sum(x / (1 + i) for i, x in enumerate(found[:50]))
+        return sum(x / (1 + i) for i, x in enumerate(found))
 
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.evidence(text) + self.shift))))

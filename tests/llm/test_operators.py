@@ -217,6 +217,11 @@ def test_toxicity_grammar():
     assert g.evidence('she said "vorg"') < g.evidence("vorg")
 
 
+def test_toxicity_counts_all_clauses():
+    g = toxicity.Grammar({"vorg$": 4.0})
+    assert g.evidence("a vorg. " * 80) == pytest.approx(sum(4.0 / (1 + i) for i in range(80)))
+
+
 def test_toxicity_odd_rows(spark, edges, frame):
     labels = table(spark, SF, "labels")
     g = toxicity.learn(table(spark, SF, "documents"), labels)
