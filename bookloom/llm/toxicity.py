@@ -1,11 +1,11 @@
-"""Toxicity by a weighted finite-state pattern grammar over clauses.
+"""Toxicity by a weighted pattern grammar over clauses.
 
 A text is cut into clauses. Words become classes (insult, threat, target, negation, reporting, quote)
 through lexicons: fixed ones for function words in four languages, and learned ones whose entries,
-whole words or word stems of STEMS letters, carry weights of evidence from labelled documents. Five
-small transducers read a clause's classes and are composed: insults and threats add their weights,
-a target close by strengthens them, a negation before them or a reporting frame around them damps
-them. A document's score is a logistic function of what its clauses add up to.
+whole words or word stems of STEMS letters, carry weights of evidence from labelled documents. One
+hand-written scan, not a composition of transducers, reads a clause's classes: insults and threats add
+their weights, a target close by strengthens them, a negation before them or a reporting frame around
+them damps them. A document's score is a logistic function of what its clauses add up to.
 
 Labels give the learned weights and the two numbers of the logistic function; only rows whose fold
 isn't held out are used, at most MOST_LABELS of them (by a hash of the key), and a document's
@@ -56,7 +56,7 @@ def entries(word: str) -> list[str]:
 
 
 class Grammar:
-    """The composed transducers with their learned weights."""
+    """The rules of a clause with their learned weights."""
 
     def __init__(self, weights: dict[str, float], slope: float = 1.0, shift: float = 0.0):
         self.weights, self.slope, self.shift = weights, slope, shift
@@ -71,7 +71,7 @@ class Grammar:
         return w
 
     def clause(self, words: list[str]) -> float:
-        """Runs a clause through the transducers: each state is (negated since, reported, quoted, last target)."""
+        """Scans a clause; what it keeps is (negated since, reported, quoted, last target)."""
         total, negated, reported, quoted, target = 0.0, -99, False, False, -99
         waiting: list[tuple[int, float]] = []  # matches that a target behind them may still strengthen
         for i, w in enumerate(words):
