@@ -45,12 +45,6 @@ class Symbol:
     tick_size: float = 0.05
     quantity: int = 1
 
-    def __post_init__(self) -> None:
-        if not self.token.strip():
-            raise ValueError("a symbol's token is blank")
-        if self.tick_size <= 0 or self.quantity <= 0:
-            raise ValueError("tick_size and quantity must be positive")
-
 
 @dataclass(frozen=True)
 class Validation:

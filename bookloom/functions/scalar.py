@@ -16,9 +16,11 @@ def col(x: Column | str | float | int) -> Column:
 
 
 def clamp(x, low: float, high: float) -> Column:
+    """x within the bounds; null stays null, which least and greatest alone would pass over."""
     if low > high:
         raise ValueError(f"clamp bounds are inverted: {low} > {high}")
-    return F.least(F.greatest(col(x), F.lit(float(low))), F.lit(float(high)))
+    x = col(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def clamp_unit(x) -> Column:
@@ -35,20 +37,20 @@ def sign(x, deadband: float = 0.0) -> Column:
     return F.when(col(x) > deadband, 1).when(col(x) < -deadband, -1).otherwise(0)
 
 
-def to_ticks(price, tick: float) -> Column:
-    return safe_div(price, F.lit(float(tick)))
+def to_ticks(price, tick) -> Column:
+    return safe_div(price, col(tick))
 
 
-def from_ticks(ticks, tick: float) -> Column:
-    return col(ticks) * float(tick)
+def from_ticks(ticks, tick) -> Column:
+    return col(ticks) * col(tick)
 
 
-def bps_to_ticks(bps, mid, tick: float) -> Column:
-    return safe_div(col(bps) / 10_000.0 * col(mid), F.lit(float(tick)))
+def bps_to_ticks(bps, mid, tick) -> Column:
+    return safe_div(col(bps) / 10_000.0 * col(mid), col(tick))
 
 
-def ticks_to_bps(ticks, mid, tick: float) -> Column:
-    return safe_div(col(ticks) * float(tick) * 10_000.0, mid)
+def ticks_to_bps(ticks, mid, tick) -> Column:
+    return safe_div(col(ticks) * col(tick) * 10_000.0, mid)
 
 
 def ema_alpha(dt, half_life: float, most_dt: float) -> Column:
@@ -74,13 +76,13 @@ def log_ratio(n, d, offset: float = 1.0) -> Column:
     return F.ln((F.greatest(col(n), zero) + offset) / (F.greatest(col(d), zero) + offset))
 
 
-def round_to_tick(price, tick: float) -> Column:
+def round_to_tick(price, tick) -> Column:
     """The nearest multiple of the tick, halves to even, at 6 decimals."""
-    return F.bround(F.rint(col(price) / float(tick)) * float(tick), 6)
+    return F.bround(F.rint(col(price) / col(tick)) * col(tick), 6)
 
 
-def is_tick_aligned(price, tick: float, tolerance: float = 1e-6) -> Column:
-    steps = col(price) / float(tick)
+def is_tick_aligned(price, tick, tolerance: float = 1e-6) -> Column:
+    steps = col(price) / col(tick)
     return F.abs(steps - F.rint(steps)) <= tolerance
 
 

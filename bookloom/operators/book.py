@@ -8,41 +8,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookloom.config import Engine
-from bookloom.functions.scalar import clamp, clamp_unit, is_tick_aligned, linear_scale, safe_div, sign
+from bookloom.functions.scalar import clamp, is_tick_aligned, linear_scale, safe_div
 
 
-def level_faults(side: str, descending: bool) -> Column:
-    """The first fault of a ladder in level order, or null."""
-    worse = (lambda x, before: x >= before) if descending else (lambda x, before: x <= before)
+#: Levels of a ladder on each side; a longer one is malformed.
+LEVELS = 5
+
+# Ladder arithmetic is SQL text written out level by level, so that it is compiled. HotSpot leaves methods of over
+# 8000 bytes uncompiled, and whole-stage code puts a projection into one method: a projection of much
+# arithmetic therefore holds a lambda (see `leading`), which makes Spark compile each of its expressions apart.
+
+
+def at(side: str, i: int, field: str) -> str:
+    return f"get({side}, {i}).{field}"
 
-    def fault(x, i):
-        before = F.get(F.col(side), i - 1)["price_paise"]
-        return (
-            F.when(x["quantity"] < 0, "NEGATIVE_QUANTITY").when(x["orders"] < 0, "NEGATIVE_ORDERS").when((x["price_paise"] <= 0) & (x["quantity"] > 0), "INVALID_PRICE").when((i > 0) & worse(x["price_paise"], before), "UNSORTED_DEPTH")
-        )
 
-    return F.get(F.filter(F.transform(side, fault), lambda x: x.isNotNull()), 0)
+def instruments(raw: DataFrame, cfg: Engine) -> DataFrame:
+    """Adds tick and lot: each instrument's tick size and quantity from its settings, else the engine's. The settings are a small table by construction and are broadcast."""
+    tick, lot = F.lit(float(cfg.tick_size)), F.lit(int(cfg.quantity)).cast("long")
+    if all((s.tick_size, s.quantity) == (cfg.tick_size, cfg.quantity) for s in cfg.symbols):
+        return raw.withColumns({"tick": tick, "lot": lot})
+    own = raw.sparkSession.createDataFrame([(s.token, float(s.tick_size), int(s.quantity)) for s in cfg.symbols], "__of string, __tick double, __lot bigint")
+    raw = raw.join(F.broadcast(own), F.col("token") == F.col("__of"), "left")
+    return raw.withColumns({"tick": F.coalesce("__tick", tick), "lot": F.coalesce("__lot", lot)}).drop("__of", "__tick", "__lot")
+
+
+def level_faults(side: str, descending: bool) -> Column:
+    """The first fault of a ladder in level order, or null."""
+    worse = ">=" if descending else "<="
+    fault = f"CASE WHEN x.quantity < 0 THEN 'NEGATIVE_QUANTITY' WHEN x.orders < 0 THEN 'NEGATIVE_ORDERS' WHEN x.price_paise <= 0 AND x.quantity > 0 THEN 'INVALID_PRICE' WHEN i > 0 AND x.price_paise {worse} get({side}, i - 1).price_paise THEN 'UNSORTED_DEPTH' END"
+    return F.expr(f"get(filter(transform({side}, (x, i) -> {fault}), x -> x IS NOT NULL), 0)")
 
 
 def structural(raw: DataFrame, cfg: Engine) -> DataFrame:
-    """Adds mid, spread, spread_ticks and structural_reason: the first check that a snapshot fails on its own, or null."""
-    v, tick = cfg.validation, cfg.tick_size
+    """Adds tick, lot, mid, spread, spread_ticks and structural_reason: the first check that a snapshot fails on its own, or null."""
+    v, tick = cfg.validation, F.col("tick")
     bid, ask = F.get("bids", 0), F.get("asks", 0)
-    raw = raw.withColumn("mid", (bid["price"] + ask["price"]) / 2).withColumn("spread", ask["price"] - bid["price"]).withColumn("spread_ticks", (ask["price"] - bid["price"]) / tick)
+    raw = instruments(raw, cfg).withColumns({"mid": (bid["price"] + ask["price"]) / 2, "spread": ask["price"] - bid["price"], "spread_ticks": (ask["price"] - bid["price"]) / tick})
     empty = lambda side: F.coalesce(F.size(side), F.lit(0)) <= 0
-    reason = (
-        F.when(empty("bids") | empty("asks"), "MISSING_L1").when((F.size("bids") > 5) | (F.size("asks") > 5), "MALFORMED_PAYLOAD").when(bid["quantity"] == 0, "ZERO_BID").when(ask["quantity"] == 0, "ZERO_ASK")
-        .when(level_faults("bids", True).isNotNull(), level_faults("bids", True)).when(level_faults("asks", False).isNotNull(), level_faults("asks", False))
-        .when((bid["price"] < v.min_price) | (ask["price"] < v.min_price), "INVALID_PRICE")
-    )
+    touch = F.when(empty("bids") | empty("asks"), "MISSING_L1").when((F.size("bids") > LEVELS) | (F.size("asks") > LEVELS), "MALFORMED_PAYLOAD").when(bid["quantity"] == 0, "ZERO_BID").when(ask["quantity"] == 0, "ZERO_ASK")
+    prices = F.when((bid["price"] < v.min_price) | (ask["price"] < v.min_price), "INVALID_PRICE")
     if v.require_tick_alignment:
-        reason = reason.when(~is_tick_aligned(bid["price"], tick) | ~is_tick_aligned(ask["price"], tick), "TICK_MISALIGNED")
-    reason = reason.when(ask["price_paise"] < bid["price_paise"], "CROSSED_BOOK")
+        prices = prices.when(~is_tick_aligned(bid["price"], tick) | ~is_tick_aligned(ask["price"], tick), "TICK_MISALIGNED")
+    prices = prices.when(ask["price_paise"] < bid["price_paise"], "CROSSED_BOOK")
     if not v.allow_locked_book:
-        reason = reason.when(ask["price_paise"] == bid["price_paise"], "LOCKED_BOOK")
+        prices = prices.when(ask["price_paise"] == bid["price_paise"], "LOCKED_BOOK")
     if v.require_ltp:
-        reason = reason.when(F.col("last_traded_price") <= 0, "INVALID_LTP")
-    return raw.withColumn("structural_reason", reason.when(F.col("spread_ticks") > v.max_spread_ticks, "SPREAD_TOO_WIDE"))
+        prices = prices.when(F.col("last_traded_price") <= 0, "INVALID_LTP")
+    prices = prices.when(F.col("spread_ticks") > v.max_spread_ticks, "SPREAD_TOO_WIDE")
+    if "gap_notice" in raw.columns:
+        touch = F.coalesce(F.when(F.col("gap_notice"), "GAP_NOTICE"), touch)
+    return raw.withColumn("structural_reason", F.coalesce(touch, level_faults("bids", True), level_faults("asks", False), prices))
 
 
 def level_at(side: str, paise) -> Column:
@@ -51,50 +67,47 @@ def level_at(side: str, paise) -> Column:
 
 
 def depth(side: str, k: int) -> Column:
-    return F.aggregate(F.slice(side, 1, k), F.lit(0).cast("long"), lambda a, x: a + x["quantity"])
+    return F.expr(" + ".join(f"coalesce({at(side, i, 'quantity')}, 0)" for i in range(k)))
 
 
-def usable_levels(side: str, min_orders: int) -> Column:
+def leading(side: str, good: str) -> str:
+    """How many levels x from the top are good."""
+    return f"aggregate({side}, 0, (n, x) -> if(n >= 0 AND {good}, n + 1, if(n < 0, n, -1 - n)), n -> if(n < 0, -1 - n, n))"
+
+
+def usable_levels(side: str, min_orders: int = 0) -> Column:
     """How many levels from the top hold quantity, a price and enough orders."""
-    good = lambda x: (x["quantity"] > 0) & (x["price_paise"] > 0) & (x["orders"] >= min_orders)
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
-    return F.aggregate(side, start, lambda a, x: F.struct((a["n"] + F.when(a["on"] & good(x), 1).otherwise(0)).alias("n"), (a["on"] & good(x)).alias("on")), lambda a: a["n"])
+    return F.expr(leading(side, "x.quantity > 0 AND x.price_paise > 0" + (f" AND x.orders >= {min_orders}" if min_orders else "")))
 
 
 def weighted_mass(side: str, first: int, count: int, cfg: Engine) -> Column:
     """Quantity discounted exponentially by distance from the mid in ticks, down to the first empty level."""
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(True).alias("on"))
-
-    def step(a, x):
-        on = a["on"] & (x["quantity"] > 0) & (x["price_paise"] > 0)
-        ticks = F.abs(x["price"] - F.col("mid")) / cfg.tick_size
-        return F.struct((a["m"] + F.when(on, x["quantity"] * F.exp(-ticks / cfg.features.obi_decay_ticks)).otherwise(0.0)).alias("m"), on.alias("on"))
+    mass = "0D"
+    for i in reversed(range(first - 1, min(LEVELS, first - 1 + count))):
+        quantity, price = at(side, i, "quantity"), at(side, i, "price")
+        mass = f"CASE WHEN {quantity} > 0 AND {at(side, i, 'price_paise')} > 0 THEN {quantity} * exp(-(abs({price} - mid) / tick) / {float(cfg.features.obi_decay_ticks)}D) + {mass} ELSE 0D END"
+    return F.expr(mass)
 
-    return F.aggregate(F.slice(side, first, count), start, step, lambda a: a["m"])
 
+def ols_sums(side: str, good: str, logs: str, levels: int) -> Column:
+    """struct(n, x, y, xx, xy): sums over the good levels of distance x from the best price in ticks and y = ln(quantity + 1). good: how many there are, logs: the logarithms' columns."""
+    use = range(min(LEVELS, levels))
+    d = [f"(abs({at(side, i, 'price')} - {at(side, 0, 'price')}) / tick)" for i in use]
+    total = lambda values: " + ".join(f"CASE WHEN {good} > {i} THEN {v} ELSE 0D END" for i, v in enumerate(values))
+    x, y, xx, xy = total(d), total([f"{logs}{i}" for i in use]), total([f"{v} * {v}" for v in d]), total([f"{v} * {logs}{i}" for i, v in enumerate(d)])
+    return F.expr(f"named_struct('n', CAST(least({good}, {len(use)}) AS DOUBLE), 'x', {x}, 'y', {y}, 'xx', {xx}, 'xy', {xy})")
 
-def ols_slope(side: str, cfg: Engine) -> Column:
-    """Least-squares slope of ln(quantity + 1) on distance from the best price in ticks; null under three good levels."""
-    zero = lambda n: F.lit(0.0).alias(n)
-    start = F.struct(F.lit(True).alias("on"), *map(zero, ("n", "x", "y", "xx", "xy")))
-    best = F.get(side, 0)["price"]
 
-    def step(a, x):
-        on = a["on"] & (x["quantity"] > 0) & (x["price_paise"] > 0)
-        d, y = F.abs(x["price"] - best) / cfg.tick_size, F.ln(x["quantity"] + 1.0)
-        add = lambda name, value: (a[name] + F.when(on, value).otherwise(0.0)).alias(name)
-        return F.struct(on.alias("on"), add("n", F.lit(1.0)), add("x", d), add("y", y), add("xx", d * d), add("xy", d * y))
-
-    def slope(a):
-        bottom = a["n"] * a["xx"] - a["x"] * a["x"]
-        return F.when((a["n"] >= 3) & (bottom > 0), (a["n"] * a["xy"] - a["x"] * a["y"]) / F.when(bottom > 0, bottom))
-
-    return F.aggregate(F.slice(side, 1, cfg.features.obi_deep_levels), start, step, slope)
+def slope_of(sums: str) -> str:
+    """The least-squares slope; null under three levels."""
+    bottom = f"({sums}.n * {sums}.xx - {sums}.x * {sums}.x)"
+    return f"CASE WHEN {sums}.n >= 3 AND {bottom} > 0 THEN ({sums}.n * {sums}.xy - {sums}.x * {sums}.y) / nullif({bottom}, 0D) END"
 
 
 def depth_walk(side: str, quantity) -> Column:
     """What a market order of this quantity gets: struct(price, filled, levels)."""
-    start = F.struct(F.lit(quantity).cast("long").alias("left"), F.lit(0.0).alias("paid"), F.lit(0).alias("levels"), F.lit(True).alias("on"))
+    quantity = (quantity if isinstance(quantity, Column) else F.lit(quantity)).cast("long")
+    start = F.struct(quantity.alias("left"), F.lit(0.0).alias("paid"), F.lit(0).alias("levels"), F.lit(True).alias("on"))
 
     def step(a, x):
         on = a["on"] & (a["left"] > 0) & (x["quantity"] > 0)
@@ -102,7 +115,7 @@ def depth_walk(side: str, quantity) -> Column:
         return F.struct((a["left"] - take).alias("left"), (a["paid"] + take * x["price"]).alias("paid"), (a["levels"] + on.cast("int")).alias("levels"), on.alias("on"))
 
     def done(a):
-        filled = F.lit(quantity).cast("long") - a["left"]
+        filled = quantity - a["left"]
         price = F.when(filled > 0, a["paid"] / F.when(filled > 0, filled)).otherwise(F.get(side, 0)["price"])
         return F.struct(price.alias("price"), filled.alias("filled"), a["levels"].alias("levels"))
 
@@ -111,33 +124,36 @@ def depth_walk(side: str, quantity) -> Column:
 
 def local_features(df: DataFrame, cfg: Engine) -> DataFrame:
     """Adds what depends on one snapshot alone: spread value, microprice tilt, weighted imbalance, depth slope, depth and usable levels."""
-    f = cfg.features
-    bid, ask = F.get("bids", 0), F.get("asks", 0)
-    df = df.withColumn("spread_value", linear_scale(-F.col("spread_ticks"), -f.spread_wide_ticks, -f.spread_tight_ticks))
-    size = bid["quantity"] + ask["quantity"]
-    df = df.withColumn("tilt", F.when((size > 0) & (F.col("spread") > 0), (bid["price"] * ask["quantity"] + ask["price"] * bid["quantity"]) / F.when(size > 0, size) - F.col("mid")))
-    df = df.withColumn("tilt_value", clamp_unit(F.col("tilt") / F.when(F.col("spread") > 0, F.col("spread") / 2)))
-    balance = lambda b, a: F.when(b + a > 0, (b - a) / F.when(b + a > 0, b + a))
-    df = df.withColumn("obi", balance(weighted_mass("bids", 1, f.obi_primary_levels, cfg), weighted_mass("asks", 1, f.obi_primary_levels, cfg)))
+    f, names, sides = cfg.features, df.columns, ("bids", "asks")
+    (b, a), (bq, aq) = ([at(s, 0, field) for s in sides] for field in ("price", "quantity"))
     rest = f.obi_deep_levels - f.obi_primary_levels
-    buy, sell = F.col("total_buy_quantity"), F.col("total_sell_quantity")
-    in_range = (buy > 0) & (sell > 0) & (F.greatest(buy, sell) <= f.obi_aggregate_max_ratio * F.least(buy, sell))
-    df = df.withColumn("obi_deep", balance(weighted_mass("bids", f.obi_primary_levels + 1, rest, cfg), weighted_mass("asks", f.obi_primary_levels + 1, rest, cfg)))
-    df = df.withColumn("obi_total", F.when(in_range, balance(buy, sell)))
-    agreed = lambda other, weight: F.coalesce(1 - weight * (1 - F.col(other) * F.when(F.col("obi") < 0, -1).otherwise(1)) / 2, F.lit(1.0))
-    df = df.withColumn("obi_local", clamp(agreed("obi_deep", f.obi_deep_weight) * agreed("obi_total", f.obi_aggregate_weight), 0, 1))
-
-    def decay(side):
-        one, two = F.get(side, 0), F.get(side, 1)
-        good = (one["quantity"] > 0) & (two["quantity"] > 0) & (two["price_paise"] > 0) & (two["price_paise"] != one["price_paise"])
-        return F.when(good, F.ln((two["quantity"] + 1.0) / (one["quantity"] + 1.0)) / F.when(good, F.abs(two["price"] - one["price"]) / cfg.tick_size))
-
-    df = df.withColumn("slope", decay("bids") - decay("asks")).withColumn("slope_value", F.tanh(F.col("slope") / f.slope_scale))
-    deep = F.tanh((ols_slope("bids", cfg) - ols_slope("asks", cfg)) / f.slope_scale) if f.slope_use_deep_levels else F.lit(None).cast("double")
-    df = df.withColumn("slope_deep", deep)
-    df = df.withColumn("slope_local", F.coalesce(clamp(1 - 0.4 * (1 - clamp_unit(F.col("slope_deep") * sign("slope_value"))) / 2, 0, 1), F.lit(1.0)))
-    df = df.withColumn("depth", (depth("bids", 2) + depth("asks", 2)).cast("double"))
-    return df.withColumn("usable", F.least(usable_levels("bids", cfg.quality.min_orders_per_level), usable_levels("asks", cfg.quality.min_orders_per_level)))
+    # What later columns name several times comes first, so that it is computed once.
+    first = {f"__near_{s}": weighted_mass(s, 1, f.obi_primary_levels, cfg) for s in sides} | {f"__deep_{s}": weighted_mass(s, f.obi_primary_levels + 1, rest, cfg) for s in sides}
+    first |= {f"__good_{s}": usable_levels(s) for s in sides} | {f"__log_{s}_{i}": F.expr(f"ln({at(s, i, 'quantity')} + 1D)") for s in sides for i in range(LEVELS)}
+    first["spread_value"] = linear_scale(-F.col("spread_ticks"), -f.spread_wide_ticks, -f.spread_tight_ticks)
+    first["tilt"] = F.expr(f"CASE WHEN {bq} + {aq} > 0 AND spread > 0 THEN ({b} * {aq} + {a} * {bq}) / nullif({bq} + {aq}, 0) - mid END")
+    balance = lambda x, y: f"CASE WHEN {x} + {y} > 0 THEN ({x} - {y}) / nullif({x} + {y}, 0D) END"
+
+    def decay(s: str) -> str:
+        (p0, q0, c0), (p1, q1, c1) = ([at(s, i, x) for x in ("price", "quantity", "price_paise")] for i in range(2))
+        return f"CASE WHEN {q0} > 0 AND {q1} > 0 AND {c1} > 0 AND {c1} <> {c0} THEN ln(({q1} + 1D) / ({q0} + 1D)) / nullif(abs({p1} - {p0}) / tick, 0D) END"
+
+    buy, sell = "total_buy_quantity", "total_sell_quantity"
+    second = {
+        "tilt_value": "if(tilt IS NULL, NULL, greatest(-1D, least(1D, tilt / nullif(spread / 2, 0D))))", "obi": balance("__near_bids", "__near_asks"), "obi_deep": balance("__deep_bids", "__deep_asks"),
+        "obi_total": f"CASE WHEN {buy} > 0 AND {sell} > 0 AND greatest({buy}, {sell}) <= {float(f.obi_aggregate_max_ratio)}D * least({buy}, {sell}) THEN {balance(buy, sell)} END", "slope": f"{decay('bids')} - {decay('asks')}",
+    }
+    orders = cfg.quality.min_orders_per_level
+    sums = {f"__sums_{s}": ols_sums(s, f"__good_{s}", f"__log_{s}_", f.obi_deep_levels) for s in sides}
+    df = df.withColumns(first).withColumns({k: F.expr(v) for k, v in second.items()} | sums | {"usable": F.least(usable_levels("bids", orders), usable_levels("asks", orders))})
+    agreed = lambda other, weight: f"coalesce(1 - {float(weight)}D * (1 - {other} * if(obi < 0, -1, 1)) / 2, 1D)"
+    deep = f"tanh(({slope_of('__sums_bids')} - {slope_of('__sums_asks')}) / {float(f.slope_scale)}D)" if f.slope_use_deep_levels else "CAST(NULL AS DOUBLE)"
+    df = df.withColumns({
+        "obi_local": clamp(F.expr(f"{agreed('obi_deep', f.obi_deep_weight)} * {agreed('obi_total', f.obi_aggregate_weight)}"), 0, 1), "slope_value": F.expr(f"tanh(slope / {float(f.slope_scale)}D)"),
+        "slope_deep": F.expr(deep), "depth": (depth("bids", 2) + depth("asks", 2)).cast("double"),
+    })
+    df = df.withColumn("slope_local", F.expr("coalesce(1 - 0.4D * (1 - slope_deep * sign(slope_value)) / 2, 1D)"))
+    return df.select(*names, "spread_value", "tilt", "tilt_value", "obi", "obi_deep", "obi_total", "obi_local", "slope", "slope_value", "slope_deep", "slope_local", "depth", "usable")
 
 
 def clean_sequence(df: DataFrame, cfg: Engine) -> DataFrame:
@@ -153,7 +169,7 @@ def clean_sequence(df: DataFrame, cfg: Engine) -> DataFrame:
     past = lambda c: F.lag(c).over(token)
     df = df.withColumn("idx", F.row_number().over(token).cast("long")).withColumn("p_ts", past("exchange_timestamp_ms")).withColumn("p_mid", past("mid")).withColumn("p_seq", past("sequence_number")).withColumn("p_volume", past("volume_traded_today"))
     backwards = (F.col("sequence_number") != 0) & (F.col("p_seq") != 0) & (F.col("sequence_number") < F.col("p_seq"))
-    jump = F.abs(F.col("mid") - F.col("p_mid")) / cfg.tick_size > v.max_price_gap_ticks
+    jump = F.abs(F.col("mid") - F.col("p_mid")) / F.col("tick") > v.max_price_gap_ticks
     df = df.withColumn("raw_gap", F.coalesce((F.col("exchange_timestamp_ms") - F.col("p_ts") > v.max_snapshot_gap_ms) | jump | backwards, F.lit(False)))
     run = token.rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumn("calm", F.sum((~F.col("raw_gap")).cast("int")).over(run))

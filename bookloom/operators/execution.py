@@ -12,22 +12,22 @@ from bookloom.operators.book import depth_walk
 
 def quote(side: str, buying: bool, offset_ticks, cfg: Engine) -> Column:
     """struct(price, filled): the touch or walked price, moved against us by the offset, on the tick grid, never better than the touch."""
-    touch = F.get(side, 0)["price"]
-    walked = depth_walk(side, cfg.quantity)
+    touch, tick = F.get(side, 0)["price"], F.col("tick")
+    walked = depth_walk(side, F.col("lot"))
     base = walked["price"] if cfg.execution.use_depth_walk else touch
-    filled = walked["filled"] if cfg.execution.use_depth_walk else F.lit(cfg.quantity).cast("long")
-    moved = round_to_tick(base + offset_ticks * cfg.tick_size if buying else base - offset_ticks * cfg.tick_size, cfg.tick_size)
+    filled = walked["filled"] if cfg.execution.use_depth_walk else F.col("lot")
+    moved = round_to_tick(base + offset_ticks * tick if buying else base - offset_ticks * tick, "tick")
     return F.struct((F.greatest if buying else F.least)(moved, touch).alias("price"), filled.alias("filled"))
 
 
 def entry_offset(cfg: Engine) -> Column:
     e = cfg.execution
-    return F.lit(e.entry_aggression_ticks) if e.entry_aggression_ticks is not None else bps_to_ticks(F.lit(e.entry_aggression_bps), "mid", cfg.tick_size)
+    return F.lit(e.entry_aggression_ticks) if e.entry_aggression_ticks is not None else bps_to_ticks(F.lit(e.entry_aggression_bps), "mid", "tick")
 
 
 def exit_offset(cfg: Engine) -> Column:
     e = cfg.execution
-    return F.lit(e.exit_slippage_ticks) if e.exit_slippage_ticks is not None else bps_to_ticks(F.lit(e.exit_slippage_bps), "mid", cfg.tick_size)
+    return F.lit(e.exit_slippage_ticks) if e.exit_slippage_ticks is not None else bps_to_ticks(F.lit(e.exit_slippage_bps), "mid", "tick")
 
 
 def round_trip(buy, sell, quantity, cfg: Engine) -> Column:
@@ -40,15 +40,15 @@ def round_trip(buy, sell, quantity, cfg: Engine) -> Column:
     gst = (brokerage + exchange + sebi) * e.gst_rate
     rupees = brokerage + exchange + stt + stamp + sebi + gst
     parts = {"brokerage": brokerage, "exchange": exchange, "sebi": sebi, "stt": stt, "stamp": stamp, "gst": gst, "rupees": rupees}
-    parts |= {"bps": safe_div(rupees * 10_000.0, (bought + sold) / 2), "ticks": safe_div(rupees, q * cfg.tick_size)}
+    parts |= {"bps": safe_div(rupees * 10_000.0, (bought + sold) / 2), "ticks": safe_div(rupees, q * F.col("tick"))}
     return F.struct(*(v.alias(k) for k, v in parts.items()))
 
 
 def clears_cost(cfg: Engine) -> Column:
     """Whether the target pays for costs and spread with the margin asked for."""
-    cost = round_trip(F.get("asks", 0)["price"], F.get("bids", 0)["price"], F.lit(cfg.quantity), cfg)
-    target = ticks_to_bps(F.lit(cfg.state_machine.target_ticks), "mid", cfg.tick_size)
-    return target >= (cost["bps"] + ticks_to_bps("spread_ticks", "mid", cfg.tick_size)) * cfg.execution.min_edge_multiple
+    cost = round_trip(F.get("asks", 0)["price"], F.get("bids", 0)["price"], F.col("lot"), cfg)
+    target = ticks_to_bps(F.lit(cfg.state_machine.target_ticks), "mid", "tick")
+    return target >= (cost["bps"] + ticks_to_bps("spread_ticks", "mid", "tick")) * cfg.execution.min_edge_multiple
 
 
 def profit(cfg: Engine) -> Column:
@@ -56,5 +56,5 @@ def profit(cfg: Engine) -> Column:
     d, q, entry, exit_ = F.col("direction"), F.col("quantity"), F.col("entry_price"), F.col("exit_price")
     cost = round_trip(F.when(d > 0, entry).otherwise(exit_), F.when(d > 0, exit_).otherwise(entry), q, cfg)["rupees"]
     gross = (exit_ - entry) * d * q
-    fields = {"gross_ticks": safe_div((exit_ - entry) * d, F.lit(cfg.tick_size)), "gross_rupees": gross, "cost_rupees": cost, "net_rupees": gross - cost, "net_bps": safe_div((gross - cost) * 10_000.0, entry * q), "holding_ms": F.col("clock_ms") - F.col("entry_clock_ms")}
+    fields = {"gross_ticks": safe_div((exit_ - entry) * d, F.col("tick")), "gross_rupees": gross, "cost_rupees": cost, "net_rupees": gross - cost, "net_bps": safe_div((gross - cost) * 10_000.0, entry * q), "holding_ms": F.col("clock_ms") - F.col("entry_clock_ms")}
     return F.when(exit_.isNotNull() & d.isNotNull(), F.struct(*(v.alias(k) for k, v in fields.items())))

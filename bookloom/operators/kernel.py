@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,10 @@ from bookloom.config import DIRECTIONAL, REGIME_CONFIDENCE, WEIGHTS, Engine
 LN2 = math.log(2.0)
 
 
-def run_ordered(df: DataFrame, order: str, inputs: list[str], outputs: str, start: Callable, step: Callable, keep: str = "row") -> DataFrame:
+def run_ordered(df: DataFrame, order: str, inputs: list[str | Column], outputs: str, start: Callable, step: Callable, keep: str = "row") -> DataFrame:
     """Adds step(state, *inputs) -> outputs to df, a struct column `row` with all columns of df beside `token`."""
     out = T.StructType.fromDDL(outputs)
-    packed = df.select(F.struct("*").alias(keep), F.col("token").alias("__token"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(inputs)))
+    packed = df.select(F.struct("*").alias(keep), F.col("token").alias("__token"), *((F.col(c) if isinstance(c, str) else c).alias(f"__{i}") for i, c in enumerate(inputs)))
     packed = packed.repartition("__token").sortWithinPartitions("__token", f"{keep}.{order}")
     schema = T.StructType([T.StructField(keep, df.schema), *out.fields])
     arrow = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[f.dataType.simpleString()] for f in out.fields]
@@ -42,6 +42,10 @@ def run_ordered(df: DataFrame, order: str, inputs: list[str], outputs: str, star
     return packed.mapInArrow(feed, schema)
 
 
+#: The reason of a row that isn't a snapshot but says that the feed broke before the next one.
+GAP_NOTICE = "GAP_NOTICE"
+
+
 class Ema:
     """A mean that forgets half of what it holds in each half-life; the first sample seeds it."""
 
@@ -59,7 +63,7 @@ class Ema:
         return self.value
 
 
-SEQUENCE_IN = ["structural_reason", "exchange_timestamp_ms", "clock_ms", "sequence_number", "volume_traded_today", "last_traded_price", "mid", "spread_ticks", "tilt_value", "obi", "bids", "asks"]
+SEQUENCE_IN = ["structural_reason", "exchange_timestamp_ms", "clock_ms", "sequence_number", "volume_traded_today", "last_traded_price", "mid", "spread_ticks", "tilt_value", "obi", "tick", "bids.price_paise", "bids.quantity", "asks.price_paise", "asks.quantity"]
 SEQUENCE_OUT = (
     "reject_reason string, gap boolean, forced boolean, idx bigint, segment bigint, row_no bigint, is_first boolean, dt_ms double, delta_volume bigint, ms_since_gap double, "
     "prev_bid_paise bigint, prev_bid_qty bigint, prev_ask_paise bigint, prev_ask_qty bigint, compression double, trend double, micro double, momentum double, momentum_valid boolean, "
@@ -93,11 +97,12 @@ class Sequencer:
             self.pending, self.gap_clock = True, clock
         return (reason, gap, False, *[None] * 21)
 
-    def step(self, structural, ts, clock, seq, volume, ltp, mid, spread_ticks, tilt, obi, bids, asks) -> tuple:
-        v, f, tick = self.cfg.validation, self.cfg.features, self.cfg.tick_size
+    def step(self, structural, ts, clock, seq, volume, ltp, mid, spread_ticks, tilt, obi, tick, bids, bid_sizes, asks, ask_sizes) -> tuple:
+        """bids and asks are prices in paise by level, the sizes what stands there."""
+        v, f = self.cfg.validation, self.cfg.features
         if structural is not None:
-            return self.rejected(structural, clock, False)
-        touch = (bids[0]["price_paise"], asks[0]["price_paise"], bids[0]["quantity"], asks[0]["quantity"], volume, ltp)
+            return self.rejected(structural, clock, structural == GAP_NOTICE)
+        touch = (bids[0], asks[0], bid_sizes[0], ask_sizes[0], volume, ltp)
         first, gap, dt, dv = self.before is None, False, 0.0, 0
         if not first:
             p_ts, p_seq, p_mid, p_touch = self.before
@@ -145,7 +150,7 @@ class Sequencer:
             if known:
                 drift = (ltp - reference) / tick
                 local = 0.6 if self.last_trade is None else 0.3 if ts - self.last_trade > f.ltp_stale_ms else 1.0
-        refill = self.refill(ts, dt, dv, bids, asks)
+        refill = self.refill(ts, dt, dv, (bids, bid_sizes), (asks, ask_sizes))
         self.previous = (touch[0], touch[2], touch[1], touch[3])
         since = clock - self.gap_clock if self.gap_clock is not None else None
         return (
@@ -153,14 +158,14 @@ class Sequencer:
             accel, accel is not None and self.smooth.n >= 3, drift, local, refill,
         )
 
-    def refill(self, ts: int, dt: float, dv: int, bids: list, asks: list) -> float | None:
+    def refill(self, ts: int, dt: float, dv: int, bids: tuple, asks: tuple) -> float | None:
         f = self.cfg.features
         if self.previous is None:
             self.episodes = [None, None]
             return None
         for side, ladder in enumerate((bids, asks)):
             self.scores[side] *= math.exp(-LN2 * min(max(dt, 0.0), f.max_dt_ms) / f.refill_half_life_ms)
-            episode, held = self.episodes[side], {x["price_paise"]: x["quantity"] for x in reversed(ladder)}
+            episode, held = self.episodes[side], dict(zip(reversed(ladder[0]), reversed(ladder[1]), strict=True))
             if episode is None:
                 paise, before = self.previous[2 * side], self.previous[2 * side + 1]
                 drop = before - held.get(paise, 0)
@@ -181,7 +186,7 @@ class Sequencer:
         return self.scores[0] - self.scores[1]
 
 
-DECIDE_IN = ["forced", "clock_ms", "dt_ms", "proposed", "feats", "bases", "tradable", "warming", "critical", "entry", "watch", "exit", "ltp_value", "cost_ok", "bid", "ask", "entry_long", "entry_short", "exit_long", "exit_short", "filled_long", "filled_short"]
+DECIDE_IN = ["forced", "clock_ms", "dt_ms", "proposed", "feats", "bases", "tradable", "warming", "critical", "entry", "watch", "exit", "ltp_value", "cost_ok", "bid", "ask", "entry_long", "entry_short", "exit_long", "exit_short", "filled_long", "filled_short", "tick", "lot"]
 DECIDE_OUT = (
     "regime string, dwell bigint, score double, smoothed double, composite_confidence double, composite_valid boolean, previous_state string, state string, reason string, "
     "direction int, quantity bigint, entry_price double, entry_clock_ms double, stop_price double, target_price double, exit_price double, closed boolean, opened boolean, weights array<double>, confidences array<double>, contributions array<double>"
@@ -247,7 +252,7 @@ class Decider:
                 self.held, self.dwell, self.count = proposed, 0, 0
         return self.held
 
-    def step(self, forced, clock, dt, proposed, feats, bases, tradable, warming, critical, entry, watch, exit_, ltp, cost_ok, bid, ask, entry_long, entry_short, exit_long, exit_short, filled_long, filled_short) -> tuple:
+    def step(self, forced, clock, dt, proposed, feats, bases, tradable, warming, critical, entry, watch, exit_, ltp, cost_ok, bid, ask, entry_long, entry_short, exit_long, exit_short, filled_long, filled_short, tick, lot) -> tuple:
         if forced:
             self.restart()
         raw, confidence, valid, weights, sures, parts = composite(self.regime(proposed), feats, bases, self.cfg)
@@ -272,10 +277,10 @@ class Decider:
             reason = self.flat(valid, tradable, warming, sign, abs(score), sure, clock, entry, watch, ltp, cost_ok)
             if reason == "entry":
                 opened = True
-                s, tick = self.cfg.state_machine, self.cfg.tick_size
+                s = self.cfg.state_machine
                 paid, filled = (entry_long, filled_long) if sign > 0 else (entry_short, filled_short)
                 grid = lambda p: round(round(p / tick) * tick, 6)
-                held = self.position = (sign, filled if filled > 0 else self.cfg.quantity, paid, clock, grid(paid - sign * s.stop_ticks * tick), grid(paid + sign * s.target_ticks * tick))
+                held = self.position = (sign, filled if filled > 0 else lot, paid, clock, grid(paid - sign * s.stop_ticks * tick), grid(paid + sign * s.target_ticks * tick))
                 self.state, self.confirmed = OPEN[sign], 0
         shown = held or (None,) * 6
         return (self.held, self.dwell, raw if valid else 0.0, smoothed, confidence if confidence is not None else 0.0, valid, was, self.state, reason, *shown, price, closed, opened, weights, sures, parts)

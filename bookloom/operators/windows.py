@@ -57,10 +57,10 @@ def shared_statistics(df: DataFrame, cfg: Engine) -> DataFrame:
     """Adds the statistics that several scores read; needs the columns of a sequenced stream with its local features."""
     c, t, r, f = cfg.confidence, cfg.threshold, cfg.regime, cfg.features
     order = W.partitionBy("token", "segment").orderBy("seq")
-    df = df.withColumn("mid_ticks", F.col("mid") / cfg.tick_size)
+    df = df.withColumn("mid_ticks", F.col("mid") / F.col("tick"))
     # A move counts only where it isn't a segment's first and isn't held against a row before a gap.
     df = df.withColumn("mid_move", F.when(~F.col("is_first") & (F.col("row") > 1), F.col("mid_ticks") - F.lag("mid_ticks").over(order)))
-    tick_paise = max(1, round(cfg.tick_size * 100))
+    tick_paise = F.greatest(F.lit(1.0), F.rint(F.col("tick") * 100))
     still = lambda prev, side: F.abs(F.get(side, 0)["price_paise"] - F.coalesce(F.col(prev)["price_paise"], F.lit(0))) <= tick_paise
     df = df.withColumn("touch_still", F.when(~F.col("is_first"), (still("prev_bid", "bids") & still("prev_ask", "asks")).cast("double")))
     df = df.withColumn("bid_kept", survival("prev_bid", "bids", f.persistence_tolerance)).withColumn("ask_kept", survival("prev_ask", "asks", f.persistence_tolerance))

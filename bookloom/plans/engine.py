@@ -11,6 +11,7 @@ and a lost executor costs one stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookloom.config import DIRECTIONAL, Engine
@@ -23,11 +24,31 @@ def subscribed(raw: DataFrame, cfg: Engine) -> DataFrame:
     return raw.where(F.col("token").isin([s.token for s in cfg.symbols])) if cfg.symbols else raw
 
 
+def with_gap_notices(raw: DataFrame, notices: DataFrame) -> DataFrame:
+    """raw with rows (token, clock_ms) that tell of breaks in the feed: the next accepted row of the token starts afresh."""
+    rows = notices.select("token", F.col("clock_ms").cast("double"), F.col("clock_ms").cast("long").alias("exchange_timestamp_ms"), F.lit(True).alias("gap_notice"))
+    return clocked(raw).unionByName(rows, allowMissingColumns=True)
+
+
+def clocked(raw: DataFrame) -> DataFrame:
+    """Adds clock_ms, when a row was received, where it's missing: the exchange's time."""
+    return raw if "clock_ms" in raw.columns else raw.withColumn("clock_ms", F.col("exchange_timestamp_ms").cast("double"))
+
+
+def arranged(raw: DataFrame) -> DataFrame:
+    """Adds seq, a row's place in its token's history, where it's missing: by arrival if the source tells it, else by clock, sequence number and content."""
+    if "seq" in raw.columns:
+        return raw
+    order = ["arrival"] if "arrival" in raw.columns else ["clock_ms", "exchange_timestamp_ms", "sequence_number", F.xxhash64("last_traded_price", "volume_traded_today", "bids", "asks")]
+    return raw.withColumn("seq", F.row_number().over(W.partitionBy("token").orderBy(*order)).cast("long")).drop("arrival")
+
+
 def sequence(raw: DataFrame, cfg: Engine) -> DataFrame:
-    """All rows with their reject_reason, and for accepted ones what the sequencing kernel adds."""
-    if "clock_ms" not in raw.columns:
-        raw = raw.withColumn("clock_ms", F.col("exchange_timestamp_ms"))
-    return kernel.sequenced(book.local_features(book.structural(subscribed(raw, cfg), cfg), cfg), cfg)
+    """All rows with their reject_reason, and for accepted ones what the sequencing kernel adds. Rows that a parser marked with parse_error are left out."""
+    if "parse_error" in raw.columns:
+        raw = raw.where("parse_error IS NULL").drop("parse_error")
+    raw = arranged(clocked(subscribed(raw, cfg)))
+    return kernel.sequenced(book.local_features(book.structural(raw, cfg), cfg), cfg)
 
 
 def scored(raw: DataFrame, cfg: Engine) -> DataFrame:

@@ -27,9 +27,8 @@ def test_query_equals_sql(spark, name):
 
 
 def row(ts, volume=100, bid=80000, ask=80005, bq=500, ltp=800.0, seq=0, structural=None):
-    level = lambda p, q: {"price_paise": p, "price": p / 100, "quantity": q, "orders": 3}
     mid = (bid + ask) / 200
-    return structural, ts, float(ts), seq, volume, ltp, mid, (ask - bid) / 5, 0.1, 0.2, [level(bid, bq)], [level(ask, 400)]
+    return structural, ts, float(ts), seq, volume, ltp, mid, (ask - bid) / 5, 0.1, 0.2, 0.05, [bid], [bq], [ask], [400]
 
 
 def test_sequencing_rules():
