@@ -472,3 +472,127 @@ def q_display(spark, sf):
     return derived_book(spark, sf).select(*KEYS, scalar.exchange_time("exchange_timestamp_ms").alias("at"))
 
 
+# Row-local rules that the derived book alone never meets: each row of it is damaged in one way, by its place.
+
+_FAULTS = 16
+_FAULT_SQL = "CASE seq % 16 WHEN 1 THEN 'MISSING_L1' WHEN 2 THEN 'MISSING_L1' WHEN 3 THEN 'MALFORMED_PAYLOAD' WHEN 4 THEN 'ZERO_BID' WHEN 5 THEN 'ZERO_ASK' WHEN 6 THEN 'NEGATIVE_QUANTITY' WHEN 7 THEN 'NEGATIVE_ORDERS' WHEN 8 THEN 'INVALID_PRICE' WHEN 9 THEN 'UNSORTED_DEPTH' WHEN 10 THEN 'UNSORTED_DEPTH' WHEN 11 THEN 'INVALID_PRICE' WHEN 12 THEN 'LOCKED_BOOK' WHEN 13 THEN CASE WHEN ask < bid THEN 'CROSSED_BOOK' ELSE 'INVALID_LTP' END WHEN 14 THEN 'SPREAD_TOO_WIDE' WHEN 15 THEN 'CROSSED_BOOK' ELSE CASE WHEN ask < bid THEN 'CROSSED_BOOK' END END"
+
+
+def damaged(df: DataFrame) -> DataFrame:
+    """The derived book with one fault in 15 of 16 rows, for the structural checks."""
+    level = lambda side, i, **other: f"named_struct('price_paise', {other.get('p', f'{side}[{i}].price_paise')}, 'price', {other.get('c', f'{side}[{i}].price')}, 'quantity', {other.get('q', f'{side}[{i}].quantity')}, 'orders', {other.get('n', f'{side}[{i}].orders')})"
+    swap = lambda side, i, **other: f"concat(slice({side}, 1, {i}), array({level(side, i, **other)}), slice({side}, {i + 2}, 5))"
+    shifted = lambda side, by: f"transform({side}, x -> named_struct('price_paise', x.price_paise + {by}, 'price', (x.price_paise + {by}) / 100D, 'quantity', x.quantity, 'orders', x.orders))"
+    gap = "(asks[0].price_paise - bids[0].price_paise)"
+    bids = {1: "slice(bids, 1, 0)", 4: swap("bids", 0, q="0L"), 6: swap("bids", 2, q="-1L"), 8: swap("bids", 4, p="0L"), 9: "concat(slice(bids, 1, 1), slice(bids, 3, 1), slice(bids, 2, 1))", 11: f"array({level('bids', 0, c='0.001D')})"}
+    asks = {2: "slice(asks, 1, 0)", 3: "concat(asks, slice(asks, 5, 1))", 5: swap("asks", 0, q="0L"), 7: swap("asks", 1, n="-1L"), 10: "concat(slice(asks, 1, 2), slice(asks, 2, 1))", 12: shifted("asks", f"(-{gap})"), 14: shifted("asks", f"(150 - {gap})"), 15: shifted("asks", f"(-5 - {gap})")}
+    pick = lambda side, cases: F.expr(f"CASE seq % {_FAULTS} " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + f" ELSE {side} END")
+    return df.withColumns({"bids": pick("bids", bids), "asks": pick("asks", asks), "last_traded_price": F.expr(f"CASE WHEN seq % {_FAULTS} = 13 THEN 0D ELSE last_traded_price END")})
+
+
+@register("structural_faults", f"SELECT token, seq, {_FAULT_SQL} AS reject_reason FROM book", BOOK_SQL)
+def q_faults(spark, sf):
+    return book.structural(damaged(derived_book(spark, sf)), CFG).select(*KEYS, F.col("structural_reason").alias("reject_reason"))
+
+
+@register("fault_histogram", f"SELECT token, reject_reason, count(*) AS n FROM (SELECT token, {_FAULT_SQL} AS reject_reason FROM book) WHERE reject_reason IS NOT NULL GROUP BY ALL", BOOK_SQL)
+def q_fault_histogram(spark, sf):
+    return reports.reject_histogram(book.structural(damaged(derived_book(spark, sf)), CFG).withColumnRenamed("structural_reason", "reject_reason"))
+
+
+@register("scalar_functions", f"SELECT o_orderkey, {q6('1 - exp(-ln(2) * least(o_orderkey % 7000, 5000) / 600.0::DOUBLE)', 'alpha')}, {q6('tanh((o_totalprice - 150000) / 100000.0::DOUBLE)', 'squashed')}, {q6('tanh((o_totalprice - 150000) / (greatest(o_orderkey % 90000, 20000) * 2.0::DOUBLE))', 'robust')}, {q6('ln((o_custkey + 1.0::DOUBLE) / (o_orderkey + 1.0::DOUBLE))', 'log_ratio')}, {q6('(o_orderkey % 41) * 0.05::DOUBLE', 'price')}, {q6('o_totalprice / 0.05::DOUBLE', 'ticks')}, CASE WHEN o_totalprice > 200000 THEN 1 WHEN o_totalprice < 100000 THEN -1 ELSE 0 END AS sg, {q6('CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_totalprice / (o_custkey % 3) END', 'ratio')}, {q6('3 / 10000.0::DOUBLE * o_totalprice / 0.05::DOUBLE', 'offset_ticks')}, {q6('12 * 0.05::DOUBLE * 10000 / o_totalprice', 'offset_bps')} FROM orders", "")
+def q_scalars(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    return o.select(
+        "o_orderkey", r6(scalar.ema_alpha(key % 7000, 600, 5000)).alias("alpha"), r6(scalar.tanh_scale(price - 150000, 100000)).alias("squashed"), r6(scalar.robust_scale(price - 150000, key % 90000, 20000, 2)).alias("robust"),
+        r6(scalar.log_ratio("o_custkey", "o_orderkey")).alias("log_ratio"), r6(scalar.from_ticks(key % 41, 0.05)).alias("price"), r6(scalar.to_ticks("o_totalprice", 0.05)).alias("ticks"), scalar.sign(price - 150000, 50000).alias("sg"),
+        r6(scalar.safe_div("o_totalprice", (F.col("o_custkey") % 3).cast("double"))).alias("ratio"), r6(scalar.bps_to_ticks(F.lit(3.0), "o_totalprice", 0.05)).alias("offset_ticks"), r6(scalar.ticks_to_bps(F.lit(12), "o_totalprice", 0.05)).alias("offset_bps"),
+    )
+
+
+_BAR = "SELECT o_orderkey, (o_orderkey % 257 - 128) / 100.0::DOUBLE AS x, (o_custkey % 101) / 100.0::DOUBLE AS t FROM orders"
+
+
+@register("score_bar", f"SELECT o_orderkey, array_to_string(list_transform(range(-12, 13), lambda i: CASE WHEN (CASE WHEN x >= 0 THEN i ELSE -i END) BETWEEN 1 AND f THEN '█' WHEN abs(i) = m THEN '|' WHEN i = 0 THEN '┃' ELSE '·' END), '') AS bar FROM (SELECT *, round_even(least(abs(x), 1) * 12, 0) AS f, least(12, greatest(1, round_even(t * 12, 0))) AS m FROM ({_BAR}))", "")
+def q_bar(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    return o.select("o_orderkey", scalar.score_bar((F.col("o_orderkey") % 257 - 128) / 100.0, (F.col("o_custkey") % 101) / 100.0).alias("bar"))
+
+
+@register("redacted", "SELECT o_orderkey, 'user=' || o_custkey || ' api_key=*** totp: *** bearer *** rest' AS line FROM orders", "")
+def q_redacted(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return o.select("o_orderkey", scalar.redacted(F.concat(F.lit("user="), "o_custkey", F.lit(" api_key=k"), "o_orderkey", F.lit(" totp: "), "o_custkey", F.lit(" bearer x."), "o_orderstatus", F.lit(" rest"))).alias("line"))
+
+
+@register("average_order_size", f"SELECT token, seq, {q6('bq[1] / (1 + floor(bq[1] / 150))', 'bid_size')}, {q6('aq[3] / (1 + floor(aq[3] / 150))', 'ask_size3')} FROM book", BOOK_SQL)
+def q_order_size(spark, sf):
+    return derived_book(spark, sf).select(*KEYS, r6(scalar.average_order_size(F.get("bids", 0))).alias("bid_size"), r6(scalar.average_order_size(F.get("asks", 2))).alias("ask_size3"))
+
+
+@register("spread_dispersion", f"SELECT token, seq, {q6(f'CASE WHEN count(spread_ticks) {over(120, True)} >= 2 THEN stddev_samp(spread_ticks) {over(120, True)} ELSE 0 END', 'dispersion')} FROM s")
+def q_dispersion(spark, sf):
+    return clean(spark, sf).select(*KEYS, r6(windows.rolling_sd("spread_ticks", 120, True)).alias("dispersion"))
+
+
+@register("rates", f"SELECT token, count(*) AS rows, {q6('count(*) * 1000.0 / (max(ts) - min(ts))', 'rate')} FROM book GROUP BY token", BOOK_SQL)
+def q_rates(spark, sf):
+    return reports.rates(derived_book(spark, sf)).select("token", "rows", r6("rate").alias("rate"))
+
+
+@register("subscriptions", "SELECT exchange_type, array_to_string(list_sort(list(DISTINCT token)), ',') AS tokens FROM (SELECT CAST(n_nationkey AS VARCHAR) AS token, CAST(n_regionkey AS INTEGER) AS exchange_type FROM nation) GROUP BY exchange_type", "")
+def q_subscriptions(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("token"), F.col("n_regionkey").cast("int").alias("exchange_type"))
+    return reports.subscriptions(n).select("exchange_type", F.array_join("tokens", ",").alias("tokens"))
+
+
+@register("merged_streams", "SELECT token, seq, ts FROM book WHERE token <> '3'", BOOK_SQL)
+def q_merged(spark, sf):
+    b = derived_book(spark, sf)
+    return reports.merged(*(b.where(F.col("token") == t) for t in ("0", "1", "2"))).select(*KEYS, F.col("exchange_timestamp_ms").alias("ts"))
+
+
+def _scenario_sql(rows: int) -> str:
+    """The two scenarios without random numbers."""
+    quantity = "CAST(greatest(1, round_even(1200 * [1.0, 0.82, 0.67, 0.55, 0.45][i]::DOUBLE * greatest(0.12::DOUBLE, 1 + {p}), 0)) AS BIGINT)"
+    side = lambda p: f"list_transform(range(1, 6), lambda i: {quantity.format(p=p)})"
+    orders = lambda q: f"list_transform(range(1, 6), lambda i: CAST(greatest(1, round_even({q}[i] / (150.0::DOUBLE + 25 * (i - 1)), 0)) AS BIGINT))"
+    return (
+        f"WITH a AS (SELECT token, d, CAST(seq AS BIGINT) AS seq, d * 0.78::DOUBLE AS p, CAST(greatest(30, 80000 + 5 * d * (seq - 1)) AS BIGINT) AS bid FROM range(1, {rows + 1}) t(seq), (VALUES ('UPWARD', 1), ('DOWNWARD', -1)) s(token, d)), "
+        f"b AS (SELECT *, bid + 5 AS ask, CASE WHEN d > 0 THEN bid + 5 ELSE bid END AS last, {side('p')} AS bq, {side('-p')} AS aq FROM a), "
+        f"c AS (SELECT *, {orders('bq')} AS bn, {orders('aq')} AS an, greatest(80005, max(last) OVER w) / 100.0::DOUBLE AS high, least(80000, min(last) OVER w) / 100.0::DOUBLE AS low FROM b WINDOW w AS (PARTITION BY token ORDER BY seq)) "
+        "SELECT token, seq, 1753500000000 + 200 * seq AS ts, bid, ask, last / 100.0::DOUBLE AS last, high, low, CAST(100000 + 120 * seq AS BIGINT) AS volume, array_to_string(bq, ',') AS bq, array_to_string(aq, ',') AS aq, array_to_string(bn, ',') AS bn, array_to_string(an, ',') AS an, 6.0::DOUBLE * list_sum(bq) AS total_buy FROM c"
+    )
+
+
+@register("scenario_rows", _scenario_sql(600), "")
+def q_scenarios(spark, sf):
+    s = scenarios.scenario_rows(spark, 600, ("UPWARD", "DOWNWARD"))
+    joined = lambda side, field: F.array_join(F.transform(side, lambda x: x[field].cast("string")), ",")
+    return s.select(
+        *KEYS, F.col("exchange_timestamp_ms").alias("ts"), F.get("bids", 0)["price_paise"].alias("bid"), F.get("asks", 0)["price_paise"].alias("ask"), F.col("last_traded_price").alias("last"), F.col("high_price").alias("high"), F.col("low_price").alias("low"),
+        F.col("volume_traded_today").alias("volume"), joined("bids", "quantity").alias("bq"), joined("asks", "quantity").alias("aq"), joined("bids", "orders").alias("bn"), joined("asks", "orders").alias("an"), F.col("total_buy_quantity").alias("total_buy"),
+    )
+
+
+@register("replayed_lines", "SELECT token, seq, CASE WHEN ask < bid THEN 'CROSSED_BOOK' END AS reject_reason, round_even((ask - bid) / 100.0::DOUBLE / CASE token WHEN '1' THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END, 6) AS spread_ticks, CASE token WHEN '1' THEN 7 ELSE 1 END AS lot FROM book WHERE token IN ('0', '1')", BOOK_SQL)
+def q_replayed(spark, sf):
+    """Recorded lines parsed back and sequenced, under settings with two tick sizes."""
+    from bookloom.config import Symbol
+
+    cfg = Engine(symbols=(Symbol("0"), Symbol("1", tick_size=0.1, quantity=7)))
+    lines = derived_book(spark, sf).select(F.col("seq").alias("arrival"), wire.to_record().alias("line"))
+    out = engine.sequence(wire.from_record(lines, "line"), cfg)
+    return out.select(*KEYS, "reject_reason", F.bround("spread_ticks", 6).alias("spread_ticks"), F.col("lot").cast("int").alias("lot"))
+
+
+@register("display_view")
+def q_view(spark, sf):
+    v = reports.view(traded(spark, sf))
+    return v.select(*(F.array_join(c, " / ").alias(c) if c in ("features", "reasons") else F.col(c) for c in v.columns))
+
+
+@register("decision_digest")
+def q_digest(spark, sf):
+    return reports.decision_digest(traded(spark, sf))

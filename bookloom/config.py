@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import math
 import os
 import types
 import typing
@@ -34,9 +35,11 @@ SENSITIVITY = {
     "acceleration": (0.5, 0.7, 1.3, 1.0, 1.2, 1.8),
     "ltp_confirmation": (0.9, 0.6, 0.7, 1.0, 0.6, 1.0),
 }
+# How much each regime trusts features.
 REGIME_CONFIDENCE = {"TREND": 1.0, "PULLBACK": 0.85, "RANGE": 0.95, "NOISE": 0.45, "UNKNOWN": 0.5}
 
 
+# The defaults of all settings below.
 @dataclass(frozen=True)
 class Symbol:
     token: str
@@ -217,12 +220,47 @@ class Engine:
     quantity: int = 1
 
 
+#: Ranges of numeric settings by the ends of their names, the first that fits: (least, most, whether the least itself is allowed).
+RANGES = (
+    (("volatility_tolerance",), 0, math.inf, False), (("max_ratio",), 1, math.inf, True), (("depth_levels", "primary_levels"), 1, 5, True), (("deep_levels",), 3, 5, True), (("regime.window",), 4, math.inf, True), (("_window",), 2, math.inf, True), (("_half_life_ms", "_scale", "_scale_ticks", "_decay_ticks", "tick_size", "_k"), 0, math.inf, False),
+    (("confidence", "tolerance", "_ratio", "consumption", "er_trend", "er_range", "min_er", "_entry", "collinear_cap", "opposition", "_weight", "relative_depth", "_rate"), 0, 1, True), 
+    (("entry_confirmations", "confirm", "min_dwell", "min_features", "warmup_snapshots", "momentum_warmup", "min_samples", ".quantity"), 1, math.inf, True), (("_aggression_ticks", "_slippage_ticks"), -math.inf, math.inf, True), (("",), 0, math.inf, True),
+)
+#: Pairs of settings of which the first must not be above the second.
+ORDERED = {
+    "Features": (("spread_tight_ticks", "spread_wide_ticks"), ("compression_fast_ms", "compression_slow_ms"), ("momentum_fast_ms", "momentum_slow_ms"), ("persistence_min_samples", "persistence_window"), ("obi_primary_levels", "obi_deep_levels")),
+    "Regime": (("fast_half_life_ms", "slow_half_life_ms"), ("er_range", "er_trend"), ("min_samples", "window")),
+    "Threshold": (("min_entry", "base"), ("base", "max_entry"), ("exit_ratio", "watch_ratio")),
+    "StateMachine": (("exit_confidence", "min_watch_confidence"), ("min_watch_confidence", "min_entry_confidence"), ("min_hold_ms", "max_hold_ms")),
+    "Validation": (("max_snapshot_gap_ms", "max_staleness_ms"),),
+}
+
+
+def checked(settings, where: str):
+    """settings, if its numbers are within RANGES and its pairs in order; else a ValueError that names the setting."""
+    for f in dataclasses.fields(settings):
+        v, name = getattr(settings, f.name), f"{type(settings).__name__.lower()}.{f.name}"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            low, high, closed = next((low, high, closed) for ends, low, high, closed in RANGES if any(name.endswith(e) for e in ends))
+            if not (low <= v <= high) or v == low and not closed or v != v:
+                raise ValueError(f"{where}.{f.name}: {v} is not in {'[' if closed else '('}{low}, {high}]")
+    for low, high in ORDERED.get(type(settings).__name__, ()):
+        if getattr(settings, low) > getattr(settings, high):
+            raise ValueError(f"{where}: {low} is above {high}")
+    if isinstance(settings, Symbol) and not settings.token.strip():
+        raise ValueError(f"{where}: a token is blank")
+    tokens = [s.token for s in getattr(settings, "symbols", ())]
+    if len(tokens) != len(set(tokens)):
+        raise ValueError(f"{where}: a token is listed twice")
+    return settings
+
+
 def build(kind: type, values: Mapping, where: str = "config"):
-    """A settings object from a mapping: unknown keys, wrong types and nulls where none are allowed are errors."""
+    """A settings object from a mapping: unknown keys, wrong types, nulls where none are allowed and numbers out of range are errors."""
     hints = typing.get_type_hints(kind)
     if unknown := set(values) - set(hints):
         raise ValueError(f"{where}: unknown keys {sorted(unknown)}")
-    return kind(**{k: coerced(v, hints[k], f"{where}.{k}") for k, v in values.items()})
+    return checked(kind(**{k: coerced(v, hints[k], f"{where}.{k}") for k, v in values.items()}), where)
 
 
 def coerced(value, hint, where: str):

@@ -92,13 +92,19 @@ def exchange_time(ms, zone: str = "Asia/Kolkata") -> Column:
     return F.when(col(ms) > 0, F.date_format(local, "HH:mm:ss.SSS")).otherwise("--:--:--.---")
 
 
-def score_bar(score, threshold, cells: int = 25) -> Column:
-    """A text gauge of a score in [-1, 1]: filled from the middle, with bars where the entry thresholds lie."""
-    middle = cells // 2
-    at = lambda x: F.rint((clamp_unit(x) + 1) / 2 * (cells - 1)).cast("int")
-    here, low, high = at(score), at(-col(threshold)), at(threshold)
-    cell = lambda i: F.when((i >= F.least(here, F.lit(middle))) & (i <= F.greatest(here, F.lit(middle))), "#").when((i == low) | (i == high), "|").otherwise(".")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell), "")
+def score_bar(score, threshold, half: int = 12) -> Column:
+    """A gauge of a score in [-1, 1]: a middle line, bars where the entry threshold lies on both sides, and blocks from the middle out to the score, over all."""
+    x = col(score)
+    filled, mark = F.rint(F.least(F.abs(x), F.lit(1.0)) * half), F.least(F.lit(float(half)), F.greatest(F.lit(1.0), F.rint(col(threshold) * half)))
+    out = lambda i: F.when(x >= 0, i).otherwise(-i)
+    cell = lambda i: F.when((out(i) >= 1) & (out(i) <= filled), "█").when(F.abs(i) == mark, "|").when(i == 0, "┃").otherwise("·")
+    return F.array_join(F.transform(F.sequence(F.lit(-half), F.lit(half)), cell), "")
+
+
+def average_order_size(level) -> Column:
+    """A level's quantity by its orders, 0 without orders."""
+    level = col(level)
+    return F.when(level["orders"] > 0, level["quantity"] / F.when(level["orders"] > 0, level["orders"])).otherwise(0.0)
 
 
 def redacted(text) -> Column:

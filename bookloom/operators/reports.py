@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookloom.config import DIRECTIONAL
+from bookloom.functions.scalar import exchange_time, score_bar
 
 
 def reject_histogram(df: DataFrame) -> DataFrame:
@@ -103,6 +104,43 @@ def invariants(out: DataFrame) -> DataFrame:
 
 
 def decision_digest(out: DataFrame) -> DataFrame:
-    """Per token: a hash of all decisions that doesn't depend on the order of rows, so no group is gathered."""
+    """Per token: a sum of hashes of all decisions, each with its place; no group is gathered, and equal rows don't cancel."""
     row = F.concat_ws("|", "idx", "state", "regime", F.format_number("smoothed", 9), F.format_number("entry", 9))
-    return out.groupBy("token").agg(F.bit_xor(F.xxhash64(row)).alias("digest"), F.count(F.lit(1)).alias("n"))
+    return out.groupBy("token").agg(F.sum(F.xxhash64(row).cast("decimal(38,0)")).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def rates(df: DataFrame, at: str = "clock_ms") -> DataFrame:
+    """Per token: rows, and rows per second of the clock (0 where no time has passed)."""
+    elapsed = F.max(at) - F.min(at)
+    return df.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.when(elapsed > 0, F.count(F.lit(1)) * 1000.0 / elapsed).otherwise(0.0).alias("rate"))
+
+
+def subscriptions(symbols: DataFrame) -> DataFrame:
+    """(exchange_type, tokens): the tokens of each exchange in order, as a feed is asked for them. symbols is a settings table."""
+    return symbols.groupBy("exchange_type").agg(F.array_sort(F.collect_set("token")).alias("tokens")).orderBy("exchange_type")
+
+
+def merged(*streams: DataFrame) -> DataFrame:
+    """Streams of several instruments as one, by time, then token and place."""
+    both = streams[0]
+    for s in streams[1:]:
+        both = both.unionByName(s, allowMissingColumns=True)
+    return both.orderBy("exchange_timestamp_ms", "token", "seq")
+
+
+def view(out: DataFrame) -> DataFrame:
+    """Engine output as text for a reader: one row per snapshot, contributions by size."""
+    sized = F.array_sort(F.transform("contributed", lambda x: F.struct((-F.abs(x["contribution"])).alias("size"), x["place"].alias("place"), x.alias("x"))))
+    features = F.transform(sized, lambda r: F.format_string("%s %+.2f w%.2f c%.2f -> %+.3f", r["x"]["name"], r["x"]["value"], r["x"]["weight"], r["x"]["confidence"], r["x"]["contribution"]))
+    bid, ask = F.get("bids", 0), F.get("asks", 0)
+    side = F.when(F.col("direction") > 0, "LONG").otherwise("SHORT")
+    held = F.format_string("%s %d @ %.2f (stop %.2f / target %.2f)", side, F.col("quantity"), F.col("entry_price"), F.col("stop_price"), F.col("target_price"))
+    pnl = F.format_string("%+.1ft gross %+.2f cost %.2f net %+.2f (%+.1fbps)", "pnl.gross_ticks", "pnl.gross_rupees", "pnl.cost_rupees", "pnl.net_rupees", "pnl.net_bps")
+    return out.select(
+        "token", "seq", exchange_time("exchange_timestamp_ms").alias("time"), "symbol", "state", "regime",
+        F.when(F.col("composite_valid"), F.format_string("%+.3f (raw %+.3f, %d features)", F.col("smoothed"), F.col("score"), F.size("contributed"))).otherwise("n/a").alias("composite"), score_bar("smoothed", "entry").alias("bar"),
+        F.format_string("entry %.3f watch %.3f exit %.3f", "entry", "watch", "exit").alias("threshold"), F.format_string("%.0f%%", F.col("composite_confidence") * 100).alias("confidence"),
+        F.when(F.col("tradable"), "OK").otherwise(F.array_join("blocks", "+")).alias("quality"), F.format_string("%d@%.2f / %.2f@%d spread %.1ft mid %.2f", bid["quantity"], bid["price"], ask["price"], ask["quantity"], F.col("spread_ticks"), F.col("mid")).alias("book"),
+        features.alias("features"), F.when(F.col("direction").isNotNull() & ~F.col("closed"), held).otherwise("flat").alias("position"), F.when(F.col("exit_price").isNotNull(), F.format_string("%.2f", "exit_price")).otherwise("-").alias("exit_price"),
+        F.when(F.col("pnl").isNotNull(), pnl).otherwise("-").alias("pnl"), "reasons",
+    )

@@ -9,12 +9,13 @@ from bookloom.sources import wire
 
 
 def read(spark: SparkSession, path: str, strict: bool = False, limit: int = 0) -> DataFrame:
-    """Raw snapshots of all lines, blank ones skipped; lines that can't be parsed keep parse_error, or fail the job if strict. limit: so many rows, by time and sequence number."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """Raw snapshots of all lines, blank ones skipped, with `arrival`: their place in the files. Lines that can't be parsed keep parse_error, or fail the job if strict. limit: the first so many rows by arrival."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("arrival")).where(F.trim("value") != "")
     rows = wire.from_record(lines, "value")
     if strict:
         rows = rows.withColumn("parse_error", F.when(F.col("parse_error").isNotNull(), F.raise_error(F.col("parse_error"))))
-    return rows.orderBy("exchange_timestamp_ms", "sequence_number").limit(limit) if limit else rows
+    return rows.orderBy("arrival").limit(limit) if limit else rows
 
 
 def write(df: DataFrame, path: str) -> None:

@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookloom.config import Composite, Confidence, Engine, Features, Quality, Regime, StateMachine, Threshold
-from bookloom.sources.derived import level
 
 SCENARIOS = ("UPWARD", "DOWNWARD", "NOISE", "RANDOM")
-# The noisy scenario's cycles, and quantities by depth.
+# The size of an order at the touch and how it grows with depth; the noisy scenario's cycles, and quantities by depth.
+ORDER_SIZE, ORDER_GROWTH = 150.0, 25.0
 STEPS, SPREADS, PROFILE = (4, -7, 6, -5, 7, -6, 3, -2), (1, 3, 2, 4, 1, 4, 2, 3), (1.0, 0.82, 0.67, 0.55, 0.45)
 LEAST_SCALE, QUANTITY, TRADE, START, TICK, FIRST_MS, STEP_MS, SEED = 0.12, 1200, 120, 80000, 5, 1_753_500_000_000, 200, 20260726
 
@@ -53,14 +53,22 @@ def scenario_rows(spark: SparkSession, count: int, scenarios: tuple[str, ...] =
     def ladder(best: str, step: int, pressure: Column) -> Column:
         scale = F.greatest(F.lit(LEAST_SCALE), 1 + pressure)
         jitter = lambda i: F.when(noisy | random, 0.92 + 0.16 * unit(best, i)).otherwise(1.0)
-        return F.array(*(level(F.col(best) + step * i, F.greatest(F.lit(1.0), F.rint(QUANTITY * p * scale * jitter(i)))) for i, p in enumerate(PROFILE)))
+
+        def level(i: int, share: float) -> Column:
+            quantity, paise = F.greatest(F.lit(1.0), F.rint(QUANTITY * share * scale * jitter(i))), F.col(best) + step * i
+            orders = F.greatest(F.lit(1.0), F.rint(quantity / (ORDER_SIZE + ORDER_GROWTH * i)))
+            return F.struct(paise.cast("long").alias("price_paise"), (paise / 100.0).alias("price"), quantity.cast("long").alias("quantity"), orders.cast("long").alias("orders"))
+
+        return F.array(*(level(i, share) for i, share in enumerate(PROFILE)))
 
     rows = rows.withColumn("bids", ladder("bid", -TICK, F.col("pressure"))).withColumn("asks", ladder("ask", TICK, -F.col("pressure")))
-    last = F.when(F.col("pressure") >= 0, F.col("ask")).otherwise(F.col("bid")) / 100.0
+    rows = rows.withColumn("last", F.when(F.col("pressure") >= 0, F.col("ask")).otherwise(F.col("bid")))
+    last = F.col("last") / 100.0
+    high, low = F.greatest(F.lit(START + TICK), F.max("last").over(run)) / 100.0, F.least(F.lit(START), F.min("last").over(run)) / 100.0
     total = lambda side: 6.0 * F.aggregate(side, F.lit(0).cast("long"), lambda a, x: a + x["quantity"])
     ts = (FIRST_MS + STEP_MS * F.col("seq")).cast("long")
     return rows.select(
         "token", F.col("token").alias("symbol"), F.lit(1).alias("exchange_type"), ts.alias("exchange_timestamp_ms"), F.col("seq").alias("sequence_number"), last.alias("last_traded_price"), F.col("traded").alias("last_traded_quantity"),
         ((F.col("bid") + F.col("ask")) / 200.0).alias("average_traded_price"), F.col("volume").alias("volume_traded_today"), total("bids").alias("total_buy_quantity"), total("asks").alias("total_sell_quantity"),
-        F.lit(START / 100).alias("open_price"), F.lit(START / 100).alias("high_price"), F.lit(START / 100).alias("low_price"), F.lit(START / 100).alias("close_price"), "bids", "asks", "seq", ts.cast("double").alias("clock_ms"),
+        F.lit(START / 100).alias("open_price"), high.alias("high_price"), low.alias("low_price"), F.lit(START / 100).alias("close_price"), "bids", "asks", "seq", ts.cast("double").alias("clock_ms"),
     )

@@ -53,8 +53,9 @@ def first_present(m: Column, field: str) -> Column:
 
 
 def as_int(x: Column, default: int = 0) -> Column:
-    """'12.7' is 12; true, false and bad text are the default."""
-    return F.coalesce(F.trim(x).try_cast("double").try_cast("bigint"), F.lit(default).cast("bigint"))
+    """'12.7' is 12, whole numbers keep all their digits; true, false and bad text are the default."""
+    text = F.trim(x)
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def as_float(x: Column) -> Column:
@@ -81,11 +82,13 @@ def ranked(levels: Column, descending: bool) -> Column:
 
 
 def parse(df: DataFrame, payload: str) -> DataFrame:
-    """Raw snapshots from text payloads, one row per message in each; heartbeats give none. Adds parse_error."""
+    """Raw snapshots from text payloads, one row per message in each; heartbeats, and maps without any token key (control frames), give none. Adds parse_error."""
     text = F.trim(F.col(payload))
     one = F.when(text.startswith("{"), F.array(F.from_json(text, "map<string,string>"))).otherwise(F.from_json(text, "array<map<string,string>>"))
     df = df.where(~heartbeat(payload)).withColumn("__m", F.explode_outer(one))
     m = F.col("__m")
+    named = [F.map_contains_key(m, k) for k in ALIASES["token"]]
+    df = df.where(m.isNull() | named[0] | named[1] | named[2])
     get = {f: first_present(m, f) for f in ALIASES if f not in ("price", "quantity", "orders")}
     kind = as_int(get["exchange_type"], 1).cast("int")
     divisor = F.lit(100)

@@ -1 +1 @@
-"""Streaming of the order-book engine."""
+"""The sequencing kernel over streams of snapshots."""

@@ -1,0 +1,45 @@
+"""Sequencing of a stream: the batch kernel's steps, with each token's state kept between micro-batches.
+
+Rows of a token are taken in the order of `seq` inside a micro-batch, and micro-batches in the order in which
+they come; a row that comes late is held against what has been accepted before it, as the rules for time and
+volume say, and never changes earlier rows. A token's state is of bounded size (averages, two refill episodes
+and the last accepted row), so no history is kept. A row with gap_notice is no snapshot: it says that the
+feed broke, and the token's next accepted row starts afresh.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from bookloom.config import Engine
+from bookloom.operators import book
+from bookloom.operators.kernel import SEQUENCE_IN, SEQUENCE_OUT, Sequencer
+from bookloom.plans.engine import clocked, subscribed
+
+
+def sequenced_stream(raw: DataFrame, cfg: Engine) -> DataFrame:
+    """Per row of a stream of raw snapshots (with seq): token, seq and what the sequencing kernel gives (see kernel.SEQUENCE_OUT). Rows with a parse_error, if there is such a column, are left out."""
+    if "parse_error" in raw.columns:
+        raw = raw.where("parse_error IS NULL").drop("parse_error")
+    rows = book.local_features(book.structural(clocked(subscribed(raw, cfg)), cfg), cfg)
+    rows = rows.select("token", F.col("seq").cast("long").alias("seq"), *(F.col(c).alias(f"in_{i}") for i, c in enumerate(SEQUENCE_IN)))
+    names, width = ["token", "seq", *(x.split(" ")[0] for x in SEQUENCE_OUT.split(", "))], len(SEQUENCE_IN)
+
+    def plain(value):
+        return None if value is None or value is pd.NA or isinstance(value, float) and value != value else [int(x) for x in value] if hasattr(value, "__len__") and not isinstance(value, str) else value.item() if hasattr(value, "item") else value
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kernel = pickle.loads(state.get[0]) if state.exists else Sequencer(cfg)
+        batch = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        inputs = zip(*(batch[f"in_{i}"] for i in range(width)), strict=True)
+        out = [(key[0], seq, *kernel.step(*map(plain, values))) for seq, values in zip(batch["seq"].tolist(), inputs, strict=True)]
+        state.update((pickle.dumps(kernel),))
+        yield pd.DataFrame(out, columns=names).astype(object)
+
+    return rows.groupBy("token").applyInPandasWithState(step, f"token string, seq bigint, {SEQUENCE_OUT}", "kernel binary", "append", GroupStateTimeout.NoTimeout)

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (a temporary folder only where none is set, as in tests) and reads it back."""
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/bookloom-shared"
+    """Writes df under spark.checkpoint.dir and reads it back. Where none is set: a temporary folder in local mode, as in tests, and an error on a cluster."""
+    context = df.sparkSession.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/bookloom-shared"
     path = f"{base.rstrip('/')}/bookloom-engine/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from bookloom.sources import scenarios, wire
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["segment_ids", "efficiency_ratio", "feat_weighted_obi", "feat_momentum", "feat_acceleration", "adaptive_threshold", "wire_parse_ladder", "jsonl_roundtrip", "latency_percentiles_nearest_rank", "quality_gate"])
+@pytest.mark.parametrize("name", ["segment_ids", "efficiency_ratio", "feat_weighted_obi", "feat_momentum", "feat_acceleration", "adaptive_threshold", "wire_parse_ladder", "jsonl_roundtrip", "latency_percentiles_nearest_rank", "quality_gate", "structural_faults", "scalar_functions", "scenario_rows", "replayed_lines", "score_bar"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem"):
@@ -97,13 +97,63 @@ def test_trading_queries_cover_the_whole_book(spark):
 
 def test_wire_messages(spark):
     good = '{"tk":"7","exchange":"13","lp":"12.9","best_5_buy_data":[{"p":"100","q":"5"},{"p":"200","q":"0"},{"p":"300","q":"2","no of orders":"0"}]}'
-    rows = [("pong",), ("",), (None,), (good,), ('[{"token":"1"}]',), ('{"x":1}',)]
-    got = wire.parse(spark.createDataFrame(rows, "payload string"), "payload").select("token", "exchange_type", "bids", "parse_error", "last_traded_price").collect()
+    rows = [("pong",), ("",), (None,), (good,), ('[{"token":"1"}]',), ('{"x":1}',), ('{"tk":" "}',), ('{"token":"8","v":"9007199254740993","best_5_buy_data":[{"p":1,"q":1}]}',)]
+    got = wire.parse(spark.createDataFrame(rows, "payload string"), "payload").select("token", "exchange_type", "bids", "parse_error", "last_traded_price", "volume_traded_today").collect()
     by = {r.token: r for r in got}
-    assert by["1"].parse_error == "no depth" and by[None].parse_error == "no token"
+    assert len(got) == 4  # a map without a token key is a control frame
+    assert by["8"].volume_traded_today == 9007199254740993
+    assert by["1"].parse_error == "no depth" and by[""].parse_error == "no token"
     assert by["7"].exchange_type == 13 and [x.quantity for x in by["7"].bids][:1] and by["7"].last_traded_price == 12.9 / 10_000_000
 
 
+def test_replayed_lines_equal_direct_rows(spark, tmp_path):
+    """Lines that were recorded and replayed give what the rows give, with two tick sizes in one table and a notice of a gap."""
+    from pyspark.sql import functions as F
+
+    from bookloom.sources import jsonl
+
+    cfg = config.build(Engine, {"symbols": [{"token": "UPWARD"}, {"token": "DOWNWARD", "tick_size": 0.1, "quantity": 3}]})
+    rows = scenarios.scenario_rows(spark, 120, ("UPWARD", "DOWNWARD"))
+    jsonl.write(rows, f"{tmp_path}/lines")
+    back = jsonl.read(spark, f"{tmp_path}/lines", strict=True)
+    keys = ("token", "sequence_number", "reject_reason", "segment", "spread_ticks", "tick", "lot")
+    tell = lambda df: sorted((tuple(r[k] for k in keys) for r in engine.sequence(df, cfg).select(*keys).collect()), key=repr)
+    got = tell(back)
+    assert got == tell(rows) and len(got) == 240
+    assert {(r[0], r[5], r[6], round(r[4], 6)) for r in got} == {("UPWARD", 0.05, 1, 1.0), ("DOWNWARD", 0.1, 3, 0.5)}
+    notice = rows.where("seq = 50").select("token", (F.col("clock_ms") + 1).alias("clock_ms"))
+    cut = tell(engine.with_gap_notices(rows.drop("seq"), notice))
+    assert [r[3] for r in cut if r[0] == "UPWARD" and r[1] in (50, 51, 52)] == [0, 1, 1] and sum(r[2] == "GAP_NOTICE" for r in cut) == 2
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Two micro-batches of recorded lines, with a gap notice between, against one batch."""
+    from pyspark.sql import functions as F
+
+    from bookloom.schema import RAW
+    from bookloom.streaming.sequence import sequenced_stream
+
+    rows = engine.clocked(scenarios.scenario_rows(spark, 60, ("UPWARD", "NOISE")).drop("clock_ms"))
+    notice = spark.createDataFrame([("UPWARD", 31, 1_753_500_006_100.0)], "token string, seq bigint, clock_ms double").withColumn("exchange_timestamp_ms", F.col("clock_ms").cast("long")).withColumn("gap_notice", F.lit(True))
+    both = rows.withColumn("seq", F.col("seq") + F.when(F.col("seq") > 30, 1).otherwise(0)).unionByName(notice, allowMissingColumns=True)
+    for i, part in enumerate(("seq <= 30", "seq > 30")):
+        both.where(part).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    source = spark.readStream.schema(f"{RAW}, seq bigint, clock_ms double, gap_notice boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = sequenced_stream(source, Engine()).writeStream.format("memory").queryName("sequenced").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    keys = ("token", "seq", "reject_reason", "forced", "segment", "dt_ms", "trend", "refill", "momentum")
+    tell = lambda df: sorted((tuple(r[k] for k in keys) for r in df.select(*keys).collect()), key=repr)
+    got = tell(spark.table("sequenced"))
+    assert got == tell(engine.sequence(both, Engine())) and len(got) == 121
+    assert [r[4] for r in got if r[0] == "UPWARD" and r[1] in (30, 32)] == [0, 1]
+
+
+@pytest.mark.parametrize("bad", [{"quality": {"min_depth_levels": 6}}, {"threshold": {"min_entry": 0.9}}, {"composite": {"min_confidence": 1.5}}, {"regime": {"window": 3}}, {"symbols": [{"token": " "}]}, {"symbols": [{"token": "1"}, {"token": "1"}]}, {"tick_size": 0}, {"features": {"spread_tight_ticks": 7}}])
+def test_settings_out_of_range(bad):
+    with pytest.raises(ValueError):
+        config.build(Engine, bad)
+
+
 def test_strict_settings():
     with pytest.raises(ValueError, match="unknown keys"):
         config.build(Engine, {"qualty": {}})
