@@ -11,7 +11,7 @@ All statistics of hosts and paths are grouped sums over all documents; only labe
 bound (MOST_LABELS, chosen by a hash of the key) to fit the classifier.
 
 Defined results: null and empty texts are rejected by their own evidence (score 0); a null host or
-path is a site of its own; labels that are null or of unknown documents are left out; without labels
+path is a site of its own; labels that are null or of unknown documents are left out, of several for one key the lowest counts; without labels
 of both kinds all evidence is even and every document with words is kept; texts of any length are
 read whole; repeated rows each give a row; other columns are kept by `accepted`.
 """
@@ -126,7 +126,7 @@ def measured(rows: DataFrame, keep: list[str], f, schema: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Classifier:
-    train = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropDuplicates(["key"])
+    train = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).groupBy("key").agg(F.min("label").alias("label"))
     n = train.count()
     if n > MOST_LABELS:
         train = train.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1e6 * MOST_LABELS / n))

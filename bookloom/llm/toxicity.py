@@ -2,17 +2,21 @@
 
 A text is cut into clauses. Words become classes (insult, threat, target, negation, reporting, quote)
 through lexicons: fixed ones for function words in four languages, and learned ones whose entries,
-whole words or word stems of STEMS letters, carry weights of evidence from labelled documents. One
-hand-written scan, not a composition of transducers, reads a clause's classes: insults and threats add
-their weights, a target close by strengthens them, a negation before them or a reporting frame around
-them damps them. A document's score is a logistic function of what its clauses add up to.
+whole words or word stems of STEMS letters, carry weights of evidence from labelled documents. Five
+finite-state transducers, each a table of (state, class) to (state, output), read a clause's classes: insult
+and threat mark matches, target and negation tell whether one stood among the last NEAR words, reported
+speech whether a quotation after a reporting verb is open. `compose` makes one table of the five, which
+reads the clause from left to right, and the target transducer reads it from right to left as well, for
+targets behind a match. A match adds its weight, strengthened by a target on either side and damped by
+negation and reported speech. A document's score is a logistic function of what its clauses add up to.
 
 Labels give the learned weights and the two numbers of the logistic function; only rows whose fold
 isn't held out are used, at most MOST_LABELS of them (by a hash of the key), and a document's
 language, source and key never enter a score.
 
 Defined results: null and empty texts score as texts without matches; texts of any length are read
-whole; repeated rows each give a row; labels that are null, or of unknown documents, are left out;
+whole; repeated rows each give a row; labels that are null, or of unknown documents, are left out; of several labels for one key the
+toxic one counts;
 without usable labels the lexicon is empty and all scores are the prior's; other columns are ignored.
 """
 
@@ -22,6 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,9 +46,10 @@ HELD_OUT, FOLDS, CUT = 2, 4, 0.3
 # Function words of the grammar in English, German, French and Spanish.
 TARGETS = set("you your yours yourself he she they them him her his their those these people du dich dir euch ihr sie er ihm ihnen tu toi vous vos ton ta il elle ils elles leur tú usted ustedes ellos ellas él".split())
 NEGATIONS = set("not no never neither nor isn't aren't wasn't don't doesn't nicht kein keine keinen nie niemals weder ne pas jamais ni nunca jamás".split())
-REPORTING = set("said says say saying told tells called calls quoted wrote writes reported reports claimed sagte sagt schrieb nannte behauptete dit disait écrit appelait dijo dice escribió llamó".split())
+REPORTS = set("said says say saying told tells called calls quoted wrote writes reported reports claimed sagte sagt schrieb nannte behauptete dit disait écrit appelait dijo dice escribió llamó".split())
 THREATS = set("kill killed hurt destroy burn beat stab shoot punish töten umbringen schlagen verbrennen tuer frapper brûler matar golpear quemar".split())
-DAMP = {"negation": 0.6, "reported": 0.7, "both": 0.5}
+#: What is left of a match's weight, by (negated, in reported speech).
+DAMP = {(False, False): 1.0, (True, False): 0.6, (False, True): 0.7, (True, True): 0.5}
 TARGET_BOOST, THREAT_WEIGHT, NEAR = 1.25, 2.0, 4
 
 _CLAUSES = re.compile(r"[.!?;:\n]+")
@@ -55,52 +61,87 @@ def entries(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in STEMS if len(word) > k)]
 
 
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTING, QUOTE = CLASSES = range(7)
+
+
+class Transducer(NamedTuple):
+    """table: (state, class) to (next state, output); a word's output depends on what was read before it, and on its own class."""
+
+    start: object
+    table: dict
+
+
+def marks(of: int) -> Transducer:
+    """Whether a word is of a class."""
+    return Transducer(0, {(0, c): (0, c == of) for c in CLASSES})
+
+
+def recent(of: int) -> Transducer:
+    """Whether a word of a class stood among the NEAR words before: the state is for how many more words that holds."""
+    return Transducer(0, {(s, c): (NEAR if c == of else max(0, s - 1), s > 0) for s in range(NEAR + 1) for c in CLASSES})
+
+
+def reported() -> Transducer:
+    """Whether a quotation is open and a reporting verb has been read."""
+    return Transducer((False, False), {((told, open_), c): ((told or c == REPORTING, open_ != (c == QUOTE)), told and open_) for told in (False, True) for open_ in (False, True) for c in CLASSES})
+
+
+def compose(*parts: Transducer) -> Transducer:
+    """One transducer that does what all parts do side by side: its outputs are tuples of theirs, its states numbers, of those that can be reached."""
+    number, todo, table = {tuple(p.start for p in parts): 0}, [tuple(p.start for p in parts)], {}
+    while todo:
+        state = todo.pop()
+        for c in CLASSES:
+            steps = [p.table[s, c] for p, s in zip(parts, state, strict=True)]
+            after = tuple(s for s, _ in steps)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            table[number[state], c] = (number[after], tuple(out for _, out in steps))
+    return Transducer(0, table)
+
+
+FORWARD, BACKWARD = compose(marks(INSULT), marks(THREAT), recent(TARGET), recent(NEGATION), reported()), recent(TARGET)
+
+
 class Grammar:
-    """The rules of a clause with their learned weights."""
+    """The transducers with learned weights of words."""
 
     def __init__(self, weights: dict[str, float], slope: float = 1.0, shift: float = 0.0):
         self.weights, self.slope, self.shift = weights, slope, shift
-        self.known: dict[str, float] = {}
-
-    def insult(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            w = max((self.weights.get(x, 0.0) for x in entries(word)), default=0.0)
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def word(self, word: str) -> tuple[int, float]:
+        """Its class, and its weight as an insult."""
+        got = self.known.get(word)
+        if got is None:
+            fixed = QUOTE if word in '"“”«»' else NEGATION if word in NEGATIONS else REPORTING if word in REPORTS else TARGET if word in TARGETS else None
+            w = 0.0 if fixed else max((self.weights.get(x, 0.0) for x in entries(word)), default=0.0)
+            got = (fixed or (THREAT if word in THREATS else INSULT if w else OTHER), w)
             if len(self.known) < 500_000:
-                self.known[word] = w
-        return w
+                self.known[word] = got
+        return got
 
     def clause(self, words: list[str]) -> float:
-        """Scans a clause; what it keeps is (negated since, reported, quoted, last target)."""
-        total, negated, reported, quoted, target = 0.0, -99, False, False, -99
-        waiting: list[tuple[int, float]] = []  # matches that a target behind them may still strengthen
-        for i, w in enumerate(words):
-            if w in '"“”«»':
-                quoted = not quoted
-            elif w in NEGATIONS:
-                negated = i
-            elif w in REPORTING:
-                reported = True
-            elif w in TARGETS:
-                target = i
-                total += sum(x * (TARGET_BOOST - 1) for at, x in waiting if i - at <= NEAR)
-                waiting = []
-            else:
-                x = self.insult(w)
-                if w in THREATS:
-                    x = max(x, THREAT_WEIGHT if i - target <= NEAR else 0.0)
-                if x:
-                    near, frame = i - negated <= NEAR, reported and quoted
-                    x *= DAMP["both"] if near and frame else DAMP["negation"] if near else DAMP["reported"] if frame else 1.0
-                    total += x * (TARGET_BOOST if i - target <= NEAR else 1.0)
-                    if i - target > NEAR:
-                        waiting.append((i, x))
+        read = [self.word(w) for w in words]
+        if not any(c in (INSULT, THREAT) for c, _ in read):
+            return 0.0
+        behind, state = [], BACKWARD.start
+        for c, _ in reversed(read):
+            state, near = BACKWARD.table[state, c]
+            behind.append(near)
+        total, state = 0.0, FORWARD.start
+        for (c, weight), after in zip(read, reversed(behind), strict=True):
+            state, (insult, threat, before, negated, framed) = FORWARD.table[state, c]
+            if insult or threat:
+                x = max(weight, THREAT_WEIGHT) if threat and before else weight
+                total += x * DAMP[negated, framed] * (TARGET_BOOST if before or after else 1.0)
         return total
 
     def evidence(self, text: str) -> float:
         """The clauses' weights, each further match counting for less; bounded, so that length alone adds little."""
         text = text.lower()
-        if not any(w in THREATS or self.insult(w) for w in set(_WORDS.findall(text))):
+        if not any(self.word(w)[0] in (INSULT, THREAT) for w in set(_WORDS.findall(text))):
             return 0.0
         found = sorted((x for c in _CLAUSES.split(text) if c and (x := self.clause(_WORDS.findall(c)))), reverse=True)
         return sum(x / (1 + i) for i, x in enumerate(found))
@@ -112,7 +153,7 @@ class Grammar:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """A grammar from labelled rows outside the held-out fold: entry counts are summed in Spark, then the logistic function is fitted on evidence per document."""
     train = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT))
-    train = train.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropDuplicates(["key"])
+    train = train.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).groupBy("key").agg(F.max("label").alias("label"))
     n = train.count()
     if n > MOST_LABELS:
         train = train.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1e6 * MOST_LABELS / n))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -217,6 +218,30 @@ def test_toxicity_grammar():
     assert g.evidence('she said "vorg"') < g.evidence("vorg")
 
 
+def test_composed_transducers_equal_enumeration():
+    """Random clauses, scored by looking at all positions instead of by states."""
+    g, rng = toxicity.Grammar({"vorg$": 4.0, "kill$": 1.0}), random.Random(3)
+    kinds = ["vorg", "kill", "you", "not", "said", '"', "tree", "sky"]
+
+    def naive(words):
+        total = 0.0
+        for i, w in enumerate(words):
+            x = {"vorg": 4.0, "kill": 1.0}.get(w, 0.0)
+            near = lambda span, what: any(words[j] == what for j in span if 0 <= j < len(words))
+            before, after = near(range(i - 4, i), "you"), near(range(i + 1, i + 5), "you")
+            if w == "kill" and before:
+                x = 2.0
+            framed = "said" in words[:i] and words[:i].count('"') % 2 == 1
+            total += x * toxicity.DAMP[near(range(i - 4, i), "not"), framed] * (1.25 if before or after else 1.0)
+        return total
+
+    for _ in range(3000):
+        words = rng.choices(kinds, k=rng.randint(0, 14))
+        assert g.clause(words) == pytest.approx(naive(words)), words
+    # Two words are never one: of the 25 pairs of distances, 4 can't be reached.
+    assert len({s for s, _ in toxicity.FORWARD.table}) == (25 - 4) * 4
+
+
 def test_toxicity_counts_all_clauses():
     g = toxicity.Grammar({"vorg$": 4.0})
     assert g.evidence("a vorg. " * 80) == pytest.approx(sum(4.0 / (1 + i) for i in range(80)))
