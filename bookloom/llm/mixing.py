@@ -3,12 +3,14 @@
 Each source gets a share of the mix by its weight, at most `most` times its size; what it can't take
 is shared again by weight. A source's whole copies are certain; the rest is a sample: documents are
 ranked by random odds divided by inclusion odds, and taken in that order until their words reach the
-rest. Random numbers come from a hash of seed and key, so reruns agree.
+rest. A document's inclusion odds are those of its source (rest to what is not taken) times its size by the
+source's mean size, within 1 / SPREAD and SPREAD: long documents are likelier, in proportion to their words.
+Random numbers come from a hash of seed and key, so reruns agree.
 
 A source may hold most rows, so its order is never sorted in one task: documents fall into buckets of
-about BUCKET by their random number (the rank has the same order inside a source), words are summed
-per bucket, and only the bucket in which the target is reached is ordered row by row. Four passes
-over that bucket fill what is left with documents that fit.
+about BUCKET (at most SPREAD times that on average) by their rank, words are summed per bucket, and only the
+bucket in which the target is reached is ordered row by row. Four passes over that bucket fill what is left
+with documents that fit; what none of them fits stays open, half a document of that bucket at most.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a source, last
 in order; a null key hashes as the text 'null'; rows that agree in source, key and size are taken or
@@ -26,8 +28,10 @@ from bookloom.llm.common import materialize, table
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, SEED = 1.5, 2, 7
 BUCKET = 4096
-#: Sources are broadcast up to so many.
-BROADCAST_SOURCES = 100_000
+#: How far a document's inclusion odds may be from its source's, either way.
+SPREAD = 16
+#: Sources, and documents chosen inside buckets, are broadcast up to so many.
+BROADCAST_ROWS = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,8 +64,8 @@ def plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     s = targets(totals).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int"))
     s = s.withColumn("rest", F.col("target") - F.col("copies") * F.col("size")).withColumn("buckets", F.ceil(F.col("n") / BUCKET))
-    s = materialize(s.select("source", F.col("size").alias("source_size"), "target", "copies", "rest", "buckets"), "sources")
-    dealt = sizes.join(small(s.select(F.col("source").alias("of"), "rest", "buckets", "source_size"), s), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", bucket())
+    s = materialize(s.select("source", F.col("size").alias("source_size"), "target", "copies", "rest", "buckets", (F.col("size") / F.col("n")).alias("mean")), "sources")
+    dealt = sizes.join(small(s.select(F.col("source").alias("of"), "rest", "buckets", "source_size", "mean"), s), F.col("source").eqNullSafe(F.col("of"))).withColumn("scaled", scaled()).withColumn("bucket", bucket())
     summed = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     running = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
     reached = summed.withColumn("end", running).where(F.col("end") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("before"))).alias("at"))
@@ -69,9 +73,9 @@ def plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = materialize(s.join(reached, F.col("source").eqNullSafe(F.col("in")), "left").drop("in"), "edges")
     edges = small(s.select(F.col("source").alias("in"), "edge", "before"), s)
     units = dealt.join(edges, F.col("source").eqNullSafe(F.col("in")) & (F.col("bucket") == F.col("edge")))
-    units = units.groupBy("source", "key", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"), *(F.first(c).alias(c) for c in ("draw", "rest", "source_size", "before")))
-    odds, chance = F.col("draw") / (1 - F.col("draw")), F.col("rest") / F.col("source_size")
-    units = units.withColumn("rank", F.when(chance > 0, odds / (chance / (1 - chance)))).withColumn("left", F.col("rest") - F.col("before")).withColumn("taken", F.lit(False))
+    units = units.groupBy("source", "key", "size").agg((F.count(F.lit(1)) * F.col("size")).alias("words"), *(F.first(c).alias(c) for c in ("scaled", "rest", "source_size", "before")))
+    chance = F.col("rest") / F.col("source_size")
+    units = units.withColumn("rank", F.when(chance > 0, F.col("scaled") / (chance / (1 - chance)))).withColumn("left", F.col("rest") - F.col("before")).withColumn("taken", F.lit(False))
     order = W.partitionBy("source").orderBy(F.col("rank").asc_nulls_last(), F.col("key").asc_nulls_last(), "size")
     for _ in range(3):
         fits = ~F.col("taken") & (F.col("words") <= F.col("left"))
@@ -81,26 +85,33 @@ def plan(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     close = ~F.col("taken") & (F.col("words") < 2 * F.col("left"))
     units = units.withColumn("last", close & (F.sum(F.when(close, 1).otherwise(0)).over(order) == 1))
     chosen = units.where((F.col("taken") | F.col("last")) & (F.col("words") > 0)).select(F.col("source").alias("c_source"), F.col("key").alias("c_key"), F.col("size").alias("c_size"))
-    return s, chosen
+    return s, materialize(chosen, "chosen")
+
+
+def scaled() -> Column:
+    """Random odds by a document's odds against its source's: the rank but for a factor of the source."""
+    odds = F.col("draw") / (1 - F.col("draw"))
+    return odds / F.greatest(F.least(F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(1.0), F.lit(float(SPREAD))), F.lit(1.0 / SPREAD))
 
 
 def bucket() -> Column:
-    return F.least(F.floor(F.col("draw") * F.col("buckets")), F.col("buckets") - 1)
+    """By rank, about even where sizes are."""
+    return F.least(F.floor(F.col("scaled") / (1 + F.col("scaled")) * F.col("buckets")), F.col("buckets") - 1)
 
 
-def small(df: DataFrame, sources: DataFrame) -> DataFrame:
-    """df, a row per source, for broadcast where sources are few; else Spark joins by its own choice."""
-    return F.broadcast(df) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else df
+def small(df: DataFrame, counted: DataFrame) -> DataFrame:
+    """df, of as many rows as counted, for broadcast where these are few; else Spark joins by its own choice."""
+    return F.broadcast(df) if counted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def decided(rows: DataFrame, sources: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adds `copies` of each row to rows with source, key, size and draw, and its source's size and target. No shuffle of rows while sources are few."""
-    s = sources.select(F.col("source").alias("of"), "source_size", "target", F.col("copies").alias("whole"), "buckets", "edge")
-    rows = rows.join(small(s, sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", bucket())
+    s = sources.select(F.col("source").alias("of"), "source_size", "target", F.col("copies").alias("whole"), "buckets", "edge", "mean")
+    rows = rows.join(small(s, sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("scaled", scaled()).withColumn("bucket", bucket())
     same = F.col("source").eqNullSafe(F.col("c_source")) & F.col("key").eqNullSafe(F.col("c_key")) & (F.col("size") == F.col("c_size"))
-    rows = rows.join(small(chosen, sources), same, "left")
+    rows = rows.join(small(chosen, chosen), same, "left")
     more = F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)) | F.col("c_size").isNotNull()
-    return rows.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).drop("of", "whole", "buckets", "edge", "bucket", "c_source", "c_key", "c_size")
+    return rows.withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0)).drop("of", "whole", "buckets", "edge", "mean", "scaled", "bucket", "c_source", "c_key", "c_size")
 
 
 def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -144,16 +155,17 @@ s4 AS (SELECT *, max(CASE WHEN level < cap / w THEN level END) OVER () AS flat F
 s5 AS (SELECT source, source_size, n, CASE WHEN level < cap / w THEN flat * w ELSE cap END AS target FROM s4),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INTEGER) ELSE 0 END AS whole,
         CAST(ceil(n / {BUCKET}::DOUBLE) AS BIGINT) AS buckets FROM s5),
-b AS (SELECT d.*, s.source_size, s.target, s.whole, target - whole * s.source_size AS rest,
-        least(CAST(floor(u * buckets) AS BIGINT), buckets - 1) AS bucket
+b0 AS (SELECT d.*, s.source_size, s.target, s.whole, target - whole * s.source_size AS rest, buckets,
+        u / (1 - u) / greatest(least(CASE WHEN s.source_size > 0 THEN size / (s.source_size / n::DOUBLE) ELSE 1 END, {SPREAD}.0::DOUBLE), 1 / {SPREAD}.0::DOUBLE) AS x
       FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+b AS (SELECT *, least(CAST(floor(x / (1 + x) * buckets) AS BIGINT), buckets - 1) AS bucket FROM b0),
 g AS (SELECT source, bucket, sum(size) AS words, any_value(rest) AS rest FROM b GROUP BY source, bucket),
 r AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS stop FROM g),
 e AS (SELECT source, min(bucket) AS edge, arg_min(stop - words, bucket) AS before FROM r WHERE stop > rest GROUP BY source),
-u0 AS (SELECT b.source, doc_id, size, count(*) * size AS words, any_value(u) AS u, any_value(rest) / any_value(source_size) AS chance,
+u0 AS (SELECT b.source, doc_id, size, count(*) * size AS words, any_value(x) AS x, any_value(rest) / any_value(source_size) AS chance,
          any_value(rest) - any_value(before) AS gap
        FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.source AND bucket = edge GROUP BY b.source, doc_id, size),
-u1 AS (SELECT *, CASE WHEN chance > 0 THEN u / (1 - u) / (chance / (1 - chance)) END AS rank FROM u0),
+u1 AS (SELECT *, CASE WHEN chance > 0 THEN x / (chance / (1 - chance)) END AS rank FROM u0),
 a1 AS (SELECT *, words <= gap AND sum(CASE WHEN words <= gap THEN words ELSE 0 END) OVER o <= gap AS t1 FROM u1
        WINDOW o AS (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)),
 b1 AS (SELECT *, gap - sum(CASE WHEN t1 THEN words ELSE 0 END) OVER (PARTITION BY source) AS g1 FROM a1),

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -60,11 +61,28 @@ def test_mixing_targets_and_takes(spark):
     assert rows_of(queries.QUERIES["op1_mixing"](spark, SF)) == rows_of(queries.QUERIES["op1_mixing"](spark, SF))
 
 
+def test_mixing_inclusion_odds(frame, monkeypatch):
+    """Over seeds, documents that are nine times as long are taken oftener, as their odds of inclusion say; the target is met each time."""
+    sizes = [10 if i % 2 else 90 for i in range(400)]
+    docs = frame([(i, "w " * n, "en", "a") for i, n in enumerate(sizes)])
+    seen = Counter()
+    for seed in range(5):
+        monkeypatch.setattr(mixing, "SEED", seed)
+        rows = mixing.shares(docs).collect()
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 45
+        seen.update((r["size"], r.copies - 1) for r in rows)
+    share = {n: seen[n, 1] / (seen[n, 0] + seen[n, 1]) for n in (10, 90)}
+    odds = {n: p / (1 - p) for n, p in share.items()}
+    assert share[10] < share[90] and 4.5 < odds[90] / odds[10] < 18
+
+
 def test_mixing_odd_rows(edges, frame):
     assert mixing.shares(edges).count() == edges.count()
     mixed = mixing.mixed(edges)
     assert mixed.columns == edges.columns
     assert all(r["size"] == r.taken == 0 for r in mixing.shares(edges).where("doc_id in (1, 2, 3)").collect())
+    empty_source = frame([(1, None, "en", "b"), (2, "", "en", "b"), (3, "x y", "en", "a")])
+    assert {r.doc_id: r.taken for r in mixing.shares(empty_source).collect()}.items() >= {1: 0, 2: 0}.items()
     assert mixing.shares(frame([])).count() == mixing.mixed(frame([])).count() == 0
 
 
@@ -176,6 +194,57 @@ def test_site_template_inside_main_and_at_any_host_size(spark, monkeypatch, host
     assert got == want
 
 
+def test_templates_equal_brute_force_over_trees(spark):
+    """Random pages of nested boxes: which boxes recur is counted on the trees they were made from."""
+    rng = random.Random(5)
+    pool = [f"<div>shared {i}<div>inner {i % 3}</div></div>" for i in range(8)]
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return rng.choice(pool) if rng.random() < 0.5 else f"<div>own {rng.randrange(10**9)}</div>"
+        return ["<section>", *(tree(depth - 1) for _ in range(rng.randint(1, 3))), "</section>"]
+
+    def source(t):
+        return t if isinstance(t, str) else "".join(map(source, t))
+
+    def boxes(t):
+        if isinstance(t, str):
+            whole = [t] if t.startswith("<div>") else []
+            return whole + re.findall(r"(?<=\d)<div>inner \d</div>", t)
+        return [source(t)] + [x for c in t[1:-1] for x in boxes(c)]
+
+    def text(t, often):
+        s = source(t)
+        if s in often:
+            return []
+        if isinstance(t, str):
+            own, inner = re.match(r"<div>([^<]*)(<div>[^<]*</div>)?", t).groups()
+            return [own] + ([re.sub("<[^>]*>", "", inner)] if inner and inner not in often else [])
+        return [x for c in t[1:-1] for x in text(c, often)]
+
+    pages = [(i, f"http://{i % 2}/", tree(3)) for i in range(60)]
+    counts = Counter((u, b) for u, b, _ in {(u, b, source(t)) for _, u, t in pages for b in boxes(t)})
+    often = {u: {b for (v, b), n in counts.items() if v == u and n >= html_text.LEAST_PAGES} for u in ("http://0/", "http://1/")}
+    df = spark.createDataFrame([(i, u, f"<body>{source(t)}</body>") for i, u, t in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df, "url", "html", "page_id").collect()}
+    assert got == {i: " ".join(text(t, often[u])) for i, u, t in pages} and any(often.values())
+
+
+@pytest.mark.parametrize("piece", ["<div>", "</p>", "<p>a", "<b>x</i>", "<a href='x>", "<", "&amp;", '<a "'])
+def test_html_of_a_megabyte_takes_seconds(piece):
+    began = time.process_time()
+    html_text.Page(piece * (1_000_000 // len(piece)) + "<p>end</p>").text()
+    assert time.process_time() - began < 60
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "http://h/1", "<p hidden>no</p><p>yes</p>"), (1, "http://h/1", "<p hidden>no</p><p>yes</p>"), (None, None, "<article>a<div class='usercomments'>bad</div></article>"), (2, "http://h/2", None)]
+    df = spark.createDataFrame([(*r, "h", 1, "t") for r in rows], "page_id long, url string, html string, host string, page long, text string")
+    assert sorted(r.text for r in html_text.main_text(df, "url", "html", "page_id").collect()) == ["", "a", "yes", "yes"]
+    assert html_text.main_text(df.limit(0), "url", "html", "page_id").count() == 0
+
+
 def test_html_query_columns(spark):
     df = queries.QUERIES["op5_html_extraction"](spark, SF)
     assert {"page_id", "url", "text", "n_chars"} <= set(df.columns)
