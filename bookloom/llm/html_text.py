@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +48,13 @@ CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|overlay"
-    r"|comments?|comment-\w+|respond|disqus\w*|replies|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|signup)(?:$|[\s_-])",
+    r"|\w*comments?|comment-\w+|respond|disqus\w*|replies|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|signup)(?:$|[\s_-])",
     re.I,
 )
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<""", re.S)
+#: An odd number, whose powers tell places apart in hashes.
+BASE = 0xD6E8FEB86659FD93
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
@@ -62,16 +65,34 @@ def unwanted(tag: str, attributes: str) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMES.search(value):
+        if name == "hidden" or name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMES.search(value):
             return True
     return False
 
 
+_powers: list[np.ndarray] = []
+
+
+def prefix_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of code points times powers of an odd number, modulo 2**64, before each place; the inverses of those powers)."""
+    if not _powers or len(_powers[0]) <= len(text):
+        size = max(len(text) + 1, 1 << 16)
+        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(points * _powers[0][: len(points)], out=sums[1:])
+    return sums, _powers[1]
+
+
 class Page:
     """One reading of a page: blocks of text, and hashes of subtrees, each with the hash of the article around it (None outside)."""
 
     def __init__(self, source: str, template: frozenset[int] = frozenset(), hashing: bool = True):
-        self.source, self.template, self.hashing = source, template, hashing
+        # White space counts as one space everywhere, so that equal subtrees are equal text.
+        self.source, self.template, self.hashing = " ".join(source.split()), template, hashing
+        self.open: Counter[str] = Counter()
+        if hashing:
+            self.sums, self.inverse = prefix_hashes(self.source)
         self.stack: list[tuple[str, int, bool, bool, int, int, int, int]] = []  # tag, where it begins, dropped, in an article; blocks, boxes, runs and pieces before it
         self.blocks: list[tuple[bool, str]] = []
         self.inline: list[str] = []
@@ -99,6 +120,7 @@ class Page:
         if tag not in INLINE:
             self.flush()
         self.stack.pop()
+        self.open[tag] -= 1
         if not self.hashing or dropped:
             return
         if tag in INLINE:
@@ -134,13 +156,16 @@ class Page:
         return sum(len(t) for _, t in self.blocks[before:])
 
     def digest(self, begin: int, end: int) -> int:
-        return xxhash.xxh64_intdigest(" ".join(self.source[begin:end].split())) - (1 << 63)
+        """A hash of the source between two places, from sums over its prefixes: no element is read again for those around it."""
+        if end > begin and self.source[end - 1] == " ":
+            end -= 1
+        return (int(self.sums[end]) - int(self.sums[begin])) * int(self.inverse[begin]) % (1 << 64) ^ (end - begin) * 0x9E3779B97F4A7C15 % (1 << 64)
 
     def read(self) -> None:
-        s, at = self.source, 0
-        while at < len(s):
+        s, at, last = self.source, 0, self.source.rfind(">")
+        while at <= last:
             m = _TOKEN.search(s, at)
-            if not m:
+            if not m or m.start() > last:
                 break
             if m.start() > at and not self.state()[0]:
                 self.inline.append(s[at : m.start()])
@@ -187,11 +212,14 @@ class Page:
         dropped = dropped or unwanted(tag, attributes)
         if tag in ARTICLE and not dropped:
             self.has_article = in_article = True
+        self.open[tag] += 1
         self.stack.append((tag, begin, dropped, in_article, len(self.blocks), len(self.boxes), self.run, len(self.inline)))
 
     def end(self, tag: str, at: int, begin: int) -> None:
         if tag not in INLINE:
             self.flush()
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 while len(self.stack) > i + 1:
@@ -219,8 +247,8 @@ def subtrees(pages: DataFrame) -> DataFrame:
                 for x, whole in Page(s).hashes:
                     hosts.append(h)
                     ids.append(p)
-                    found.append(x)
-                    within.append(p if whole is None else whole)
+                    found.append(x - (1 << 63))
+                    within.append(p if whole is None else whole - (1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (ids, found, within))], ["host", "page", "hash", "within"])
 
     return pages.mapInArrow(hashes, "host string, page long, hash long, within long")
@@ -250,7 +278,7 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", *keep: s
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(s, frozenset(t or ()), bool(t)).text() for s, t in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
+            texts = [Page(s, frozenset(x + (1 << 63) for x in t or ()), bool(t)).text() for s, t in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], [*(f"k{i}" for i in range(n)), "text"])
 
     schema = ", ".join([f"k{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["text string"])
