@@ -596,3 +596,63 @@ def q_view(spark, sf):
 @register("decision_digest")
 def q_digest(spark, sf):
     return reports.decision_digest(traded(spark, sf))
+_SEGMENT = "WINDOW w AS (PARTITION BY token, segment ORDER BY seq)"
+_SLOPE = "ln((bq[2] + 1.0::DOUBLE) / (bq[1] + 1)) / (abs((bid - 5) / 100.0::DOUBLE - bp) / 0.05::DOUBLE) - ln((aq[2] + 1.0::DOUBLE) / (aq[1] + 1)) / (abs((ask + 5) / 100.0::DOUBLE - ap) / 0.05::DOUBLE)"
+_SENSITIVE = {"microprice": "1", "weighted_obi": "obi_local", "depth_slope": "slope_local", "queue_persistence": "1", "refill": "1", "momentum": "1", "acceleration": "1", "ltp_confirmation": "ltp_local"}
+_FROM_ROW = {"microprice": "true", "weighted_obi": "true", "depth_slope": "true", "queue_persistence": "kept >= 10 AND p_bid IS NOT NULL", "refill": "rn >= 2", "momentum": "rn >= 6", "acceleration": "rn >= 9", "ltp_confirmation": "rn >= 2"}
+
+
+def _confidence_sql() -> str:
+    from bookloom.config import FACTORS, SENSITIVITY
+
+    bases = ", ".join(f"CASE WHEN {_FROM_ROW[n]} THEN round(exp({' + '.join(f'{w}::DOUBLE * ln(f_{k})' for w, k in zip(SENSITIVITY[n], FACTORS, strict=True))}) * greatest(0, least(1, {local_})), 6) + 0.0::DOUBLE END AS base_{n}" for n, local_ in _SENSITIVE.items())
+    factors = ", ".join(q6(f"f_{k}", f"factor_{k}") for k in FACTORS)
+    unit = lambda x: f"greatest(0.02::DOUBLE, least(1, {x}))"
+    return f"""WITH RECURSIVE {EMA_SQL},
+m AS (SELECT *, CASE WHEN NOT is_first AND rn > 1 THEN mid_ticks - lag(mid_ticks) OVER w END AS mv, CASE WHEN NOT is_first THEN CASE WHEN abs(bid - coalesce(p_bid, 0)) <= 5 AND abs(ask - coalesce(p_ask, 0)) <= 5 THEN 1.0 ELSE 0.0 END END AS still,
+        CAST(bq[1] + bq[2] + aq[1] + aq[2] AS DOUBLE) AS d, {OBI_SQL} AS obi, {_DEEP} AS deep, {_SLOPE} AS slope, {_OLS.format(q='bq')} - {_OLS.format(q='aq')} AS deep_slope, {_KEPT}, max(CASE WHEN delta_volume > 0 THEN ts END) OVER w AS traded_at FROM s {_SEGMENT}),
+v AS (SELECT m.*, sf, ss, count(mv) {over(240)} AS moves, sqrt(coalesce(var_samp(mv) {over(240)}, 0)) AS vol, avg(spread_ticks) {over(240)} AS spread_mean, CASE WHEN count(d) {over(240)} >= 8 THEN d / (exp(avg(ln(1 + d)) {over(240)}) - 1) ELSE 1 END AS rel,
+        CASE WHEN count(still) {over(60)} >= 4 THEN avg(still) {over(60)} ELSE 0.5 END AS touch, count(kb) {over(40)} AS kept, CASE WHEN obi < 0 THEN -1 ELSE 1 END AS sg FROM m JOIN (SELECT token, seq, sf, ss FROM r) q USING (token, seq)),
+u AS (SELECT *, greatest(0, least(1, (6 - spread_ticks) / 5)) AS tight, greatest(0, least(1, (rel - 0.175) / 0.825)) AS liquid, least(1, rn / 60.0::DOUBLE) AS warm,
+        (1 - 0.35 * (1 - deep * sg) / 2) * (CASE WHEN greatest(total_buy, total_sell) <= 12 * least(total_buy, total_sell) THEN 1 - 0.2 * (1 - (total_buy - total_sell) / (total_buy + total_sell) * sg) / 2 ELSE 1 END) AS obi_local,
+        1 - 0.4 * (1 - tanh(deep_slope / 0.9) * sign(slope)) / 2 AS slope_local, CASE WHEN traded_at IS NULL THEN 0.6 WHEN ts - traded_at > 3000 THEN 0.3 ELSE 1 END AS ltp_local FROM v),
+g AS (SELECT *, {unit('tight')} AS f_spread, {unit('liquid')} AS f_liquidity, {unit('CASE WHEN moves >= 8 THEN greatest(0, 1 - vol / (greatest(spread_mean, 1) * 2)) ELSE 1 END')} AS f_volatility, {unit('tight * liquid * warm')} AS f_book_quality,
+        {unit('touch * (CASE WHEN rn >= 4 THEN 0.75 + 0.25 * greatest(0, least(1, 0.5 * (1 + tanh((ss - sf) / 0.5)))) ELSE 1 END)')} AS f_stability, {unit('warm')} AS f_warmup FROM u)
+SELECT token, seq, {factors}, {bases} FROM g"""
+
+
+ORACLE["feature_confidence"] = _confidence_sql()
+
+#: The regime that each row proposes, and what hysteresis makes of it, by recursion over each segment.
+ORACLE["regime_hysteresis"] = f"""WITH RECURSIVE {EMA_SQL},
+e AS (SELECT r.token, r.segment, r.rn, r.seq, CASE WHEN r.rn >= 4 THEN tf - ts_ END AS trend, CASE WHEN r.rn < 6 OR abs(mf - ms) <= 1e-12 THEN 0 ELSE sign(mf - ms) END AS push, round(vol, 9) AS vol, round(CASE WHEN n >= 3 AND k >= 2 AND path > 0 THEN least(1, abs(mid_ticks - first) / path) ELSE 0 END, 9) AS er
+      FROM r JOIN (SELECT token, seq, mid_ticks, sqrt(coalesce(var_samp(mv) {over(240)}, 0)) AS vol, count(mid_ticks) {over(90)} AS n, count(mv) {over(90)} AS k, sum(abs(mv)) {over(90)} AS path, first_value(mid_ticks) {over(90)} AS first FROM ({_MOVE})) USING (token, seq)),
+o AS (SELECT *, abs(trend) >= 1 AND push <> 0 AND push = -sign(trend) AS opposed FROM e),
+p AS (SELECT *, CASE WHEN rn < 30 OR trend IS NULL THEN 'UNKNOWN' WHEN vol >= 2.5 AND er < 0.45 THEN 'NOISE' WHEN er >= 0.45 AND abs(trend) >= 1 THEN CASE WHEN opposed THEN 'PULLBACK' ELSE 'TREND' END WHEN er >= 0.3 AND opposed THEN 'PULLBACK' WHEN er <= 0.25 AND vol < 2.5 THEN 'RANGE' ELSE 'NOISE' END AS proposed FROM o),
+h AS (SELECT token, segment, rn, seq, proposed, 'UNKNOWN' AS held, 1 AS dwell, proposed AS candidate, CASE WHEN proposed = 'UNKNOWN' THEN 0 ELSE 1 END AS times FROM p WHERE rn = 1
+      UNION ALL
+      SELECT token, segment, rn, seq, proposed, CASE WHEN flips THEN proposed ELSE held END, CASE WHEN flips THEN 0 ELSE dwell + 1 END, CASE WHEN proposed = held THEN candidate ELSE proposed END, CASE WHEN flips THEN 0 ELSE again END
+      FROM (SELECT *, again >= 3 AND (held = 'UNKNOWN' OR dwell + 1 >= 8) AS flips FROM (SELECT p.*, h.held, h.dwell, h.candidate, CASE WHEN p.proposed = h.held THEN 0 WHEN h.times > 0 AND p.proposed = h.candidate THEN h.times + 1 ELSE 1 END AS again FROM h JOIN p ON p.token = h.token AND p.segment = h.segment AND p.rn = h.rn + 1)))
+SELECT token, seq, proposed, held AS regime, CAST(dwell AS BIGINT) AS dwell FROM h"""
+
+
+def _refill_sql() -> str:
+    """Refill episodes of both sides by recursion over each segment: a drop at the last best price opens one, and what stands there later ends it."""
+    held = {"b": "CASE WHEN {p} <= bid AND (bid - {p}) // 5 < 5 THEN bq[1 + (bid - {p}) // 5] END", "a": "CASE WHEN {p} >= ask AND ({p} - ask) // 5 < 5 THEN aq[1 + ({p} - ask) // 5] END"}
+    before = {"b": ("p_bid", "p_bq"), "a": ("p_ask", "p_aq")}
+    first = ", ".join(f"0.0::DOUBLE AS s{x}, NULL::BIGINT AS e{x}, NULL::BIGINT AS n{x}, NULL::BIGINT AS t{x}" for x in "ba")
+    now = ", ".join(f"{held[x].format(p=f'coalesce(e{x}, {before[x][0]})')} AS h{x}" for x in "ba")
+    ended = ", ".join(f"CASE WHEN e{x} IS NULL THEN NULL WHEN h{x} IS NULL THEN -0.6::DOUBLE WHEN h{x} >= n{x} * 0.6::DOUBLE THEN least(1, h{x} / greatest(n{x}, 1)) WHEN ts - t{x} > 1500 THEN -0.6::DOUBLE END AS i{x}" for x in "ba")
+    opened = ", ".join(f"e{x} IS NULL AND {before[x][1]} > 0 AND {before[x][1]} - coalesce(h{x}, 0) >= {before[x][1]} * 0.35::DOUBLE AND dv >= ({before[x][1]} - coalesce(h{x}, 0)) * 0.5::DOUBLE AS o{x}" for x in "ba")
+    kept = lambda x, column, new: f"CASE WHEN o{x} THEN CAST({new} AS BIGINT) WHEN i{x} IS NULL THEN {column}{x} END"
+    then = ", ".join(f"CASE WHEN i{x} IS NULL THEN s{x} * k ELSE greatest(-1.5::DOUBLE, least(1.5, s{x} * k + i{x})) END, {kept(x, 'e', before[x][0])}, {kept(x, 'n', before[x][1])}, {kept(x, 't', 'ts')}" for x in "ba")
+    state = ", ".join(f"{c}{x}" for x in "ba" for c in "sent")
+    return f"""WITH RECURSIVE {SEQ_SQL},
+z AS (SELECT token, segment, rn, seq, ts, delta_volume AS dv, exp(-ln(2) * least(greatest(dt_ms, 0), 5000) / 800::DOUBLE) AS k, bid, ask, bq, aq, p_bid, p_ask, p_bq, p_aq FROM s),
+y AS (SELECT token, segment, rn, seq, {first} FROM z WHERE rn = 1
+      UNION ALL
+      SELECT token, segment, rn, seq, {then} FROM (SELECT *, {ended}, {opened} FROM (SELECT *, {now} FROM (SELECT z.*, {", ".join("y." + c for c in state.split(", "))} FROM y JOIN z ON z.token = y.token AND z.segment = y.segment AND z.rn = y.rn + 1))))
+SELECT token, seq, CASE WHEN rn > 1 THEN round(sb - sa, 6) + 0.0::DOUBLE END AS raw, CASE WHEN rn > 1 THEN round(greatest(-1, least(1, sb - sa)), 6) + 0.0::DOUBLE END AS value FROM y"""
+
+
+ORACLE["feat_refill"] = _refill_sql()

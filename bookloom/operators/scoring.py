@@ -78,7 +78,8 @@ def threshold(df: DataFrame, cfg: Engine) -> DataFrame:
 
 def proposed_regime(cfg: Engine) -> Column:
     r = cfg.regime
-    vol, er, trend = F.col("mid_volatility"), F.col("efficiency_ratio"), F.col("trend")
+    # Ratios of whole ticks often lie on a bound; rounded, they don't fall on either side by how a sum was ordered.
+    vol, er, trend = F.round("mid_volatility", 9), F.round("efficiency_ratio", 9), F.col("trend")
     momentum = F.when(F.col("feat_momentum").isNotNull(), sign("feat_momentum", EPSILON)).otherwise(0)
     directional = F.abs(trend) >= r.trend_min_ticks
     opposed = directional & (momentum != 0) & (momentum == -sign(trend))

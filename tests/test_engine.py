@@ -14,7 +14,7 @@ from bookloom.sources import scenarios, wire
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["segment_ids", "efficiency_ratio", "feat_weighted_obi", "feat_momentum", "feat_acceleration", "adaptive_threshold", "wire_parse_ladder", "jsonl_roundtrip", "latency_percentiles_nearest_rank", "quality_gate", "structural_faults", "scalar_functions", "scenario_rows", "replayed_lines", "score_bar"])
+@pytest.mark.parametrize("name", ["segment_ids", "efficiency_ratio", "feat_weighted_obi", "feat_momentum", "feat_acceleration", "adaptive_threshold", "wire_parse_ladder", "jsonl_roundtrip", "latency_percentiles_nearest_rank", "quality_gate", "structural_faults", "scalar_functions", "scenario_rows", "replayed_lines", "score_bar", "feat_refill", "feature_confidence", "regime_hysteresis"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "orders", "lineitem"):
