@@ -3,6 +3,12 @@
 Documents of low quality go, of near duplicates (five words, similarity 0.8) one stays, documents that
 hold a benchmark window go, sources are mixed to their target weights, and what is left is written as
 token ids in binary frames and read back. Every stage but the last returns the columns of documents.
+
+Defined results: null and empty texts, and texts of white space, are rejected by the first stage; rows with a
+null key are judged like all others, stay apart from near duplicates, and come first in the frames; of rows
+that share a key one stays in the second stage; a row that the mix takes twice stands twice in the frames;
+texts of any length pass whole; further columns of documents, whatever their names, are kept up to the
+last stage; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
