@@ -22,7 +22,8 @@ Scale: tables of (node, vertex) are shuffled, never texts, except for texts of v
 candidate. No task holds more than two blocks of a node.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and link with
-nothing; a text of fewer words than a shingle is one shingle; rows that share a key are one document;
+nothing; a text of fewer words than a shingle is one shingle; of rows that share a key `distinct_rows` keeps one,
+while each text of such a key is linked by what it says (keys should name one text each);
 a row with a null key has the component of an equal set, or else null, and is kept; texts of any
 length are read whole; other columns are ignored by `near_duplicates` and kept by `distinct_rows`;
 an empty table gives no rows.

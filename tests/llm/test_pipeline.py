@@ -32,7 +32,18 @@ def test_run(spark):
 
 
 def test_odd_rows_pass_all_stages(spark, edges, frame):
-    for docs in (edges, frame([])):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, SF)
-        assert docs.count() >= 0
+    docs = edges
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == edges.columns
+    keys = [r.doc_id for r in docs.collect()]
+    assert not {1, 2, 3} & set(keys) and {4, None} <= set(keys) and not {5, 6} & set(keys)
+    assert len([k for k in keys if k is not None]) == len({k for k in keys if k is not None})
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        docs = stage(spark, docs, SF)
+    ends = [(r.start, r.start + r.n_tokens) for r in docs.orderBy("start").collect()]
+    assert ends and ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    empty = frame([])
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+    assert empty.count() == 0
