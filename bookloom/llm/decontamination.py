@@ -1,36 +1,45 @@
-"""Benchmark decontamination: a prefix-filtered join of documents with windows of benchmark items.
-
-A window is `width` consecutive words of an item (all its words if it has fewer). Words are ordered
-by rarity, that is by how many times they occur in all documents; since a window must be contained
-whole, its necessary prefix is its one rarest word. A document word that is some window's prefix
-gives candidates; the length bound (enough words before and after) and the position inside the window
-fix where the window would lie, and all its words are compared there.
-
-Windows go to the tasks as a lookup in blocks of at most BLOCK windows, each block against all
-documents; a benchmark of more windows takes more passes over the documents.
-
-Defined results: null and empty texts have no words and no hits; items without words, and null items,
-have no windows; repeated items each count; repeated documents each give a row; texts of any length
-work; other columns are ignored, whatever their names; empty tables give no hits or no rows.
+"""Benchmark decontamination: a prefix-filtered set join of documents with windows of benchmark items.
+
+A window is `width` consecutive words of an item (all its words if it has fewer). Its shingles are its
+pairs of neighbouring words (of a window of one word, the word). Shingles are ordered by rarity, that is
+by how many times they occur in all documents; since a window must be contained whole, its necessary
+prefix is its one rarest shingle, and a window with a shingle that no document has is left out. Places of
+documents that may hold a prefix are rows with the words around them; they are joined with the windows on
+the shingle, the length and position bounds fix where the window would lie, and its bytes are compared there.
+
+Scale: tables of windows, shingles, counts and places are all Spark tables, and only a bitmap of shingles
+of at most FILTER_BITS bits goes through the driver; it lets through what the join then drops. Up to FEW
+windows of FEW_BYTES together are broadcast to the places; beyond, both are shuffled by shingle and salt,
+so that a shingle with very many places is the work of SALTS tasks or more.
+
+Defined results: null and empty texts have no words and no hits; items without words have no windows;
+windows of items with a null key hit but are not named; repeated items each count; repeated documents each
+give a row; texts of any length work; other columns are ignored, whatever their names; empty tables give no
+hits or no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookloom.llm.common import materialize, table, text_hash, utf8, without
+from bookloom.llm.common import ALNUM, LOWER, materialize, mix, raw, slices, spans, table, text_hash, utf8, without, word_hashes
 
 WIDTH = 10
-#: Windows (of under 1 KB each in a task's memory) that are looked up at a time.
-BLOCK = 100_000
+#: Windows are broadcast up to so many, and so many bytes.
+FEW, FEW_BYTES = 100_000, 16 << 20
+#: Into how many parts places and windows of one shingle are dealt where both are shuffled.
+SALTS = 16
+#: Bits of a bitmap for each shingle in it, and at most.
+BITS_EACH, FILTER_BITS = 1024, 1 << 27
+#: Distinct shingles that a task counts before it hands them on, and rows that it returns at a time.
+COUNTED, RETURNED = 1 << 20, 1 << 14
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -50,133 +59,195 @@ def windows(items: DataFrame, width: int, key: str, text: str) -> DataFrame:
                 found = list({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}) if w else []
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.string()), pa.array(found, pa.binary())], ["item", "window"])
 
-    return items.select(F.col(key).cast("string").alias("item"), utf8(text).alias("text")).mapInArrow(cut, "item string, window binary")
+    return items.select(F.col(key).cast("string").alias("item"), utf8(text).alias("text")).mapInArrow(cut, "item string, window binary").distinct()
 
 
-def occurrences(docs: DataFrame, vocabulary: frozenset[bytes], text: str) -> DataFrame:
-    """How many times each word of the vocabulary occurs in all documents, summed in each task before the shuffle."""
+class Words:
+    """The words of a batch of texts: [begin, end) of each, the first of each text (the total last), and hashes of shingles."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                total.update(filter(vocabulary.__contains__, words(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-
-    return docs.select(utf8(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class Lookup:
-    """Windows by their prefix, the word of theirs that is rarest in the documents."""
-
-    def __init__(self, rows: list[tuple[bytes, list[str]]], rarity: dict[bytes, int]):
-        self.by_prefix: dict[bytes, list[tuple[int, int, list[bytes], list[str]]]] = {}
-        for window, items in rows:
-            w = window.split(b" ")
-            at = min(range(len(w)), key=lambda i: (rarity.get(w[i], 0), w[i], i))
-            self.by_prefix.setdefault(w[at], []).append((at, len(w), w, items))
-
-    def hits(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Where windows occur in a text's words, as [start, end), and the items they belong to."""
-        found, items = [], set()
-        get, n = self.by_prefix.get, len(w)
-        for i in [i for i, x in enumerate(w) if x in self.by_prefix]:
-            for before, size, window, of in get(w[i]):
-                s = i - before
-                if s >= 0 and s + size <= n and w[s : s + size] == window:
-                    found.append((s, s + size))
-                    items.update(of)
-        return found, items
-
-
-def shared_lookup(docs: DataFrame, cut: DataFrame, text: str) -> Broadcast:
-    """A block of windows, by the word of each that is rarest in docs."""
-    rows = [(bytes(r.window), sorted(r["items"])) for r in cut.toLocalIterator()]
-    vocabulary = frozenset(x for w, _ in rows for x in w.split(b" "))
-    rarity = {bytes(r.word): r.n for r in occurrences(docs, vocabulary, text).toLocalIterator()} if rows else {}
-    return docs.sparkSession.sparkContext.broadcast(Lookup(rows, rarity))
-
-
-def search(docs: DataFrame, cut: DataFrame, describe: Callable, schema: str, key: str, text: str) -> DataFrame:
-    """describe(key, text, words, hits, items) per document, for one block of windows."""
-    lookup = shared_lookup(docs, cut, text)
-    names = [x.split(" ")[0] for x in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}[x.split(" ")[1]] for x in schema.split(", ")]
+    def __init__(self, texts: pa.Array):
+        data, off = raw(texts)
+        self.data = LOWER[data]
+        self.begin, self.end, self.first = spans(self.data, off, ALNUM)
+        h = word_hashes(self.data, self.begin, self.end)
+        self.word = mix(h + np.uint64(3))
+        self.pair = mix(h + mix(np.r_[h[1:], np.zeros(min(1, len(h)), np.uint64)] + np.uint64(2)))
+        #: The last word of a text begins no pair.
+        self.paired = np.ones(len(h), bool)
+        self.paired[self.first[1:][np.diff(self.first) > 0] - 1] = False
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lookup.value
-        for b in batches:
-            got = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = words(t)
-                got.append(describe(i, t, w, *of.hits(w)))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names)
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words, a space after each, and where each begins and ends in that."""
+        size = self.end - self.begin
+        begin = np.cumsum(size + 1) - size - 1
+        out = np.full(int((size + 1).sum()), 32, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[begin + size] = False
+        out[inside] = self.data[ALNUM[self.data]]
+        return out.tobytes(), begin, begin + size
 
-    return docs.select(F.col(key).cast("long").alias("key"), utf8(text).alias("text")).mapInArrow(find, schema)
 
+def shingled(cut: DataFrame) -> DataFrame:
+    """(window, size, at, byte_at, token): every shingle of every window, the word and byte of the window at which it begins."""
 
-def covered(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of [start, end) ranges, in order."""
-    out: list[list[int]] = []
-    for s, e in sorted(hits):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "window"):
+            w = Words(b.column("window"))
+            size = np.diff(w.first)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(row)) - w.first[row]
+            off = np.r_[0, np.cumsum([len(x) for x in b.column("window").to_pylist()])]
+            token = np.where(size[row] == 1, w.word, w.pair)
+            keep = w.paired | (size[row] == 1)
+            row, at, token, byte_at = row[keep], at[keep], token[keep], (w.begin - off[row])[keep]
+            yield pa.RecordBatch.from_arrays([b.column("window").take(pa.array(row)), pa.array(size[row], pa.int64()), pa.array(at, pa.int64()), pa.array(byte_at, pa.int64()), pa.array(token.view(np.int64))], ["window", "size", "at", "byte_at", "token"])
 
+    return cut.select("window").distinct().mapInArrow(split, "window binary, size long, at long, byte_at long, token long")
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """Per document: key, n_words, n_hit, spans (start and end of hit ranges of words, in turn), items (with a window in it, sorted as strings)."""
-    cut = materialize(windows(items, width, item_key, item_text).groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
-    blocks = max(1, -(-cut.count() // block))
-    schema = "key long, n_words long, n_hit long, spans array<long>, items array<string>"
-    if blocks == 1:
 
-        def describe(i: int, t: bytes, w: list[bytes], hits: list, found: set[str]) -> tuple:
-            ranges = covered(hits)
-            return i, len(w), sum(e - s for s, e in ranges), [x for r in ranges for x in r], sorted(found)
+class Filter:
+    """A bitmap of tokens: has() is true for each of them and for few others."""
 
-        return search(docs, cut, describe, schema, key, text).withColumnRenamed("key", key)
+    def __init__(self, tokens: DataFrame):
+        n = tokens.count()
+        bits = min(FILTER_BITS, max(1 << 16, 1 << (n * BITS_EACH).bit_length()))
+        self.mask, self.packed = np.uint64(bits - 1), np.zeros(bits // 8, np.uint8)
+        bit = F.col("token").bitwiseAND(F.lit(bits - 1))
+        # At most FILTER_BITS / 32768 rows of 4096 bytes.
+        for r in tokens.groupBy(F.shiftright(bit, 15).alias("part")).agg(F.bitmap_construct_agg(bit.bitwiseAND(F.lit(32767))).alias("map")).toLocalIterator():
+            self.packed[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
 
-    def describe_part(i: int, t: bytes, w: list[bytes], hits: list, found: set[str]) -> tuple:
-        return i, hashlib.sha256(t).hexdigest(), len(w), [x for r in covered(hits) for x in r], sorted(found)
+    def has(self, token: np.ndarray) -> np.ndarray:
+        bit = token & self.mask
+        return (self.packed[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ranges = covered([p for s in r["spans"] for p in zip(s[::2], s[1::2], strict=True)])
-                row = {"key": r["key"], "n_words": r["n_words"], "n_hit": sum(e - s for s, e in ranges), "spans": [x for p in ranges for x in p], "items": sorted({x for s in r["items"] for x in s})}
-                yield pa.RecordBatch.from_pylist([row] * r["times"], pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
-
-    # Each block sees every document; what they found meets by key and text, a row per block.
-    both = None
-    for k in range(blocks):
-        part = search(docs, cut.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k), describe_part, "key long, digest string, n_words long, spans array<long>, items array<string>", key, text)
-        part = part.groupBy("key", "digest").agg(F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.first("items").alias("items"), F.count(F.lit(1)).alias("times"))
-        both = part if both is None else both.unionByName(part)
-    both = both.groupBy("key", "digest").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"), F.first("times").alias("times"))
-    return both.mapInArrow(joined, schema).withColumnRenamed("key", key)
-
-
-def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+
+def occurrences(docs: DataFrame, known: Broadcast, single: bool, text: str) -> DataFrame:
+    """(token, n): how many times shingles that the filter lets through occur in all documents, summed in each task before the shuffle."""
+
+    def handed(total: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        token, where = np.unique(np.concatenate([t for t, _ in total]), return_inverse=True)
+        return token, np.bincount(where, np.concatenate([n for _, n in total]), len(token)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total, held = known.value, [], 0
+        for b in slices(batches, "text"):
+            w = Words(b.column("text"))
+            token = w.pair[w.paired & of.has(w.pair)]
+            if single:
+                token = np.r_[token, w.word[of.has(w.word)]]
+            total.append(np.unique(token, return_counts=True))
+            held += len(total[-1][0])
+            if held > COUNTED:
+                total = [handed(total)]
+                held = len(total[0][0])
+                if held > COUNTED // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(total[0][0].view(np.int64)), pa.array(total[0][1])], ["token", "n"])
+                    total, held = [], 0
+        if total:
+            token, n = handed(total)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    return docs.select(utf8(text).alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def prefixes(docs: DataFrame, cut: DataFrame, text: str) -> tuple[DataFrame, bool]:
+    """(window, size, at, byte_at, token) with the one shingle of each window that is rarest in docs, for windows whose shingles all occur; and whether any has one word."""
+    every = materialize(shingled(cut), "shingles")
+    single = every.where("size = 1").limit(1).count() > 0
+    known = docs.sparkSession.sparkContext.broadcast(Filter(every.select("token").distinct()))
+    counts = occurrences(docs, known, single, text)
+    rarest = every.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at", "byte_at", "size")).alias("r"))
+    found = materialize(rarest.where("r.n > 0").select("window", "r.size", "r.at", "r.byte_at", "r.token"), "prefixes")
+    known.unpersist()
+    return found, single
+
+
+def places(docs: DataFrame, wanted: Broadcast, width: int, single: bool, rows: bool, key: str, text: str) -> DataFrame:
+    """A row (token, place, place_byte, around) for every place of a document with a shingle that the filter lets through: its word, and the
+    width - 1 words before and after in one string, the shingle at place_byte; with rows also one for each document, with n_words alone."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = wanted.value
+        names = ["key", "hash", "n_words", "token", "place", "place_byte", "around"]
+        for b in slices(batches, "text"):
+            w = Words(b.column("text"))
+            if rows:
+                empty = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hash"), pa.array(np.diff(w.first), pa.int64()), *empty], names)
+            at = np.flatnonzero(w.paired & of.has(w.pair))
+            token = w.pair[at]
+            if single:
+                alone = np.flatnonzero(of.has(w.word))
+                at, token = np.r_[at, alone], np.r_[token, w.word[alone]]
+            if not len(at):
+                continue
+            row = np.searchsorted(w.first, at, "right") - 1
+            joined, begin, end = w.joined()
+            start = begin[np.maximum(w.first[row], at - width + 1)]
+            stop = end[np.minimum(w.first[row + 1], at + width) - 1]
+            for k in range(0, len(at), RETURNED):
+                c = slice(k, k + RETURNED)
+                around = [joined[x:y] for x, y in zip(start[c].tolist(), stop[c].tolist(), strict=True)]
+                r = pa.array(row[c])
+                columns = [pa.nulls(len(r), pa.int64()), pa.array(token[c].view(np.int64)), pa.array(at[c] - w.first[row[c]], pa.int64()), pa.array(begin[at[c]] - start[c], pa.int64()), pa.array(around, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("key").take(r), b.column("hash").take(r), *columns], names)
+
+    schema = f"key {kind}, hash long, n_words long, token long, place long, place_byte long, around binary"
+    return docs.select(F.col(key).alias("key"), text_hash(text).alias("hash"), utf8(text).alias("text")).mapInArrow(find, schema)
+
+
+def verified(found: DataFrame, prefix: DataFrame, few: int) -> DataFrame:
+    """(key, hash, start, end, window): where windows occur whole in documents, each once."""
+    size = prefix.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("window")), F.lit(0)).alias("bytes")).first()
+    found = found.where("token IS NOT NULL")
+    if size.n <= few and size.bytes <= FEW_BYTES:
+        both = found.join(F.broadcast(prefix), "token")
+    else:
+        dealt = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = found.withColumn("salt", F.pmod(F.xxhash64("key", "hash", "place"), F.lit(SALTS)).cast("int")).join(dealt, ["token", "salt"])
+    at = "(place_byte - byte_at)"
+    both = both.where(f"place >= at AND {at} >= 0 AND {at} + length(window) <= length(around)").where(
+        f"substring(around, CAST({at} + 1 AS INT), length(window)) = window"
+        f" AND ({at} = 0 OR substring(around, CAST({at} AS INT), 1) = X'20')"
+        f" AND ({at} + length(window) = length(around) OR substring(around, CAST({at} + length(window) + 1 AS INT), 1) = X'20')"
+    )
+    return both.select("key", "hash", (F.col("place") - F.col("at")).alias("start"), (F.col("place") - F.col("at") + F.col("size")).alias("end"), "window").distinct()
+
+
+def hits(docs: DataFrame, cut: DataFrame, width: int, few: int, rows: bool, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The table of places, and where windows occur."""
+    prefix, single = prefixes(docs, cut, text)
+    wanted = docs.sparkSession.sparkContext.broadcast(Filter(prefix.select("token").distinct()))
+    found = materialize(places(docs, wanted, width, single, rows, key, text), "places")
+    wanted.unpersist()
+    return found, materialize(verified(found, prefix, few), "hits")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, few: int = FEW) -> DataFrame:
+    """Per document: key, n_words, n_hit, spans (start and end of hit ranges of words, in turn), items (with a window in it, sorted as strings)."""
+    cut = materialize(windows(items, width, item_key, item_text), "windows")
+    found, hit = hits(docs, cut, width, few, True, key, text)
+    by = Window.partitionBy("key", "hash").orderBy("start", "end")
+    ranges = hit.select("key", "hash", "start", "end").distinct().withColumn("before", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    ranges = ranges.withColumn("nth", F.sum(F.when(F.col("start") <= F.col("before"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = ranges.groupBy("key", "hash", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ranges = ranges.groupBy("key", "hash").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.array("start", "end"))).alias("spans"))
+    named = hit.select("key", "hash", "window").distinct().join(cut.where("item IS NOT NULL"), "window").select("key", "hash", "item").distinct()
+    named = named.groupBy("key", "hash").agg(F.array_sort(F.collect_list("item")).alias("items")).toDF("item_key", "item_hash", "items")
+    ranges = ranges.toDF("hit_key", "hit_hash", "n_hit", "spans")
+    out = found.where("token IS NULL").select("key", "hash", "n_words")
+    out = out.join(ranges, (F.col("hash") == F.col("hit_hash")) & F.col("key").eqNullSafe(F.col("hit_key")), "left").join(named, (F.col("hash") == F.col("item_hash")) & F.col("key").eqNullSafe(F.col("item_key")), "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return out.select(F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.flatten("spans"), none("long")).alias("spans"), F.coalesce("items", none("string")).alias("items"))
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = WIDTH, few: int = FEW) -> DataFrame:
     """The rows of docs without any hit, with their columns; what goes is joined by key and a hash of the text."""
-    cut = materialize(windows(items, width, item_key, item_text).groupBy("window").agg(F.collect_set("item").alias("items")), "windows")
-    blocks = max(1, -(-cut.count() // block))
-    kind, gone = docs.schema[key].dataType.simpleString(), None
-    for k in range(blocks):
-        lookup = shared_lookup(docs, cut.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k), text)
-
-        def hit(batches: Iterator[pa.RecordBatch], lookup=lookup) -> Iterator[pa.RecordBatch]:
-            of = lookup.value
-            for b in batches:
-                at = pa.array([i for i, t in enumerate(b.column(2).to_pylist()) if of.hits(words(t))[0]], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["gone_key", "gone_hash"])
-
-        found = docs.select(F.col(key).alias("key"), text_hash(text).alias("hash"), utf8(text).alias("text")).mapInArrow(hit, f"gone_key {kind}, gone_hash long")
-        gone = found if gone is None else gone.unionByName(found)
-    return without(docs, gone, key, text)
+    cut = materialize(windows(items, width, item_key, item_text), "windows")
+    hit = hits(docs, cut, width, few, False, key, text)[1]
+    return without(docs, hit.select("key", "hash"), key, text)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

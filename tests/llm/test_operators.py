@@ -413,14 +413,43 @@ def test_near_duplicates_odd_rows(edges, frame):
 # 9: decontamination
 
 
-def test_decontamination_blocks_agree(spark):
+def brute_force_hits(text, items, width=10):
+    """Hit words and items of a text, by comparing every place with every window."""
+    w, hit, found = decontamination.words((text or "").encode()), set(), set()
+    for name, item in items:
+        of = decontamination.words((item or "").encode())
+        size = min(width, len(of))
+        for window in {tuple(of[i : i + size]) for i in range(len(of) - size + 1)} if of else ():
+            for s in range(len(w) - size + 1):
+                if tuple(w[s : s + size]) == window:
+                    hit.update(range(s, s + size))
+                    found.add(name)
+    return len(w), len(hit), sorted(x for x in found if x is not None)
+
+
+def test_decontamination_broadcast_and_shuffle_agree(spark):
     docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     whole = rows_of(decontamination.contaminated(docs, items))
-    assert rows_of(decontamination.contaminated(docs, items, block=97)) == whole
-    clean = {r.doc_id for r in decontamination.clean_rows(docs, items, block=97).collect()}
+    assert rows_of(decontamination.contaminated(docs, items, few=0)) == whole
+    clean = {r.doc_id for r in decontamination.clean_rows(docs, items, few=0).collect()}
     assert clean == {r.doc_id for r in decontamination.contaminated(docs, items).where("n_hit = 0").collect()}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_decontamination_equals_brute_force(spark, frame, monkeypatch, few):
+    # Few words and a small bitmap: windows that overlap, repeat, share shingles and collide in the filter.
+    monkeypatch.setattr(decontamination, "FILTER_BITS", 1 << 16)
+    monkeypatch.setattr(decontamination, "RETURNED", 7)
+    draw = random.Random(5)
+    some = lambda n: "".join(draw.choice(["a", "B", "ab", "ba", "\u00e9", "7"]) + draw.choice([" ", "-", " , ", "\n"]) for _ in range(n))
+    items = [(f"i{k}", some(draw.choice([1, 2, 3, 5, 11, 14]))) for k in range(30)] + [(None, "B ab B"), ("none", None), ("empty", " - "), ("twice", "a a a a a a a a a a a a")]
+    docs = [(k, some(draw.choice([0, 1, 2, 9, 40, 200]))) for k in range(120)] + [(7, "a " * 40), (None, "B ab B"), (None, None), (8, "aB ab Ba")]
+    docs += [(k, " ".join(t for _, t in draw.sample(items[:30], 3))) for k in range(200, 230)]
+    got = decontamination.contaminated(frame(docs, clash=True), spark.createDataFrame(items, "item_id string, text string"), few=few).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=repr) == sorted(((k, *brute_force_hits(t, items)) for k, t in docs), key=repr)
+    assert all(sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_hit and r.spans == sorted(set(r.spans)) for r in got)
+
+
 def test_decontamination_odd_rows(spark, edges, frame):
     items = spark.createDataFrame([("b1", "ONE"), ("b2", None), ("b3", ""), ("b4", "lazy dog while seven small birds sing about rain and wind"), ("b4", "one")], "item_id string, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.contaminated(edges, items).collect()}
