@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from bookloom.llm.common import materialize, shared_dir, table
 
-#: An archive has at most so many records; payloads of repeated pages are looked up by broadcast up to so many.
-FILE_RECORDS, BROADCAST_REPEATED = 4096, 200_000
+#: How many records a file has at most, by the bytes of their payloads: 64 MB and their headers, or one record.
+FILE_RECORDS = ((16 << 10, 4096), (1 << 20, 64), (None, 1))
+#: Payloads of repeated pages are looked up by broadcast up to so many.
+BROADCAST_REPEATED = 200_000
 #: Successors that a task follows from each candidate.
 STRIDE = 32
 MIN_BYTES = 0
@@ -49,7 +51,7 @@ def base32_sha1(hexadecimal: Column) -> Column:
 
 
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Each page's WARC record (without the blank line that ends it) as `value`."""
+    """Each page's WARC record (without the blank line that ends it) as `value`, and the bytes of its payload."""
     p = pages.select(F.col(key).alias("key"), F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     p = p.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
     repeated = p.where(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -67,11 +69,19 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "), name(F.col("first")), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), length, F.lit("\r\n\r\n"),
         http, F.when(revisit, "").otherwise(F.col("html")),
-    ).alias("value"))
+    ).alias("value"), "bytes")
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
-    records(pages, **columns).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Writes archives whose size is bounded: longer payloads, where there are any, in files of fewer records."""
+    every, above = records(pages, **columns), -1
+    most = pages.agg(F.max(F.octet_length(columns.get("html", "html")))).first()[0] or 0
+    for size, count in FILE_RECORDS:
+        part = every.where(F.col("bytes") > above) if size is None else every.where(F.col("bytes").between(above + 1, size))
+        part.select("value").write.mode("append" if above >= 0 else "error").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", count).text(path)
+        if size is None or most <= size:
+            break
+        above = size
 
 
 def scan(data: bytes) -> dict[int, tuple]:

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from bookloom.llm import ans, decontamination, html_text, matroska, mixing, near_dedup, quality, queries, token_counts, token_output, toxicity, warc
+from bookloom.llm import ans, components, decontamination, html_text, matroska, mixing, near_dedup, quality, queries, token_counts, token_output, toxicity, warc
 from bookloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -160,6 +160,18 @@ def test_warc_chain_longer_than_a_stride(spark, tmp_path):
     assert got.select("record_id").distinct().count() == 300
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", ((10, 5), (1000, 2), (None, 1)))
+    pages = [(k, "http://a.b/", "x" * n) for k, n in enumerate([0, 3, 10, 11, 500, 1000, 1001, 5000, 5000, 9, 10] * 3)] + [(None, None, None)]
+    path = str(tmp_path / "warc")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read(spark, path).collect()
+    assert len(got) == len(pages) and all(r.intact for r in got)
+    files = Counter(r.file for r in got)
+    held = {f: [r.payload_bytes for r in got if r.file == f] for f in files}
+    assert all(len(n) <= (5 if max(n) <= 10 else 2 if max(n) <= 1000 else 1) for n in held.values())
+
+
 # 5: HTML
 
 
@@ -410,6 +422,22 @@ def test_near_duplicates_odd_rows(edges, frame):
     assert near_dedup.distinct_rows(frame([]), 5, 0.8).count() == 0
 
 
+@pytest.mark.parametrize("hub", [3, 10_000])
+def test_components_equal_brute_force(spark, monkeypatch, hub):
+    # Hubs, a path, rings, repeated links and loops.
+    monkeypatch.setattr(components, "HUB", hub)
+    draw = random.Random(3)
+    links = [(500, k) for k in range(400, 480)] + [(k, 700) for k in range(470, 490)] + [(k, k + 1) for k in range(1000, 1020)]
+    links += [(2000 + k, 2000 + (k + 1) % 7) for k in range(7)] + [(9, 9), (500, 400), (400, 500)] + [(draw.randrange(3000, 3060), draw.randrange(3000, 3060)) for _ in range(40)]
+    label = {n: n for a, b in links if a != b for n in (a, b)}
+    for _ in range(len(label)):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.component for r in got.collect()} == label and got.columns == ["node", "component"]
+
+
 # 9: decontamination
 
 
