@@ -50,7 +50,7 @@ RECALL = 0.99999
 PIVOTS, LEVELS = 16, 6
 #: What the first trees connect, the others need not compare again.
 PARTS = ("tree = 0", "tree BETWEEN 1 AND 3", "tree > 3")
-#: Keys whose texts are needed are broadcast up to so many (8 bytes each); beyond, they are joined by a shuffle.
+#: Keys whose texts are needed (8 bytes each), and nodes of several components (32), are broadcast up to so many; beyond, they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 2 * SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -246,8 +246,8 @@ class Join:
         """(node, v, tree, apart, strays, all): the members of nodes of several components; apart is 1 outside the node's most frequent one, strays counts these and all the members."""
         rows = self.labelled(members)
         home = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max(F.struct("times", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("times").alias("all")).where("labels > 1")
-        home = home.select("node", F.col("top.label").alias("home"), (F.col("all") - F.col("top.times")).alias("strays"), "all")
-        return materialize(rows.join(home, "node").select("node", "v", "tree", (F.col("label") != F.col("home")).cast("int").alias("apart"), "strays", "all"), "standing")
+        home = materialize(home.select("node", F.col("top.label").alias("home"), (F.col("all") - F.col("top.times")).alias("strays"), "all"), "home")
+        return materialize(rows.join(sized(home), "node").select("node", "v", "tree", (F.col("label") != F.col("home")).cast("int").alias("apart"), "strays", "all"), "standing")
 
     def blocks(self, rows: DataFrame) -> None:
         """Adds what connects the members in rows (see `standing`): those apart against all."""
