@@ -85,22 +85,31 @@ def write(pages: DataFrame, path: str, **columns) -> None:
 
 
 def scan(data: bytes) -> dict[int, tuple]:
-    """Every candidate record of a file by its offset: successor, header fields, and where its block begins and ends."""
-    found = {}
-    for m in _MAGIC.finditer(data):
-        head = data.find(b"\r\n\r\n", m.end())
-        if head < 0:
+    """Every candidate record of a file by its offset: successor, header fields, and where its block begins and ends.
+
+    A header ends at the first blank line and holds lines of fields alone, so a magic that is followed by another one
+    before a blank line is no header; each byte is therefore looked at for one candidate at most.
+    """
+    found, n = {}, len(data)
+    starts = [m.span() for m in _MAGIC.finditer(data)]
+    head = -1
+    for i, (at, begin) in enumerate(starts):
+        if head < begin:
+            head = data.find(b"\r\n\r\n", begin - 2)
+            if head < 0:
+                break
+        if i + 1 < len(starts) and starts[i + 1][0] <= head:
             continue
-        fields = {k.lower(): v for k, v in _FIELD.findall(data[m.end() : head + 2])}
+        fields = {k.lower(): v for k, v in _FIELD.findall(data[begin : head + 2])}
         length = fields.get(b"content-length", b"")
-        end = head + 4 + int(length) if length.isdigit() and len(length) < 16 else len(data) + 1
+        end = head + 4 + int(length) if length.isdigit() and len(length) < 16 else n + 1
         if data[end : end + 4] == b"\r\n\r\n":
-            found[m.start()] = (end + 4, fields, head + 4, end)
+            found[at] = (end + 4, fields, head + 4, end)
     return found
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per record that is reachable from the start of its file: file, offset, record_id, record_type, refers_to, uri, digest (as declared), payload_bytes, payload_digest (of what the record holds; a revisit's as declared) and intact (the two agree)."""
+    """Per record that is reachable from the start of its file: file, offset, record_id, record_type, refers_to, uri, digest (as declared), payload_bytes, payload_digest (of what the record holds; a revisit's of what its response holds) and intact: the declared digest is that of the payload, and a revisit's response exists, is one, and has as many bytes as the revisit states."""
     schema = "file string, offset long, jump long, path array<long>, n long, record_id string, record_type string, refers_to string, uri string, digest string, payload_bytes long, payload_digest string"
     names = [x.split(" ")[0] for x in schema.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()]
@@ -122,7 +131,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     kind = fields.get(b"warc-type", b"").decode("utf-8", "replace")
                     if kind == "revisit":
                         stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", data[found[at][2] : begin])
-                        size, digest = int(stated[1]) if stated else None, declared
+                        size, digest = int(stated[1]) if stated else None, None
                     else:
                         size, digest = end - begin, base64.b32encode(hashlib.sha1(memoryview(data)[begin:end]).digest()).decode()
                     text = [fields.get(k, b"").decode("utf-8", "replace") for k in (b"warc-record-id", b"warc-refers-to", b"warc-target-uri")]
@@ -142,7 +151,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         jumps = materialize(jumps.join(then, ["file", "jump"]).select("file", "offset", F.col("next").alias("jump")), "jumps")
     steps = reached.join(found.select("file", "offset", "path"), ["file", "offset"]).select("file", F.explode("path").alias("offset"))
     kept = found.drop("jump", "path", "n").join(steps, ["file", "offset"])
-    return kept.withColumn("intact", F.col("digest") == F.col("payload_digest"))
+    kept = materialize(kept, "records")
+    # Each response that is referred to is looked up once: of several with one identifier, equal payloads count as one.
+    wanted = kept.where("record_type = 'revisit' AND refers_to IS NOT NULL").select(F.col("refers_to").alias("wanted")).distinct()
+    held = kept.where("record_type <> 'revisit'").join(wanted, F.col("record_id") == F.col("wanted"), "left_semi").groupBy("record_id").agg(F.min("payload_digest").alias("of_digest"), F.max("payload_digest").alias("last"), F.min("payload_bytes").alias("of_bytes"))
+    held = held.where(F.col("of_digest") == F.col("last")).select(F.col("record_id").alias("of"), "of_digest", "of_bytes")
+    few = held.limit(BROADCAST_REPEATED + 1).count() <= BROADCAST_REPEATED
+    kept = kept.join(F.broadcast(held) if few else held, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("of")), "left")
+    revisit, digest = F.col("record_type") == "revisit", F.coalesce("payload_digest", "of_digest")
+    same = (F.col("digest") == digest) & (~revisit | (F.col("payload_bytes") == F.col("of_bytes")))
+    return kept.select("file", "offset", "record_id", "record_type", "refers_to", "uri", "digest", "payload_bytes", digest.alias("payload_digest"), F.coalesce(same, F.lit(False)).alias("intact"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
