@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from bookloom.llm.common import table, utf8
 
 # Element identifiers of the format.
-EBML, DOC_TYPE, SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
+EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION, SEGMENT, INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x1A45DFA3, 0x4282, 0x4287, 0x4285, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
@@ -77,7 +77,8 @@ def lace(frames: list[bytes]) -> tuple[int, bytes]:
     return 3, bytes([len(sizes) - 1]) + b"".join(head)
 
 
-_HEAD = element(EBML, element(DOC_TYPE, b"matroska"))
+#: SimpleBlock and Cues need version 2.
+_HEAD = element(EBML, element(DOC_TYPE, b"matroska") + number(DOC_TYPE_VERSION, 2) + number(DOC_TYPE_READ_VERSION, 2))
 _ABOUT = element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(MUXING_APP, b"bookloom") + element(WRITING_APP, b"bookloom")) + element(
     TRACKS,
     element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", HZ)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))),
