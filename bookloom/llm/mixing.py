@@ -122,7 +122,7 @@ def shares(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """Per row: key, size (words), source_size, target (of its source), copies, taken (words, repeats counted)."""
     sizes = materialize(sized(docs, key, text, source), "sizes")
     got = decided(sizes, *plan(sizes)).withColumn("taken", F.col("copies") * F.col("size"))
-    return got.select(F.col("key").alias(key), "size", "source_size", "target", "copies", "taken")
+    return got.select(F.col("key").alias(key), "size", "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
