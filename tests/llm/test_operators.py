@@ -172,6 +172,45 @@ def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert all(len(n) <= (5 if max(n) <= 10 else 2 if max(n) <= 1000 else 1) for n in held.values())
 
 
+def test_warc_scan_of_a_megabyte_of_magics_takes_seconds():
+    began = time.process_time()
+    for piece in (b"WARC/1.1\r\n", b"WARC/1.0\r\nContent-Length: 1\r\n", b"WARC/1.1\r\n\r\n", b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"):
+        found = warc.scan(piece * (1_000_000 // len(piece)))
+        assert len(found) == (1_000_000 // len(piece) if piece.endswith(b"\r\n\r\n\r\n\r\n") else 0)
+    assert time.process_time() - began < 8
+    assert list(warc.scan(b"WARC/1.1\r\nA: b\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n")) == [16]
+
+
+def test_warc_revisits_are_held_against_their_response(spark, tmp_path):
+    """Of two files, one has its response's payload changed (same length), one its revisit's length."""
+    import os
+
+    pages = spark.createDataFrame([(1, "u", "same text"), (2, "u", "same text"), (3, "u", "alone"), (5, "u", "twice"), (7, "u", "twice")], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), f"{tmp_path}/w")
+    (name,) = [f"{tmp_path}/w/{x}" for x in os.listdir(f"{tmp_path}/w") if x.startswith("part-")]
+    data = open(name, "rb").read()
+    os.mkdir(f"{tmp_path}/x")
+    open(f"{tmp_path}/x/a.warc", "wb").write(data.replace(b"same text", b"SAME text"))
+    at = data.index(b"WARC-Refers-To: <urn:bookloom:page:5>")
+    open(f"{tmp_path}/x/b.warc", "wb").write(data[:at] + data[at:].replace(b"html; charset=utf-8\r\nContent-Length: 5", b"html; charset=utf-8\r\nContent-Length: 6", 1))
+    tell = lambda name: {int(re.search(r"(\d+)>", r.record_id)[1]): (r.record_type, r.intact) for r in warc.read(spark, f"{tmp_path}/{name}").collect()}
+    good = {1: ("response", True), 2: ("revisit", True), 3: ("response", True), 5: ("response", True), 7: ("revisit", True)}
+    assert tell("w") == good
+    assert tell("x/a.warc") == good | {1: ("response", False), 2: ("revisit", False)}
+    assert tell("x/b.warc") == good | {7: ("revisit", False)}
+    open(f"{tmp_path}/x/c.warc", "wb").write(data[: data.index(b"WARC/1.1", 10)] + b"junk" + data)
+    assert len(tell("x/c.warc")) == 1  # a chain that breaks ends
+
+
+def test_warc_clashing_columns_and_stuffed_pages(spark, tmp_path):
+    trap = "WARC/1.1\r\nContent-Length: 1\r\n" * 200 + "\r\nx\r\n\r\n"
+    rows = [(i, "u", trap * 20 if i % 2 else f"p{i}", "k", "s", "b", "f", "o") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string, sha1 string, bytes string, first string, of string")
+    warc.write(pages, f"{tmp_path}/w")
+    got = warc.read(spark, f"{tmp_path}/w").collect()
+    assert len(got) == 6 and all(r.intact for r in got) and {r.payload_bytes for r in got} == {2, len(trap) * 20}
+
+
 # 5: HTML
 
 
@@ -195,7 +234,7 @@ def test_site_template_outside_articles(spark):
 def test_site_template_inside_main_and_at_any_host_size(spark, monkeypatch, host_templates):
     monkeypatch.setattr(html_text, "HOST_TEMPLATES", host_templates)
     # On the first host: six layouts, each on a sixth of the pages; own words, and an article that is copied whole.
-    box = lambda k: f"<div>Box number {k}<ul><li>join us</li></ul></div>"
+    box = lambda k: f"<div>Box number {k}<ul><li><a href='/join'>join us</a></li></ul></div>"
     copied = "<p>This is copied as a whole</p><div>with its inset</div>"
     page = lambda n: f"<body><main>{box(n % 6)}<p>The own words of page {n}</p><p>Same words</p><a href='/'>Start</a> | <a href='/{n}'>Link {n}</a></main></body>"
     rows = [(i, f"http://h/{i}", page(i)) for i in range(36)] + [(i, f"http://h/{i}", f"<body><div>{i}</div><article>{copied}</article></body>") for i in range(50, 60)]
@@ -207,7 +246,7 @@ def test_site_template_inside_main_and_at_any_host_size(spark, monkeypatch, host
 
 
 def test_templates_equal_brute_force_over_trees(spark):
-    """Random pages of nested boxes: which boxes recur is counted on the trees they were made from."""
+    """Random pages of nested boxes: which boxes recur at a place is counted on the trees they were made from; at both ends of a page what recurs goes."""
     rng = random.Random(5)
     pool = [f"<div>shared {i}<div>inner {i % 3}</div></div>" for i in range(8)]
 
@@ -220,34 +259,67 @@ def test_templates_equal_brute_force_over_trees(spark):
     def source(t):
         return t if isinstance(t, str) else "".join(map(source, t))
 
-    def boxes(t):
+    def boxes(t, place=()):
         if isinstance(t, str):
-            whole = [t] if t.startswith("<div>") else []
-            return whole + re.findall(r"(?<=\d)<div>inner \d</div>", t)
-        return [source(t)] + [x for c in t[1:-1] for x in boxes(c)]
+            whole = [((*place, "div"), t)] if t.startswith("<div>") else []
+            return whole + [((*place, "div", "div"), x) for x in re.findall(r"(?<=\d)<div>inner \d</div>", t)]
+        return [((*place, "section"), source(t))] + [x for c in t[1:-1] for x in boxes(c, (*place, "section"))]
 
-    def text(t, often):
+    def texts(t, often, place=(), gone=False):
+        """(text, whether a box around it recurs) of each block."""
         s = source(t)
-        if s in often:
-            return []
         if isinstance(t, str):
+            here = (*place, "div")
+            gone = gone or (here, s) in often
             own, inner = re.match(r"<div>([^<]*)(<div>[^<]*</div>)?", t).groups()
-            return [own] + ([re.sub("<[^>]*>", "", inner)] if inner and inner not in often else [])
-        return [x for c in t[1:-1] for x in text(c, often)]
+            return [(own, gone)] + ([(re.sub("<[^>]*>", "", inner), gone or ((*here, "div"), inner) in often)] if inner else [])
+        here = (*place, "section")
+        gone = gone or (here, s) in often
+        return [x for c in t[1:-1] for x in texts(c, often, here, gone)]
+
+    def text(t, often):
+        found = texts(t, often)
+        own = [i for i, (_, gone) in enumerate(found) if not gone]
+        return [x for x, _ in found[own[0] : own[-1] + 1]] if own else []
 
     pages = [(i, f"http://{i % 2}/", tree(3)) for i in range(60)]
-    counts = Counter((u, b) for u, b, _ in {(u, b, source(t)) for _, u, t in pages for b in boxes(t)})
-    often = {u: {b for (v, b), n in counts.items() if v == u and n >= html_text.LEAST_PAGES} for u in ("http://0/", "http://1/")}
+    different = {(u, source(t)): t for _, u, t in pages}
+    counts = Counter((u, b) for (u, _), t in different.items() for b in set(boxes(t)))
+    places = Counter((u, p) for (u, _), t in different.items() for p in {p for p, _ in boxes(t)})
+    often = {u: {b for (v, b), n in counts.items() if v == u and n >= max(html_text.LEAST_PAGES, html_text.SHARE * places[u, b[0]])} for u in ("http://0/", "http://1/")}
     df = spark.createDataFrame([(i, u, f"<body>{source(t)}</body>") for i, u, t in pages], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.main_text(df, "url", "html", "page_id").collect()}
     assert got == {i: " ".join(text(t, often[u])) for i, u, t in pages} and any(often.values())
 
 
-@pytest.mark.parametrize("piece", ["<div>", "</p>", "<p>a", "<b>x</i>", "<a href='x>", "<", "&amp;", '<a "'])
-def test_html_of_a_megabyte_takes_seconds(piece):
+@pytest.mark.parametrize("size", [4, 6, 500])
+def test_repeated_headings_rows_and_sentences_stay(spark, size):
+    """What articles of a host legitimately repeat stays, however many pages the host has; so does running text of pages without an article."""
+    inside = lambda i: f"<h2>Introduction</h2><p>Own {i * i} words</p><div>Methods</div><p>More {i} words</p><table><tr><td>Count</td><td>{i}</td></tr><tr><td>Total</td><td>0</td></tr></table><p>See the appendix for details.</p><ul><li>None</li></ul>"
+    words = lambda i: f"Introduction Own {i * i} words Methods More {i} words Count {i} Total 0 See the appendix for details. None"
+    rows = [(i, "http://a/", f"<body><article>{inside(i)}</article></body>") for i in range(size)] + [(1000 + i, "http://b/", f"<body>{inside(i)}</body>") for i in range(size)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", "page_id").collect()}
+    assert got == {i: words(i) for i in range(size)} | {1000 + i: words(i) for i in range(size)}
+
+
+@pytest.mark.parametrize("size", [6, 500])
+def test_rare_chance_repeats_of_large_hosts_stay(spark, size):
+    """Five equal boxes are a template on a host of six pages, and chance on one of five hundred."""
+    page = lambda i: f"<body><article><p>Words {i}</p><div>See <a href='/x'>{'the note' if i < 5 else i}</a></div><p>End {i}</p></article></body>"
+    rows = [(i, "http://a/", page(i)) for i in range(size)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), "url", "html", "page_id").collect()}
+    assert got[0] == ("Words 0 End 0" if size == 6 else "Words 0 See the note End 0") and got[5] == "Words 5 See 5 End 5"
+
+
+@pytest.mark.parametrize("head, piece, tail", [
+    ("", "<div>", ""), ("", "</p>", ""), ("", "<p>a", ""), ("", "<b>x</i>", ""), ("", "<a href='x>", ""), ("", "<", ""), ("", "&amp;", ""), ("", '<a "', ""), ("", "<div>x", ""), ("", "<span>x", ""), ("", "<span>x</span>", ""),
+    ("<b><div>", "<i>", "</b>"), ("<div>", "<p><a href='/'>x</a></p>", ""), ("<i>", "<div>y</div>", ""), ("", "<li>x", ""), ("", "<article>x<div><a>y</a></div>", ""), ("", "<table><tr><td>x", ""),
+])
+def test_html_of_a_megabyte_takes_seconds(head, piece, tail):
     began = time.process_time()
-    html_text.Page(piece * (1_000_000 // len(piece)) + "<p>end</p>").text()
-    assert time.process_time() - began < 60
+    times = 1_000_000 // (len(piece) + len(head) + len(tail))
+    html_text.Page(head * times + piece * times + tail * times + "<p>end</p>").text()
+    assert time.process_time() - began < 30
 
 
 def test_html_odd_rows(spark):
