@@ -28,7 +28,7 @@ g0 AS (SELECT *, row_number() OVER t AS idx, lag(ts) OVER t AS p_ts, lag(volume)
 g1 AS (SELECT *, sum(CASE WHEN raw_gap THEN 0 ELSE 1 END) OVER (PARTITION BY token ORDER BY seq) AS calm FROM g0),
 g2 AS (SELECT *, raw_gap AND (sum(CAST(raw_gap AS INT)) OVER (PARTITION BY token, calm ORDER BY seq)) % 2 = 1 AS gap FROM g1),
 g3 AS (SELECT *, CAST(sum(CAST(gap AS INT)) OVER t AS BIGINT) AS segment, p_ts IS NULL OR gap OR coalesce(lag(gap) OVER t, false) AS is_first FROM g2 WINDOW t AS (PARTITION BY token ORDER BY seq)),
-s AS (SELECT *, row_number() OVER w AS rn, CASE WHEN is_first THEN 0.0::DOUBLE ELSE CAST(ts - p_ts AS DOUBLE) END AS dt_ms, CASE WHEN is_first THEN 0 ELSE volume - p_volume END AS delta_volume, mid / 0.05::DOUBLE AS mid_ticks,
+s AS (SELECT *, row_number() OVER w AS rn, CASE WHEN is_first THEN 0.0::DOUBLE ELSE CAST(ts - p_ts AS DOUBLE) END AS dt_ms, CASE WHEN is_first THEN 0 ELSE volume - p_volume END AS delta_volume, (bid + ask) / 10.0::DOUBLE AS mid_ticks,
         lag(bid) OVER w AS p_bid, lag(ask) OVER w AS p_ask, lag(bq[1]) OVER w AS p_bq, lag(aq[1]) OVER w AS p_aq, lag(mid) OVER w AS p_mid
       FROM g3 WINDOW w AS (PARTITION BY token, segment ORDER BY seq))"""
 _OBI = "(({b}) - ({a})) / (({b}) + ({a}))"
@@ -367,7 +367,7 @@ def q_cost(spark, sf):
 
 @register("cost_gate", "SELECT token, seq, 12 * 0.05::DOUBLE * 10000 / mid >= (rupees * 10000 / ((buy + sell) / 2) + spread_ticks * 0.05::DOUBLE * 10000 / mid) * 1.5 AS clears FROM (SELECT *, (3e-4::DOUBLE * (buy + sell) + (buy + sell) * 2.97e-5::DOUBLE + (buy + sell) * 1e-6::DOUBLE) * 1.18::DOUBLE + sell * 2.5e-4::DOUBLE + buy * 3e-5::DOUBLE AS rupees FROM (SELECT *, ap * 1 AS buy, bp * 1 AS sell FROM f))")
 def q_gate(spark, sf):
-    return book.structural(derived_book(spark, sf), CFG).where("structural_reason IS NULL").select(*KEYS, execution.clears_cost(CFG).alias("clears"))
+    return book.structural(derived_book(spark, sf), CFG).where("structural_reason IS NULL").select(*KEYS, execution.TOUCH.clears(CFG).alias("clears"))
 
 
 @register("wire_parse_ladder", "SELECT token, seq, CAST(5 AS INTEGER) AS n_bids, CAST(bid AS BIGINT) AS bid, CAST(bq[5] AS BIGINT) AS quantity5, CAST(ask AS BIGINT) AS ask, volume FROM book", BOOK_SQL)
@@ -625,7 +625,7 @@ ORACLE["feature_confidence"] = _confidence_sql()
 
 #: The regime that each row proposes, and what hysteresis makes of it, by recursion over each segment.
 ORACLE["regime_hysteresis"] = f"""WITH RECURSIVE {EMA_SQL},
-e AS (SELECT r.token, r.segment, r.rn, r.seq, CASE WHEN r.rn >= 4 THEN tf - ts_ END AS trend, CASE WHEN r.rn < 6 OR abs(mf - ms) <= 1e-12 THEN 0 ELSE sign(mf - ms) END AS push, round(vol, 9) AS vol, round(CASE WHEN n >= 3 AND k >= 2 AND path > 0 THEN least(1, abs(mid_ticks - first) / path) ELSE 0 END, 9) AS er
+e AS (SELECT r.token, r.segment, r.rn, r.seq, CASE WHEN r.rn >= 4 THEN tf - ts_ END AS trend, CASE WHEN r.rn < 6 OR abs(mf - ms) <= 1e-12 THEN 0 ELSE sign(mf - ms) END AS push, vol, CASE WHEN n >= 3 AND k >= 2 AND path > 0 THEN least(1, abs(mid_ticks - first) / path) ELSE 0 END AS er
       FROM r JOIN (SELECT token, seq, mid_ticks, sqrt(coalesce(var_samp(mv) {over(240)}, 0)) AS vol, count(mid_ticks) {over(90)} AS n, count(mv) {over(90)} AS k, sum(abs(mv)) {over(90)} AS path, first_value(mid_ticks) {over(90)} AS first FROM ({_MOVE})) USING (token, seq)),
 o AS (SELECT *, abs(trend) >= 1 AND push <> 0 AND push = -sign(trend) AS opposed FROM e),
 p AS (SELECT *, CASE WHEN rn < 30 OR trend IS NULL THEN 'UNKNOWN' WHEN vol >= 2.5 AND er < 0.45 THEN 'NOISE' WHEN er >= 0.45 AND abs(trend) >= 1 THEN CASE WHEN opposed THEN 'PULLBACK' ELSE 'TREND' END WHEN er >= 0.3 AND opposed THEN 'PULLBACK' WHEN er <= 0.25 AND vol < 2.5 THEN 'RANGE' ELSE 'NOISE' END AS proposed FROM o),

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookloom.config import DIRECTIONAL, REGIME_CONFIDENCE, WEIGHTS, Engine
+from bookloom.config import REGIME_CONFIDENCE, Engine
+from bookloom.features import DEFAULT, Registry
 
 LN2 = math.log(2.0)
 
@@ -186,26 +187,26 @@ class Sequencer:
         return self.scores[0] - self.scores[1]
 
 
-DECIDE_IN = ["forced", "clock_ms", "dt_ms", "proposed", "feats", "bases", "tradable", "warming", "critical", "entry", "watch", "exit", "ltp_value", "cost_ok", "bid", "ask", "entry_long", "entry_short", "exit_long", "exit_short", "filled_long", "filled_short", "tick", "lot"]
+DECIDE_IN = ["forced", "clock_ms", "dt_ms", "proposed", "feats", "bases", "tradable", "warming", "critical", "entry", "watch", "exit", "ltp_value", "cost_ok", "bid", "ask", "entry_long", "entry_short", "filled_long", "filled_short", "tick", "lot"]
 DECIDE_OUT = (
     "regime string, dwell bigint, score double, smoothed double, composite_confidence double, composite_valid boolean, previous_state string, state string, reason string, "
-    "direction int, quantity bigint, entry_price double, entry_clock_ms double, stop_price double, target_price double, exit_price double, closed boolean, opened boolean, weights array<double>, confidences array<double>, contributions array<double>"
+    "direction int, quantity bigint, entry_price double, entry_clock_ms double, stop_price double, target_price double, closed boolean, opened boolean, weights array<double>, confidences array<double>, contributions array<double>"
 )
 WATCH, OPEN, EXITED = {1: "WATCH_LONG", -1: "WATCH_SHORT"}, {1: "LONG", -1: "SHORT"}, {1: "EXIT_LONG", -1: "EXIT_SHORT"}
 
 
-def composite(regime: str, feats: list, bases: list, cfg: Engine) -> tuple[float, float | None, bool, list, list, list]:
+def composite(regime: str, feats: list, bases: list, cfg: Engine, names: tuple[str, ...] = DEFAULT.directional, table: dict[str, tuple] = DEFAULT.weights) -> tuple[float, float | None, bool, list, list, list]:
     """Score, confidence (None where no feature has weight), whether they are usable, and each feature's weight, confidence and contribution.
 
     Invalid features (null) have no weight; collinear ones together have at most their share of the
     total; the score is the mean of values by weight and confidence.
     """
     c = cfg.composite
-    weights = [w if x is not None else 0.0 for w, x in zip(WEIGHTS[regime], feats, strict=True)]
+    weights = [w if x is not None else 0.0 for w, x in zip(table[regime], feats, strict=True)]
     total = sum(weights)
     if total <= 0:
         return 0.0, None, False, weights, [], []
-    group = [DIRECTIONAL.index(n) for n in c.collinear if weights[DIRECTIONAL.index(n)] > 0]
+    group = [names.index(n) for n in c.collinear if n in names and weights[names.index(n)] > 0]
     both, allowed = sum(weights[i] for i in group), c.collinear_cap * total
     if len(group) > 1 and both > allowed:
         for i in group:
@@ -228,8 +229,8 @@ def composite(regime: str, feats: list, bases: list, cfg: Engine) -> tuple[float
 class Decider:
     """Holds the regime, smooths the composite, and runs the trading states."""
 
-    def __init__(self, cfg: Engine):
-        self.cfg = cfg
+    def __init__(self, cfg: Engine, names: tuple[str, ...] = DEFAULT.directional, table: dict[str, tuple] = DEFAULT.weights):
+        self.cfg, self.names, self.table = cfg, names, table
         self.position: tuple | None = None
         self.restart()
 
@@ -252,10 +253,10 @@ class Decider:
                 self.held, self.dwell, self.count = proposed, 0, 0
         return self.held
 
-    def step(self, forced, clock, dt, proposed, feats, bases, tradable, warming, critical, entry, watch, exit_, ltp, cost_ok, bid, ask, entry_long, entry_short, exit_long, exit_short, filled_long, filled_short, tick, lot) -> tuple:
+    def step(self, forced, clock, dt, proposed, feats, bases, tradable, warming, critical, entry, watch, exit_, ltp, cost_ok, bid, ask, entry_long, entry_short, filled_long, filled_short, tick, lot) -> tuple:
         if forced:
             self.restart()
-        raw, confidence, valid, weights, sures, parts = composite(self.regime(proposed), feats, bases, self.cfg)
+        raw, confidence, valid, weights, sures, parts = composite(self.regime(proposed), feats, bases, self.cfg, self.names, self.table)
         if valid:
             self.smoother.add(raw, dt)
         smoothed = max(-1.0, min(1.0, self.smoother.value)) if confidence is not None else 0.0
@@ -265,9 +266,7 @@ class Decider:
             self.blocked = 0
         was, held = self.state, self.position
         closed = opened = False
-        price = None
         if held:
-            price = exit_long if held[0] > 0 else exit_short
             reason = self.leave(held, clock, score, sure, exit_, critical, bid, ask)
             if reason:
                 closed = True
@@ -283,7 +282,7 @@ class Decider:
                 held = self.position = (sign, filled if filled > 0 else lot, paid, clock, grid(paid - sign * s.stop_ticks * tick), grid(paid + sign * s.target_ticks * tick))
                 self.state, self.confirmed = OPEN[sign], 0
         shown = held or (None,) * 6
-        return (self.held, self.dwell, raw if valid else 0.0, smoothed, confidence if confidence is not None else 0.0, valid, was, self.state, reason, *shown, price, closed, opened, weights, sures, parts)
+        return (self.held, self.dwell, raw if valid else 0.0, smoothed, confidence if confidence is not None else 0.0, valid, was, self.state, reason, *shown, closed, opened, weights, sures, parts)
 
     def leave(self, held: tuple, clock: float, score: float, sure: float, exit_: float, critical: bool, bid: float, ask: float) -> str | None:
         s = self.cfg.state_machine
@@ -356,6 +355,7 @@ def sequenced(df: DataFrame, cfg: Engine, order: str = "seq") -> DataFrame:
     return out.select("row.*", *flat, level("bid"), level("ask"))
 
 
-def decided(df: DataFrame, cfg: Engine) -> DataFrame:
-    out = run_ordered(df, "idx", DECIDE_IN, DECIDE_OUT, lambda: Decider(cfg), lambda s, *x: s.step(*x), "scored")
+def decided(df: DataFrame, cfg: Engine, registry: Registry = DEFAULT) -> DataFrame:
+    names, table = registry.directional, registry.weights
+    out = run_ordered(df, "idx", DECIDE_IN, DECIDE_OUT, lambda: Decider(cfg, names, table), lambda s, *x: s.step(*x), "scored")
     return out.select("scored.*", *(x.split(" ")[0] for x in DECIDE_OUT.split(", ")))

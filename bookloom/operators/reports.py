@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookloom.config import DIRECTIONAL
+from bookloom.features import DEFAULT
 from bookloom.functions.scalar import exchange_time, score_bar
 
 
@@ -96,7 +96,7 @@ def invariants(out: DataFrame) -> DataFrame:
     pnl = F.col("pnl")
     bad = {
         "order": F.col("idx") != F.coalesce(F.lag("idx").over(w), F.lit(0)) + 1, "score": F.abs("smoothed") > 1, "confidence": ~F.col("composite_confidence").between(0, 1),
-        "threshold": (F.col("watch") > F.col("entry")) | (F.col("exit") > F.col("entry")), "features": F.greatest(*(F.coalesce(F.abs(f"feat_{n}"), F.lit(0.0)) for n in DIRECTIONAL)) > 1,
+        "threshold": (F.col("watch") > F.col("entry")) | (F.col("exit") > F.col("entry")), "features": F.greatest(*(F.coalesce(F.abs(f"feat_{n}"), F.lit(0.0)) for n in DEFAULT.directional if f"feat_{n}" in out.columns)) > 1,
         "chain": ~F.col("forced") & (F.col("previous_state") != F.coalesce(F.lag("state").over(w), F.lit("WARMUP"))), "pnl": F.coalesce(F.abs(pnl["gross_rupees"] - pnl["cost_rupees"] - pnl["net_rupees"]) > 1e-9, F.lit(False)),
     }
     flagged = out.select("token", *(F.coalesce(c, F.lit(False)).alias(k) for k, c in bad.items()))

@@ -2,40 +2,58 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.config import DIRECTIONAL, FACTORS, SENSITIVITY, Engine
-from bookloom.functions.scalar import EPSILON, clamp, clamp_unit, linear_scale, robust_scale, safe_div, sign
-from bookloom.operators import execution
+from bookloom.config import FACTORS, Engine
+from bookloom.features import DEFAULT, Registry
+from bookloom.functions.scalar import EPSILON, clamp, linear_scale, sign
+from bookloom.operators.execution import ExecutionModel, TOUCH
+from bookloom.operators.kernel import run_ordered
 from bookloom.operators.windows import rolling_sd, samples
 
-# How features are named in reasons.
-LABELS = dict(
-    microprice="Microprice tilt", weighted_obi="Order-book imbalance", depth_slope="Depth asymmetry", queue_persistence="Queue persistence",
-    refill="Refill activity", momentum="Pressure momentum", acceleration="Pressure acceleration", ltp_confirmation="Traded-price confirmation",
-)
-
-
-def feature_values(df: DataFrame, cfg: Engine) -> DataFrame:
-    """Adds feat_<name> (the value in [-1, 1], null where invalid) and local_<name> for every directional feature, and compression_value."""
-    f = cfg.features
-    past = lambda x: F.when(samples(x, f.dispersion_window, True) >= 8, rolling_sd(x, f.dispersion_window, True)).otherwise(0.0)
-    df = df.select("*", past("momentum").alias("momentum_sd"), past("acceleration").alias("acceleration_sd"))
-    half = F.when(F.col("spread") > 0, F.col("spread") * 0.5)
-    position = clamp_unit(safe_div(F.col("last_traded_price") - F.col("mid"), half))
-    values = {
-        "microprice": (F.col("micro"), F.lit(1.0)),
-        "weighted_obi": (F.col("obi"), F.col("obi_local")),
-        "depth_slope": (F.col("slope_value"), F.col("slope_local")),
-        "queue_persistence": (F.col("persistence_value"), F.lit(1.0)),
-        "refill": (clamp_unit("refill"), F.lit(1.0)),
-        "momentum": (F.when(F.col("momentum_valid"), robust_scale("momentum", "momentum_sd", f.momentum_floor, f.momentum_k)), F.lit(1.0)),
-        "acceleration": (F.when(F.col("acceleration_valid"), robust_scale("acceleration", "acceleration_sd", f.acceleration_floor, f.acceleration_k)), F.lit(1.0)),
-        "ltp_confirmation": (F.when(F.col("ltp_drift").isNotNull(), clamp_unit((1 - f.ltp_position_weight) * F.tanh(F.col("ltp_drift") / f.ltp_scale_ticks) + f.ltp_position_weight * position)), F.col("ltp_local")),
-    }
-    df = df.select("*", *(v.alias(f"feat_{k}") for k, (v, _) in values.items()), *(F.coalesce(w, F.lit(1.0)).alias(f"local_{k}") for k, (_, w) in values.items()))
-    return df.withColumn("compression_value", clamp(0.5 * (1 + F.tanh(F.col("compression") / f.compression_scale_ticks)), 0, 1))
+
+def dispersions(df: DataFrame, cfg: Engine) -> DataFrame:
+    """Adds momentum_sd and acceleration_sd, over the rows before."""
+    past = lambda x: F.when(samples(x, cfg.features.dispersion_window, True) >= 8, rolling_sd(x, cfg.features.dispersion_window, True)).otherwise(0.0)
+    return df.select("*", past("momentum").alias("momentum_sd"), past("acceleration").alias("acceleration_sd"))
+
+
+class Kernels:
+    """The kernel features of one layer over one token's rows; all start afresh where the stream does."""
+
+    def __init__(self, features: list, cfg: Engine):
+        self.parts, self.cfg = [(f.start, f.step, len(f.inputs)) for f in features], cfg
+        self.states = [start(cfg) for start, _, _ in self.parts]
+
+    def step(self, forced: bool, dt: float, *inputs) -> tuple:
+        if forced:
+            self.states = [start(self.cfg) for start, _, _ in self.parts]
+        out, at = [], 0
+        for (_, step, n), state in zip(self.parts, self.states, strict=True):
+            value, sure = step(state, dt, *inputs[at : at + n])
+            out += [value, None if value is None else sure]
+            at += n
+        return tuple(out)
+
+
+def feature_values(df: DataFrame, cfg: Engine, registry: Registry = DEFAULT) -> DataFrame:
+    """Adds feat_<name> (null where invalid) and local_<name>, its own confidence, for every feature of the registry, layer by layer."""
+    df = dispersions(df, cfg)
+    for sequential, features in registry.layers():
+        if not sequential:
+            local = lambda f: F.coalesce(f.confidence(cfg), F.lit(1.0)) if f.confidence else F.lit(1.0)
+            df = df.select("*", *(f.value(cfg).alias(f"feat_{f.name}") for f in features), *(local(f).alias(f"local_{f.name}") for f in features))
+            continue
+        named = {f.name for f in registry.features}
+        inputs = [F.col(f"feat_{i}" if i in named else i) if isinstance(i, str) else i for f in features for i in f.inputs]
+        schema = ", ".join(f"feat_{f.name} double, local_{f.name} double" for f in features)
+        bare = [dataclasses.replace(f, value=None, confidence=None, inputs=(None,) * len(f.inputs)) for f in features]  # Columns don't leave the driver
+        out = run_ordered(df, "seq", ["forced", "dt_ms", *(x.cast("double") for x in inputs)], schema, lambda bare=bare: Kernels(bare, cfg), lambda s, *x: s.step(*x))
+        df = out.select("row.*", *(x for f in features for x in (F.col(f"feat_{f.name}"), F.coalesce(f"local_{f.name}", F.lit(1.0)).alias(f"local_{f.name}"))))
+    return df
 
 
 def quality(df: DataFrame, cfg: Engine) -> DataFrame:
@@ -55,16 +73,18 @@ def quality(df: DataFrame, cfg: Engine) -> DataFrame:
     return df.withColumn("book_quality", spread * levels * F.col("liquidity_score") * F.col("warmup_ratio"))
 
 
-def confidence(df: DataFrame, cfg: Engine) -> DataFrame:
-    """Adds the six factor_<name> columns and base_<feature>: each feature's confidence before the regime's multiplier, null where invalid."""
+def confidence(df: DataFrame, cfg: Engine, registry: Registry = DEFAULT) -> DataFrame:
+    """Adds compression_value, the six factor_<name> columns and base_<feature>: each feature's confidence before the regime's multiplier, null where invalid."""
     c, f = cfg.confidence, cfg.features
     calm = F.when(F.col("mid_ready"), clamp(1 - F.col("mid_volatility") / (F.greatest("spread_mean", F.lit(1.0)) * c.volatility_tolerance), 0, 1)).otherwise(1.0)
+    squeezed = clamp(0.5 * (1 + F.tanh(F.col("compression") / f.compression_scale_ticks)), 0, 1)
+    df = df.withColumn("compression_value", squeezed)
     still = F.col("touch_stability") * F.coalesce(0.75 + 0.25 * F.col("compression_value"), F.lit(1.0))
     factors = dict(zip(FACTORS, (linear_scale(-F.col("spread_ticks"), -f.spread_wide_ticks, -f.spread_tight_ticks), F.col("liquidity_score"), calm, F.col("book_quality"), still, F.col("warmup_ratio")), strict=True))
     df = df.select("*", *(clamp(v, 0.02, 1).alias(f"factor_{k}") for k, v in factors.items()))
     logs = df.select("*", *(F.ln(f"factor_{k}").alias(f"log_{k}") for k in FACTORS))
-    base = lambda name: F.when(F.col(f"feat_{name}").isNotNull(), F.exp(sum((w * F.col(f"log_{k}") for w, k in zip(SENSITIVITY[name], FACTORS, strict=True)), F.lit(0.0))) * clamp(F.col(f"local_{name}"), 0, 1))
-    return logs.select("*", *(base(name).alias(f"base_{name}") for name in DIRECTIONAL)).drop(*(f"log_{k}" for k in FACTORS))
+    base = lambda name: F.when(F.col(f"feat_{name}").isNotNull(), F.exp(sum((w * F.col(f"log_{k}") for w, k in zip(registry.sensitivity[name], FACTORS, strict=True)), F.lit(0.0))) * clamp(F.col(f"local_{name}"), 0, 1))
+    return logs.select("*", *(base(name).alias(f"base_{name}") for name in registry.directional)).drop(*(f"log_{k}" for k in FACTORS))
 
 
 def threshold(df: DataFrame, cfg: Engine) -> DataFrame:
@@ -76,11 +96,11 @@ def threshold(df: DataFrame, cfg: Engine) -> DataFrame:
     return df.withColumn("watch", F.col("entry") * t.watch_ratio).withColumn("exit", F.col("entry") * t.exit_ratio)
 
 
-def proposed_regime(cfg: Engine) -> Column:
+def proposed_regime(cfg: Engine, registry: Registry = DEFAULT) -> Column:
     r = cfg.regime
-    # Ratios of whole ticks often lie on a bound; rounded, they don't fall on either side by how a sum was ordered.
-    vol, er, trend = F.round("mid_volatility", 9), F.round("efficiency_ratio", 9), F.col("trend")
-    momentum = F.when(F.col("feat_momentum").isNotNull(), sign("feat_momentum", EPSILON)).otherwise(0)
+    vol, er, trend = F.col("mid_volatility"), F.col("efficiency_ratio"), F.col("trend")
+    known = any(f.name == "momentum" for f in registry.features)
+    momentum = F.when(F.col("feat_momentum").isNotNull(), sign("feat_momentum", EPSILON)).otherwise(0) if known else F.lit(0)
     directional = F.abs(trend) >= r.trend_min_ticks
     opposed = directional & (momentum != 0) & (momentum == -sign(trend))
     return (
@@ -89,24 +109,26 @@ def proposed_regime(cfg: Engine) -> Column:
     )
 
 
-def quotes(df: DataFrame, cfg: Engine) -> DataFrame:
-    """Adds bid, ask, entry and exit prices of either direction, filled quantities and cost_ok."""
-    long_in, short_in = execution.quote("asks", True, execution.entry_offset(cfg), cfg), execution.quote("bids", False, execution.entry_offset(cfg), cfg)
-    long_out, short_out = execution.quote("bids", False, execution.exit_offset(cfg), cfg), execution.quote("asks", True, execution.exit_offset(cfg), cfg)
-    ok = execution.clears_cost(cfg) if cfg.execution.enforce_cost_gate else F.lit(True)
+def quotes(df: DataFrame, cfg: Engine, model: ExecutionModel = TOUCH) -> DataFrame:
+    """Adds bid, ask, entry and exit prices of either direction for a whole lot, filled quantities, cost_ok and ltp_value."""
+    lot = F.col("lot")
+    long_in, short_in = model.entry("asks", True, lot, cfg), model.entry("bids", False, lot, cfg)
+    long_out, short_out = model.exit("bids", False, lot, cfg), model.exit("asks", True, lot, cfg)
+    ok = model.clears(cfg) if cfg.execution.enforce_cost_gate else F.lit(True)
+    traded = F.col("feat_ltp_confirmation") if "feat_ltp_confirmation" in df.columns else F.lit(None).cast("double")
     return df.select(
         "*", F.get("bids", 0)["price"].alias("bid"), F.get("asks", 0)["price"].alias("ask"), long_in["price"].alias("entry_long"), short_in["price"].alias("entry_short"), long_out["price"].alias("exit_long"),
-        short_out["price"].alias("exit_short"), long_in["filled"].alias("filled_long"), short_in["filled"].alias("filled_short"), ok.alias("cost_ok"), F.col("feat_ltp_confirmation").alias("ltp_value"),
+        short_out["price"].alias("exit_short"), long_in["filled"].alias("filled_long"), short_in["filled"].alias("filled_short"), ok.alias("cost_ok"), traded.alias("ltp_value"),
     )
 
 
-def reasons(df: DataFrame, cfg: Engine) -> DataFrame:
+def reasons(df: DataFrame, cfg: Engine, registry: Registry = DEFAULT) -> DataFrame:
     """Adds contributed (name, value, weight, confidence, contribution of each feature that counts) and reasons: the four strongest first, then spread, stability, blocks and the state's own."""
-    names = F.array(*map(F.lit, DIRECTIONAL))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(len(DIRECTIONAL) - 1)), lambda i: F.struct(i.alias("place"), F.get(names, i).alias("name"), F.get("feats", i).alias("value"), F.get("weights", i).alias("weight"), F.get("confidences", i).alias("confidence"), F.get("contributions", i).alias("contribution")))
+    names = F.array(*map(F.lit, registry.directional))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(len(registry.directional) - 1)), lambda i: F.struct(i.alias("place"), F.get(names, i).alias("name"), F.get("feats", i).alias("value"), F.get("weights", i).alias("weight"), F.get("confidences", i).alias("confidence"), F.get("contributions", i).alias("contribution")))
     df = df.withColumn("contributed", F.filter(rows, lambda x: x["contribution"].isNotNull()))
     ranked = F.array_sort(F.transform("contributed", lambda x: F.struct((-F.abs(x["contribution"])).alias("size"), x["place"].alias("place"), x.alias("x"))))
-    label = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    label = F.create_map(*(F.lit(x) for name in registry.directional for x in (name, registry.labels[name])))
     told = F.transform(F.filter(F.slice(ranked, 1, 4), lambda r: r["size"] != 0), lambda r: F.format_string("%s %s %+.2f (w=%.2f c=%.2f)", F.when(r["x"]["contribution"] > 0, "+").otherwise("-"), F.try_element_at(label, r["x"]["name"]), r["x"]["value"], r["x"]["weight"], r["x"]["confidence"]))
     more = F.array_compact(F.array(
         F.when(F.col("compression_value") >= 0.6, F.format_string("+ Spread compressing (%+.2ft)", "compression")), F.when(F.col("spread_ticks") > cfg.quality.max_signal_spread_ticks, F.format_string("- Spread wide (%.2ft)", "spread_ticks")),

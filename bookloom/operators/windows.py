@@ -53,11 +53,18 @@ def fill_ratio(x: str, capacity: int) -> Column:
     return samples(x, capacity) / float(capacity)
 
 
+def mid_in_ticks() -> Column:
+    """The mid in ticks, from whole paise where the tick is whole paise: halves of ticks are exact, so sums of moves don't depend on their order."""
+    paise = F.rint(F.col("tick") * 100)
+    exact = (F.get("bids", 0)["price_paise"] + F.get("asks", 0)["price_paise"]) / (2 * paise)
+    return F.when((paise >= 1) & (F.abs(F.col("tick") * 100 - paise) < 1e-9), exact).otherwise(F.col("mid") / F.col("tick"))
+
+
 def shared_statistics(df: DataFrame, cfg: Engine) -> DataFrame:
     """Adds the statistics that several scores read; needs the columns of a sequenced stream with its local features."""
     c, t, r, f = cfg.confidence, cfg.threshold, cfg.regime, cfg.features
     order = W.partitionBy("token", "segment").orderBy("seq")
-    df = df.withColumn("mid_ticks", F.col("mid") / F.col("tick"))
+    df = df.withColumn("mid_ticks", mid_in_ticks())
     # A move counts only where it isn't a segment's first and isn't held against a row before a gap.
     df = df.withColumn("mid_move", F.when(~F.col("is_first") & (F.col("row") > 1), F.col("mid_ticks") - F.lag("mid_ticks").over(order)))
     tick_paise = F.greatest(F.lit(1.0), F.rint(F.col("tick") * 100))

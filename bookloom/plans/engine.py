@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookloom.config import DIRECTIONAL, Engine
-from bookloom.operators import book, execution, kernel, scoring, windows
+from bookloom.config import Engine
+from bookloom.features import DEFAULT, Registry
+from bookloom.operators import book, kernel, scoring, windows
+from bookloom.operators.execution import TOUCH, ExecutionModel
 from bookloom.tables import cut
 
 
@@ -51,16 +53,20 @@ def sequence(raw: DataFrame, cfg: Engine) -> DataFrame:
     return kernel.sequenced(book.local_features(book.structural(raw, cfg), cfg), cfg)
 
 
-def scored(raw: DataFrame, cfg: Engine) -> DataFrame:
+def evaluated(df: DataFrame, cfg: Engine, registry: Registry = DEFAULT, model: ExecutionModel = TOUCH) -> DataFrame:
+    """Rows with their windows' statistics and features, with quality, confidence, feats and bases as arrays, thresholds, the proposed regime and quotes."""
+    df = scoring.confidence(scoring.quality(df, cfg), cfg, registry)
+    df = df.select("*", F.array(*(f"feat_{n}" for n in registry.directional)).alias("feats"), F.array(*(f"base_{n}" for n in registry.directional)).alias("bases"))
+    return scoring.quotes(scoring.threshold(df, cfg).withColumn("proposed", scoring.proposed_regime(cfg, registry)), cfg, model)
+
+
+def scored(raw: DataFrame, cfg: Engine, registry: Registry = DEFAULT, model: ExecutionModel = TOUCH) -> DataFrame:
     """Accepted rows with statistics, feature values, quality, confidence, feats and bases as arrays, thresholds and quotes."""
     df = cut(sequence(raw, cfg).where("reject_reason IS NULL"), "sequenced")
-    df = scoring.feature_values(windows.shared_statistics(df, cfg), cfg)
-    df = scoring.confidence(scoring.quality(df, cfg), cfg)
-    df = df.select("*", F.array(*(f"feat_{n}" for n in DIRECTIONAL)).alias("feats"), F.array(*(f"base_{n}" for n in DIRECTIONAL)).alias("bases"))
-    return scoring.quotes(scoring.threshold(df, cfg).withColumn("proposed", scoring.proposed_regime(cfg)), cfg)
+    return evaluated(scoring.feature_values(windows.shared_statistics(df, cfg), cfg, registry), cfg, registry, model)
 
 
-def run_batch(raw: DataFrame, cfg: Engine) -> DataFrame:
-    """One output row per accepted snapshot."""
-    df = cut(kernel.decided(scored(raw, cfg), cfg), "decided")
-    return scoring.reasons(df.withColumn("pnl", execution.profit(cfg)), cfg)
+def run_batch(raw: DataFrame, cfg: Engine, registry: Registry = DEFAULT, model: ExecutionModel = TOUCH) -> DataFrame:
+    """One output row per accepted snapshot. registry: the features and their weights; model: how orders fill, what they cost and what a position is worth."""
+    df = cut(kernel.decided(scored(raw, cfg, registry, model), cfg, registry), "decided")
+    return scoring.reasons(model.marked(df, cfg), cfg, registry)
