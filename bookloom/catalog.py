@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.config import Engine
+from bookloom.config import Engine, Threshold
 from bookloom.functions import scalar
 from bookloom.operators import book, execution, kernel, reports, scoring, windows
 from bookloom.plans import engine
@@ -420,12 +420,16 @@ def q_threshold(spark, sf):
     return df.select(*KEYS, r6("entry").alias("entry"), r6("watch").alias("watch"), r6("exit").alias("exit"))
 
 
-ORACLE["adaptive_threshold"] = (
-    f"WITH {SEQ_SQL}, v AS (SELECT *, {OBI_SQL} AS obi FROM ({_MOVE})), "
-    + f"y AS (SELECT v.*, coalesce(stddev_samp(spread_ticks) {over(240)}, 0) AS sd, avg(spread_ticks) {over(240)} AS mean, coalesce(stddev_samp(mv) {over(240)}, 0) AS vol, coalesce(stddev_samp(obi) {over(240, True)}, 0) AS osd, count(mv) {over(240)} >= 8 AND count(spread_ticks) {over(240)} >= 8 AS ready, CASE WHEN count(still) {over(60)} >= 4 THEN avg(still) {over(60)} ELSE 0.5 END AS calm_touch FROM (SELECT *, CASE WHEN NOT is_first THEN CASE WHEN abs(bid - coalesce(p_bid, 0)) <= 5 AND abs(ask - coalesce(p_ask, 0)) <= 5 THEN 1.0 ELSE 0.0 END END AS still FROM v) v), "
-    + "z AS (SELECT *, CASE WHEN ready THEN greatest(0.18, least(0.85, 0.3 * (1 + 0.45 * sd / greatest(mean, 1) + 0.4 * vol / greatest(mean, 1) + 0.35 * osd / 0.25 + 0.3 * (1 - calm_touch)))) ELSE 0.85 END AS e FROM y) "
-    + f"SELECT token, seq, {q6('e', 'entry')}, {q6('e * 0.6', 'watch')}, {q6('e * 0.5', 'exit')} FROM z"
-)
+def threshold_sql(t: Threshold) -> str:
+    return (
+        f"WITH {SEQ_SQL}, v AS (SELECT *, {OBI_SQL} AS obi FROM ({_MOVE})), "
+        + f"y AS (SELECT v.*, coalesce(stddev_samp(spread_ticks) {over(240)}, 0) AS sd, avg(spread_ticks) {over(240)} AS mean, coalesce(stddev_samp(mv) {over(240)}, 0) AS vol, coalesce(stddev_samp(obi) {over(240, True)}, 0) AS osd, count(mv) {over(240)} >= 8 AND count(spread_ticks) {over(240)} >= 8 AS ready, CASE WHEN count(still) {over(60)} >= 4 THEN avg(still) {over(60)} ELSE 0.5 END AS calm_touch FROM (SELECT *, CASE WHEN NOT is_first THEN CASE WHEN abs(bid - coalesce(p_bid, 0)) <= 5 AND abs(ask - coalesce(p_ask, 0)) <= 5 THEN 1.0 ELSE 0.0 END END AS still FROM v) v), "
+        + f"z AS (SELECT *, CASE WHEN ready THEN greatest({t.min_entry}::DOUBLE, least({t.max_entry}::DOUBLE, {t.base}::DOUBLE * (1 + 0.45 * sd / greatest(mean, 1) + 0.4 * vol / greatest(mean, 1) + 0.35 * osd / 0.25 + 0.3 * (1 - calm_touch)))) ELSE {t.max_entry}::DOUBLE END AS e FROM y) "
+        + f"SELECT token, seq, {q6('e', 'entry')}, {q6('e * 0.6', 'watch')}, {q6('e * 0.5', 'exit')} FROM z"
+    )
+
+
+ORACLE["adaptive_threshold"] = threshold_sql(CFG.threshold)
 
 
 def traded(spark: SparkSession, sf: str) -> DataFrame:
