@@ -64,7 +64,7 @@ class Ema:
         return self.value
 
 
-SEQUENCE_IN = ["structural_reason", "exchange_timestamp_ms", "clock_ms", "sequence_number", "volume_traded_today", "last_traded_price", "mid", "spread_ticks", "tilt_value", "obi", "tick", "bids.price_paise", "bids.quantity", "asks.price_paise", "asks.quantity"]
+SEQUENCE_IN = ["structural_reason", "exchange_timestamp_ms", "clock_ms", "sequence_number", "volume_traded_today", "last_traded_price", "mid", "spread_ticks", "tilt_value", "obi", "tick", "bids.price_paise", "bids.quantity", "asks.price_paise", "asks.quantity", "notices", "notice_clock"]
 SEQUENCE_OUT = (
     "reject_reason string, gap boolean, forced boolean, idx bigint, segment bigint, row_no bigint, is_first boolean, dt_ms double, delta_volume bigint, ms_since_gap double, "
     "prev_bid_paise bigint, prev_bid_qty bigint, prev_ask_paise bigint, prev_ask_qty bigint, compression double, trend double, micro double, momentum double, momentum_valid boolean, "
@@ -79,6 +79,7 @@ class Sequencer:
         self.cfg = cfg
         self.before: tuple | None = None  # what the next row is validated against
         self.pending, self.gap_clock, self.idx, self.segment = False, None, 0, 0
+        self.seen = 0  # notices for all tokens that have been obeyed
         self.restart()
 
     def restart(self) -> None:
@@ -98,9 +99,11 @@ class Sequencer:
             self.pending, self.gap_clock = True, clock
         return (reason, gap, False, *[None] * 21)
 
-    def step(self, structural, ts, clock, seq, volume, ltp, mid, spread_ticks, tilt, obi, tick, bids, bid_sizes, asks, ask_sizes) -> tuple:
-        """bids and asks are prices in paise by level, the sizes what stands there."""
+    def step(self, structural, ts, clock, seq, volume, ltp, mid, spread_ticks, tilt, obi, tick, bids, bid_sizes, asks, ask_sizes, notices=0, notice_clock=None) -> tuple:
+        """bids and asks are prices in paise by level, the sizes what stands there; notices is how many breaks of the feed have been told to all tokens up to this row's clock, notice_clock when the last was."""
         v, f = self.cfg.validation, self.cfg.features
+        if notices > self.seen:
+            self.seen, self.pending, self.gap_clock = notices, True, notice_clock
         if structural is not None:
             return self.rejected(structural, clock, structural == GAP_NOTICE)
         touch = (bids[0], asks[0], bid_sizes[0], ask_sizes[0], volume, ltp)

@@ -41,7 +41,11 @@ class Kernels:
 
 def feature_values(df: DataFrame, cfg: Engine, registry: Registry = DEFAULT) -> DataFrame:
     """Adds feat_<name> (null where invalid) and local_<name>, its own confidence, for every feature of the registry, layer by layer."""
-    df = dispersions(df, cfg)
+    return column_features(dispersions(df, cfg), cfg, registry)
+
+
+def column_features(df: DataFrame, cfg: Engine, registry: Registry) -> DataFrame:
+    """feature_values where the dispersions are there already."""
     for sequential, features in registry.layers():
         if not sequential:
             local = lambda f: F.coalesce(f.confidence(cfg), F.lit(1.0)) if f.confidence else F.lit(1.0)

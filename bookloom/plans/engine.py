@@ -18,6 +18,7 @@ from bookloom.config import Engine
 from bookloom.features import DEFAULT, Registry
 from bookloom.operators import book, kernel, scoring, windows
 from bookloom.operators.execution import TOUCH, ExecutionModel
+from bookloom.operators.scan import running
 from bookloom.tables import cut
 
 
@@ -26,10 +27,32 @@ def subscribed(raw: DataFrame, cfg: Engine) -> DataFrame:
     return raw.where(F.col("token").isin([s.token for s in cfg.symbols])) if cfg.symbols else raw
 
 
+#: Notices for all tokens are put beside every row as one array of clocks up to so many; beyond, each row is given its count by a sort.
+BROADCAST_NOTICES = 10_000
+
+
 def with_gap_notices(raw: DataFrame, notices: DataFrame) -> DataFrame:
-    """raw with rows (token, clock_ms) that tell of breaks in the feed: the next accepted row of the token starts afresh."""
+    """raw with rows (token, clock_ms) that tell of breaks in the feed: the next accepted row of the token starts afresh. A notice without a token is told to all tokens: each one's next accepted row from that clock on starts afresh, a token's first row too."""
+    raw, everyone = clocked(raw), notices.where("token IS NULL").select(F.col("clock_ms").cast("double").alias("at"))
+    notices = notices.where("token IS NOT NULL")
+    if everyone.limit(BROADCAST_NOTICES + 1).count() <= BROADCAST_NOTICES:
+        told = everyone.agg(F.sort_array(F.collect_list("at")).alias("told"))
+        raw = raw.crossJoin(F.broadcast(told)).withColumn("told", F.filter("told", lambda c: c <= F.col("clock_ms")))
+        raw = raw.withColumns({"notices": F.size("told").cast("long"), "notice_clock": F.array_max("told")}).drop("told")
+    else:
+        raw = counted_as_of(raw, everyone)
     rows = notices.select("token", F.col("clock_ms").cast("double"), F.col("clock_ms").cast("long").alias("exchange_timestamp_ms"), F.lit(True).alias("gap_notice"))
-    return clocked(raw).unionByName(rows, allowMissingColumns=True)
+    return raw.unionByName(rows, allowMissingColumns=True)
+
+
+def counted_as_of(raw: DataFrame, everyone: DataFrame) -> DataFrame:
+    """raw with notices and notice_clock, by two-level counts over ranges of the clock."""
+    both = raw.withColumn("__told", F.lit(0)).unionByName(everyone.select(F.col("at").alias("clock_ms"), F.lit(1).alias("__told")), allowMissingColumns=True).withColumn("__all", F.lit(0))
+    # Of equal clocks notices come first; the order of rows beyond that doesn't matter.
+    both = running(both.withColumn("__order", 1 - F.col("__told")), "__all", ["clock_ms", "__order"], {"notices": F.col("__told")})
+    last = everyone.select("at").withColumn("__n", F.lit(0))
+    places = running(last, "__n", ["at"], {"place": F.lit(1)}).groupBy("place").agg(F.max("at").alias("notice_clock"))
+    return both.where("__told = 0").join(places, F.col("notices") == F.col("place"), "left").drop("__told", "__all", "__order", "place")
 
 
 def clocked(raw: DataFrame) -> DataFrame:
@@ -50,6 +73,9 @@ def sequence(raw: DataFrame, cfg: Engine) -> DataFrame:
     if "parse_error" in raw.columns:
         raw = raw.where("parse_error IS NULL").drop("parse_error")
     raw = arranged(clocked(subscribed(raw, cfg)))
+    if "notices" not in raw.columns:
+        raw = raw.withColumns({"notices": F.lit(0).cast("long"), "notice_clock": F.lit(None).cast("double")})
+    raw = raw.withColumn("notices", F.coalesce("notices", F.lit(0)))
     return kernel.sequenced(book.local_features(book.structural(raw, cfg), cfg), cfg)
 
 

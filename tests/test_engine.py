@@ -126,28 +126,6 @@ def test_replayed_lines_equal_direct_rows(spark, tmp_path):
     assert [r[3] for r in cut if r[0] == "UPWARD" and r[1] in (50, 51, 52)] == [0, 1, 1] and sum(r[2] == "GAP_NOTICE" for r in cut) == 2
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    """Two micro-batches of recorded lines, with a gap notice between, against one batch."""
-    from pyspark.sql import functions as F
-
-    from bookloom.schema import RAW
-    from bookloom.streaming.sequence import sequenced_stream
-
-    rows = engine.clocked(scenarios.scenario_rows(spark, 60, ("UPWARD", "NOISE")).drop("clock_ms"))
-    notice = spark.createDataFrame([("UPWARD", 31, 1_753_500_006_100.0)], "token string, seq bigint, clock_ms double").withColumn("exchange_timestamp_ms", F.col("clock_ms").cast("long")).withColumn("gap_notice", F.lit(True))
-    both = rows.withColumn("seq", F.col("seq") + F.when(F.col("seq") > 30, 1).otherwise(0)).unionByName(notice, allowMissingColumns=True)
-    for i, part in enumerate(("seq <= 30", "seq > 30")):
-        both.where(part).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    source = spark.readStream.schema(f"{RAW}, seq bigint, clock_ms double, gap_notice boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    query = sequenced_stream(source, Engine()).writeStream.format("memory").queryName("sequenced").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    keys = ("token", "seq", "reject_reason", "forced", "segment", "dt_ms", "trend", "refill", "momentum")
-    tell = lambda df: sorted((tuple(r[k] for k in keys) for r in df.select(*keys).collect()), key=repr)
-    got = tell(spark.table("sequenced"))
-    assert got == tell(engine.sequence(both, Engine())) and len(got) == 121
-    assert [r[4] for r in got if r[0] == "UPWARD" and r[1] in (30, 32)] == [0, 1]
-
-
 @pytest.mark.parametrize("bad", [{"quality": {"min_depth_levels": 6}}, {"threshold": {"min_entry": 0.9}}, {"composite": {"min_confidence": 1.5}}, {"regime": {"window": 3}}, {"symbols": [{"token": " "}]}, {"symbols": [{"token": "1"}, {"token": "1"}]}, {"tick_size": 0}, {"features": {"spread_tight_ticks": 7}}])
 def test_settings_out_of_range(bad):
     with pytest.raises(ValueError):
