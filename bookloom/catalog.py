@@ -551,10 +551,10 @@ def q_subscriptions(spark, sf):
     return reports.subscriptions(n).select("exchange_type", F.array_join("tokens", ",").alias("tokens"))
 
 
-@register("merged_streams", "SELECT token, seq, ts FROM book WHERE token <> '3'", BOOK_SQL)
+@register("merged_streams", "SELECT token, seq, ts FROM book", BOOK_SQL)
 def q_merged(spark, sf):
     b = derived_book(spark, sf)
-    return reports.merged(*(b.where(F.col("token") == t) for t in ("0", "1", "2"))).select(*KEYS, F.col("exchange_timestamp_ms").alias("ts"))
+    return reports.merged(*(b.where(F.col("token") == t) for t in ("0", "1", "2", "3"))).select(*KEYS, F.col("exchange_timestamp_ms").alias("ts"))
 
 
 def _scenario_sql(rows: int) -> str:
@@ -580,12 +580,12 @@ def q_scenarios(spark, sf):
     )
 
 
-@register("replayed_lines", "SELECT token, seq, CASE WHEN ask < bid THEN 'CROSSED_BOOK' END AS reject_reason, round_even((ask - bid) / 100.0::DOUBLE / CASE token WHEN '1' THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END, 6) AS spread_ticks, CASE token WHEN '1' THEN 7 ELSE 1 END AS lot FROM book WHERE token IN ('0', '1')", BOOK_SQL)
+@register("replayed_lines", "SELECT token, seq, CASE WHEN ask < bid THEN 'CROSSED_BOOK' END AS reject_reason, round_even((ask - bid) / 100.0::DOUBLE / CASE token WHEN '1' THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END, 6) AS spread_ticks, CASE token WHEN '1' THEN 7 ELSE 1 END AS lot FROM book", BOOK_SQL)
 def q_replayed(spark, sf):
     """Recorded lines parsed back and sequenced, under settings with two tick sizes."""
     from bookloom.config import Symbol
 
-    cfg = Engine(symbols=(Symbol("0"), Symbol("1", tick_size=0.1, quantity=7)))
+    cfg = Engine(symbols=(Symbol("0"), Symbol("1", tick_size=0.1, quantity=7), Symbol("2"), Symbol("3")))
     lines = derived_book(spark, sf).select(F.col("seq").alias("arrival"), wire.to_record().alias("line"))
     out = engine.sequence(wire.from_record(lines, "line"), cfg)
     return out.select(*KEYS, "reject_reason", F.bround("spread_ticks", 6).alias("spread_ticks"), F.col("lot").cast("int").alias("lot"))

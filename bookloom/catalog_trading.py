@@ -11,12 +11,13 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from bookloom import catalog
-from bookloom.catalog import _GRID, KEYS, ORACLE, SEQ_SQL, q6, r6, register, threshold_sql
+from bookloom.catalog import _GRID, EMA_SQL, KEYS, ORACLE, SEQ_SQL, q6, r6, register, threshold_sql
 from bookloom.config import DIRECTIONAL, FACTORS, REGIME_CONFIDENCE, WEIGHTS, Composite, Engine, Execution, Quality, StateMachine, Threshold
 from bookloom.features import BUILT_IN, Feature, Registry, feature
 from bookloom.functions.scalar import clamp_unit, safe_div
-from bookloom.operators import kernel
+from bookloom.operators import kernel, scan
 from bookloom.operators.execution import DepthWalk
+from bookloom.operators.order_statistics import sliding_percentiles
 from bookloom.plans import engine
 from bookloom.sources.derived import BOOK_SQL
 from bookloom.sources.trading import TRADING_SQL, trading_book
@@ -227,3 +228,31 @@ def _large_sql() -> str:
 def q_depth_walk(spark, sf):
     df = engine.run_batch(trading_book(spark, sf), LARGE, model=DepthWalk())
     return df.where("closed").select(*KEYS, "reason", "quantity", r6("entry_price").alias("entry_price"), r6("exit_price").alias("exit_price"), *(r6(f"pnl.{c}").alias(c) for c in ("gross_ticks", "gross_rupees", "cost_rupees", "net_rupees", "net_bps", "holding_ms")))
+
+
+ORACLE["decision_digest"] = (
+    states_sql(catalog.CFG, BOOK_SQL)
+    + """, leaves AS (SELECT token, idx - 1 AS place, sha256('{"idx":' || idx || ',"state":"' || state || '","regime":"' || regime || '","smoothed":' || CAST(round(smoothed * 1000000, 0) AS BIGINT) || ',"entry":' || CAST(round(entry * 1000000, 0) AS BIGINT) || '}') AS digest FROM states JOIN scored USING (token, segment, rn, seq)),
+up AS (SELECT token, place // 1024 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest, count(*) AS n FROM leaves GROUP BY ALL)
+SELECT token, sha256(string_agg(digest, '' ORDER BY place)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM up GROUP BY token"""
+)
+
+
+@register("ema_blocks", f"WITH RECURSIVE {EMA_SQL.replace(BOOK_SQL.strip(), TRADING_SQL.strip())} SELECT token, seq, {q6('tf - ts_', 'trend')}, {q6('sf', 'spread_fast')}, {q6('ss', 'spread_slow')} FROM r", "")
+def q_ema_blocks(spark, sf):
+    """Averages of every token by blocks of rows, not by tokens: what the sequencing kernel gives, from maps that compose."""
+    b = trading_book(spark, sf).select(*KEYS, "exchange_timestamp_ms", (F.get("bids", 0)["price_paise"] + F.get("asks", 0)["price_paise"]).alias("twice"), ((F.get("asks", 0)["price"] - F.get("bids", 0)["price"]) / 0.05).alias("spread_ticks"))
+    b = scan.lagged(b, "token", ["seq"], {"p_ts": "exchange_timestamp_ms"})
+    b = b.withColumn("gap", F.coalesce(F.col("exchange_timestamp_ms") - F.col("p_ts") > catalog.CFG.validation.max_snapshot_gap_ms, F.lit(False)))
+    b = scan.lagged(b, "token", ["seq"], {"p_gap": "gap"})
+    fresh = F.col("p_ts").isNull() | F.col("gap")
+    dt = F.when(fresh | F.coalesce("p_gap", F.lit(False)), 0.0).otherwise((F.col("exchange_timestamp_ms") - F.col("p_ts")).cast("double"))
+    r, f, ticks = catalog.CFG.regime, catalog.CFG.features, F.col("twice") / 10
+    averages = {"fast": (ticks, r.fast_half_life_ms), "slow": (ticks, r.slow_half_life_ms), "sf": (F.col("spread_ticks"), f.compression_fast_ms), "ss": (F.col("spread_ticks"), f.compression_slow_ms)}
+    out = scan.time_averages(b, "token", ["seq"], fresh, dt, averages, f.max_dt_ms)
+    return out.select(*KEYS, r6(F.col("fast") - F.col("slow")).alias("trend"), r6("sf").alias("spread_fast"), r6("ss").alias("spread_slow"))
+
+
+@register("sliding_percentiles", "SELECT event_type, event_id, n, s[1 + least(n - 1, CAST(floor(n * 0.5) AS BIGINT))] AS p50, s[1 + least(n - 1, CAST(floor(n * 0.9::DOUBLE) AS BIGINT))] AS p90, s[1 + least(n - 1, CAST(floor(n * 0.99::DOUBLE) AS BIGINT))] AS p99, s[n] AS most FROM (SELECT event_type, event_id, len(l) AS n, list_sort(l) AS s FROM (SELECT event_type, event_id, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS l FROM events))", "")
+def q_sliding(spark, sf):
+    return sliding_percentiles(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "event_id", "value", size=1000)

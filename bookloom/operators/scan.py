@@ -111,3 +111,14 @@ def time_averages(df: DataFrame, key: str, order: list[str], fresh: Column, dt:
         return F.when(fresh, 0.0).when(x.isNull(), 1.0).otherwise(keep), F.when(fresh, x).when(x.isNull(), 0.0).otherwise((1 - keep) * x)
 
     return affine_scan(df, key, order, {n: one(x, h) for n, (x, h) in averages.items()}, count)
+
+
+def lagged(df: DataFrame, key: str, order: list[str], columns: dict[str, str], count: int | None = None) -> DataFrame:
+    """Adds, for each new name, the column's value in the key's row before (null in its first). order must tell rows of a key apart."""
+    cols = df.columns
+    df = blocks(df, key, order, count)
+    inside = W.partitionBy(BLOCK, key).orderBy(*order)
+    ends = df.groupBy(key, BLOCK).agg(F.max_by(F.struct(*columns.values()), F.struct(*order)).alias("__last"))
+    halo = ends.select(key, BLOCK, F.lag("__last").over(W.partitionBy(key).orderBy(BLOCK)).alias("__halo")).where("__halo IS NOT NULL")
+    out = df.select(*cols, BLOCK, F.row_number().over(inside).alias("__n"), *(F.lag(c).over(inside).alias(n) for n, c in columns.items())).join(F.broadcast(halo), [key, BLOCK], "left")
+    return out.select(*cols, *(F.when(F.col("__n") == 1, F.col("__halo")[c]).otherwise(F.col(n)).alias(n) for n, c in columns.items()))

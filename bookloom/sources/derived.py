@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookloom.operators.scan import running
+
 # Fixed values: (v's factor, event_id's factor, modulus) of each level's quantity.
 BID_QUANTITIES = ((31, 17, 1500), (13, 29, 1200), (7, 11, 1000), (3, 5, 800), (1, 1, 600))
 ASK_QUANTITIES = ((37, 19, 1500), (17, 23, 1200), (5, 13, 1000), (11, 7, 800), (2, 1, 600))
@@ -13,14 +14,11 @@ TOKENS = 4
 
 
 def derived_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw snapshots (see schema.RAW) plus seq and clock_ms, one per event; a token's history is dealt to one task once."""
+    """Raw snapshots (see schema.RAW) plus seq and clock_ms, one per event. Places and running sums are two-level, so no task holds a token's history."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
     e = e.select("event_id", "event_type", (F.col("user_id") % TOKENS).alias("tok"), F.rint(F.col("value") * 100).cast("long").alias("v"))
-    order = W.partitionBy("tok").orderBy("event_id")
-    run = order.rowsBetween(W.unboundedPreceding, 0)
-    e = e.withColumn("seq", F.row_number().over(order).cast("long"))
-    e = e.withColumn("bid", F.lit(80000) + 5 * F.sum(F.expr("CASE v % 4 WHEN 0 THEN -1 WHEN 3 THEN 1 ELSE 0 END")).over(run))
-    e = e.withColumn("volume", F.sum((F.col("v") % 5) * 80).over(run))
+    e = running(e, "tok", ["event_id"], {"seq": F.lit(1), "moved": F.expr("CASE v % 4 WHEN 0 THEN -1 WHEN 3 THEN 1 ELSE 0 END"), "volume": (F.col("v") % 5) * 80})
+    e = e.withColumn("bid", F.lit(80000) + 5 * F.col("moved"))
     ticks = F.when((F.col("event_type") == "error") & (F.col("v") % 50 == 0), -1).when(F.col("v") % 20 == 7, 3).otherwise(1)
     e = e.withColumn("ask", F.col("bid") + 5 * ticks)
     ladder = lambda best, step, spec: F.array(*(level(F.col(best) + step * i, 100 + (F.col("v") * a + F.col("event_id") * b) % m) for i, (a, b, m) in enumerate(spec)))

@@ -5,7 +5,8 @@ rolling statistics, the second holds the regime, the composite's average and the
 thresholds and quotes between them are the batch plan's own Columns. Tokens are dealt to SHARDS keys, each with a map of its
 tokens' states, so that a notice of a break in the feed that names no token reaches every shard, and tokens that are seen
 later obey it too. A token's state is typed columns of fixed size (numbers, and rings of the last rows' values);
-with idle_ms, the state of a token that has been silent for so long ends, and it begins anew when it returns.
+with idle_ms, the state of a token that has been silent for so long ends, and it begins anew when it returns (a query that
+is to end by itself, as with availableNow, then needs spark.sql.streaming.noDataMicroBatches.enabled set to false).
 
 Rows of a token are taken in the order of `seq` inside a micro-batch, and micro-batches as they come; a late row is held
 against what has been accepted, as the rules for time and volume say. How long state lives and which rows are late

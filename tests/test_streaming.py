@@ -142,10 +142,13 @@ def test_idle_tokens_end_and_begin_anew(store, tmp_path):
     rows = engine.clocked(scenarios.scenario_rows(spark, 20, ("UPWARD",))).withColumn("gap_notice", F.lit(False))
     source = fed(spark, rows, ["seq <= 10"], tmp_path)
     run = lambda df: drained(stream.sequenced_stream(df, Engine(), idle_ms=3000), tmp_path)
+    # Else a query with idle tokens goes on with empty micro-batches and never ends.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     run(source)
     time.sleep(4)
     rows.where("seq > 10").coalesce(1).write.parquet(f"{tmp_path}/in/1")
     got = {r.seq: r.idx for r in run(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*")).collect()}
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert [got[i] for i in (1, 10, 11, 20)] == [1, 10, 1, 10]
 
 
