@@ -484,6 +484,21 @@ def test_near_duplicates_large_nodes_of_many_components(frame, monkeypatch):
     assert near_dedup.tree_count(0.85, 0) < near_dedup.tree_count(0.85, near_dedup.LEVELS)
 
 
+def test_near_duplicates_lose_no_link_at_a_larger_size(spark):
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents")
+    got = {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(docs, 3, 0.85).collect()}
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
+
+
+def test_vertices_that_share_nothing_end_at_the_first_branching(frame, monkeypatch):
+    """Different texts, and pairs of near copies: no node branches."""
+    calls = bounded_branches(monkeypatch, 9)
+    words = lambda i: [f"w{i}x{j}" for j in range(60)]
+    texts = [" ".join(words(i // 2)[i % 2 :]) for i in range(80)]
+    got = {r.doc_id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(frame(list(enumerate(texts))), 3, 0.85).collect()}
+    assert got == brute_components(list(enumerate(texts)), 3, 85) and not calls and len({c for _, c in got.values()}) == 40
+
+
 def test_near_duplicates_odd_rows(edges, frame):
     got = {r.doc_id: r for r in near_dedup.near_duplicates(edges, 3, 0.85).collect()}
     assert got[5].component == got[6].component == got[4].component == 4 and got[8].component == 7
