@@ -19,7 +19,8 @@ from bookloom.operators import kernel, scan
 from bookloom.operators.execution import DepthWalk
 from bookloom.operators.order_statistics import sliding_percentiles
 from bookloom.plans import engine
-from bookloom.sources.derived import BOOK_SQL
+from bookloom.sources import observe, wire
+from bookloom.sources.derived import BOOK_SQL, derived_book
 from bookloom.sources.trading import TRADING_SQL, trading_book
 
 #: Settings under which the trading book trades; what the SQL of features has as constants is left as it is.
@@ -256,3 +257,38 @@ def q_ema_blocks(spark, sf):
 @register("sliding_percentiles", "SELECT event_type, event_id, n, s[1 + least(n - 1, CAST(floor(n * 0.5) AS BIGINT))] AS p50, s[1 + least(n - 1, CAST(floor(n * 0.9::DOUBLE) AS BIGINT))] AS p90, s[1 + least(n - 1, CAST(floor(n * 0.99::DOUBLE) AS BIGINT))] AS p99, s[n] AS most FROM (SELECT event_type, event_id, len(l) AS n, list_sort(l) AS s FROM (SELECT event_type, event_id, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS l FROM events))", "")
 def q_sliding(spark, sf):
     return sliding_percentiles(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "event_id", "value", size=1000)
+
+
+# Payloads as a feed may send them: bytes, lists in lists, words between messages, and damaged ones.
+
+_KIND_SQL = "CASE seq % 9 WHEN 1 THEN 'list' WHEN 2 THEN 'nested' WHEN 3 THEN 'garbled' WHEN 4 THEN 'cut' WHEN 5 THEN 'word' WHEN 6 THEN 'deep' WHEN 7 THEN 'nameless' ELSE 'plain' END"
+
+
+def payloads(spark, sf):
+    """(seq, payload): the derived book's messages as bytes, wrapped or damaged in one of several ways by their place."""
+    b = wire.sample_payloads(derived_book(spark, sf))
+    seq = F.get_json_object("payload", "$.sequence_number").cast("long")
+    p, kind = F.col("payload"), F.expr(_KIND_SQL)
+    told = (
+        F.when(kind == "list", F.concat(F.lit("["), p, F.lit("]"))).when(kind == "nested", F.concat(F.lit('["pong", [['), p, F.lit("], ["), p, F.lit("]], null]"))).when(kind == "cut", F.substring(p, 1, 40)).when(kind == "word", F.lit(' "PONG" '))
+        .when(kind == "deep", F.concat(F.lit("[[[[["), p, F.lit("]]]]]"))).when(kind == "nameless", F.regexp_replace(p, '"token":"[0-9]+"', '"token":" "')).otherwise(p)
+    )
+    raw = told.cast("binary")
+    return b.select("payload", seq.alias("seq")).select("seq", F.when(kind == "garbled", F.concat(raw, F.unhex(F.lit("C3")))).otherwise(raw).alias("payload"))
+
+
+@register("nested_payloads", f"SELECT CASE WHEN kind IN ('garbled', 'cut', 'deep', 'nameless') THEN NULL ELSE token END AS token, CASE kind WHEN 'garbled' THEN 'not UTF-8' WHEN 'cut' THEN 'not JSON' WHEN 'deep' THEN 'not JSON, or nested too deep' WHEN 'nameless' THEN 'no token' END AS parse_error, CAST(sum(CASE kind WHEN 'nested' THEN 2 ELSE 1 END) AS BIGINT) AS n, CAST(sum(CASE kind WHEN 'nested' THEN 2 ELSE 1 END * CASE WHEN kind IN ('garbled', 'cut', 'deep', 'nameless') THEN 0 ELSE ask END) AS BIGINT) AS asks FROM (SELECT *, {_KIND_SQL} AS kind FROM book) WHERE kind <> 'word' GROUP BY ALL", BOOK_SQL)
+def q_nested(spark, sf):
+    rows = wire.parse(payloads(spark, sf), "payload")
+    good = F.col("parse_error").isNull()
+    return rows.groupBy(F.when(good, F.col("token")).alias("token"), "parse_error").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(good, F.get("asks", 0)["price_paise"])), F.lit(0)).alias("asks"))
+
+
+@register("replay_counts", "SELECT count(*) AS rows, CAST(sum(CAST(seq % 7 NOT IN (1, 2) AS INT)) AS BIGINT) AS accepted, CAST(sum(CAST(seq % 7 = 1 AS INT)) AS BIGINT) AS no_token, CAST(sum(CAST(seq % 7 = 2 AS INT)) AS BIGINT) AS no_depth FROM book", BOOK_SQL)
+def q_replay_counts(spark, sf):
+    """Counts of a replay's lines by why they are skipped, as they are observed while it runs."""
+    lines = derived_book(spark, sf).select(F.when(F.col("seq") % 7 == 1, F.substring(wire.to_record(), 1, 30)).when(F.col("seq") % 7 == 2, F.concat(F.lit('{"token":"'), "token", F.lit('"}'))).otherwise(wire.to_record()).alias("line"))
+    rows, seen = observe.observed(wire.from_record(lines, "line"), "replay", ("no token", "no depth"))
+    rows.write.format("noop").mode("overwrite").save()
+    counts = seen.get
+    return spark.createDataFrame([(counts["rows"], counts["accepted"], counts["no token"], counts["no depth"])], "rows long, accepted long, no_token long, no_depth long")

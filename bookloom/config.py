@@ -226,7 +226,7 @@ RANGES = (
     (("confidence", "tolerance", "_ratio", "consumption", "er_trend", "er_range", "min_er", "_entry", "collinear_cap", "opposition", "_weight", "relative_depth", "_rate"), 0, 1, True), 
     (("entry_confirmations", "confirm", "min_dwell", "min_features", "warmup_snapshots", "momentum_warmup", "min_samples", ".quantity"), 1, math.inf, True), (("_aggression_ticks", "_slippage_ticks"), -math.inf, math.inf, True), (("",), 0, math.inf, True),
 )
-#: Pairs of settings of which the first must not be above the second.
+#: Pairs of settings of which the first must not be above the second; for those whose first is in STRICT it must be below.
 ORDERED = {
     "Features": (("spread_tight_ticks", "spread_wide_ticks"), ("compression_fast_ms", "compression_slow_ms"), ("momentum_fast_ms", "momentum_slow_ms"), ("persistence_min_samples", "persistence_window"), ("obi_primary_levels", "obi_deep_levels")),
     "Regime": (("fast_half_life_ms", "slow_half_life_ms"), ("er_range", "er_trend"), ("min_samples", "window")),
@@ -236,6 +236,9 @@ ORDERED = {
 }
 
 
+STRICT = {"spread_tight_ticks", "compression_fast_ms", "momentum_fast_ms", "fast_half_life_ms", "er_range"}
+
+
 def checked(settings, where: str):
     """settings, if its numbers are within RANGES and its pairs in order; else a ValueError that names the setting."""
     for f in dataclasses.fields(settings):
@@ -245,8 +248,9 @@ def checked(settings, where: str):
             if not (low <= v <= high) or v == low and not closed or v != v:
                 raise ValueError(f"{where}.{f.name}: {v} is not in {'[' if closed else '('}{low}, {high}]")
     for low, high in ORDERED.get(type(settings).__name__, ()):
-        if getattr(settings, low) > getattr(settings, high):
-            raise ValueError(f"{where}: {low} is above {high}")
+        first, second = getattr(settings, low), getattr(settings, high)
+        if first > second or first == second and low in STRICT:
+            raise ValueError(f"{where}: {low} is not below {high}" if low in STRICT else f"{where}: {low} is above {high}")
     if isinstance(settings, Symbol) and not settings.token.strip():
         raise ValueError(f"{where}: a token is blank")
     tokens = [s.token for s in getattr(settings, "symbols", ())]

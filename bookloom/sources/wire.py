@@ -81,12 +81,29 @@ def ranked(levels: Column, descending: bool) -> Column:
     return F.array_sort(levels, lambda a, b: (F.signum((a["price_paise"] - b["price_paise"]).cast("double")) * s).cast("int"))
 
 
+#: How deep lists may stand in lists.
+NESTING = 4
+
+
+def messages(text: Column) -> Column:
+    """The messages of a payload as text: an object is one, a list holds messages or lists of them, NESTING deep at most. What is deeper or no JSON stays as it is."""
+    inner = lambda x: F.when(F.ltrim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), F.array(x))).otherwise(F.array(x))
+    out = F.array(text)
+    for _ in range(NESTING):
+        out = F.flatten(F.transform(out, inner))
+    return out
+
+
 def parse(df: DataFrame, payload: str) -> DataFrame:
-    """Raw snapshots from text payloads, one row per message in each; heartbeats, and maps without any token key (control frames), give none. Adds parse_error."""
-    text = F.trim(F.col(payload))
-    one = F.when(text.startswith("{"), F.array(F.from_json(text, "map<string,string>"))).otherwise(F.from_json(text, "array<map<string,string>>"))
-    df = df.where(~heartbeat(payload)).withColumn("__m", F.explode_outer(one))
-    m = F.col("__m")
+    """Raw snapshots from payloads of text or bytes, one row per message in each (see `messages`); heartbeats, and maps without any token key (control frames), give none. Adds parse_error; bytes that aren't UTF-8 are one."""
+    binary = df.schema[payload].dataType.simpleString() == "binary"
+    text = F.try_validate_utf8(F.col(payload).cast("string")) if binary else F.col(payload)
+    garbled = F.col(payload).isNotNull() & text.isNull() if binary else F.lit(False)
+    # What an explosion gives is computed once, and the plan doesn't repeat a payload's own expression below.
+    df = df.withColumn("__garbled", garbled).withColumn("__text", F.explode(F.array(F.trim(text)))).where(F.col("__garbled") | ~heartbeat("__text"))
+    both = F.transform(messages(F.col("__text")), lambda x: F.struct(x.alias("t"), F.when(F.ltrim(x).startswith("{"), F.from_json(x, "map<string,string>")).alias("m")))
+    df = df.withColumn("__p", F.explode_outer(both)).where(F.col("__garbled") | ~heartbeat(F.col("__p.t")))
+    m = F.col("__p.m")
     named = [F.map_contains_key(m, k) for k in ALIASES["token"]]
     df = df.where(m.isNull() | named[0] | named[1] | named[2])
     get = {f: first_present(m, f) for f in ALIASES if f not in ("price", "quantity", "orders")}
@@ -97,8 +114,8 @@ def parse(df: DataFrame, payload: str) -> DataFrame:
     df = df.withColumns({"__d": divisor, "exchange_type": kind, "token": F.trim(get["token"]), "symbol": F.trim(get["token"])})
     df = df.withColumns({f: as_float(get[f]) / F.col("__d") for f in PRICES} | {f: as_float(get[f]) for f in ("total_buy_quantity", "total_sell_quantity")} | {f: as_int(get[f]) for f in ("exchange_timestamp_ms", "sequence_number", "last_traded_quantity", "volume_traded_today")})
     df = df.withColumns({"bids": ladder(get["bids"], F.col("__d"), True), "asks": ladder(get["asks"], F.col("__d"), False)})
-    error = F.when(m.isNull(), "not JSON").when(F.col("token").isNull() | (F.col("token") == ""), "no token").when((F.size("bids") == 0) & (F.size("asks") == 0), "no depth")
-    return df.withColumn("parse_error", error).drop("__m", "__d", payload)
+    error = F.when(F.col("__garbled"), "not UTF-8").when(m.isNull(), F.when(F.ltrim(F.col("__p.t")).startswith("["), "not JSON, or nested too deep").otherwise("not JSON")).when(F.col("token").isNull() | (F.col("token") == ""), "no token").when((F.size("bids") == 0) & (F.size("asks") == 0), "no depth")
+    return df.withColumn("parse_error", error).drop("__p", "__d", "__text", "__garbled", payload)
 
 
 def to_record() -> Column:

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from bookloom import catalog, config
 from bookloom.config import Engine
@@ -126,7 +127,7 @@ def test_replayed_lines_equal_direct_rows(spark, tmp_path):
     assert [r[3] for r in cut if r[0] == "UPWARD" and r[1] in (50, 51, 52)] == [0, 1, 1] and sum(r[2] == "GAP_NOTICE" for r in cut) == 2
 
 
-@pytest.mark.parametrize("bad", [{"quality": {"min_depth_levels": 6}}, {"threshold": {"min_entry": 0.9}}, {"composite": {"min_confidence": 1.5}}, {"regime": {"window": 3}}, {"symbols": [{"token": " "}]}, {"symbols": [{"token": "1"}, {"token": "1"}]}, {"tick_size": 0}, {"features": {"spread_tight_ticks": 7}}])
+@pytest.mark.parametrize("bad", [{"quality": {"min_depth_levels": 6}}, {"threshold": {"min_entry": 0.9}}, {"composite": {"min_confidence": 1.5}}, {"regime": {"window": 3}}, {"symbols": [{"token": " "}]}, {"symbols": [{"token": "1"}, {"token": "1"}]}, {"tick_size": 0}, {"features": {"spread_tight_ticks": 7}}, {"features": {"spread_tight_ticks": 6}}, {"features": {"momentum_fast_ms": 3000.0}}, {"regime": {"er_range": 0.45}}, {"regime": {"fast_half_life_ms": 8000.0}}, {"features": {"compression_fast_ms": 4000.0}}])
 def test_settings_out_of_range(bad):
     with pytest.raises(ValueError):
         config.build(Engine, bad)
@@ -138,3 +139,31 @@ def test_strict_settings():
     with pytest.raises(ValueError):
         config.build(Engine, {"quality": {"min_depth_levels": True}})
     assert config.build(Engine, {"symbols": [{"token": "1"}], "execution": {"entry_aggression_ticks": None}}).symbols[0].token == "1"
+
+
+def test_pairs_that_may_be_equal():
+    assert config.build(Engine, {"threshold": {"min_entry": 0.3}, "validation": {"max_snapshot_gap_ms": 8000.0}, "features": {"persistence_min_samples": 40}}).threshold.min_entry == 0.3
+
+
+def test_payloads_of_bytes_and_nested_lists(spark):
+    good = '{"tk":"7","bids":[{"p":100,"q":5}]}'
+    rows = [(good.encode(),), (f"[[{good}], [[{good}, \"ok\"]], {{}}]".encode(),), (b"\xff" + good.encode(),), (b"[1, 2",), (None,), (b"[]",), (f"[[[[[{good}]]]]]".encode(),), (b' "Pong" ',)]
+    got = wire.parse(spark.createDataFrame(rows, "payload binary"), "payload").select("token", "parse_error").collect()
+    assert sorted((r.token or "", r.parse_error or "") for r in got) == sorted([("7", "")] * 3 + [("", "not UTF-8"), ("", "not JSON, or nested too deep"), ("", "not JSON, or nested too deep")])
+
+
+def test_counts_of_a_stream_add_up(spark, tmp_path):
+    """Observed counts of two micro-batches equal the rows skipped; samples come when a count doubles."""
+    from bookloom.sources import observe
+
+    for i, lines in enumerate((["{}", '{"token":"1"}', "x", "y"], ['{"token":"2"}', "z"])):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{tmp_path}/in/{i}")
+    told = observe.Counts("feed")
+    spark.streams.addListener(told)
+    rows = wire.from_record(spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{tmp_path}/in/*").withColumn("line", F.col("value")), "line")
+    query = observe.observed_stream(rows, "feed", ("no token", "no depth"), sample="value").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(told)
+    assert told.batches == 2 and dict(told.totals) == {"rows": 6, "accepted": 0, "no token": 4, "no depth": 2}
+    assert len(told.samples["no token"]) == 2 and told.samples["no depth"] == ['{"token":"1"}', '{"token":"2"}']
