@@ -1,14 +1,21 @@
 """Toxicity by a weighted pattern grammar over clauses.
 
-A text is cut into clauses. Words become classes (insult, threat, target, negation, reporting, quote)
-through lexicons: fixed ones for function words in four languages, and learned ones whose entries,
-whole words or word stems of STEMS letters, carry weights of evidence from labelled documents. Five
-finite-state transducers, each a table of (state, class) to (state, output), read a clause's classes: insult
-and threat mark matches, target and negation tell whether one stood among the last NEAR words, reported
-speech whether a quotation after a reporting verb is open. `compose` makes one table of the five, which
-reads the clause from left to right, and the target transducer reads it from right to left as well, for
-targets behind a match. A match adds its weight, strengthened by a target on either side and damped by
-negation and reported speech. A document's score is a logistic function of what its clauses add up to.
+A text is cut into clauses, and a cascade of weighted finite-state transducers reads a clause's words;
+each reads what the one before it writes.
+
+1. The lexicon writes a word as its class, or, once on each path, as a match: an insult or a threat, whose
+   arc has the word's weight. Fixed entries are function words in four languages; learned ones are whole
+   words, stems of STEMS letters, and pairs of words that follow each other.
+2. Phrases: a threat within INTENT_REACH words of an intention is an intended one; an intensifier
+   strengthens an insult within INTENSE_REACH words.
+3. Frames: negation among the last NEAR words and quotations after a reporting verb damp matches.
+4. Binding: a path picks one match, and a target within NEAR words on either side strengthens it.
+   A threat counts only with a target before it, an intended one with a target on either side.
+
+A path's weight is the product of its arcs' and its last state's, and a clause's the sum over all paths,
+thus over its matches. `compose` makes one transducer of phrases, frames and binding; the lexicon, whose
+entries are many, is composed with it as words are read. A document's score is a logistic function of
+what its clauses add up to.
 
 Labels give the learned weights and the two numbers of the logistic function; only rows whose fold
 isn't held out are used, at most MOST_LABELS of them (by a hash of the key), and a document's
@@ -25,7 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +48,8 @@ MOST_LABELS = 50_000
 STEMS = (4, 5, 6, 7, 8)
 #: An entry must occur in so many toxic documents, with this log-odds at least, and with this log-likelihood ratio against chance.
 LEAST_DOCS, LEAST_WEIGHT, LEAST_SURPRISE = 5, 2.5, 12.0
+#: By how much the log-odds of a pair of words must exceed those of its words.
+PAIR_GAIN = 1.0
 HELD_OUT, FOLDS, CUT = 2, 4, 0.3
 
 # Function words of the grammar in English, German, French and Spanish.
@@ -48,100 +57,189 @@ TARGETS = set("you your yours yourself he she they them him her his their those
 NEGATIONS = set("not no never neither nor isn't aren't wasn't don't doesn't nicht kein keine keinen nie niemals weder ne pas jamais ni nunca jamás".split())
 REPORTS = set("said says say saying told tells called calls quoted wrote writes reported reports claimed sagte sagt schrieb nannte behauptete dit disait écrit appelait dijo dice escribió llamó".split())
 THREATS = set("kill killed hurt destroy burn beat stab shoot punish töten umbringen schlagen verbrennen tuer frapper brûler matar golpear quemar".split())
+INTENTS = set("will shall gonna going want wants should must werde wirst wird will muss sollte vais va vas veux doit voy va quiero debe".split())
+INTENSIFIERS = set("such total totally utter utterly complete completely absolute absolutely really truly so solch völlig absolut total tellement complètement vraiment tan totalmente completamente".split())
 #: What is left of a match's weight, by (negated, in reported speech).
 DAMP = {(False, False): 1.0, (True, False): 0.6, (False, True): 0.7, (True, True): 0.5}
 TARGET_BOOST, THREAT_WEIGHT, NEAR = 1.25, 2.0, 4
+INTENSE_BOOST, INTENSE_REACH, INTENT_REACH = 1.1, 2, 3
 
 _CLAUSES = re.compile(r"[.!?;:\n]+")
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]")
 
 
-def entries(word: str) -> list[str]:
-    """What a lexicon may list a word as: itself, and its stems."""
-    return [word + "$", *(word[:k] for k in STEMS if len(word) > k)]
+def entries(word: str, before: str = "") -> list[str]:
+    """What a lexicon may list a word as: itself, its stems, and with the word before it."""
+    return [word + "$", *(word[:k] for k in STEMS if len(word) > k), *([f"{before} {word}"] if before else [])]
 
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTING, QUOTE = CLASSES = range(7)
+def listed(text: str) -> set[str]:
+    """All entries that a text in lower case has."""
+    return {e for c in _CLAUSES.split(text) for words in [_WORDS.findall(c)] for before, w in zip(["", *words], words, strict=False) for e in entries(w, before)}
 
 
-class Transducer(NamedTuple):
-    """table: (state, class) to (next state, output); a word's output depends on what was read before it, and on its own class."""
-
-    start: object
-    table: dict
-
-
-def marks(of: int) -> Transducer:
-    """Whether a word is of a class."""
-    return Transducer(0, {(0, c): (0, c == of) for c in CLASSES})
-
+OTHER, INSULT, THREAT, INTENDED, TARGET, NEGATION, REPORTING, QUOTE, INTENT, INTENSIFIER = CLASSES = range(10)
+FIXED = {w: c for words, c in ((INTENSIFIERS, INTENSIFIER), (INTENTS, INTENT), (TARGETS, TARGET), (REPORTS, REPORTING), (NEGATIONS, NEGATION), ('"“”«»', QUOTE)) for w in words}
 
-def recent(of: int) -> Transducer:
-    """Whether a word of a class stood among the NEAR words before: the state is for how many more words that holds."""
-    return Transducer(0, {(s, c): (NEAR if c == of else max(0, s - 1), s > 0) for s in range(NEAR + 1) for c in CLASSES})
 
+class Transducer(NamedTuple):
+    """arcs: state to {symbol read: [(next state, symbol written, weight)]}; final: weights of the states in which a path may end."""
 
-def reported() -> Transducer:
-    """Whether a quotation is open and a reporting verb has been read."""
-    return Transducer((False, False), {((told, open_), c): ((told or c == REPORTING, open_ != (c == QUOTE)), told and open_) for told in (False, True) for open_ in (False, True) for c in CLASSES})
+    start: object
+    arcs: dict
+    final: dict
 
 
-def compose(*parts: Transducer) -> Transducer:
-    """One transducer that does what all parts do side by side: its outputs are tuples of theirs, its states numbers, of those that can be reached."""
-    number, todo, table = {tuple(p.start for p in parts): 0}, [tuple(p.start for p in parts)], {}
+def build(start: object, step: Callable[[object, int], list[tuple]], final: Callable[[object], float]) -> Transducer:
+    """The transducer of all states that step reaches from the start."""
+    arcs: dict = {start: {}}
+    todo = [start]
     while todo:
         state = todo.pop()
         for c in CLASSES:
-            steps = [p.table[s, c] for p, s in zip(parts, state, strict=True)]
-            after = tuple(s for s, _ in steps)
-            if after not in number:
-                number[after] = len(number)
-                todo.append(after)
-            table[number[state], c] = (number[after], tuple(out for _, out in steps))
-    return Transducer(0, table)
-
-
-FORWARD, BACKWARD = compose(marks(INSULT), marks(THREAT), recent(TARGET), recent(NEGATION), reported()), recent(TARGET)
+            if found := step(state, c):
+                arcs[state][c] = found
+            for after, _, _ in found:
+                if after not in arcs:
+                    arcs[after] = {}
+                    todo.append(after)
+    return Transducer(start, arcs, {s: w for s in arcs if (w := final(s))})
+
+
+def phrases() -> Transducer:
+    """States: for how many more words an intention, and an intensifier, hold."""
+
+    def step(state, c):
+        intent, intense = state
+        after = (INTENT_REACH if c == INTENT else max(0, intent - 1), INTENSE_REACH if c == INTENSIFIER else max(0, intense - 1))
+        if c == INSULT:
+            return [(after, INSULT, INTENSE_BOOST if intense else 1.0)]
+        return [(after, INTENDED if c == THREAT and intent else OTHER if c in (INTENT, INTENSIFIER) else c, 1.0)]
+
+    return build((0, 0), step, lambda _: 1.0)
+
+
+def frames() -> Transducer:
+    """States: for how many more words a negation holds; whether a reporting verb has been read; whether a quotation is open."""
+
+    def step(state, c):
+        negated, told, opened = state
+        after = (NEAR if c == NEGATION else max(0, negated - 1), told or c == REPORTING, opened != (c == QUOTE))
+        if c in (INSULT, THREAT, INTENDED):
+            return [(after, c, DAMP[negated > 0, told and opened])]
+        return [(after, TARGET if c == TARGET else OTHER, 1.0)]
+
+    return build((0, False, False), step, lambda _: 1.0)
+
+
+def binding() -> Transducer:
+    """States: nothing picked, and for how many more words a target before holds; picked, and for how many more words a target may follow (or, for an intended threat, must); done."""
+
+    def step(state, c):
+        kind, left = state
+        if kind == "done":
+            return [(state, OTHER, 1.0)] if c not in (INSULT, THREAT, INTENDED) else []
+        if c == TARGET:
+            return [(("free", NEAR) if kind == "free" else ("done", 0), OTHER, 1.0 if kind == "free" else TARGET_BOOST)]
+        if c in (INSULT, THREAT, INTENDED):
+            if kind != "free":
+                return []
+            if left:
+                return [(("done", 0), c, TARGET_BOOST)]
+            return {INSULT: [(("may", NEAR), c, 1.0)], INTENDED: [(("must", NEAR), c, 1.0)]}.get(c, [])
+        if kind == "free":
+            return [(("free", max(0, left - 1)), OTHER, 1.0)]
+        if left > 1:
+            return [((kind, left - 1), OTHER, 1.0)]
+        return [(("done", 0), OTHER, 1.0)] if kind == "may" else []
+
+    return build(("free", 0), step, lambda s: float(s[0] in ("done", "may")))
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """One transducer whose paths are those of first with what second makes of what they write; states are numbers, of the pairs that can be reached, and arcs that differ in weight alone are one."""
+    start = (first.start, second.start)
+    number, todo, arcs, final = {start: 0}, [start], {}, {}
+    while todo:
+        pair = todo.pop()
+        n, row = number[pair], {}
+        for c, out in first.arcs[pair[0]].items():
+            merged: dict = {}
+            for p, between, w in out:
+                for q, written, v in second.arcs[pair[1]].get(between, ()):
+                    if (p, q) not in number:
+                        number[p, q] = len(number)
+                        todo.append((p, q))
+                    merged[number[p, q], written] = merged.get((number[p, q], written), 0.0) + w * v
+            if merged:
+                row[c] = [(*to, w) for to, w in merged.items()]
+        arcs[n] = row
+        if w := first.final.get(pair[0], 0.0) * second.final.get(pair[1], 0.0):
+            final[n] = w
+    return Transducer(0, arcs, final)
+
+
+def total(of: Transducer, read: list[list[tuple[int, float]]]) -> float:
+    """The sum of the weights of all paths over a text, each of whose places may be read as any of its symbols by their weights."""
+    now = {of.start: 1.0}
+    for symbols in read:
+        after: dict = {}
+        for state, x in now.items():
+            row = of.arcs[state]
+            for c, w in symbols:
+                for to, _, v in row.get(c, ()):
+                    after[to] = after.get(to, 0.0) + x * w * v
+        now = after
+    return sum(x * of.final.get(state, 0.0) for state, x in now.items())
+
+
+CASCADE = compose(compose(phrases(), frames()), binding())
 
 
 class Grammar:
-    """The transducers with learned weights of words."""
+    """The cascade with a lexicon of learned weights."""
 
     def __init__(self, weights: dict[str, float], slope: float = 1.0, shift: float = 0.0):
         self.weights, self.slope, self.shift = weights, slope, shift
+        self.ends = {e.split(" ")[1] for e in weights if " " in e}
         self.known: dict[str, tuple[int, float]] = {}
 
     def word(self, word: str) -> tuple[int, float]:
-        """Its class, and its weight as an insult."""
+        """Its class, and its weight as an insult by itself."""
         got = self.known.get(word)
         if got is None:
-            fixed = QUOTE if word in '"“”«»' else NEGATION if word in NEGATIONS else REPORTING if word in REPORTS else TARGET if word in TARGETS else None
+            fixed = FIXED.get(word)
             w = 0.0 if fixed else max((self.weights.get(x, 0.0) for x in entries(word)), default=0.0)
             got = (fixed or (THREAT if word in THREATS else INSULT if w else OTHER), w)
             if len(self.known) < 500_000:
                 self.known[word] = got
         return got
 
+    def matches(self, word: str) -> bool:
+        """Whether a clause with this word may hold a match."""
+        return word in self.ends or self.word(word)[0] in (INSULT, THREAT)
+
+    def symbols(self, word: str, before: str) -> list[tuple[int, float]]:
+        """What the lexicon writes for a word after another."""
+        c, w = self.word(word)
+        if word in self.ends:
+            w = max(w, self.weights.get(f"{before} {word}", 0.0))
+        out = [(OTHER if c in (INSULT, THREAT) else c, 1.0)]
+        if w:
+            out.append((INSULT, w))
+        if c == THREAT and w < THREAT_WEIGHT:
+            out.append((THREAT, THREAT_WEIGHT - w))  # what a bound threat is worth above the word alone
+        return out
+
     def clause(self, words: list[str]) -> float:
-        read = [self.word(w) for w in words]
-        if not any(c in (INSULT, THREAT) for c, _ in read):
+        if not any(map(self.matches, words)):
             return 0.0
-        behind, state = [], BACKWARD.start
-        for c, _ in reversed(read):
-            state, near = BACKWARD.table[state, c]
-            behind.append(near)
-        total, state = 0.0, FORWARD.start
-        for (c, weight), after in zip(read, reversed(behind), strict=True):
-            state, (insult, threat, before, negated, framed) = FORWARD.table[state, c]
-            if insult or threat:
-                x = max(weight, THREAT_WEIGHT) if threat and before else weight
-                total += x * DAMP[negated, framed] * (TARGET_BOOST if before or after else 1.0)
-        return total
+        return total(CASCADE, [self.symbols(w, before) for before, w in zip(["", *words], words, strict=False)])
 
     def evidence(self, text: str) -> float:
         """The clauses' weights, each further match counting for less; bounded, so that length alone adds little."""
         text = text.lower()
-        if not any(self.word(w)[0] in (INSULT, THREAT) for w in set(_WORDS.findall(text))):
+        if not any(map(self.matches, set(_WORDS.findall(text)))):
             return 0.0
         found = sorted((x for c in _CLAUSES.split(text) if c and (x := self.clause(_WORDS.findall(c)))), reverse=True)
         return sum(x / (1 + i) for i, x in enumerate(found))
@@ -166,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             seen: Counter[str] = Counter()
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    found = {e for w in set(_WORDS.findall(t.lower())) for e in entries(w)}
+                    found = listed(t.lower())
                     seen.update(found if candidates is None else found & candidates)
                     seen[""] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["entry", "n"])
@@ -187,6 +285,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         weight = math.log((t + 0.5) / (all_toxic + 1)) - math.log((c + 0.5) / (all_clean + 1))
         if surprise >= LEAST_SURPRISE and weight >= LEAST_WEIGHT:
             weights[entry] = weight
+    # A pair is an entry of its own where it tells more than either of its words does.
+    alone = Grammar({e: w for e, w in weights.items() if " " not in e})
+    weights = {e: w for e, w in weights.items() if " " not in e or all(alone.word(x)[1] < w - PAIR_GAIN for x in e.split(" "))}
     grammar = Grammar(weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
