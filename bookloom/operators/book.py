@@ -164,7 +164,8 @@ def clean_sequence(df: DataFrame, cfg: Engine) -> DataFrame:
     row only every other one counts. All windows share one exchange and sort.
     """
     v = cfg.validation
-    df = df.where(F.col("structural_reason").isNull())
+    # The touches are taken before the exchange, so that whole ladders pass it only where something behind needs them.
+    df = df.where(F.col("structural_reason").isNull()).withColumns({"touch_bid": F.get("bids", 0), "touch_ask": F.get("asks", 0)})
     token = W.partitionBy("token").orderBy("seq")
     past = lambda c: F.lag(c).over(token)
     df = df.withColumn("idx", F.row_number().over(token).cast("long")).withColumn("p_ts", past("exchange_timestamp_ms")).withColumn("p_mid", past("mid")).withColumn("p_seq", past("sequence_number")).withColumn("p_volume", past("volume_traded_today"))
@@ -179,8 +180,8 @@ def clean_sequence(df: DataFrame, cfg: Engine) -> DataFrame:
     df = df.withColumn("delta_volume", F.when(F.col("is_first"), F.lit(0).cast("long")).otherwise(F.col("volume_traded_today") - F.col("p_volume")))
     segment = W.partitionBy("token", "segment").orderBy("seq")
     df = df.withColumn("row", F.row_number().over(segment).cast("long"))
-    df = df.withColumn("prev_bid", F.lag(F.get("bids", 0)).over(segment)).withColumn("prev_ask", F.lag(F.get("asks", 0)).over(segment))
-    return df.drop("p_ts", "p_mid", "p_seq", "p_volume", "raw_gap", "calm")
+    df = df.withColumn("prev_bid", F.lag("touch_bid").over(segment)).withColumn("prev_ask", F.lag("touch_ask").over(segment))
+    return df.drop("touch_bid", "touch_ask", "p_ts", "p_mid", "p_seq", "p_volume", "raw_gap", "calm")
 
 
 def survival(prev: str, side: str, tolerance: float) -> Column:
