@@ -67,7 +67,7 @@ def encode(ids: np.ndarray, docs: np.ndarray, nulls: np.ndarray, lengths: np.nda
     steps = -(-n // lanes)
     out: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
-    every = max(1, CHECKPOINT // lanes)
+    every = span(lanes) // lanes
     words, shift, bits = 0, np.uint64(32), np.uint64(BITS)
     for step in range(steps - 1, -1, -1):
         a, b = step * lanes, min(n, (step + 1) * lanes)
@@ -111,26 +111,47 @@ def parse(frame: bytes) -> dict:
 
 
 def decode(p: dict, t: Table, first: int = 0, last: int | None = None) -> np.ndarray:
-    """The ids between two checkpoints (all by default)."""
+    """The ids between two checkpoints (all by default). The spans from each checkpoint to the next are decoded side by side, each from its own lanes and place among the words."""
     if p["table"] != t.crc:
         raise ValueError("a frame was written with another frequency table")
     lanes, n, words = p["lanes"], p["n"], p["words"]
-    every = max(1, CHECKPOINT // lanes)
-    last = len(p["points"]) if last is None else last
-    at, state = p["points"][first]
-    x = state.astype(np.uint64)
-    begin, end = first * every * lanes, min(n, last * every * lanes)
-    out = np.empty(max(0, end - begin), np.uint32)
+    every = span(lanes) // lanes
+    points = p["points"][first:last]
+    begin, end = first * every * lanes, min(n, (first + len(points)) * every * lanes)
+    if end <= begin:
+        return np.empty(0, np.uint32)
+    steps = min(every, -(-(end - begin) // lanes))
+    at, x = np.array([w for w, _ in points], np.int64), np.concatenate([state for _, state in points]).astype(np.uint64)
+    out = np.empty((len(points), steps * lanes), np.uint32)
     mask, bits, shift, low = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32), np.uint64(1 << LOW)
-    for a in range(begin, end, lanes):
-        b = min(n, a + lanes)
-        y = x[: b - a]
+    tail = end - begin - (len(points) - 1) * every * lanes  # ids of the last span, the only one that may be short
+    for a in range(0, steps * lanes, lanes):
+        live = (len(points) - 1) * lanes + max(0, min(lanes, tail - a))
+        y = x[:live]
         slot = y & mask
-        out[a - begin : b - begin] = t.symbol[slot]
+        found, full = t.symbol[slot], live // lanes
+        out[:full, a : a + lanes] = found[: full * lanes].reshape(full, lanes)
+        if rest := live - full * lanes:
+            out[full, a : a + rest] = found[full * lanes :]
         y = t.slot_freq[slot] * (y >> bits) + t.slot_rest[slot]
         need = np.flatnonzero(y < low)
         if len(need):
-            y[need] = y[need] << shift | words[at : at + len(need)]
-            at += len(need)
-        x[: b - a] = y
-    return out
+            each = np.bincount(need // lanes, minlength=len(points))
+            y[need] = y[need] << shift | words[np.repeat(at - (np.cumsum(each) - each), each) + np.arange(len(need))]
+            at += each
+        x[:live] = y
+    return out.reshape(-1)[: end - begin]
+
+
+def span(lanes: int) -> int:
+    """Ids between two checkpoints: whole turns of the lanes."""
+    return max(1, CHECKPOINT // lanes) * lanes
+
+
+def between(p: dict, t: Table, start: int, stop: int) -> np.ndarray:
+    """The ids at the places start to stop of a frame, read from the last checkpoint before them to the first behind."""
+    start, stop, every = max(0, start), min(p["n"], stop), span(p["lanes"])
+    if stop <= start:
+        return np.empty(0, np.uint32)
+    first = start // every
+    return decode(p, t, first, -(-stop // every))[start - first * every : stop - first * every]

@@ -2,7 +2,8 @@
 
 `write_ids` tokenises documents with a public vocabulary, counts all ids, and writes frames of the
 format in `ans` as a table (shard, first, n, frame) in the shared folder; `read_ids` decodes them,
-a frame at a time wherever it lies. Documents are dealt out by ranges of their key, so a shard is a
+a frame at a time wherever it lies, all spans between checkpoints side by side; `read_range` reads any run
+of ids from the nearest checkpoint. Documents are dealt out by ranges of their key, so a shard is a
 contiguous run; only a total per shard and a count per vocabulary entry reach the driver, both
 bounded by settings and not by the data.
 
@@ -212,11 +213,31 @@ def read_ids(frames: DataFrame, symbols: np.ndarray, freq: np.ndarray, key: str
                 crcs = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(p["docs"], pa.int64(), mask=p["nulls"].astype(bool)), pa.array(first + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
-    # A total per shard, of which there are as many as shuffle partitions, is all that is gathered.
+    return placed(frames).mapInArrow(unpack, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+
+
+def placed(frames: DataFrame) -> DataFrame:
+    """Frames with their first id's place among all documents' ids. A total per shard, of which there are as many as shuffle partitions, is all that is gathered."""
     totals = frames.groupBy("shard").agg(F.sum("n").alias("n"))
     base = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("base"))
-    placed = frames.join(F.broadcast(base), "shard").select((F.col("first") + F.col("base")).alias("first"), "frame")
-    return placed.mapInArrow(unpack, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+    return frames.join(F.broadcast(base), "shard").select((F.col("first") + F.col("base")).alias("first"), "frame", "n")
+
+
+def read_range(frames: DataFrame, symbols: np.ndarray, freq: np.ndarray, start: int, stop: int) -> DataFrame:
+    """The ids at the places start to stop of the whole corpus, as a row (start, ids) for each checkpointed span that they touch; only the frames that hold them are read, and each from its nearest checkpoint."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = ans.Table(symbols, freq)
+        for b in batches:
+            for first, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = ans.parse(frame)
+                every = ans.span(p["lanes"])
+                for at in range(max(0, start - first) // every * every, min(p["n"], stop - first), every):
+                    low = max(at, start - first)
+                    ids = ans.between(p, t, low, min(at + every, stop - first)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([first + low], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["start", "ids"])
+
+    return placed(frames).where((F.col("first") < stop) & (F.col("first") + F.col("n") > start)).select("first", "frame").mapInArrow(unpack, "start long, ids array<int>")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,33 @@ def test_token_output_round_trip(spark, edges):
         assert rows_of(got, "doc_id", "start", "n_tokens", "ids_crc32") == expected_ids(docs)
 
 
+def test_token_ranges_start_at_checkpoints(spark, edges, monkeypatch):
+    """Runs of ids from frames of many checkpoints: the same as from all ids."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 63, 1000, 4096, 50_000, 2 * 4096 * 5, 123_457):
+        monkeypatch.setattr(ans, "CHECKPOINT", 4096)
+        ids = (rng.zipf(1.3, n) % 900).astype(np.int64)
+        symbols, counts = np.unique(ids, return_counts=True)
+        t = ans.Table(symbols, ans.quantised(symbols, counts.astype(float)))
+        p = ans.parse(ans.encode(ids, np.arange(1), np.zeros(1, bool), np.array([n]), t))
+        points, every = len(p["points"]), ans.span(p["lanes"])
+        assert points == max(1, -(-n // every)) and (ans.decode(p, t) == ids).all()
+        for first in range(points):
+            assert (ans.decode(p, t, first, first + 1) == ids[first * every : (first + 1) * every]).all()
+            assert (ans.decode(p, t, first) == ids[first * every :]).all()
+        for _ in range(30):
+            a, b = (int(x) for x in rng.integers(-5, n + 6, 2))
+            assert (ans.between(p, t, a, b) == ids[max(0, a) : max(0, b)]).all()
+    monkeypatch.setattr(token_output, "FRAME_IDS", 9000)
+    written = token_output.write_ids(table(spark, SF, "documents"), BYTE_BPE)
+    every = token_output.read_range(*written, 0, 1 << 40).orderBy("start").collect()
+    assert [r.start for r in every] == np.cumsum([0, *(len(r.ids) for r in every)])[:-1].tolist()
+    whole = [i for r in every for i in r.ids]
+    assert len(whole) == token_output.read_ids(*written).agg({"n_tokens": "sum"}).head()[0]
+    some = token_output.read_range(*written, 20_001, 47_003).orderBy("start").collect()
+    assert [i for r in some for i in r.ids] == whole[20_001:47_003] and len(some) > 2
+
+
 def test_token_output_empty(frame):
     assert token_output.read_ids(*token_output.write_ids(frame([]), BYTE_BPE)).count() == 0
 
@@ -391,8 +418,45 @@ def test_composed_transducers_equal_enumeration():
     for _ in range(3000):
         words = rng.choices(kinds, k=rng.randint(0, 14))
         assert g.clause(words) == pytest.approx(naive(words)), words
-    # Two words are never one: of the 25 pairs of distances, 4 can't be reached.
-    assert len({s for s, _ in toxicity.FORWARD.table}) == (25 - 4) * 4
+    # A clause's weight is that of one path for each match.
+    assert g.clause("vorg vorg".split()) == 8.0
+
+
+def test_composition_equals_all_paths():
+    """compose and total against following every path of random transducers, one after the other."""
+    rng = random.Random(5)
+
+    def made():
+        states = range(rng.randint(1, 3))
+        arc = lambda: (rng.choice(states), rng.randrange(3), rng.choice([0.5, 1.0, 2.0]))
+        return toxicity.Transducer(0, {s: {c: [arc() for _ in range(rng.randint(0, 2))] for c in range(3)} for s in states}, {s: rng.choice([1.0, 3.0]) for s in states if rng.random() < 0.7})
+
+    def paths(of, read):
+        """(what is written, weight) of each path."""
+        now = [(of.start, (), 1.0)]
+        for c in read:
+            now = [(to, (*out, o), w * v) for s, out, w in now for to, o, v in of.arcs[s].get(c, [])]
+        return [(out, w * of.final[s]) for s, out, w in now if s in of.final]
+
+    for _ in range(400):
+        a, b, c = made(), made(), made()
+        both, read = toxicity.compose(toxicity.compose(a, b), c), [rng.randrange(3) for _ in range(rng.randint(0, 4))]
+        expected = sum(w * v * x for out, w in paths(a, read) for mid, v in paths(b, out) for _, x in paths(c, mid))
+        assert toxicity.total(both, [[(s, 1.0)] for s in read]) == pytest.approx(expected)
+        assert sum(w for _, w in paths(both, read)) == pytest.approx(expected)
+
+
+def test_toxicity_patterns_of_several_words():
+    g = toxicity.Grammar({"vorg$": 4.0, "grey mould": 3.0})
+    clause = lambda text: g.clause(text.split())
+    assert clause("a grey mould") == 3.0 and clause("a mould of grey") == clause("grey and mould") == 0
+    assert clause("such a vorg") == pytest.approx(4.4) and clause("such a very long tree vorg") == 4.0
+    # A threat needs a target before it, an intended one a target on either side.
+    assert clause("i kill you") == 0 and clause("they kill trees") == pytest.approx(2.5)
+    assert clause("i will kill you") == pytest.approx(2.5) == clause("you will kill trees") and clause("i will kill trees") == 0
+    assert clause("i will not kill you") == pytest.approx(2.5 * 0.6)
+    assert clause('said " i will not kill you') == pytest.approx(2.5 * 0.5)
+    assert clause("") == clause("mould") == 0
 
 
 def test_toxicity_counts_all_clauses():
