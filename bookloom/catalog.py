@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookloom import tables
 from bookloom.config import Engine, Threshold
 from bookloom.functions import scalar
 from bookloom.operators import book, execution, kernel, reports, scoring, windows
 from bookloom.plans import engine
-from bookloom.sources import scenarios, wire
+from bookloom.sources import connector, jsonl, scenarios, wire
 from bookloom.sources.derived import BOOK_SQL, derived_book
 
 CFG = Engine()
@@ -82,7 +83,9 @@ def local(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.local_features(book.clean_sequence(book.structural(derived_book(spark, sf_dir), CFG), CFG), CFG)
+    """Accepted rows with their own features, which are computed before the exchange by token, in as many tasks as read the book."""
+    accepted = book.structural(derived_book(spark, sf_dir), CFG).where("structural_reason IS NULL")
+    return book.clean_sequence(book.local_features(accepted, CFG), CFG)
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +385,18 @@ def q_jsonl(spark, sf):
     return back.select("token", "seq", F.get("asks", 4)["price_paise"].alias("ask5"), F.get("asks", 4)["orders"].alias("orders5"), F.col("last_traded_price").alias("ltp"))
 
 
+@register("recorded_stream", "SELECT token, seq, CAST(ask + 20 AS BIGINT) AS ask5, CAST(1 + floor(aq[5] / 150) AS BIGINT) AS orders5, ltp FROM book", BOOK_SQL)
+def q_recorded(spark, sf):
+    """The book's lines as files, streamed into a sink that records each micro-batch once, and read back."""
+    connector.register(spark)
+    lines, kept, log = (tables.folder(spark, tag) for tag in ("lines", "recorded", "log"))
+    jsonl.write(derived_book(spark, sf), lines)
+    rows = spark.readStream.format(connector.NAME).option("path", lines).load().select("value")
+    rows.writeStream.format(connector.NAME).option("path", kept).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    back = wire.from_record(spark.read.format(connector.NAME).option("path", kept).load(), "value")
+    return back.select("token", F.col("sequence_number").alias("seq"), F.get("asks", 4)["price_paise"].alias("ask5"), F.get("asks", 4)["orders"].alias("orders5"), F.col("last_traded_price").alias("ltp"))
+
+
 @register("quality_gate")
 def q_quality(spark, sf):
     df = scoring.quality(featured(spark, sf), CFG)

@@ -5,17 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir and reads it back. Where none is set: a temporary folder in local mode, as in tests, and an error on a cluster."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path under spark.checkpoint.dir. Where none is set: under a temporary folder in local mode, as in tests, and an error on a cluster."""
+    context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/bookloom-shared"
-    path = f"{base.rstrip('/')}/bookloom-engine/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/bookloom-engine/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to a new folder and reads it back."""
+    path = folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
