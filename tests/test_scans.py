@@ -92,3 +92,15 @@ def test_digest_counts_order_and_every_field(spark, monkeypatch):
     assert of(out.limit(0)) == []
     monkeypatch.setattr(reports, "DIGEST_WIDTH", 4)
     assert of(out)[0][1] == 300 and of(out) != [one]  # five levels
+
+
+def test_digest_has_two_levels_whatever_the_length(spark, monkeypatch):
+    """As in the SQL; over DIGEST_WIDTH squared decisions of a token there once were more."""
+    import hashlib
+
+    out = spark.range(1, 31).selectExpr("'t' AS token", "id AS idx", "'NEUTRAL' AS state", "'TREND' AS regime", "id / 1000D AS smoothed", "0.3D AS entry")
+    monkeypatch.setattr(reports, "DIGEST_WIDTH", 4)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    leaves = [sha(f'{{"idx":{i},"state":"NEUTRAL","regime":"TREND","smoothed":{i * 1000},"entry":300000}}') for i in range(1, 31)]
+    want = sha("".join(sha("".join(leaves[i : i + 4])) for i in range(0, 30, 4)))
+    assert [tuple(r) for r in reports.decision_digest(out).collect()] == [("t", want, 30)]
