@@ -160,7 +160,7 @@ def pnl_columns(df):
 
 @register("trading_composite", _composite_sql(TRADING, TRADING_SQL), "")
 def q_composite(spark, sf):
-    return composite_columns(kernel.decided(engine.scored(trading_book(spark, sf), TRADING), TRADING))
+    return composite_columns(engine.decided(trading_book(spark, sf), TRADING))
 
 
 @register("trading_states", _states_sql(TRADING, TRADING_SQL), "")
@@ -202,7 +202,7 @@ _OWN_SQL = {
 
 @register("own_features", _composite_sql(OWN_SETTINGS, TRADING_SQL, own=_OWN_SQL), "")
 def q_own_features(spark, sf):
-    return composite_columns(kernel.decided(engine.scored(trading_book(spark, sf), OWN_SETTINGS, OWN), OWN_SETTINGS, OWN))
+    return composite_columns(engine.decided(trading_book(spark, sf), OWN_SETTINGS, OWN))
 
 
 # Another model of fills: orders larger than what stands at the touch, some larger than the visible book.

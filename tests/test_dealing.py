@@ -1,9 +1,17 @@
 """Queries on tables made so that a token's history meets what the small tables lack: equal mids of unlike books, histories of many stretches."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from bookloom import catalog, catalog_trading  # noqa: F401  (registers its queries)
+from bookloom.config import Engine, Validation
+from bookloom.operators import stretches
+from bookloom.plans import engine
 
-from bookloom import catalog
+SF = "/root/testdata/sf0.001"
 
 
 def events(spark, folder, values, users=1):
@@ -26,3 +34,46 @@ def test_equal_mids_of_unlike_spreads_are_no_range(spark, tmp_path):
     """A segment's first two rows have spreads of three ticks and one about the same mid, at many prices."""
     values = [{0: 7, 1: 3}.get(seq % 211, 3) for seq in range(1, 60 * 211)]
     compared(spark, "rolling_minmax_range_position", events(spark, tmp_path, values))
+
+
+@pytest.mark.parametrize("name", ["clean_sequence", "feat_queue_persistence", "adaptive_threshold", "level_at_prev_best", "ema_pair_trend", "feat_acceleration", "replayed_lines", "state_machine"])
+def test_tokens_of_many_stretches_equal_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(stretches, "ROWS", 30)
+    monkeypatch.setattr(stretches, "TAIL", 3)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    rows = catalog.QUERIES[name](spark, SF)
+    names = sorted(rows.columns)
+    got = sorted((tuple(r[c] for c in names) for r in rows.collect()), key=str)
+    assert got and got == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({catalog.ORACLE[name]})").fetchall(), key=str)
+
+
+def test_stretches_of_a_troubled_feed_equal_one_pass(spark, monkeypatch):
+    """Stale, late, repeated and regressing rows, gaps in a row and notices, with starts that are guessed wrong at first; a token's rows are in many tasks."""
+    rnd, data, ts, volume = random.Random(3), [], 1_000_000, 0
+    for i in range(900):
+        ts += rnd.choice([100, 100, 100, 200, 0, -50, 3500, 3500] if 200 < i < 600 else [100, 100, 100, 100, 100, 4000] if i < 800 else [100, 9000])
+        volume += rnd.choice([0, 5, 5, 5, -3] if i > 300 else [5])
+        bid = 80000 + 5 * rnd.choice([0, 0, 1, -1, 60])
+        level = lambda p, q: [(p + 5 * k * q, (p + 5 * k * q) / 100, rnd.choice([300, 500]), 3) for k in range(5)]  # noqa: E731, B023
+        told = i // 150
+        data.append(("t" if i % 10 else "u", i, ts, float(ts), i * rnd.choice([0, 1, 1, 1]), 800.0, volume, 10.0, 10.0, level(bid, -1), level(bid + rnd.choice([5, 5, 5, 5, -5]), 1), told, float(ts - 50) if told else None))
+    ladder = "array<struct<price_paise: bigint, price: double, quantity: bigint, orders: bigint>>"
+    raw = spark.createDataFrame(data, f"token string, seq bigint, exchange_timestamp_ms bigint, clock_ms double, sequence_number bigint, last_traded_price double, volume_traded_today bigint, total_buy_quantity double, total_sell_quantity double, bids {ladder}, asks {ladder}, notices bigint, notice_clock double")
+
+    def run(rows, recovery=True, tail=1):
+        monkeypatch.setattr(stretches, "ROWS", rows)
+        monkeypatch.setattr(stretches, "TAIL", tail)
+        return sorted(engine.sequence(raw, Engine(validation=Validation(stale_recovery=recovery))).withColumn("task", F.spark_partition_id()).collect(), key=lambda r: (r.token, r.seq))
+
+    plain = lambda rows: [str(r.asDict() | {"task": 0}) for r in rows]
+    whole, cut = run(10**9), run(20)
+    assert plain(whole) == plain(cut) and plain(run(10**9, False)) == plain(run(20, False))  # without recovery all rows after a stale one are stale
+    assert {r.reject_reason for r in cut} >= {None, "STALE_TIMESTAMP", "NON_MONOTONIC_TIMESTAMP", "VOLUME_REGRESSION", "CROSSED_BOOK"} and max(r.segment or 0 for r in cut) > 20
+    assert len({r.task for r in cut if r.token == "t"}) > 2
+
+
+def test_invariants_look_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stretches, "ROWS", 30)
+    rows = [r.asDict() for r in catalog.QUERIES["invariants"](spark, SF).collect()]
+    assert len(rows) == 4 and not any(v for r in rows for k, v in r.items() if k != "token")
