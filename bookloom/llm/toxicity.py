@@ -29,6 +29,7 @@ without usable labels the lexicon is empty and all scores are the prior's; other
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -181,11 +182,19 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
 
 def total(of: Transducer, read: list[list[tuple[int, float]]]) -> float:
     """The sum of the weights of all paths over a text, each of whose places may be read as any of its symbols by their weights."""
-    now = {of.start: 1.0}
+    now, arcs = {of.start: 1.0}, of.arcs
     for symbols in read:
         after: dict = {}
+        if len(symbols) == 1 and symbols[0][1] == 1.0:
+            # Nearly all words: the same sums in the same order, without products by 1.
+            c = symbols[0][0]
+            for state, x in now.items():
+                for to, _, v in arcs[state].get(c, ()):
+                    after[to] = after[to] + x * v if to in after else x * v
+            now = after
+            continue
         for state, x in now.items():
-            row = of.arcs[state]
+            row = arcs[state]
             for c, w in symbols:
                 for to, _, v in row.get(c, ()):
                     after[to] = after.get(to, 0.0) + x * w * v
@@ -194,6 +203,23 @@ def total(of: Transducer, read: list[list[tuple[int, float]]]) -> float:
 
 
 CASCADE = compose(compose(phrases(), frames()), binding())
+#: What the lexicon writes for a word without a class; at the start of a clause such words change nothing.
+PLAIN = [(OTHER, 1.0)]
+STAYS = [(to, v) for to, _, v in CASCADE.arcs[CASCADE.start].get(OTHER, ())] == [(CASCADE.start, 1.0)]
+
+
+class Hits(dict):
+    """Whether a clause with a word may hold a match, by word, as asked before."""
+
+    def __init__(self, of: Grammar):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> bool:
+        got = self.of.matches(word)
+        if len(self) < 500_000:
+            self[word] = got
+        return got
 
 
 class Grammar:
@@ -203,6 +229,7 @@ class Grammar:
         self.weights, self.slope, self.shift = weights, slope, shift
         self.ends = {e.split(" ")[1] for e in weights if " " in e}
         self.known: dict[str, tuple[int, float]] = {}
+        self.hits: Hits | None = None
 
     def word(self, word: str) -> tuple[int, float]:
         """Its class, and its weight as an insult by itself."""
@@ -219,9 +246,19 @@ class Grammar:
         """Whether a clause with this word may hold a match."""
         return word in self.ends or self.word(word)[0] in (INSULT, THREAT)
 
+    def hit(self) -> Hits:
+        if self.hits is None:
+            self.hits = Hits(self)
+        return self.hits
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"hits": None}
+
     def symbols(self, word: str, before: str) -> list[tuple[int, float]]:
         """What the lexicon writes for a word after another."""
         c, w = self.word(word)
+        if c == OTHER and not w and word not in self.ends:
+            return PLAIN
         if word in self.ends:
             w = max(w, self.weights.get(f"{before} {word}", 0.0))
         out = [(OTHER if c in (INSULT, THREAT) else c, 1.0)]
@@ -232,14 +269,15 @@ class Grammar:
         return out
 
     def clause(self, words: list[str]) -> float:
-        if not any(map(self.matches, words)):
+        if not any(map(self.hit().__getitem__, words)):
             return 0.0
-        return total(CASCADE, [self.symbols(w, before) for before, w in zip(["", *words], words, strict=False)])
+        read = [self.symbols(w, before) for before, w in zip(["", *words], words, strict=False)]
+        return total(CASCADE, itertools.dropwhile(PLAIN.__eq__, read) if STAYS else read)
 
     def evidence(self, text: str) -> float:
         """The clauses' weights, each further match counting for less; bounded, so that length alone adds little."""
         text = text.lower()
-        if not any(map(self.matches, set(_WORDS.findall(text)))):
+        if not any(map(self.hit().__getitem__, set(_WORDS.findall(text)))):
             return 0.0
         found = sorted((x for c in _CLAUSES.split(text) if c and (x := self.clause(_WORDS.findall(c)))), reverse=True)
         return sum(x / (1 + i) for i, x in enumerate(found))
