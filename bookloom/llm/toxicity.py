@@ -47,6 +47,8 @@ from bookloom.llm.common import table, utf8
 MOST_LABELS = 50_000
 #: Stems of so many letters are learned beside whole words.
 STEMS = (4, 5, 6, 7, 8)
+#: Words are first told apart by so many letters: one that begins like no entry has none.
+HEAD = min(STEMS)
 #: An entry must occur in so many toxic documents, with this log-odds at least, and with this log-likelihood ratio against chance.
 LEAST_DOCS, LEAST_WEIGHT, LEAST_SURPRISE = 5, 2.5, 12.0
 #: By how much the log-odds of a pair of words must exceed those of its words.
@@ -209,7 +211,7 @@ STAYS = [(to, v) for to, _, v in CASCADE.arcs[CASCADE.start].get(OTHER, ())] ==
 
 
 class Hits(dict):
-    """Whether a clause with a word may hold a match, by word, as asked before."""
+    """Whether a word by itself is a match, by word, as asked before."""
 
     def __init__(self, of: Grammar):
         super().__init__()
@@ -227,7 +229,9 @@ class Grammar:
 
     def __init__(self, weights: dict[str, float], slope: float = 1.0, shift: float = 0.0):
         self.weights, self.slope, self.shift = weights, slope, shift
-        self.ends = {e.split(" ")[1] for e in weights if " " in e}
+        self.pairs = {tuple(e.split(" ")) for e in weights if " " in e}
+        self.ends = {w for _, w in self.pairs}
+        self.heads = {w[:HEAD] for w in itertools.chain(THREATS, (e.removesuffix("$") for e in weights if " " not in e))}
         self.known: dict[str, tuple[int, float]] = {}
         self.hits: Hits | None = None
 
@@ -243,8 +247,8 @@ class Grammar:
         return got
 
     def matches(self, word: str) -> bool:
-        """Whether a clause with this word may hold a match."""
-        return word in self.ends or self.word(word)[0] in (INSULT, THREAT)
+        """Whether this word by itself is a match."""
+        return word[:HEAD] in self.heads and self.word(word)[0] in (INSULT, THREAT)
 
     def hit(self) -> Hits:
         if self.hits is None:
@@ -268,8 +272,12 @@ class Grammar:
             out.append((THREAT, THREAT_WEIGHT - w))  # what a bound threat is worth above the word alone
         return out
 
+    def barren(self, words: list[str]) -> bool:
+        """Whether neither a word nor a pair of words is a match: the second words of pairs are common, the pairs are not."""
+        return not any(map(self.hit().__getitem__, words)) and self.pairs.isdisjoint(zip(words, words[1:], strict=False))
+
     def clause(self, words: list[str]) -> float:
-        if not any(map(self.hit().__getitem__, words)):
+        if self.barren(words):
             return 0.0
         read = [self.symbols(w, before) for before, w in zip(["", *words], words, strict=False)]
         return total(CASCADE, itertools.dropwhile(PLAIN.__eq__, read) if STAYS else read)
@@ -277,7 +285,7 @@ class Grammar:
     def evidence(self, text: str) -> float:
         """The clauses' weights, each further match counting for less; bounded, so that length alone adds little."""
         text = text.lower()
-        if not any(map(self.hit().__getitem__, set(_WORDS.findall(text)))):
+        if self.barren(_WORDS.findall(text)):
             return 0.0
         found = sorted((x for c in _CLAUSES.split(text) if c and (x := self.clause(_WORDS.findall(c)))), reverse=True)
         return sum(x / (1 + i) for i, x in enumerate(found))

@@ -464,6 +464,20 @@ def test_toxicity_counts_all_clauses():
     assert g.evidence("a vorg. " * 80) == pytest.approx(sum(4.0 / (1 + i) for i in range(80)))
 
 
+def test_toxicity_reads_only_clauses_with_a_match(monkeypatch):
+    """The second word of a pair is no match without the first; what is passed over has no weight."""
+    rng, calls, total = random.Random(5), [], toxicity.total
+    monkeypatch.setattr(toxicity, "total", lambda *x: calls.append(1) or total(*x))
+    g = toxicity.Grammar({"vorg$": 4.0, "o'x$": 3.0, "grey mould": 3.0, "mould \"": 2.0, "slim": 2.5})
+    assert g.evidence("a mould of grey. Such mould! grey; mould, you") == 0 and not calls
+    words = ["vorg", "vorgs", "o'x", "o", "grey", "mould", '"', "slimy", "slim", "kill", "you", "not", "will", "tree7", "_grey"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) + rng.choice(["", "", "", ",", ". ", "\n"]) for _ in range(rng.randrange(12)))
+        clauses = [toxicity._WORDS.findall(c) for c in toxicity._CLAUSES.split(text)]
+        plain = sorted((total(toxicity.CASCADE, [g.symbols(w, b) for b, w in zip(["", *c], c, strict=False)]) for c in clauses), reverse=True)
+        assert g.evidence(text) == sum(x / (1 + i) for i, x in enumerate(plain))
+
+
 def test_toxicity_odd_rows(spark, edges, frame):
     labels = table(spark, SF, "labels")
     g = toxicity.learn(table(spark, SF, "documents"), labels)
