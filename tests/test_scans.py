@@ -104,3 +104,12 @@ def test_digest_has_two_levels_whatever_the_length(spark, monkeypatch):
     leaves = [sha(f'{{"idx":{i},"state":"NEUTRAL","regime":"TREND","smoothed":{i * 1000},"entry":300000}}') for i in range(1, 31)]
     want = sha("".join(sha("".join(leaves[i : i + 4])) for i in range(0, 30, 4)))
     assert [tuple(r) for r in reports.decision_digest(out).collect()] == [("t", want, 30)]
+
+
+@pytest.mark.parametrize("count", [9, 16])
+def test_each_block_has_a_task_of_its_own(rows, count):
+    """Dealt by a hash, some tasks had several blocks and others none."""
+    df, data = rows
+    for out in (scan.running(df, "k", ["at"], {"n": F.lit(1)}, count), scan.lagged(df, "k", ["at"], {"before": "x"}, count)):
+        held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(held) == count and sum(held) == len(data) and max(held) < 2 * len(data) / count
