@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bookloom import catalog, catalog_trading  # noqa: F401  (registers its queries)
 from bookloom.config import Engine, Validation
-from bookloom.operators import stretches
+from bookloom.operators import book, kernel, stretches
 from bookloom.plans import engine
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,59 @@ def test_invariants_look_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(stretches, "ROWS", 30)
     rows = [r.asDict() for r in catalog.QUERIES["invariants"](spark, SF).collect()]
     assert len(rows) == 4 and not any(v for r in rows for k, v in r.items() if k != "token")
+
+
+LADDER = "array<struct<price_paise: bigint, price: double, quantity: bigint, orders: bigint>>"
+
+
+def steady(spark, n, step, faults=lambda i: None):
+    """n snapshots of a token, step ms apart; faults(i) tells of one row that it is crossed, or how late it is (ms)."""
+    data = []
+    for i in range(n):
+        fault, crossed = faults(i), faults(i) == "crossed"
+        ts = 1_000_000 + step * i + (0 if fault is None or crossed else fault)
+        ladder = lambda p, q: [(p + 5 * k * q, (p + 5 * k * q) / 100, 300, 3) for k in range(5)]
+        data.append(("t", i + 1, ts, float(ts), i, 800.0, 5 * i, 10.0, 10.0, ladder(80000, -1), ladder(79995 if crossed else 80005, 1)))
+    return spark.createDataFrame(data, f"token string, seq bigint, exchange_timestamp_ms bigint, clock_ms double, sequence_number bigint, last_traded_price double, volume_traded_today bigint, total_buy_quantity double, total_sell_quantity double, bids {LADDER}, asks {LADDER}")
+
+
+def reads(spark, monkeypatch):
+    """Rows of the largest task of each pass of the gate."""
+    frame = type(spark.range(1))
+    found, real = [], frame.mapInArrow
+
+    def spied(df, f, schema, *rest, **kw):
+        if schema == "token string, block bigint, end binary":
+            found.append(max((r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()), default=0))
+        return real(df, f, schema, *rest, **kw)
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    return found
+
+
+def cut_and_whole(spark, monkeypatch, raw, cfg, rows):
+    """What `sequence` gives with blocks of so many rows and in one pass, and the rows of the stretches."""
+    out = []
+    for n in (10**9, rows):
+        monkeypatch.setattr(stretches, "ROWS", n)
+        monkeypatch.setattr(stretches, "TAIL", 3)
+        out.append(sorted(str(r.asDict()) for r in engine.sequence(raw, cfg).collect()))
+    df = kernel.dealt(book.structural(engine.clocked(raw).withColumns({"notices": F.lit(0).cast("long"), "notice_clock": F.lit(None).cast("double")}), cfg), cfg)[0]
+    return out, [r["count"] for r in df.groupBy("stretch").count().collect()]
+
+
+def test_the_first_row_of_a_block_is_none_of_its_last(spark, monkeypatch):
+    """168 rows in nine blocks: 56 / (168 / 9) is 3, but leaves nearly a whole block as its remainder."""
+    found = reads(spark, monkeypatch)
+    (whole, cut), _ = cut_and_whole(spark, monkeypatch, steady(spark, 168, 1000), Engine(validation=Validation(stale_recovery=False)), 20)
+    assert whole == cut
+    assert len(found) == 4  # two passes each time it's dealt: the tails, and the blocks from right starts
+
+
+@pytest.mark.parametrize("faults", [lambda i: "crossed" if 130 <= i < 700 else None, lambda i: 9000 if i >= 130 else None, lambda i: "crossed" if i < 700 else None])
+def test_blocks_of_rejected_rows_are_neither_a_task_nor_read_in_turn(spark, monkeypatch, faults):
+    """Crossed rows, which change nothing, and rows that stay stale without recovery, over many blocks of 20 rows."""
+    found = reads(spark, monkeypatch)
+    (whole, cut), sizes = cut_and_whole(spark, monkeypatch, steady(spark, 800, 100, faults), Engine(validation=Validation(stale_recovery=False)), 20)
+    assert whole == cut
+    assert max(sizes) <= 200 and len(found) < 2 * 12 and max(found[1:]) < 500
