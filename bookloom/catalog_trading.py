@@ -146,6 +146,11 @@ def q_book(spark, sf):
     return b.select(*KEYS, "exchange_timestamp_ms", F.get("bids", 0)["price_paise"].alias("bid"), F.get("asks", 0)["price_paise"].alias("ask"), F.col("volume_traded_today").alias("volume"), F.get("bids", 0)["quantity"].alias("bid_qty"), F.get("asks", 4)["quantity"].alias("ask_qty5"), F.col("total_buy_quantity").alias("total_buy"), F.col("last_traded_price").alias("ltp"))
 
 
+COMPOSITE = [*KEYS, "regime", "composite_valid", "score", "smoothed", "composite_confidence"]
+STATES = [*KEYS, "previous_state", "state", "reason"]
+PNL = [*KEYS, "reason"]
+
+
 def composite_columns(df):
     return df.select(*KEYS, "regime", "composite_valid", r6("score").alias("score"), r6("smoothed").alias("smoothed"), r6("composite_confidence").alias("confidence"))
 
@@ -160,17 +165,17 @@ def pnl_columns(df):
 
 @register("trading_composite", _composite_sql(TRADING, TRADING_SQL), "")
 def q_composite(spark, sf):
-    return composite_columns(engine.decided(trading_book(spark, sf), TRADING))
+    return composite_columns(engine.decided(trading_book(spark, sf), TRADING, columns=COMPOSITE))
 
 
 @register("trading_states", _states_sql(TRADING, TRADING_SQL), "")
 def q_states(spark, sf):
-    return state_columns(engine.run_batch(trading_book(spark, sf), TRADING))
+    return state_columns(engine.run_batch(trading_book(spark, sf), TRADING, columns=STATES))
 
 
 @register("trading_pnl", _pnl_sql(TRADING, TRADING_SQL), "")
 def q_pnl(spark, sf):
-    return pnl_columns(engine.run_batch(trading_book(spark, sf), TRADING))
+    return pnl_columns(engine.run_batch(trading_book(spark, sf), TRADING, columns=PNL))
 
 
 # Features of a user's own, in place of most of the library's: the touch's lean, and where trades agree with it.
@@ -202,7 +207,7 @@ _OWN_SQL = {
 
 @register("own_features", _composite_sql(OWN_SETTINGS, TRADING_SQL, own=_OWN_SQL), "")
 def q_own_features(spark, sf):
-    return composite_columns(engine.decided(trading_book(spark, sf), OWN_SETTINGS, OWN))
+    return composite_columns(engine.decided(trading_book(spark, sf), OWN_SETTINGS, OWN, columns=COMPOSITE))
 
 
 # Another model of fills: orders larger than what stands at the touch, some larger than the visible book.
@@ -227,7 +232,7 @@ def _large_sql() -> str:
 
 @register("depth_walk_pnl", _large_sql(), "")
 def q_depth_walk(spark, sf):
-    df = engine.run_batch(trading_book(spark, sf), LARGE, model=DepthWalk())
+    df = engine.run_batch(trading_book(spark, sf), LARGE, model=DepthWalk(), columns=PNL)
     return df.where("closed").select(*KEYS, "reason", "quantity", r6("entry_price").alias("entry_price"), r6("exit_price").alias("exit_price"), *(r6(f"pnl.{c}").alias(c) for c in ("gross_ticks", "gross_rupees", "cost_rupees", "net_rupees", "net_bps", "holding_ms")))
 
 
